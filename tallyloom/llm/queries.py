@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, iso_media, packing, simhash, suffix_dedup
+from tallyloom.llm import byte_bpe, decision_list, iso_media, packing, secrets, simhash, suffix_dedup
 from tallyloom.llm.common import load, text_of
 
 
@@ -25,6 +25,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    judged, _ = decision_list.quality(docs, load(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs, words_in_shingle=3, radius=2)
@@ -80,6 +86,24 @@ def op9_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_packing": op2_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_byte_bpe": op7_byte_bpe, "op9_iso_media": op9_iso_media}
+def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
+    spans = F.col("secret_spans")
+
+    def of(kind: int):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter(spans, lambda s: s["kind"] < len(secrets.PATTERNS))
+    return found.select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(spans).alias("spans"),
+    )
+
+
+QUERIES = {"op4_decision_list": op4_decision_list, "op10_entropy_secrets": op10_entropy_secrets, "op2_packing": op2_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_byte_bpe": op7_byte_bpe, "op9_iso_media": op9_iso_media}
 
 ORACLES: dict[str, str] = {}
