@@ -2,9 +2,8 @@
 
 A pre-token becomes a linked list of byte symbols.  Every adjacent pair whose
 joined bytes have a merge rank puts its left position into that rank's bucket;
-a three-level bitmap over the ranks marks the buckets in use, so the lowest
-pending rank is found by three find-first-set steps however long the pre-token
-is.  An entry whose pair has changed meanwhile is stale and is skipped when it
+a two-level bitmap over the ranks marks the buckets in use, so the lowest pending
+rank is found by two find-first-set steps however long the pre-token is.  An entry whose pair has changed meanwhile is stale and is skipped when it
 is met.  Work is O(n log n) for a pre-token of n bytes at worst (the heap inside
 a bucket keeps equal ranks leftmost first), where the usual rescan is O(n^2).
 
@@ -28,8 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Entries that one generation of a worker's cache may hold.
-CACHE_ENTRIES = 400_000
+#: Entries that one generation of a worker's caches may hold (some 200 bytes each).
+PIECE_ENTRIES, CHUNK_ENTRIES = 450_000, 60_000
 #: Pre-tokens and space-delimited chunks longer than this are not cached.
 CACHE_CHARS = 64
 
@@ -37,20 +36,19 @@ CACHE_CHARS = 64
 class RankMerger:
     """Merges the bytes of one pre-token by a table of ranks.
 
-    ``buckets`` maps each pending rank to a heap of left positions; ``low``,
-    ``mid`` and ``top`` are the bitmap's levels, 64 bits a word.  All are empty
-    between calls.  The queue's steps stand in the loop itself, since most
+    ``buckets`` maps each pending rank to a left position, or to a heap of them;
+    ``words`` (of 256 bits) and ``top`` are the bitmap's two levels.  All are
+    empty between calls.  The queue's steps stand in the loop itself, since most
     pre-tokens are short and calls would cost more than the work.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        words = (max(ranks.values(), default=0) >> 6) + 1
-        self.low = [0] * words
-        self.mid = [0] * ((words >> 6) + 1)
+        self.words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
+        self.bits = [1 << i for i in range(256)]
 
     def encode(self, piece: bytes) -> list[int]:
-        find, low, mid = self.ranks.get, self.low, self.mid
+        find, words, bits = self.ranks.get, self.words, self.bits
         whole = find(piece)
         if whole is not None:
             return [whole]
@@ -61,32 +59,30 @@ class RankMerger:
         pending += (-1, -1)
         for i, rank in enumerate(pending):
             if rank >= 0:
-                if rank in buckets:
-                    buckets[rank].append(i)  # positions rise, so the list is a heap
+                if rank not in buckets:
+                    buckets[rank] = i
+                    a = rank >> 8
+                    words[a] |= bits[rank & 255]
+                    top |= 1 << a
+                elif isinstance(found := buckets[rank], list):
+                    found.append(i)  # positions rise, so the list is a heap
                 else:
-                    buckets[rank] = [i]
-                    a, b = rank >> 6, rank >> 12
-                    low[a] |= 1 << (rank & 63)
-                    mid[b] |= 1 << (a & 63)
-                    top |= 1 << b
+                    buckets[rank] = [found, i]
         while top:
-            b = (top & -top).bit_length() - 1
-            word = mid[b]
-            a = (b << 6) + (word & -word).bit_length() - 1
-            word = low[a]
-            rank = (a << 6) + (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
+            a = (top & -top).bit_length() - 1
+            word = words[a]
+            rank = (a << 8) + (word & -word).bit_length() - 1
+            i = buckets[rank]
+            if isinstance(i, list):
+                bucket, i = i, heappop(i)
+                empty = not bucket
             else:
-                i = bucket[0]
+                empty = True
+            if empty:
                 del buckets[rank]
-                word &= word - 1
-                low[a] = word
+                words[a] = word = word & (word - 1)
                 if not word:
-                    mid[b] &= mid[b] - 1
-                    if not mid[b]:
-                        top &= top - 1
+                    top &= top - 1
             if pending[i] != rank:
                 continue  # stale: the pair at i has gone or changed
             j = following[i]
@@ -100,14 +96,15 @@ class RankMerger:
             h = before[i]
             while True:  # the pair that begins at the merged symbol, then the one that ends there
                 if new >= 0:
-                    if new in buckets:
-                        heappush(buckets[new], i)
+                    if new not in buckets:
+                        buckets[new] = i
+                        a = new >> 8
+                        words[a] |= bits[new & 255]
+                        top |= 1 << a
+                    elif isinstance(found := buckets[new], list):
+                        heappush(found, i)
                     else:
-                        buckets[new] = [i]
-                        a, b = new >> 6, new >> 12
-                        low[a] |= 1 << (new & 63)
-                        mid[b] |= 1 << (a & 63)
-                        top |= 1 << b
+                        buckets[new] = [found, i] if found < i else [i, found]
                 if h < 0:
                     break
                 i, h = h, -1
@@ -123,22 +120,36 @@ class RankMerger:
         return out
 
 
-class TwoGenerations(dict):
-    """A cache of bounded size: when full, it becomes the old generation and starts anew."""
+class _Young(dict):
+    """The newer generation; a missing key is looked up in the older one or computed."""
 
-    def __init__(self, compute, entries: int = CACHE_ENTRIES):
+    def __init__(self, cache):
         super().__init__()
-        self.compute, self.entries, self.old = compute, entries, {}
+        self.cache = cache
 
     def __missing__(self, key):
+        return self.cache.add(key)
+
+
+class TwoGenerations:
+    """A cache of bounded size: when the young generation is full it becomes the old one.
+
+    Read by ``cache.young[key]``; the reference may be kept while one text lasts.
+    """
+
+    def __init__(self, compute, entries: int):
+        self.compute, self.entries = compute, entries
+        self.old: dict = {}
+        self.young = _Young(self)
+
+    def add(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
         if len(key) <= CACHE_CHARS:
-            if len(self) >= self.entries:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
+            if len(self.young) >= self.entries:
+                self.old, self.young = self.young, _Young(self)
+            self.young[key] = value
         return value
 
 
@@ -173,19 +184,17 @@ class ByteBpe:
         # White space as Unicode has it; \s of Python also takes the separators \x1c to \x1f.
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.vocabulary = {v: k for k, v in self.ranks.items()}
-        self.pieces = TwoGenerations(lambda piece: tuple(self.merger.encode(piece.encode())))
-        self.chunks = TwoGenerations(self.encode_chunk)
+        self.pieces = TwoGenerations(lambda piece: np.array(self.merger.encode(piece.encode()), dtype="<i4").tobytes(), PIECE_ENTRIES)
+        self.chunks = TwoGenerations(self.encode_chunk, CHUNK_ENTRIES)
 
     def encode_chunk(self, chunk: str) -> bytes:
         """The chunk's ids as little-endian 32-bit numbers."""
-        ids: list[int] = []
-        for piece in self.pattern.findall(chunk):
-            ids.extend(self.pieces[piece])
-        return np.array(ids, dtype="<i4").tobytes()
+        cached = self.pieces.young
+        return b"".join([cached[piece] for piece in self.pattern.findall(chunk)])
 
     def encode(self, text: str) -> bytes:
-        cached = self.chunks
-        return b"".join([cached[c] for c in chunks_of(text)])
+        cached = self.chunks.young
+        return b"".join([cached[chunk] for chunk in chunks_of(text)])
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))

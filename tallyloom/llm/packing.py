@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.byte_bpe import TwoGenerations, chunks_of, slices
+from tallyloom.llm.byte_bpe import CHUNK_ENTRIES, PIECE_ENTRIES, TwoGenerations, chunks_of, slices
 
 #: Unicode characters that stand for bytes in byte-level vocabularies: printable
 #: Latin-1 characters stand for themselves, the others follow from 256 on.
@@ -106,22 +106,20 @@ class Ids:
         self.model = self.tokenizer.model
         self.table = BYTE_CHARS
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-        self.pieces = TwoGenerations(self._piece)
-        self.chunks = TwoGenerations(self._chunk)
+        self.pieces = TwoGenerations(self._piece, PIECE_ENTRIES)
+        self.chunks = TwoGenerations(self._chunk, CHUNK_ENTRIES)
 
-    def _piece(self, piece: str) -> tuple:
+    def _piece(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.table)
-        return tuple(t.id for t in self.model.tokenize(mapped))
+        return np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pattern.findall(chunk):
-            ids.extend(self.pieces[piece])
-        return np.array(ids, dtype="<u4").tobytes()
+        cached = self.pieces.young
+        return b"".join([cached[piece] for piece in self.pattern.findall(chunk)])
 
     def encode(self, text: str) -> bytes:
-        cached = self.chunks
-        return b"".join([cached[c] for c in chunks_of(text)])
+        cached = self.chunks.young
+        return b"".join([cached[chunk] for chunk in chunks_of(text)])
 
 
 _LOADED: dict[str, Ids] = {}

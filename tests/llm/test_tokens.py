@@ -44,15 +44,15 @@ def test_merger_follows_ranks_not_places():
     assert merger.encode(b"aaaaa") == [7, 0]
     assert merger.encode(b"abab") == [5, 5]
     assert merger.encode(b"") == []
-    assert not any(merger.low) and not any(merger.mid)
+    assert not any(merger.words)
 
 
 def test_cache_is_bounded():
     made = []
     cache = byte_bpe.TwoGenerations(lambda k: made.append(k) or k.encode(), entries=4)
     for k in "abcdefgh" * 2:
-        assert cache[k] == k.encode()
-    assert len(cache) <= 4 and len(cache.old) <= 4
+        assert cache.young[k] == k.encode()
+    assert len(cache.young) <= 4 and len(cache.old) <= 4
 
 
 def test_best_fit_takes_the_tightest_window():
