@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, decision_list, iso_media, packing, secrets, simhash, suffix_dedup
+from tallyloom.llm import byte_bpe, ctw, decision_list, iso_media, packing, secrets, simhash, suffix_dedup
 from tallyloom.llm.common import load, text_of
 
 
@@ -19,6 +19,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = ctw.scores(docs, training=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack(docs, _tokenizer("byte_bpe_50k.json"), window=1024, end_id=0)
@@ -104,6 +111,6 @@ def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_decision_list": op4_decision_list, "op10_entropy_secrets": op10_entropy_secrets, "op2_packing": op2_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_byte_bpe": op7_byte_bpe, "op9_iso_media": op9_iso_media}
+QUERIES = {"op1_ctw": op1_ctw, "op4_decision_list": op4_decision_list, "op10_entropy_secrets": op10_entropy_secrets, "op2_packing": op2_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_byte_bpe": op7_byte_bpe, "op9_iso_media": op9_iso_media}
 
 ORACLES: dict[str, str] = {}
