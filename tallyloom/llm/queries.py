@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, ctw, decision_list, iso_media, packing, secrets, simhash, suffix_dedup
+from tallyloom.llm import byte_bpe, ctw, decision_list, iso_media, ordinal, packing, secrets, simhash, suffix_dedup, warc
 from tallyloom.llm.common import load, text_of
 
 
@@ -32,6 +32,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.train(docs, load(spark, sf_dir, "labels"))
+    return ordinal.severity(docs, model).select("doc_id", "severity", "grade", "toxic")
+
+
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     judged, _ = decision_list.quality(docs, load(spark, sf_dir, "labels"))
@@ -70,6 +76,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no capture times; a fixed one for each page stands in.
+    pages = load(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), "url", F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + F.lit(1_704_067_200)).alias("at"), F.col("html").alias("payload")
+    )
+    index = warc.captures_index(pages, least_bytes=100)
+    return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     payload = docs.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), F.encode(text_of(), "UTF-8").alias("payload"))
@@ -111,6 +126,29 @@ def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_ctw": op1_ctw, "op4_decision_list": op4_decision_list, "op10_entropy_secrets": op10_entropy_secrets, "op2_packing": op2_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_byte_bpe": op7_byte_bpe, "op9_iso_media": op9_iso_media}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_ctw": op1_ctw,
+    "op2_packing": op2_packing,
+    "op3_ordinal": op3_ordinal,
+    "op4_decision_list": op4_decision_list,
+    "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_warc": op8_warc,
+    "op9_iso_media": op9_iso_media,
+    "op10_entropy_secrets": op10_entropy_secrets,
+}
+
+ORACLES: dict[str, str] = {
+    "op8_warc": """
+        WITH sized AS (
+            SELECT page_id, CAST(strlen(COALESCE(html, '')) AS BIGINT) AS payload_bytes, sha256(COALESCE(html, '')) AS payload_digest
+            FROM pages
+        ), first AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM sized
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> f THEN f END AS refers_to
+        FROM first""",
+}

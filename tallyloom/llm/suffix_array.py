@@ -6,7 +6,7 @@ repeat, and induces the whole array from the sorted LMS suffixes.  The first
 level works bucket by bucket in NumPy: a bucket's entries are complete when the
 scan reaches it but for those that it induces into itself, which follow in waves
 (one for each step of a run of equal bytes).  Deeper levels, a third of the size
-at most, use the plain linear loop.
+or less but with many more symbols, induce in plain linear loops.
 """
 
 from __future__ import annotations
@@ -119,66 +119,68 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     ordered = first[is_lms[first]]
     names, count = _names(_codes(text), lms, ordered, n)
     if count < len(lms):
-        ordered = lms[np.array(sais(names.tolist(), count), dtype=np.int64)]
+        ordered = lms[sais(names, count)]
     return _induce(text, smaller, ordered, alphabet)
 
 
-def sais(text: list[int], alphabet: int) -> list[int]:
-    """Suffix array of a list of numbers below ``alphabet`` whose last one is its least and unique."""
+def sais(text: np.ndarray, alphabet: int) -> np.ndarray:
+    """Suffix array of numbers below ``alphabet`` whose last one is their least and occurs once."""
     n = len(text)
     if n == 1:
-        return [0]
-    smaller = [False] * n
-    smaller[-1] = True
-    for i in range(n - 2, -1, -1):
-        smaller[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and smaller[i + 1])
-    lms = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-    sizes = [0] * alphabet
-    for c in text:
-        sizes[c] += 1
-    heads, total = [], 0
-    for s in sizes:
-        heads.append(total)
-        total += s
+        return np.zeros(1, dtype=np.int64)
+    is_small = _types(text)
+    lms = np.flatnonzero(is_small[1:] & ~is_small[:-1]) + 1
+    sizes = np.bincount(text, minlength=alphabet)
+    tails = np.cumsum(sizes)
+    heads, ends = (tails - sizes).tolist(), tails.tolist()
+    symbols = text.tolist()
+    # Of each suffix: the symbol before it, if the suffix there is of the larger or the smaller kind; else -1.
+    before = np.concatenate(([-1], text[:-1]))
+    large = np.where(np.concatenate(([False], ~is_small[:-1])), before, -1).tolist()
+    small = np.where(np.concatenate(([False], is_small[:-1])), before, -1).tolist()
 
     def induced(seeds: list[int]) -> list[int]:
-        out = [-1] * n
-        at = [h + s for h, s in zip(heads, sizes, strict=True)]
+        out = [0] * n  # zero has nothing before it, so empty places induce nothing
+        at = ends[:]
         for i in reversed(seeds):
-            at[text[i]] -= 1
-            out[at[text[i]]] = i
+            c = symbols[i]
+            at[c] -= 1
+            out[at[c]] = i
         at = heads[:]
-        for j in out:  # grows while it is read, as the method wants
-            if j > 0 and not smaller[j - 1]:
-                c = text[j - 1]
+        for j in out:  # is written to while it is read, as the method wants
+            c = large[j]
+            if c >= 0:
                 out[at[c]] = j - 1
                 at[c] += 1
-        at = [h + s for h, s in zip(heads, sizes, strict=True)]
-        for k in range(n - 1, -1, -1):
-            j = out[k]
-            if j > 0 and smaller[j - 1]:
-                c = text[j - 1]
+        at = ends[:]
+        for j in reversed(out):
+            c = small[j]
+            if c >= 0:
                 at[c] -= 1
                 out[at[c]] = j - 1
         return out
 
-    first = induced(lms)
-    is_lms = [False] * n
-    for i in lms:
-        is_lms[i] = True
-    ends = dict(zip(lms, lms[1:] + [n - 1], strict=True))
-    name, names, last = -1, {}, None
-    for i in first:
-        if is_lms[i]:
-            substring = text[i : ends[i] + 1]
-            if substring != last:
-                name, last = name + 1, substring
-            names[i] = name
-    if name + 1 < len(lms):
-        lms = [lms[k] for k in sais([names[i] for i in lms], name + 1)]
-    else:
-        lms = [i for i in first if is_lms[i]]
-    return induced(lms)
+    is_lms = np.zeros(n, dtype=bool)
+    is_lms[lms] = True
+    first = np.array(induced(lms.tolist()), dtype=np.int64)
+    ordered = first[is_lms[first]]
+    length = np.zeros(n, dtype=np.int64)
+    length[lms] = np.diff(np.concatenate((lms, [n - 1]))) + 1
+    a, b = ordered[1:], ordered[:-1]
+    same = length[a] == length[b]
+    active, step = np.flatnonzero(same), 0
+    while len(active):
+        equal = text[a[active] + step] == text[b[active] + step]
+        same[active[~equal]] = False
+        step += 1
+        active = active[equal]
+        active = active[length[a[active]] > step]
+    rank = np.concatenate(([0], np.cumsum(~same)))
+    if rank[-1] + 1 < len(lms):
+        names = np.empty(n, dtype=np.int64)
+        names[ordered] = rank
+        ordered = lms[sais(names[lms], int(rank[-1]) + 1)]
+    return np.array(induced(ordered.tolist()), dtype=np.int64)
 
 
 def permuted_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:

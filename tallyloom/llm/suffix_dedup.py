@@ -43,7 +43,7 @@ from tallyloom.llm.common import text_of, written
 from tallyloom.llm.suffix_array import _codes, permuted_prefixes, suffix_array
 
 #: Bytes of a gram that a window can elect.
-GRAM = 16
+GRAM = 32
 #: Text bytes that one suffix array holds, about.
 SHARD_BYTES = 1 << 20
 _LOWEST = -(1 << 63)
@@ -51,13 +51,15 @@ _PLACE_BITS = 24
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of the 16 bytes from each place on."""
+    """A mixed 64-bit hash of the ``GRAM`` bytes from each place on (zeros follow the data)."""
     codes = _codes(data)
     h = codes * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h[:-8] += codes[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    for at in range(8, GRAM, 8):
+        h ^= h >> np.uint64(29)
+        h[:-at] += codes[at:]
+        h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(31)
     return h
 
@@ -366,14 +368,26 @@ def repeated_ranges(docs: DataFrame, width: int, shard_segments: int) -> DataFra
     return ranges
 
 
-def cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    """The bytes outside the (start, length) ranges, and the maximal removed (start, end)."""
+def cut(data: bytes, ranges: list[tuple[int, int]], whole_characters: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
+    """The bytes outside the (start, length) ranges, and the maximal removed (start, end).
+
+    ``whole_characters`` leaves in place a UTF-8 character that is covered in part only.
+    """
     spans: list[list[int]] = []
     for start, n in sorted(ranges):
         if spans and start <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], start + n)
         else:
             spans.append([start, start + n])
+    if whole_characters:
+        for span in spans:
+            a, b = span
+            while a < b and data[a] & 0xC0 == 0x80:
+                a += 1
+            while a < b < len(data) and data[b] & 0xC0 == 0x80:
+                b -= 1
+            span[:] = a, b
+        spans = [x for x in spans if x[0] < x[1]]
     kept, at = [], 0
     for a, b in spans:
         kept.append(data[at:a])
@@ -382,13 +396,17 @@ def cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, list[tuple[i
     return b"".join(kept), [(a, b) for a, b in spans]
 
 
-def dedup(df: DataFrame, width: int = 100, shard_segments: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, kept binary, spans): one row for each input row.
+def dedup(df: DataFrame, width: int = 100, shard_segments: int = 4096, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+    """(id, n_bytes, kept binary, spans, carried): one row for each input row.
 
-    ``kept`` are the remaining bytes and ``spans`` the maximal removed ranges.
+    ``kept`` are the remaining bytes, ``spans`` the maximal removed ranges, and
+    ``carried`` is a struct of the input's other columns (null if it has none).
     """
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("doc"), text_of(text_col).alias("text"))
-    docs = docs.select("doc", F.xxhash64("text").alias("row"), F.encode("text", "UTF-8").alias("text"))
+    others = [F.col(c) for c in df.columns if c not in (id_col, text_col)]
+    carried = F.struct(*others) if others else F.lit(None).cast("int")
+    whole = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("doc"), text_of(text_col).alias("text"), carried.alias("carried"))
+    whole = whole.select("doc", F.xxhash64("text").alias("row"), F.encode("text", "UTF-8").alias("text"), "carried")
+    docs = whole.select("doc", "row", "text")
     ranges = repeated_ranges(docs, width, shard_segments)
     lists = ranges.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
     schema = T.StructType(
@@ -397,16 +415,17 @@ def dedup(df: DataFrame, width: int = 100, shard_segments: int = 4096, id_col: s
             T.StructField("n_bytes", T.LongType()),
             T.StructField("kept", T.BinaryType()),
             T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+            T.StructField("carried", whole.schema["carried"].dataType),
         ]
     )
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in slices(batches, 1, 8 << 20):
-            done = [cut(data, [(r["start"], r["n"]) for r in found or ()]) for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            done = [cut(data, [(r["start"], r["n"]) for r in found or ()], whole_characters) for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             ids = [None if d == _LOWEST else d for d in batch.column(0).to_pylist()]
             sizes = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
             spans = [[{"start": a, "end": b} for a, b in s] for _, s in done]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), sizes, pa.array([k for k, _ in done], pa.binary()), pa.array(spans, spans_type)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), sizes, pa.array([k for k, _ in done], pa.binary()), pa.array(spans, spans_type), batch.column(3)], names=schema.names)
 
-    return docs.join(lists, ["doc", "row"], "left").select("doc", "text", "ranges").mapInArrow(run, schema)
+    return whole.join(lists, ["doc", "row"], "left").select("doc", "text", "ranges", "carried").mapInArrow(run, schema)

@@ -15,7 +15,7 @@ def test_suffix_arrays_and_prefixes_equal_sorting():
         text = np.frombuffer(s, np.uint8)
         want = sorted(range(len(s)), key=lambda i: s[i:])
         assert suffix_array(text).tolist() == want
-        assert sais(list(s), 256) == want
+        assert sais(text.astype(np.int64), 256).tolist() == want
         common = permuted_prefixes(text, np.array(want), 20)
         for x, y in zip(want, want[1:]):
             n = 0
@@ -24,6 +24,18 @@ def test_suffix_arrays_and_prefixes_equal_sorting():
             assert common[y] == n
 
 
+def test_deep_recursion_on_repetitive_texts():
+    a, b = b"a", b"ab"
+    for _ in range(14):
+        a, b = b, b + a
+    r = random.Random(2)
+    unit = bytes(r.randrange(1, 250) for _ in range(1500))
+    for s in (b + b"\0", unit * 40 + b"\0", b"xy" * 3000 + b"\0"):
+        order = suffix_array(np.frombuffer(s, np.uint8))
+        assert sorted(order.tolist()) == list(range(len(s)))
+        assert all(s[i:] < s[j:] for i, j in zip(order.tolist()[::7], order.tolist()[1::7]))
+
+
 def test_equal_windows_elect_equal_grams():
     r = random.Random(1)
     passage = bytes(r.randrange(97, 103) for _ in range(400))
