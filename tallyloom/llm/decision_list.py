@@ -148,10 +148,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bad_valu
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) == bad_value).alias("__bad"))
     picked = picked.orderBy(F.xxhash64("__id"), "__id", "__bad").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = with_stats(texts.join(F.broadcast(picked), "__id"), "__text").select("__id", "__bad", *(c.alias(n) for n, c in features().items()))
+    tested = features()
+    rows = with_stats(texts.join(F.broadcast(picked), "__id"), "__text").select("__id", "__bad", *(c.alias(n) for n, c in tested.items()))
     found = rows.collect()
     found.sort(key=lambda r: (hash((r["__id"] * 2654435761) & 0xFFFFFFFF), r["__id"], r["__bad"], tuple(r[2:])))
-    return [({n: r[n] for n in features()}, r["__bad"]) for r in found]
+    return [({n: r[n] for n in tested}, r["__bad"]) for r in found]
 
 
 def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bad_value: int = 0, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:

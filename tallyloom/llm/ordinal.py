@@ -11,8 +11,8 @@ different telling features (those that toxic texts have far more often) they
 hold: up to the median is grade 1, above it grade 2.
 
 Learning reads a bounded sample: at most ``max_rows`` labelled rows, those with
-the least hash of their id, and of their features the ``max_features`` that tell
-the classes apart best.  Scoring reads every whole text.
+the least hash of their id (exact copies once), and of the features that
+``min_rows`` of them hold the ``max_features`` that tell the classes apart best.  Scoring reads every whole text.
 
 Defined results: null and word-less texts have no features and get the base
 rate's severity; rows with null labels or ids are not learned from; with no
@@ -65,7 +65,7 @@ class Model:
         return [1.0 / (1.0 + np.exp(np.clip(t - total, -60, 60))) for t in self.thresholds]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: float = 1e-3, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: float = 1e-4, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by penalised likelihood (Adam on the whole sample).
 
     ``rows`` hold feature numbers.  Thresholds are the first one and positive
@@ -108,11 +108,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: fl
     return theta[:n_features], theta[n_features] + np.concatenate(([0.0], np.cumsum(gaps)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 8000, max_features: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 8000, max_features: int = 512, min_rows: int = 8, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from a bounded sample of labelled rows."""
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("toxic"))
     sample = sample.orderBy(F.xxhash64("id"), "id", "toxic").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    # One of each set of exact copies, else what a copied text happens to hold seems telling.
+    texts = texts.dropDuplicates(["text", "toxic"])
 
     def run(batches):
         for batch in slices(batches, 2):
@@ -128,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows
     # Difference of the two shares in standard errors.
     pooled = (F.col("a") + F.col("b")) / F.lit(bad + good)
     spread = F.sqrt(pooled * (1 - pooled) * F.lit(1 / bad + 1 / good) + F.lit(1e-12))
-    scored = counted.where("a + b >= 3").withColumn("z", (F.col("a") / bad - F.col("b") / good) / spread)
+    scored = counted.where(F.col("a") + F.col("b") >= min_rows).withColumn("z", (F.col("a") / bad - F.col("b") / good) / spread)
     best = scored.orderBy(F.abs("z").desc(), "feature").limit(max_features).collect()
     number = {r["feature"]: i for i, r in enumerate(best)}
     wanted = F.array(*[F.lit(f) for f in number]) if number else F.array().cast("array<string>")
