@@ -51,7 +51,7 @@ class Model:
 
     weights: dict[str, float]
     thresholds: list[float]
-    cut: float = 0.5
+    cut: float = 0.4
 
     def above(self, text: str | None) -> list[float]:
         """P(grade > k) for each k."""
