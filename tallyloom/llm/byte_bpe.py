@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries that one generation of a worker's caches may hold (some 200 bytes each).
-PIECE_ENTRIES, CHUNK_ENTRIES = 450_000, 60_000
+PIECE_ENTRIES, CHUNK_ENTRIES = 300_000, 220_000
 #: Pre-tokens and space-delimited chunks longer than this are not cached.
 CACHE_CHARS = 64
 
@@ -46,16 +46,17 @@ class RankMerger:
         self.ranks = ranks
         self.words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
         self.bits = [1 << i for i in range(256)]
+        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
 
     def encode(self, piece: bytes) -> list[int]:
-        find, words, bits = self.ranks.get, self.words, self.bits
+        find, words, bits, pairs = self.ranks.get, self.words, self.bits, self.pairs
         whole = find(piece)
         if whole is not None:
             return [whole]
         n, top, buckets = len(piece), 0, {}
         following = list(range(1, n + 1))  # the next symbol's start; n ends the list
         before = list(range(-1, n))
-        pending = [find(piece[i : i + 2], -1) for i in range(n - 1)]  # rank waiting at a left position; -1: none
+        pending = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # rank waiting at a left position; -1: none
         pending += (-1, -1)
         for i, rank in enumerate(pending):
             if rank >= 0:
