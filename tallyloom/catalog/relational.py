@@ -555,12 +555,12 @@ def _(t):
     return t.benchmark.select("item_id", text.error_rate(F.translate("text", "e", ""), F.col("text")).alias("cer"))
 
 
-@query("n19_slab_tax", "SELECT c_custkey, round(CASE WHEN x > 0 THEN least(x, 30000) * 0.05 + greatest(0, least(x, 60000) - 30000) * 0.1 + greatest(0, x - 60000) * 0.2 ELSE 0 END, 4) AS tax FROM (SELECT c_custkey, greatest(0, c_acctbal * 12) AS x FROM customer)")
+@query("n19_slab_tax", "SELECT c_custkey, least(x, 30000) * 0.05::DOUBLE + greatest(0, least(x, 60000) - 30000) * 0.1::DOUBLE + greatest(0, x - 60000) * 0.2::DOUBLE AS tax FROM (SELECT c_custkey, greatest(0, c_acctbal * 12) AS x FROM customer)")
 def _(t):
     x = F.greatest(F.lit(0.0), F.col("c_acctbal") * 12)
     slabs = [(0, 30000, 0.05), (30000, 60000, 0.1), (60000, 1e12, 0.2)]
     tax = sum((F.greatest(F.lit(0.0), F.least(x, F.lit(float(hi))) - lo) * rate for lo, hi, rate in slabs), F.lit(0.0))
-    return t.customer.select("c_custkey", F.round(tax, 4).alias("tax"))
+    return t.customer.select("c_custkey", tax.alias("tax"))
 
 
 @query("n22_hard_triggers", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'attack|fire|injur|the') THEN 'Critical' ELSE 'Normal' END AS severity FROM conversations")
