@@ -255,7 +255,9 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids") ->
     def run(batches):
         bpe = codec(rank_file, pattern)
         for batch in slices(batches, at, 16 << 20):
-            decoded = [bpe.decode(ids or ()) for ids in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            values, offsets = np.asarray(lists.values), np.asarray(lists.offsets).tolist()
+            decoded = [bpe.decode(values[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=names)
 
     return df.mapInArrow(run, schema)

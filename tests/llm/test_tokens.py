@@ -37,6 +37,12 @@ def test_ids_equal_the_library_and_decode_back(spark, library):
         assert bytes(r.decoded) == text.encode()
 
 
+def test_null_and_empty_id_lists_decode_to_nothing(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [64, 65]), (4, None)], "doc_id long, ids array<int>").coalesce(1)
+    got = byte_bpe.decode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert [(r.doc_id, bytes(r.decoded)) for r in got] == [(1, b""), (2, b""), (3, b"ab"), (4, b"")]
+
+
 def test_merger_follows_ranks_not_places():
     ranks = {bytes([b]): i for i, b in enumerate(b"abc")} | {b"bc": 3, b"abc": 4, b"ab": 5, b"aa": 6, b"aaaa": 7}
     merger = byte_bpe.RankMerger(ranks)
