@@ -12,6 +12,8 @@ from tallyloom.functions import text
 from tallyloom.functions.numbers import clamp, money
 from tallyloom.operators import joins, windows
 from tallyloom.plans import changes, schedule, verify
+from tallyloom.sources.shared import shared_folder
+from tallyloom.streaming import jobs, state
 
 _ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _ROW_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -265,3 +267,26 @@ def _(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("n"), F.last(F.when(F.length("line") < 60, F.col("line")), ignorenulls=True).over(w).alias("section"))
+
+
+@query(
+    "s1_escalations",
+    """WITH w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events), l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1)
+       SELECT e.event_id, e.user_id FROM events e JOIN l ON l.user_id = e.user_id, w WHERE e.event_type = 'error' AND e.ts + INTERVAL 48 HOUR <= greatest(mark, last)
+         AND NOT EXISTS (SELECT 1 FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'click' AND c.ts >= e.ts AND c.ts < e.ts + INTERVAL 48 HOUR AND (c.ts > e.ts OR c.event_id > e.event_id))""",
+)
+def _(t):
+    events = jobs.events_stream(t.spark, t.folder)
+    return jobs.drained(state.escalations(events, "error", "click", 48, "1 day"), shared_folder(t.spark))
+
+
+@query("s8_run_log", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 30")
+def _(t):
+    events = jobs.events_stream(t.spark, t.folder).select("user_id", "event_id", "ts")
+    return state.logged_with_retention(events, "user_id", ["ts", "event_id"], 30, shared_folder(t.spark)).select("user_id", "event_id")
+
+
+@query("s4_last_messages", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+def _(t):
+    events = jobs.events_stream(t.spark, t.folder).select("user_id", "event_id", "ts")
+    return state.logged_with_retention(events, "user_id", ["ts", "event_id"], 5, shared_folder(t.spark)).select("user_id", "event_id")
