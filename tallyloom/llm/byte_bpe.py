@@ -3,8 +3,9 @@
 A pre-token becomes a linked list of byte symbols.  Every adjacent pair whose
 joined bytes have a merge rank puts its left position into that rank's bucket;
 a two-level bitmap over the ranks marks the buckets in use, so the lowest pending
-rank is found by two find-first-set steps however long the pre-token is.  An entry whose pair has changed meanwhile is stale and is skipped when it
-is met.  Work is O(n log n) for a pre-token of n bytes at worst (the heap inside
+rank is found by two find-first-set steps however long the pre-token is.  An
+entry whose pair has changed meanwhile is stale and is skipped when it is met.
+Work is O(n log n) for a pre-token of n bytes at worst (the heap inside
 a bucket keeps equal ranks leftmost first), where the usual rescan is O(n^2).
 
 Defined results: a null text is read as empty; an empty text has no ids and

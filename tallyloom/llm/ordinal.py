@@ -12,7 +12,8 @@ hold: up to the median is grade 1, above it grade 2.
 
 Learning reads a bounded sample: at most ``max_rows`` labelled rows, those with
 the least hash of their id (exact copies once), and of the features that
-``min_rows`` of them hold the ``max_features`` that tell the classes apart best.  Scoring reads every whole text.
+``min_rows`` of them hold the ``max_features`` that tell the classes apart best.
+Scoring reads every whole text.
 
 Defined results: null and word-less texts have no features and get the base
 rate's severity; rows with null labels or ids are not learned from; with no
