@@ -127,3 +127,15 @@ def test_hashes_against_python(spark, name):
             for ch in f"{r.c_custkey}|2001-08-01":
                 h = (h * 31 + ord(ch) + (1 << 31)) % (1 << 32) - (1 << 31)
             assert r.present == ((abs(h) % 100 < 85) if balance[r.c_custkey] > 0 else None)
+
+
+def test_nested_json_tables(spark, tmp_path):
+    import json
+
+    from tallyloom.sources.cells import load_cells
+
+    (tmp_path / "a.json").write_text(json.dumps({"type": "bill", "tables": [{"page": 2, "grid": [["item", "amount"], ["x", None], []]}, {"page": 3, "grid": []}]}, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"type": "bill", "tables": []}))
+    got = sorted(tuple(r) for r in load_cells(spark, str(tmp_path)).collect() if r.raw is not None)
+    assert got == [("a.json", "t-0", 2, 0, 0, "item"), ("a.json", "t-0", 2, 0, 1, "amount"), ("a.json", "t-0", 2, 1, 0, "x")]
+    assert load_cells(spark, str(tmp_path)).count() == 4
