@@ -19,7 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the base rules and the learned decision list keep."""
     held = docs.select("doc_id", "text", F.struct("*").alias("whole"))
     judged, _ = decision_list.quality(held, load(spark, sf_dir, "labels"))
-    return judged.where("kept").select("whole.*")
+    # Written first: a filter on the verdict would be pushed below the statistics and repeat their expressions.
+    return written(judged.select("whole", "kept"), "judged").where("kept").select("whole.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
