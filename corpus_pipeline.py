@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decision_list, packing, secrets, simhash, suffix_dedup
+from tallyloom.llm import decision_list, packing, secrets, shingle_sets, suffix_dedup
 from tallyloom.llm.common import load, text_of, written
 
 
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of linked fingerprints."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """The document with the least id of each group linked by fingerprints or by similar sets of five-word shingles."""
+    found = shingle_sets.near_duplicates(docs.select("doc_id", "text"))
     stay = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "stay")
     single = docs.join(stay.where("rows = 1"), "doc_id", "left_semi")
     # An id that stands on several rows of its group: one row of each text stays.

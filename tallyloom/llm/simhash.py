@@ -180,13 +180,18 @@ def shard_links(distinct: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition("choice", "shared").sortWithinPartitions("choice", "shared").mapInArrow(run, schema)
 
 
-def near_duplicates(df: DataFrame, words_in_shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): the least id that links reach, one row for each input row."""
-    docs = written(fingerprints(df, words_in_shingle, id_col, text_col), "fingerprints")
-    distinct = written(docs.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct")
-    roots = components(shard_links(distinct, radius))
+def grouped(docs: DataFrame, distinct: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """(id, fp, component_id) of ``docs`` (id, fp), given links between its ``distinct`` fingerprints (fp, least_id)."""
+    roots = components(links)
     members = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     members = written(members, "members")
     groups = written(members.groupBy("root").agg(F.min("least_id").alias("component_id")), "groups")
     by_fp = written(members.select("fp", "root").join(groups, "root").select("fp", "component_id"), "component-of")
     return docs.join(by_fp, "fp").select(id_col, "fp", "component_id")
+
+
+def near_duplicates(df: DataFrame, words_in_shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id): the least id that links reach, one row for each input row."""
+    docs = written(fingerprints(df, words_in_shingle, id_col, text_col), "fingerprints")
+    distinct = written(docs.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct")
+    return grouped(docs, distinct, shard_links(distinct, radius), id_col)
