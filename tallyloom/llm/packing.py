@@ -96,14 +96,19 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
 
 
 class Ids:
-    """Ids of whole texts by a byte-level ``tokenizers`` file, chunk by cached chunk."""
+    """Ids of whole texts by a byte-level ``tokenizers`` file, chunk by cached chunk.
 
-    def __init__(self, path: str):
+    With ``added_tokens``, texts that hold one of the file's added tokens go to the library, which gives it its own id.
+    """
+
+    def __init__(self, path: str, added_tokens: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.table = BYTE_CHARS
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
         self.pieces = TwoGenerations(self._piece, PIECE_ENTRIES)
@@ -118,26 +123,28 @@ class Ids:
         return b"".join([cached[piece] for piece in self.pattern.findall(chunk)])
 
     def encode(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         cached = self.chunks.young
         return b"".join([cached[chunk] for chunk in chunks_of(text)])
 
 
-_LOADED: dict[str, Ids] = {}
+_LOADED: dict[tuple[str, bool], Ids] = {}
 
 
-def _ids(path: str) -> Ids:
-    if path not in _LOADED:
-        _LOADED[path] = Ids(path)
-    return _LOADED[path]
+def _ids(path: str, added_tokens: bool) -> Ids:
+    if (path, added_tokens) not in _LOADED:
+        _LOADED[path, added_tokens] = Ids(path, added_tokens)
+    return _LOADED[path, added_tokens]
 
 
-def tokenised(df: DataFrame, tokenizer_file: str, end_id: int, shards: int, id_col: str, text_col: str) -> DataFrame:
+def tokenised(df: DataFrame, tokenizer_file: str, end_id: int, shards: int, id_col: str, text_col: str, added_tokens: bool = False) -> DataFrame:
     """(shard, order, id, ids): each document's ids with the end id, little-endian 32 bits each."""
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("order", T.LongType()), T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
-        coder = _ids(tokenizer_file)
+        coder = _ids(tokenizer_file, added_tokens)
         for batch in slices(batches, 3):
             ids = [coder.encode(t or "") + end for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], names=schema.names)
@@ -154,8 +161,12 @@ def pack(
     docs_per_shard: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
+    added_tokens: bool = False,
 ) -> DataFrame:
-    """One row for each piece: id, start, length, ids (binary, little-endian 32 bits each), doc_tokens, sequence_id, offset."""
+    """One row for each piece: id, start, length, ids (binary, little-endian 32 bits each), doc_tokens, sequence_id, offset.
+
+    A literal such as ``<|endoftext|>`` in a text is plain text, or with ``added_tokens`` the file's own token.
+    """
     shards = max(1, -(-df.count() // docs_per_shard))
     schema = T.StructType(
         [
@@ -214,5 +225,5 @@ def pack(
         if held:
             yield from packed(shard, held)
 
-    dealt = tokenised(df, tokenizer_file, end_id, shards, id_col, text_col).repartition(shards, "shard")
+    dealt = tokenised(df, tokenizer_file, end_id, shards, id_col, text_col, added_tokens).repartition(shards, "shard")
     return dealt.sortWithinPartitions("shard", "order", id_col).mapInArrow(run, schema)

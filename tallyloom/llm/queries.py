@@ -28,7 +28,7 @@ def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = packing.pack(docs, _tokenizer("byte_bpe_50k.json"), window=1024, end_id=0)
+    pieces = packing.pack(docs, _tokenizer("byte_bpe_50k.json"), window=1024, end_id=0, added_tokens=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
