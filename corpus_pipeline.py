@@ -44,7 +44,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with each secret replaced by a mark."""
-    found = secrets.scan(docs).withColumn("text", secrets.redacted(text_of(), F.col("secret_spans")))
+    found = secrets.scan(docs, pieces=True).withColumn("text", secrets.redacted(text_of(), F.col("secret_spans")))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

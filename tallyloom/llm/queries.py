@@ -109,7 +109,7 @@ def op9_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
+    found = secrets.scan(load(spark, sf_dir, "documents").select("doc_id", "text"), pieces=True).select("doc_id", "secret_spans")
     spans = F.col("secret_spans")
 
     def of(kind: int):

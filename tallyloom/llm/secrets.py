@@ -10,7 +10,8 @@ leaves, and with them the sum of n*log2(n) (in fixed point, so no error builds
 up), which gives the window's Shannon entropy.  A candidate's character class
 sets the entropy that a window must reach; what reaching windows cover is a span.
 Allow-listed candidates (whole-run patterns) and those that a pattern's match
-touches are suppressed.
+touches are suppressed; with ``pieces``, only what the match covers is, and what it
+leaves of a candidate on either side is measured as a candidate of its own.
 
 Defined results: a null text is read as empty; a text without secrets has zero
 counts and empty spans; places are code points, ends exclusive; repeated rows are
@@ -133,7 +134,7 @@ def _needed(run: Column) -> Column:
     return out
 
 
-def scan(df: DataFrame, text_col: str = "text", allowed: list[str] | None = None) -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", allowed: list[str] | None = None, pieces: bool = False) -> DataFrame:
     """``df`` with ``secret_spans``: array of (start, kind, end), by start, then kind (a number into ``KINDS``)."""
     text = F.col(_P + "text")
     out = df.withColumn(_P + "text", text_of(text_col))
@@ -147,13 +148,34 @@ def scan(df: DataFrame, text_col: str = "text", allowed: list[str] | None = None
     out = out.withColumn(_P + "base", F.concat(*(plain(name) for name, *_ in PATTERNS)))
     base = F.col(_P + "base")
 
-    def suppressed(c: Column) -> Column:
-        hit = F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    def overlapped(c: Column, b: Column) -> Column:
+        return (b["start"] < c["end"]) & (c["start"] < b["end"])
+
+    def listed_as_plain(c: Column) -> Column:
+        hit = F.lit(False)
         for pattern in ALLOWED if allowed is None else allowed:
             hit = hit | c["text"].rlike(pattern)
         return hit
 
-    open_ = F.filter(F.col(_P + "entropy"), lambda c: ~suppressed(c))
+    def left_of(c: Column) -> Column:
+        """What the patterns' matches leave of a candidate, where a window or more."""
+        places = "array<struct<start:int,end:int>>"
+
+        def piece(start: Column, end: Column) -> Column:
+            return F.filter(F.array(F.struct(start.alias("start"), end.alias("end"))).cast(places), lambda p: p["end"] - p["start"] >= WINDOW)
+
+        zero = F.struct(c["start"].cast("int").alias("at"), F.array().cast(places).alias("out"))
+        step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).cast("int").alias("at"), F.concat(s["out"], piece(s["at"], b["start"])).alias("out"))
+        hits = F.array_sort(F.filter(base, lambda b: overlapped(c, b)))
+        found = F.aggregate(hits, zero, step, lambda s: F.concat(s["out"], piece(s["at"], c["end"])))
+        return F.transform(found, lambda p: F.struct(p["start"].alias("start"), F.substring(c["text"], p["start"] - c["start"] + 1, p["end"] - p["start"]).alias("text")))
+
+    open_ = F.filter(F.col(_P + "entropy"), lambda c: ~listed_as_plain(c))
+    if pieces:
+        out = out.withColumn(_P + "pieces", F.flatten(F.transform(open_, left_of)))
+        open_ = F.filter(F.col(_P + "pieces"), lambda c: ~listed_as_plain(c))
+    else:
+        open_ = F.filter(open_, lambda c: ~F.exists(base, lambda b: overlapped(c, b)))
     measured = F.transform(open_, lambda c: F.struct(c["start"].alias("at"), entropy_span(c["text"], _needed(c["text"])).alias("w")))
     out = out.withColumn(_P + "measured", measured)
     reached = F.filter(F.col(_P + "measured"), lambda m: m["w"]["first"] >= 0)
