@@ -201,6 +201,22 @@ def _(t):
     return _composite(t).select("c_custkey", "score").orderBy(F.col("score").desc(), "c_custkey").limit(50)
 
 
+@query(
+    "w15_promotion_due",
+    """WITH o AS (SELECT o_custkey, CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) / count(*) * 5 AS rating, floor((DATE '2001-08-01' - CAST(min(o_orderdate) AS DATE)) / 365.25) AS years, count(*) FILTER (o_orderstatus = 'P') > 0 AS pending FROM orders GROUP BY 1)
+       SELECT c_custkey, CAST(floor(coalesce(rating, 0) * 20 + least(coalesce(years, 0), 30) - CASE WHEN c_acctbal < 0 THEN 50 ELSE 0 END - CASE WHEN pending THEN 10 ELSE 0 END + 0.5) AS BIGINT) AS score
+       FROM customer LEFT JOIN o ON o_custkey = c_custkey""",
+)
+def _(t):
+    """Everyone who is due, ranked: finished share as a rating of 5, years since the first order, debt and open orders as penalties."""
+    status = F.col("o_orderstatus")
+    years = F.floor(F.datediff(as_of(), F.min(day("o_orderdate"))) / 365.25)
+    held = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.count_if(status == "F") / F.count("*") * 5).alias("rating"), years.alias("years"), (F.count_if(status == "P") > 0).alias("pending"))
+    zero = F.lit(0)
+    points = F.coalesce("rating", zero) * 20 + F.least(F.coalesce("years", zero), F.lit(30)) - F.when(F.col("c_acctbal") < 0, 50).otherwise(0) - F.when(F.col("pending"), 10).otherwise(0)
+    return t.customer.join(held, "c_custkey", "left").select("c_custkey", F.floor(points + 0.5).alias("score")).orderBy(F.col("score").desc(), "c_custkey")
+
+
 @query(
     "w18_org_health",
     _COMPOSITE + """, f AS (SELECT c_nationkey, avg(delivery) AS d, avg(reliability) AS r, avg(growth) AS g FROM s GROUP BY 1)
