@@ -41,6 +41,17 @@ def _(t):
     return joins.unambiguous(matches, "message").select("conv_id", "turn", "k")
 
 
+@query(
+    "c15_single_candidates",
+    "WITH m AS (SELECT conv_id, turn, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM conversations), p AS (SELECT lower(string_split(p_name, ' ')[1]) AS w, p_partkey FROM part) SELECT conv_id, turn, min(p_partkey) AS k FROM m JOIN p ON m.w = p.w GROUP BY 1, 2 HAVING count(*) = 1",
+)
+def _(t):
+    words = t.conversations.select("conv_id", "turn", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
+    names = t.part.groupBy(F.lower(F.split("p_name", " ")[0]).alias("w")).agg(F.count("*").alias("candidates"), F.min("p_partkey").alias("k"))
+    found = words.join(names, "w").groupBy("conv_id", "turn").agg(F.sum("candidates").alias("candidates"), F.min("k").alias("k"))
+    return found.where("candidates = 1").select("conv_id", "turn", "k")
+
+
 @query(
     "e5_worst_rise",
     "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS d, CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) AS r FROM events GROUP BY 1, 2), x AS (SELECT user_id, d, r - lag(r) OVER (PARTITION BY user_id ORDER BY d) AS rise FROM d) SELECT user_id, max(rise) AS rise FROM x WHERE rise > 0 GROUP BY 1",
