@@ -571,3 +571,8 @@ def _(t):
 @query("n26_formula_guard", "SELECT doc_id, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@') THEN '''' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS shown FROM documents")
 def _(t):
     return t.documents.select("doc_id", text.guard_formula(F.substring("text", 1, 20)).alias("shown"))
+
+
+@query("n26_whole_cells", "SELECT doc_id, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@') THEN '''' || text ELSE text END AS shown FROM documents")
+def _(t):
+    return t.documents.select("doc_id", text.guard_formula(F.col("text")).alias("shown"))
