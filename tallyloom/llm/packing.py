@@ -5,30 +5,32 @@ window is first cut into full windows; what remains is placed, longest first,
 into the open window whose free space fits it most tightly.  A segment tree
 indexed by remaining capacity finds that window in log2(window) steps.
 
-Documents are dealt to shards by a hash of id and text; each shard is packed by
-itself, so a shard's work and memory are bounded by ``docs_per_shard`` on average
-and no step sees the whole corpus.  The price is about one partly filled window
-a shard.  Sequence ids are unique across shards: the shard number times 2**32
-plus the window's number in the shard.
+Documents are packed in the task that tokenises them, ``docs_per_shard`` at a
+time in the order in which they are read, so nothing is shuffled, copies of a text
+weigh no more than other rows, and a task holds the remainders of one shard only
+(less than a window of ids each).  The price is about one partly filled window a
+shard.  Sequence ids are unique: the partition's number times 2**36 plus the
+window's number in the partition.
 
 Defined results: a null text is read as empty; an empty text is one piece that
-holds the end id only; ties in length go by the hash and the id; repeated rows
+holds the end id only; ties in length go by the order of reading; repeated rows
 are packed as separate documents; other columns are ignored; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.byte_bpe import CHUNK_ENTRIES, PIECE_ENTRIES, TwoGenerations, chunks_of, slices
+from tallyloom.llm.word_codes import BATCH_BYTES, WordCodes, slices
 
 #: Unicode characters that stand for bytes in byte-level vocabularies: printable
 #: Latin-1 characters stand for themselves, the others follow from 256 on.
@@ -96,7 +98,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
 
 
 class Ids:
-    """Ids of whole texts by a byte-level ``tokenizers`` file, chunk by cached chunk.
+    """Ids of whole texts by a byte-level ``tokenizers`` file, as little-endian 32-bit numbers.
 
     With ``added_tokens``, texts that hold one of the file's added tokens go to the library, which gives it its own id.
     """
@@ -106,27 +108,24 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
-        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.table = BYTE_CHARS
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-        self.pieces = TwoGenerations(self._piece, PIECE_ENTRIES)
-        self.chunks = TwoGenerations(self._chunk, CHUNK_ENTRIES)
-
-    def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.table)
-        return np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        cached = self.pieces.young
-        return b"".join([cached[piece] for piece in self.pattern.findall(chunk)])
-
-    def encode(self, text: str) -> bytes:
-        if self.added and self.added.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        cached = self.chunks.young
-        return b"".join([cached[chunk] for chunk in chunks_of(text)])
+        self.tokenize = self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+        self.codes = WordCodes(regex.compile(pattern), self._pieces)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        mapped = [p.encode().decode("latin-1").translate(BYTE_CHARS) for p in pieces]
+        return [array("I", [t.id for t in self.tokenize(m)]).tobytes() for m in mapped]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        held = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            held |= np.asarray(pc.fill_null(pc.match_substring(texts, token), False))
+        whole = {int(i): texts[i].as_py() for i in np.flatnonzero(held)}
+        ids, starts = self.codes.encode(texts.filter(pa.array(~held)) if whole else texts)
+        data, ends = ids.tobytes(), (4 * starts).tolist()
+        coded = iter([data[a:b] for a, b in zip(ends, ends[1:])])
+        return [array("I", self.tokenizer.encode(whole[i], add_special_tokens=False).ids).tobytes() if i in whole else next(coded) for i in range(len(texts))]
 
 
 _LOADED: dict[tuple[str, bool], Ids] = {}
@@ -138,19 +137,19 @@ def _ids(path: str, added_tokens: bool) -> Ids:
     return _LOADED[path, added_tokens]
 
 
-def tokenised(df: DataFrame, tokenizer_file: str, end_id: int, shards: int, id_col: str, text_col: str, added_tokens: bool = False) -> DataFrame:
-    """(shard, order, id, ids): each document's ids with the end id, little-endian 32 bits each."""
-    end = np.array([end_id], dtype="<u4").tobytes()
-    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("order", T.LongType()), T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])
+class _Rows:
+    """Pieces that wait to be handed on: rows of an id column beside lists of the other columns."""
 
-    def run(batches):
-        coder = _ids(tokenizer_file, added_tokens)
-        for batch in slices(batches, 3):
-            ids = [coder.encode(t or "") + end for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], names=schema.names)
+    def __init__(self):
+        self.ids, self.lists = [], [[] for _ in range(6)]
 
-    order = F.xxhash64(F.col(id_col), F.col(text_col))
-    return df.select(F.pmod(order, F.lit(shards)).alias("shard"), order.alias("order"), id_col, text_col).mapInArrow(run, schema)
+    def batch(self, names: list[str]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(self.ids), *(pa.array(x, k) for x, k in zip(self.lists, kinds))], names=names)
+
+
+#: Partitions are joined until one has so many documents on average, else each would leave a window open for a few.
+LEAST_DOCS = 512
 
 
 def pack(
@@ -167,7 +166,6 @@ def pack(
 
     A literal such as ``<|endoftext|>`` in a text is plain text, or with ``added_tokens`` the file's own token.
     """
-    shards = max(1, -(-df.count() // docs_per_shard))
     schema = T.StructType(
         [
             T.StructField(id_col, df.schema[id_col].dataType),
@@ -179,51 +177,55 @@ def pack(
             T.StructField("offset", T.LongType(), False),
         ]
     )
+    end = array("I", [end_id]).tobytes()
 
-    def one_shard(shard: int, sizes: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, start, length, sequence, offset) of every piece of a shard."""
-        base, full = shard << 32, 0
-        rest, lengths = [], []
-        for row, n in enumerate(sizes):
+    def full_windows(ids: pa.Array, coded: list[bytes], sequence: int) -> Iterator[pa.RecordBatch]:
+        out, owners = _Rows(), []
+        for row, code in enumerate(coded):
+            n = len(code) // 4
             for start in range(0, n - window + 1, window):
-                yield row, start, window, base + full, 0
-                full += 1
-            if n % window:
-                rest.append(row)
-                lengths.append(n % window)
-        for row, n, (sequence, offset) in zip(rest, lengths, best_fit_decreasing(lengths, window), strict=True):
-            yield row, sizes[row] - n, n, base + full + sequence, offset
-
-    def packed(shard: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        ids, tokens = table.column(0), table.column(1)
-        sizes = (np.asarray(pc.binary_length(tokens)) // 4).tolist()
-        pieces = list(one_shard(shard, sizes))
-        for at in range(0, len(pieces), 2048):
-            part = pieces[at : at + 2048]
-            rows = pa.array([p[0] for p in part], pa.int64())
-            data = [tokens[p[0]].as_buffer()[4 * p[1] : 4 * (p[1] + p[2])].to_pybytes() for p in part]
-            columns = [pa.array([p[i] for p in part], pa.int64()) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(rows).combine_chunks(), *columns, pa.array(data, pa.binary()), pa.array([sizes[p[0]] for p in part], pa.int64()), *(pa.array([p[i] for p in part], pa.int64()) for i in (3, 4))],
-                names=schema.names,
-            )
-
-    def run(batches):
-        shard, held = None, []
-        for batch in batches:
-            numbers = np.asarray(batch.column(0))
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if shard is not None and numbers[a] != shard:
-                    yield from packed(shard, held)
-                    held = []
-                shard = int(numbers[a])
-                held.append(pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a)], names=["id", "ids"]))
-        if held:
-            yield from packed(shard, held)
-
-    dealt = tokenised(df, tokenizer_file, end_id, shards, id_col, text_col, added_tokens).repartition(shards, "shard")
-    return dealt.sortWithinPartitions("shard", "order", id_col).mapInArrow(run, schema)
+                owners.append(row)
+                for column, value in zip(out.lists, (start, window, code[4 * start : 4 * (start + window)], n, sequence, 0)):
+                    column.append(value)
+                sequence += 1
+        if owners:
+            out.ids = [ids.take(pa.array(owners, pa.int64()))]
+            yield out.batch(schema.names)
+
+    def remainders(ids: pa.Array, coded: list[bytes], into: _Rows) -> None:
+        owners = []
+        for row, code in enumerate(coded):
+            n = len(code) // 4
+            if left := n % window:
+                owners.append(row)
+                for column, value in zip(into.lists, (n - left, left, code[4 * (n - left) :], n)):
+                    column.append(value)
+        into.ids.append(ids.take(pa.array(owners, pa.int64())))
+
+    def placed(held: _Rows, sequence: int) -> pa.RecordBatch:
+        for at, offset in best_fit_decreasing(held.lists[1], window):
+            held.lists[4].append(sequence + at)
+            held.lists[5].append(offset)
+        return held.batch(schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _ids(tokenizer_file, added_tokens)
+        sequence, held = TaskContext.get().partitionId() << 36, _Rows()
+        for batch in slices(batches, 1, BATCH_BYTES):
+            for at in range(0, batch.num_rows, docs_per_shard):
+                part = batch.slice(at, docs_per_shard)
+                coded = [c + end for c in coder.encode(part.column(1))]
+                for rows in full_windows(part.column(0), coded, sequence):
+                    sequence += rows.num_rows
+                    yield rows
+                remainders(part.column(0), coded, held)
+                if len(held.lists[0]) >= docs_per_shard:
+                    rows = placed(held, sequence)
+                    sequence += rows.num_rows
+                    yield rows
+                    held = _Rows()
+        if held.lists[0]:
+            yield placed(held, sequence)
+
+    docs = df.select(id_col, text_col)
+    return docs.coalesce(max(1, docs.count() // LEAST_DOCS)).mapInArrow(run, schema)
