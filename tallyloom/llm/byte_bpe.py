@@ -1,26 +1,28 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token becomes a linked list of byte symbols.  Every adjacent pair whose
-joined bytes have a merge rank puts its left position into that rank's bucket;
-a two-level bitmap over the ranks marks the buckets in use, so the lowest pending
-rank is found by two find-first-set steps however long the pre-token is.  An
-entry whose pair has changed meanwhile is stale and is skipped when it is met.
-Work is O(n log n) for a pre-token of n bytes at worst (the heap inside
-a bucket keeps equal ranks leftmost first), where the usual rescan is O(n^2).
+Pre-tokens are laid end to end in one linked list of byte symbols, with a
+separator between them that no pair joins.  Every adjacent pair whose joined
+bytes have a merge rank puts its left position into that rank's bucket; a
+two-level bitmap over the ranks marks the buckets in use, so the lowest pending
+rank is found by two find-first-set steps however long the list is.  A bucket is
+taken whole and walked from left to right; an entry whose pair has changed
+meanwhile is stale and is skipped when it is met.  Work is O(n log n) for n bytes
+at worst (the log sorts buckets), where the usual rescan is O(n^2), and what a
+rank's bucket costs to find is shared by all pre-tokens of the list.
 
 Defined results: a null text is read as empty; an empty text has no ids and
 decodes to no bytes; a null id list decodes to no bytes; ids outside the
-vocabulary raise.  Rows are independent, so repeated rows, ties in the id column
-and other columns of the input don't matter (only the id and text columns are
-read).
+vocabulary raise.  Rows are independent, so repeated rows and ties in the id
+column don't matter.  ``encode`` reads the id and text columns only; ``decode``
+keeps all columns but one that has the name of its result, which is replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,152 +30,128 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Entries that one generation of a worker's caches may hold (some 200 bytes each).
-PIECE_ENTRIES, CHUNK_ENTRIES = 300_000, 220_000
-#: Pre-tokens and space-delimited chunks longer than this are not cached.
-CACHE_CHARS = 64
+from tallyloom.llm.word_codes import BATCH_BYTES, WordCodes, slices
 
 
-class RankMerger:
-    """Merges the bytes of one pre-token by a table of ranks.
+#: Bytes of pre-tokens that share a linked list.
+LIST_BYTES = 1 << 20
 
-    ``buckets`` maps each pending rank to a left position, or to a heap of them;
-    ``words`` (of 256 bits) and ``top`` are the bitmap's two levels.  All are
-    empty between calls.  The queue's steps stand in the loop itself, since most
-    pre-tokens are short and calls would cost more than the work.
+
+class RankQueue:
+    """Merges the bytes of many pre-tokens by one table of ranks.
+
+    ``pairs`` has the rank of each pair of symbols that may be joined, by
+    left symbol * 2**20 + right symbol.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
-        self.bits = [1 << i for i in range(256)]
-        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
-
-    def encode(self, piece: bytes) -> list[int]:
-        find, words, bits, pairs = self.ranks.get, self.words, self.bits, self.pairs
-        whole = find(piece)
-        if whole is not None:
-            return [whole]
-        n, top, buckets = len(piece), 0, {}
-        following = list(range(1, n + 1))  # the next symbol's start; n ends the list
-        before = list(range(-1, n))
-        pending = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # rank waiting at a left position; -1: none
-        pending += (-1, -1)
-        for i, rank in enumerate(pending):
-            if rank >= 0:
-                if rank not in buckets:
-                    buckets[rank] = i
-                    a = rank >> 8
-                    words[a] |= bits[rank & 255]
-                    top |= 1 << a
-                elif isinstance(found := buckets[rank], list):
-                    found.append(i)  # positions rise, so the list is a heap
-                else:
-                    buckets[rank] = [found, i]
+        self.separator = max(ranks.values(), default=0) + 1
+        self.pairs = {}
+        for token, rank in ranks.items():
+            for at in range(1, len(token)):
+                left, right = ranks.get(token[:at]), ranks.get(token[at:])
+                if left is not None and right is not None:
+                    self.pairs[left << 20 | right] = rank
+        self.first = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
+        of_two = np.full((257, 257), -1, dtype=np.int32)  # row and column 256 stand for the separator
+        of_two[:256, :256] = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
+        self.of_two = of_two
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Each pre-token's ids as little-endian 32-bit numbers."""
+        whole = [self.ranks.get(p) for p in pieces]
+        merged = self._by_lists([p for p, w in zip(pieces, whole) if w is None])
+        return [next(merged) if w is None else w.to_bytes(4, "little") for w in whole]
+
+    def _by_lists(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """Pre-tokens in lists of about ``LIST_BYTES``; a longer one has a list to itself."""
+        held, size = [], 0
+        for piece in pieces:
+            if held and size + len(piece) > LIST_BYTES:
+                yield from self._merged(held)
+                held, size = [], 0
+            held.append(piece)
+            size += len(piece)
+        yield from self._merged(held)
+
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
+        if not pieces:
+            return []
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        n = len(data) + len(pieces) + 1
+        breaks = np.zeros(len(pieces) + 1, dtype=np.int64)
+        np.cumsum(sizes + 1, out=breaks[1:])
+        code = np.full(n, 256, dtype=np.int64)
+        code[np.delete(np.arange(n), breaks)] = data
+        symbols = np.append(self.first, self.separator)[code].astype(np.int32)
+        if (symbols < 0).any():
+            raise ValueError("the ranks lack a single byte of the text")
+        ranks = np.append(self.of_two[code[:-1], code[1:]], np.int32(-1))
+        waiting = np.flatnonzero(ranks >= 0)
+        order = waiting[np.argsort(ranks[waiting], kind="stable")]
+        used, starts = np.unique(ranks[order], return_index=True)
+        self._drain(n, symbols, ranks, used.tolist(), order.tolist(), [*starts.tolist(), len(order)])
+        left = symbols[symbols >= 0]
+        ends = (4 * np.flatnonzero(left == self.separator)).tolist()
+        ids = left.astype("<i4").tobytes()
+        return [ids[a + 4 : b] for a, b in zip(ends, ends[1:])]
+
+    def _drain(self, n: int, symbols: np.ndarray, ranks: np.ndarray, used: list[int], order: list[int], starts: list[int]) -> None:
+        """Merges until no bucket is left; a symbol that went into the one before it becomes -1 in ``symbols``."""
+        find = self.pairs.get
+        symbol, pending = array("i", symbols.tobytes()), array("i", ranks.tobytes())
+        after = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes())
+        before = array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
+        buckets = {rank: order[a:b] for rank, a, b in zip(used, starts, starts[1:])}
+        words, top = [0] * ((self.separator >> 8) + 1), 0
+        for rank in used:
+            words[rank >> 8] |= 1 << (rank & 255)
+            top |= 1 << (rank >> 8)
         while top:
             a = (top & -top).bit_length() - 1
             word = words[a]
             rank = (a << 8) + (word & -word).bit_length() - 1
-            i = buckets[rank]
-            if isinstance(i, list):
-                bucket, i = i, heappop(i)
-                empty = not bucket
-            else:
-                empty = True
-            if empty:
-                del buckets[rank]
-                words[a] = word = word & (word - 1)
-                if not word:
-                    top &= top - 1
-            if pending[i] != rank:
-                continue  # stale: the pair at i has gone or changed
-            j = following[i]
-            k = following[i] = following[j]
-            pending[j] = -1
-            if k < n:
-                before[k] = i
-                pending[i] = new = find(piece[i : following[k]], -1)
-            else:
-                pending[i] = new = -1
-            h = before[i]
-            while True:  # the pair that begins at the merged symbol, then the one that ends there
+            words[a] = word = word & (word - 1)
+            if not word:
+                top &= top - 1
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            shifted = rank << 20
+            for i in bucket:
+                if pending[i] != rank:
+                    continue  # stale: the pair at i has gone or changed
+                j = after[i]
+                k = after[j]
+                symbol[i], symbol[j], pending[j] = rank, -1, -1
+                after[i], before[k] = k, i
+                h = before[i]
+                new = pending[i] = find(shifted | symbol[k], -1)
+                other = find(symbol[h] << 20 | rank, -1)
                 if new >= 0:
-                    if new not in buckets:
-                        buckets[new] = i
-                        a = new >> 8
-                        words[a] |= bits[new & 255]
-                        top |= 1 << a
-                    elif isinstance(found := buckets[new], list):
-                        heappush(found, i)
+                    if new in buckets:
+                        buckets[new].append(i)
                     else:
-                        buckets[new] = [found, i] if found < i else [i, found]
-                if h < 0:
+                        buckets[new] = [i]
+                        words[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
+                if other != pending[h]:
+                    pending[h] = other
+                    if other >= 0:
+                        if other in buckets:
+                            buckets[other].append(h)
+                        else:
+                            buckets[other] = [h]
+                            words[other >> 8] |= 1 << (other & 255)
+                            top |= 1 << (other >> 8)
+                if -1 < new < rank or -1 < other < rank:
+                    # A lower rank has come up: it goes first, the bucket waits.
+                    buckets[rank] = bucket[bucket.index(i) + 1 :]
+                    words[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
                     break
-                i, h = h, -1
-                new = find(piece[i:k], -1)
-                if new == pending[i]:
-                    break
-                pending[i] = new
-        out, i = [], 0
-        while i < n:
-            k = following[i]
-            out.append(find(piece[i:k]))
-            i = k
-        return out
-
-
-class _Young(dict):
-    """The newer generation; a missing key is looked up in the older one or computed."""
-
-    def __init__(self, cache):
-        super().__init__()
-        self.cache = cache
-
-    def __missing__(self, key):
-        return self.cache.add(key)
-
-
-class TwoGenerations:
-    """A cache of bounded size: when the young generation is full it becomes the old one.
-
-    Read by ``cache.young[key]``; the reference may be kept while one text lasts.
-    """
-
-    def __init__(self, compute, entries: int):
-        self.compute, self.entries = compute, entries
-        self.old: dict = {}
-        self.young = _Young(self)
-
-    def add(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self.young) >= self.entries:
-                self.old, self.young = self.young, _Young(self)
-            self.young[key] = value
-        return value
-
-
-#: A space that follows white space (as Python sees it, which includes all that Unicode does).
-SPACE_AFTER_SPACE = re.compile(r"\s ")
-
-
-def chunks_of(text: str) -> list[str]:
-    """Cuts ``text`` where pre-tokens always part: before a single space.
-
-    The usual patterns join one space to the word after it and never join a word
-    to what follows a space, so a chunk can be encoded by itself.  Only a space
-    after other white space may belong to a longer run; a text that has such a
-    space stays whole.
-    """
-    if not text:
-        return []
-    if SPACE_AFTER_SPACE.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    chunks = [" " + x for x in rest]
-    return [first, *chunks] if first else chunks
+        symbols[:] = np.frombuffer(symbol, dtype=np.int32)
 
 
 class ByteBpe:
@@ -182,21 +160,20 @@ class ByteBpe:
     def __init__(self, rank_file: str, pattern: str):
         with open(rank_file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.merger = RankMerger(self.ranks)
         # White space as Unicode has it; \s of Python also takes the separators \x1c to \x1f.
-        self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        pattern = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.vocabulary = {v: k for k, v in self.ranks.items()}
-        self.pieces = TwoGenerations(lambda piece: np.array(self.merger.encode(piece.encode()), dtype="<i4").tobytes(), PIECE_ENTRIES)
-        self.chunks = TwoGenerations(self.encode_chunk, CHUNK_ENTRIES)
+        self.codes = WordCodes(regex.compile(pattern), lambda pieces: self.queue.encode([p.encode() for p in pieces]))
 
-    def encode_chunk(self, chunk: str) -> bytes:
-        """The chunk's ids as little-endian 32-bit numbers."""
-        cached = self.pieces.young
-        return b"".join([cached[piece] for piece in self.pattern.findall(chunk)])
+    @cached_property
+    def queue(self) -> RankQueue:
+        """Made when it is first needed: tasks that only decode do without."""
+        return RankQueue(self.ranks)
 
-    def encode(self, text: str) -> bytes:
-        cached = self.chunks.young
-        return b"".join([cached[chunk] for chunk in chunks_of(text)])
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Each text's ids, without making Python numbers of them."""
+        ids, starts = self.codes.encode(texts)
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -213,49 +190,27 @@ def codec(rank_file: str, pattern: str) -> ByteBpe:
     return _LOADED[key]
 
 
-def id_lists(encoded: list[bytes]) -> pa.Array:
-    """Encoded texts as a list<int32> array, without making Python numbers."""
-    offsets = np.zeros(len(encoded) + 1, dtype=np.int32)
-    np.cumsum([len(x) // 4 for x in encoded], out=offsets[1:])
-    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(encoded))])
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
-
-
-#: Bytes of text that are encoded before a batch is handed on.
-BATCH_BYTES = 4 << 20
-
-
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes in one string or binary column."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        step = max(1, int(batch.num_rows * limit / max(limit, batch.column(column).nbytes)))
-        for start in range(0, batch.num_rows, step):
-            yield batch.slice(start, step)
-
-
 def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``ids array<int>`` of every whole text; one row for each input row."""
     schema = T.StructType([df.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(rank_file, pattern)
-        for batch in slices(batches, 1):
-            encoded = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(encoded)], names=[id_col, "ids"])
+        for batch in slices(batches, 1, BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), bpe.encode(batch.column(1))], names=[id_col, "ids"])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """All columns of ``df`` and ``decoded binary``, the bytes of its id lists."""
+    df = df.select(*(c for c in df.columns if c.lower() != "decoded"))
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType(), False)])
     at, names = df.columns.index(ids_col), schema.names
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(rank_file, pattern)
-        for batch in slices(batches, at, 16 << 20):
+        for batch in slices(batches, at):
             lists = batch.column(at)
             values, offsets = np.asarray(lists.values), np.asarray(lists.offsets).tolist()
             decoded = [bpe.decode(values[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -49,3 +49,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def text_of(column: str = "text"):
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns in_0, in_1 and so on, so that an operator's working columns meet no name of the input's."""
+    return df.toDF(*(f"in_{i}" for i in range(len(df.columns))))
+
+
+def named_again(names: list[str], *added: str) -> list[Column]:
+    """The columns of ``numbered`` under their ``names`` and then the ``added`` ones, which replace input columns of their names in any case."""
+    new = {a.lower() for a in added}
+    return [*(F.col(f"in_{i}").alias(n) for i, n in enumerate(names) if n.lower() not in new), *map(F.col, added)]

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.byte_bpe import slices
+from tallyloom.llm.word_codes import slices
 from tallyloom.llm.common import LOWER, written
 from tallyloom.llm.ctw_model import Top, grams_of, log_probabilities, part_summary
 

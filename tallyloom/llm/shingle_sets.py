@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.byte_bpe import slices
+from tallyloom.llm.word_codes import slices
 from tallyloom.llm.common import written
 from tallyloom.llm.components import components
 from tallyloom.llm.simhash import fingerprint, grouped, shard_links, shingle_hashes

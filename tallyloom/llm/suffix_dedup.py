@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.byte_bpe import slices
+from tallyloom.llm.word_codes import slices
 from tallyloom.llm.common import text_of, written
 from tallyloom.llm.suffix_array import _codes, permuted_prefixes, suffix_array
 

@@ -5,7 +5,9 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyloom.llm import byte_bpe, packing
+from pyspark.sql import functions as F
+
+from tallyloom.llm import byte_bpe, packing, word_codes
 
 P = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -43,22 +45,65 @@ def test_null_and_empty_id_lists_decode_to_nothing(spark):
     assert [(r.doc_id, bytes(r.decoded)) for r in got] == [(1, b""), (2, b""), (3, b"ab"), (4, b"")]
 
 
-def test_merger_follows_ranks_not_places():
+def test_queue_follows_ranks_not_places():
     ranks = {bytes([b]): i for i, b in enumerate(b"abc")} | {b"bc": 3, b"abc": 4, b"ab": 5, b"aa": 6, b"aaaa": 7}
-    merger = byte_bpe.RankMerger(ranks)
-    assert merger.encode(b"abc") == [4]
-    assert merger.encode(b"aaaaa") == [7, 0]
-    assert merger.encode(b"abab") == [5, 5]
-    assert merger.encode(b"") == []
-    assert not any(merger.words)
-
-
-def test_cache_is_bounded():
-    made = []
-    cache = byte_bpe.TwoGenerations(lambda k: made.append(k) or k.encode(), entries=4)
-    for k in "abcdefgh" * 2:
-        assert cache.young[k] == k.encode()
-    assert len(cache.young) <= 4 and len(cache.old) <= 4
+    queue = byte_bpe.RankQueue(ranks)
+    got = [np.frombuffer(x, "<i4").tolist() for x in queue.encode([b"abc", b"aaaaa", b"abab", b"", b"a"])]
+    assert got == [[4], [7, 0], [5, 5], [], [0]]
+    with pytest.raises(ValueError):
+        queue.encode([b"ax"])
+
+
+def rescan(ranks, piece):
+    """The least rank, leftmost first, by looking at all pairs again after every merge."""
+    parts = [bytes([b]) for b in piece]
+    if piece in ranks:
+        return [ranks[piece]]
+    while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        _, i = min(pairs)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_queue_equals_the_rescan_for_any_order_of_ranks():
+    r = random.Random(3)
+    for _ in range(60):
+        longer = {bytes(r.choice(b"ab") for _ in range(r.randint(2, 5))) for _ in range(r.randint(0, 25))}
+        tokens = [b"a", b"b", *sorted(longer)]
+        r.shuffle(tokens)
+        ranks = {t: i for i, t in enumerate(tokens)}
+        pieces = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 14))) for _ in range(60)]
+        got = [np.frombuffer(x, "<i4").tolist() for x in byte_bpe.RankQueue(ranks).encode(pieces)]
+        assert got == [rescan(ranks, p) for p in pieces]
+
+
+def test_words_are_coded_alike_beside_any_others():
+    import pyarrow as pa
+    import regex
+
+    pattern = regex.compile(P.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    codes = word_codes.WordCodes(pattern, lambda ps: [np.array([*map(ord, p), 0], "<u4").tobytes() for p in ps])
+    texts = [*odd_texts(600, 5), "a b  c d   e\n f", " x", "x ", "a \nb c", "it's a's  's"]
+    for part in (texts, texts[::2], texts[:1], texts[5:6], []):
+        ids, starts = codes.encode(pa.array(part, pa.string()))
+        assert len(starts) == len(part) + 1
+        for t, a, b in zip(part, starts, starts[1:]):
+            assert ids[a:b].tolist() == [x for p in pattern.findall(t or "") for x in [*map(ord, p), 0]]
+
+
+def test_copies_of_one_text_spread_over_tasks(spark):
+    df = spark.range(20000, numPartitions=8).selectExpr("7 as doc_id", "'the same text again' as text")
+    got = packing.pack(df, P.path("byte_bpe_50k.json"), window=64)
+    tasks = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 36)).count().collect()]
+    assert sum(tasks) == 20000 and max(tasks) <= 2500
+    assert packing.pack(df, P.path("byte_bpe_50k.json"), window=64, docs_per_shard=100).groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 64").count() == 0
+
+
+def test_decode_replaces_a_column_of_its_name(spark):
+    df = spark.createDataFrame([(1, [64], b"old", "x")], "doc_id long, ids array<int>, Decoded binary, n_tokens string")
+    got = byte_bpe.decode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert got.columns == ["doc_id", "ids", "n_tokens", "decoded"]
+    assert [tuple(r) for r in got.collect()] == [(1, [64], "x", b"a")]
 
 
 def test_best_fit_takes_the_tightest_window():
