@@ -6,14 +6,17 @@ one weight for each feature; thresholds in ascending order part them:
 P(grade > k) = 1 / (1 + exp(threshold_k - weights . features)).  The result is
 the expected grade.
 
-Labels say toxic or not.  Severity among toxic texts is graded by how many
-different telling features (those that toxic texts have far more often) they
-hold: up to the median is grade 1, above it grade 2.
+Labels say toxic or not.  Severity among toxic texts is graded out of fold: the
+sample is dealt to folds, a model of the classes is learned from all folds but
+one, features chosen anew, and its evidence orders the toxic texts of the fold
+left out; the lower half is grade 1, the upper half grade 2.  The cut from which
+a text counts as toxic is the one that is right most often out of fold.
 
 Learning reads a bounded sample: at most ``max_rows`` labelled rows, those with
 the least hash of their id (exact copies once), and of the features that
-``min_rows`` of them hold the ``max_features`` that tell the classes apart best.
-Scoring reads every whole text.
+``min_rows`` of them hold and whose shares in the classes differ by ``min_z``
+standard errors the ``max_features`` that tell the classes apart best.  Scoring
+reads every whole text.
 
 Defined results: null and word-less texts have no features and get the base
 rate's severity; rows with null labels or ids are not learned from; with no
@@ -28,11 +31,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.byte_bpe import slices
+from tallyloom.llm.common import written
+from tallyloom.llm.word_codes import slices
 
 _WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
@@ -52,7 +56,7 @@ class Model:
 
     weights: dict[str, float]
     thresholds: list[float]
-    cut: float = 0.4
+    cut: float = 0.5
 
     def above(self, text: str | None) -> list[float]:
         """P(grade > k) for each k."""
@@ -66,42 +70,51 @@ class Model:
         return [1.0 / (1.0 + np.exp(np.clip(t - total, -60, 60))) for t in self.thresholds]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: float = 1e-4, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by penalised likelihood (Adam on the whole sample).
+@dataclass
+class Sample:
+    """Rows of feature numbers, flattened: ``flat[i]`` is a feature of row ``owner[i]``."""
+
+    flat: np.ndarray
+    owner: np.ndarray
+    rows: int
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Sample:
+        flat = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
+        return cls(flat.astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows))
+
+
+def loss(theta: np.ndarray, sample: Sample, grades: np.ndarray, n_features: int, penalty: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood plus the weights' penalty, and its gradient.
 
-    ``rows`` hold feature numbers.  Thresholds are the first one and positive
-    steps, so they stay in order.
+    ``theta`` holds the weights, the first threshold, and the logarithms of the steps up to the others, so these stay in order.
     """
-    levels = int(grades.max())
-    flat = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    w, base, gaps = theta[:n_features], theta[n_features], np.exp(theta[n_features + 1 :])
+    cuts, n, i = base + np.concatenate(([0.0], np.cumsum(gaps))), sample.rows, np.arange(sample.rows)
+    z = np.bincount(sample.owner, w[sample.flat], n)
+    # P(grade > k), with 1 before the first threshold and 0 after the last
+    over = 1 / (1 + np.exp(np.clip(cuts[None, :] - z[:, None], -60, 60)))
+    padded = np.concatenate((np.ones((n, 1)), over, np.zeros((n, 1))), axis=1)
+    slope = padded * (1 - padded)
+    p = np.maximum(padded[i, grades] - padded[i, grades + 1], 1e-12)
+    by_z, by_low, by_high = (slope[i, grades] - slope[i, grades + 1]) / p, -slope[i, grades] / p, slope[i, grades + 1] / p
+    by_cut = np.array([by_low[grades == k + 1].sum() + by_high[grades == k].sum() for k in range(len(cuts))]) / -n
+    gradient = np.empty_like(theta)
+    gradient[:n_features] = -np.bincount(sample.flat, by_z[sample.owner], n_features) / n + penalty * w
+    gradient[n_features] = by_cut.sum()
+    gradient[n_features + 1 :] = [by_cut[g + 1 :].sum() * gaps[g] for g in range(len(gaps))]
+    return float(-np.log(p).mean() + penalty / 2 * (w @ w)), gradient
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: float = 1e-4, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by penalised likelihood (Adam on the whole sample); ``rows`` hold feature numbers."""
+    sample, levels = Sample.of(rows), int(grades.max())
     share = [np.clip((grades > k).mean(), 1e-4, 1 - 1e-4) for k in range(levels)]
     start = np.array([-np.log(s / (1 - s)) for s in share])
-    steps_up = np.log(np.maximum(np.diff(start), 0.05))
-    theta = np.concatenate((np.zeros(n_features), start[:1], steps_up))
+    theta = np.concatenate((np.zeros(n_features), start[:1], np.log(np.maximum(np.diff(start), 0.05))))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    n = len(rows)
     for t in range(1, steps + 1):
-        w, base, gaps = theta[:n_features], theta[n_features], np.exp(theta[n_features + 1 :])
-        cuts = base + np.concatenate(([0.0], np.cumsum(gaps)))
-        z = np.bincount(owner, w[flat], n)
-        # P(grade > k), with 1 before the first threshold and 0 after the last
-        over = 1 / (1 + np.exp(np.clip(cuts[None, :] - z[:, None], -60, 60)))
-        padded = np.concatenate((np.ones((n, 1)), over, np.zeros((n, 1))), axis=1)
-        slope = padded * (1 - padded)
-        i = np.arange(n)
-        p = np.maximum(padded[i, grades] - padded[i, grades + 1], 1e-12)
-        dz = (slope[i, grades] - slope[i, grades + 1]) / p
-        gradient = np.zeros_like(theta)
-        gradient[:n_features] = -np.bincount(flat, dz[owner], n_features) / n + penalty * w
-        dcuts = np.zeros(levels)
-        np.add.at(dcuts, grades[grades > 0] - 1, (-slope[i, grades] / p)[grades > 0])
-        low = grades < levels
-        np.add.at(dcuts, grades[low], (slope[i, grades + 1] / p)[low])
-        dcuts = -dcuts / n
-        gradient[n_features] = dcuts.sum()
-        for g in range(len(gaps)):
-            gradient[n_features + 1 + g] = dcuts[g + 1 :].sum() * gaps[g]
+        _, gradient = loss(theta, sample, grades, n_features, penalty)
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         theta -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -109,40 +122,85 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: fl
     return theta[:n_features], theta[n_features] + np.concatenate(([0.0], np.cumsum(gaps)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 8000, max_features: int = 512, min_rows: int = 8, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def best_cut(chance: np.ndarray, toxic: np.ndarray) -> float:
+    """The threshold on P(toxic) that is right most often; of several the one nearest to 1/2."""
+    values = np.unique(chance)
+    cuts = np.concatenate(([0.5], (values[1:] + values[:-1]) / 2))
+    below_bad, below_good = (np.searchsorted(np.sort(chance[which]), cuts, side="left") for which in (toxic, ~toxic))
+    right = (toxic.sum() - below_bad) + below_good
+    best = cuts[right == right.max()]
+    return float(best[np.argmin(np.abs(best - 0.5))])
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    label_col: str = "toxic",
+    max_rows: int = 8000,
+    max_features: int = 512,
+    min_rows: int = 8,
+    min_z: float = 3.0,
+    folds: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> Model:
     """A model from a bounded sample of labelled rows."""
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("toxic"))
     sample = sample.orderBy(F.xxhash64("id"), "id", "toxic").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
     # One of each set of exact copies, else what a copied text happens to hold seems telling.
-    texts = texts.dropDuplicates(["text", "toxic"])
+    texts = texts.select("text", "toxic").distinct()
 
     def run(batches):
         for batch in slices(batches, 2):
             found = [sorted(features(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["id", "toxic", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["fold", "toxic", "found"])
 
-    held = texts.select("id", "toxic", "text").mapInArrow(run, "id long, toxic boolean, found array<string>")
-    sizes = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(True, 0), sizes.get(False, 0)
-    if not bad or not good:
+    fold = F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int")
+    # At most max_rows rows, read again below.
+    held = written(texts.select(fold.alias("fold"), "toxic", "text").mapInArrow(run, "fold int, toxic boolean, found array<string>"), "labelled-features")
+    sizes = {(r["toxic"], r["fold"]): r["n"] for r in held.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
+    if len({toxic for toxic, _ in sizes}) < 2:
         return Model({}, [])
-    counted = held.select("toxic", F.explode("found").alias("feature")).groupBy("feature").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+
+    # For each fold left out (folds: none is), the features that tell the classes of the other rows apart.
+    def count(toxic: bool, left_out: int):
+        return F.count_if((F.col("toxic") == toxic) & (F.col("fold") != left_out))
+
+    def total(toxic: bool, left_out: int) -> int:
+        return max(1, sum(n for (t, f), n in sizes.items() if t == toxic and f != left_out))
+
+    counts = F.array(*[F.struct(F.lit(f).alias("out"), count(True, f).alias("a"), count(False, f).alias("b"), F.lit(total(True, f)).alias("bad"), F.lit(total(False, f)).alias("good")) for f in range(folds + 1)])
+    each = held.select("toxic", "fold", F.explode("found").alias("feature")).groupBy("feature").agg(counts.alias("counts")).select("feature", F.inline("counts"))
     # Difference of the two shares in standard errors.
-    pooled = (F.col("a") + F.col("b")) / F.lit(bad + good)
-    spread = F.sqrt(pooled * (1 - pooled) * F.lit(1 / bad + 1 / good) + F.lit(1e-12))
-    scored = counted.where(F.col("a") + F.col("b") >= min_rows).withColumn("z", (F.col("a") / bad - F.col("b") / good) / spread)
-    best = scored.orderBy(F.abs("z").desc(), "feature").limit(max_features).collect()
-    number = {r["feature"]: i for i, r in enumerate(best)}
-    wanted = F.array(*[F.lit(f) for f in number]) if number else F.array().cast("array<string>")
-    rows = held.select("id", "toxic", F.array_intersect("found", wanted).alias("found")).orderBy(F.xxhash64("id"), "id", "toxic").collect()
-    telling = {r["feature"] for r in best if r["z"] > 3 and (r["a"] / bad) > 8 * (r["b"] / good)}
-    strength = np.array([len(telling.intersection(r["found"])) for r in rows])
-    toxic = np.array([r["toxic"] for r in rows])
-    middle = np.median(strength[toxic])
-    grades = toxic.astype(np.int64) + (toxic & (strength > middle))
-    weights, cuts = fit([np.array([number[f] for f in r["found"]], dtype=np.int64) for r in rows], grades, len(number))
-    return Model({f: float(weights[i]) for f, i in number.items()}, [float(c) for c in cuts])
+    pooled = (F.col("a") + F.col("b")) / (F.col("bad") + F.col("good"))
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("bad") + 1 / F.col("good")) + F.lit(1e-12))
+    scored = each.where(F.col("a") + F.col("b") >= min_rows).withColumn("z", F.abs((F.col("a") / F.col("bad") - F.col("b") / F.col("good")) / spread)).where(F.col("z") >= min_z)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("out").orderBy(F.desc("z"), "feature")))
+    chosen: dict[int, dict[str, int]] = {f: {} for f in range(folds + 1)}
+    for r in ranked.where(F.col("rank") <= max_features).orderBy("out", "rank").collect():
+        chosen[r["out"]][r["feature"]] = r["rank"] - 1
+    wanted = F.array(*map(F.lit, sorted(set().union(*chosen.values())))).cast("array<string>")
+    rows = held.select("fold", "toxic", F.array_sort(F.array_intersect("found", wanted)).alias("found")).orderBy("fold", "toxic", "found").collect()
+
+    toxic, part = np.array([r["toxic"] for r in rows]), np.array([r["fold"] for r in rows])
+    margin, chance, grades = np.zeros(len(rows)), np.zeros(len(rows)), toxic.astype(np.int64)
+
+    def numbered(which: np.ndarray, names: dict[str, int]) -> list[np.ndarray]:
+        return [np.array([names[f] for f in rows[i]["found"] if f in names], dtype=np.int64) for i in np.flatnonzero(which)]
+
+    for f in range(folds):
+        out = part == f
+        if out.any() and len(set(toxic[~out])) == 2:
+            weights, cuts = fit(numbered(~out, chosen[f]), grades[~out], len(chosen[f]))
+            margin[out] = [weights[x].sum() - cuts[0] for x in numbered(out, chosen[f])]
+            chance[out] = 1 / (1 + np.exp(np.clip(-margin[out], -60, 60)))
+    for f in range(folds):
+        bad = np.flatnonzero((part == f) & toxic)
+        if len(bad):
+            grades[bad[margin[bad] > np.median(margin[bad])]] = 2
+    weights, cuts = fit(numbered(np.ones(len(rows), dtype=bool), chosen[folds]), grades, len(chosen[folds]))
+    return Model({name: float(weights[i]) for name, i in chosen[folds].items()}, [float(c) for c in cuts], best_cut(chance, toxic))
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

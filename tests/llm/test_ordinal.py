@@ -48,6 +48,52 @@ def test_gradient_lowers_the_loss():
     assert ((z[:, None] > cuts[None, :]).sum(axis=1) == grades).mean() > 0.95
 
 
+def plain_loss(weights, cuts, rows, grades, penalty):
+    total = 0.0
+    for row, grade in zip(rows, grades):
+        z = sum(weights[f] for f in row)
+        over = [1.0, *(1 / (1 + np.exp(c - z)) for c in cuts), 0.0]
+        total -= np.log(over[grade] - over[grade + 1])
+    return total / len(rows) + penalty / 2 * sum(w * w for w in weights)
+
+
+def test_loss_and_gradient_equal_the_plain_form_and_its_differences():
+    r = np.random.default_rng(3)
+    for levels in (1, 2, 3):
+        rows = [r.choice(6, size=int(r.integers(0, 5)), replace=False) for _ in range(40)]
+        grades = r.integers(0, levels + 1, 40)
+        theta = r.normal(0, 0.7, 6 + levels)
+
+        def value(t):
+            cuts = t[6] + np.concatenate(([0.0], np.cumsum(np.exp(t[7:]))))
+            return plain_loss(t[:6], cuts, rows, grades, 0.01)
+
+        got, gradient = ordinal.loss(theta, ordinal.Sample.of(rows), grades, 6, 0.01)
+        assert abs(got - value(theta)) < 1e-12
+        for i in range(len(theta)):
+            step = np.eye(len(theta))[i] * 1e-6
+            assert abs((value(theta + step) - value(theta - step)) / 2e-6 - gradient[i]) < 1e-6
+
+
+def test_cut_is_the_one_that_is_right_most_often():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        toxic = r.random(30) < 0.4
+        chance = np.round(np.clip(toxic * 0.3 + r.random(30) * 0.7, 0, 1), 1)
+        cut = ordinal.best_cut(chance, toxic)
+        assert ((chance >= cut) == toxic).sum() == max(((chance >= c) == toxic).sum() for c in [0.5, *np.unique(chance)[1:]])
+
+
+def test_severity_ranks_held_out_rows_by_their_insults(spark):
+    rows, labels = _texts(1500, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = ordinal.train(docs, spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, toxic int"))
+    count = {i: sum(t.count(w) for w in ("vile", "scum", "foul")) for i, t in rows}
+    got = {r.doc_id: r.severity for r in ordinal.severity(docs, model).collect() if r.doc_id % 3 == 0}
+    by = {n: np.mean([s for i, s in got.items() if count[i] == n]) for n in (0, 1, 2, 5)}
+    assert by[0] < 0.1 < by[1] < by[2] < by[5]
+
+
 def test_labels_of_one_class_or_none(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     for labels in ([], [(1, 0), (2, 0)], [(1, 1)]):
