@@ -8,9 +8,10 @@ binary-file source, so any store that Spark reads will do.
 
 ``read_archives`` walks each file by Content-Length and gives one index entry a
 record: that file's run, sorted by URL key, time and id.  ``merge_index``
-range-partitions the entries by that order and merges the runs of each range
-with a loser tree, so the partitions in their order hold the capture histories
-of all URLs, globally ordered; a URL with very many captures spans ranges.
+range-partitions the entries by that order into ranges of bounded size and merges
+the runs of each with loser trees of bounded fan-in, so the partitions in their
+order hold the capture histories of all URLs, globally ordered; a URL with very
+many captures spans ranges.
 
 Defined results: a null payload is read as empty; payloads under ``least_bytes``
 are responses; captures that share the least id are all responses; a null id is
@@ -52,17 +53,26 @@ ENTRY = T.StructType(
 )
 
 
-def with_record_types(captures: DataFrame, least_bytes: int) -> DataFrame:
-    """(id, url, at, payload) with payload_digest, payload_bytes, record_type and refers_to."""
-    sized = captures.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+def repeated_digests(sized: DataFrame, least_bytes: int) -> DataFrame:
+    """(payload_digest, first) of the payloads of ``least_bytes`` or more that occur twice, with the least id."""
     large = sized.where(F.col("payload_bytes") >= least_bytes)
-    # Only digests that occur twice; as a table of its own, so that a hot digest's partition may be split.
-    firsts = large.groupBy("payload_digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    joined = sized.join(written(firsts, "first-captures"), "payload_digest", "left")
+    # As a table of its own, so that a hot digest's partition may be split when captures are joined to it.
+    return written(large.groupBy("payload_digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first"), "first-captures")
+
+
+def with_record_types(sized: DataFrame, firsts: DataFrame, least_bytes: int) -> DataFrame:
+    """``sized`` with record_type and refers_to."""
+    joined = sized.join(firsts, "payload_digest", "left")
     again = F.col("first").isNotNull() & F.coalesce(F.col("id") != F.col("first"), F.lit(True)) & (F.col("payload_bytes") >= least_bytes)
     return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
 
 
+def utc_stamp(at: str) -> Column:
+    """The time in UTC whatever the session's zone: the epoch's seconds on a clock without a zone."""
+    clock = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.unix_seconds(at).cast("decimal(18,6)"))
+    return F.concat(F.translate(F.substring(clock.cast("string"), 1, 19), " ", "T"), F.lit("Z"))
+
+
 def record_text() -> Column:
     """One record, without its end: WARC headers, HTTP headers, and a response's payload."""
 
@@ -79,7 +89,7 @@ def record_text() -> Column:
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", urn("id")),
-        line("WARC-Date", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", utc_stamp("at")),
         line("WARC-Target-URI", F.coalesce(F.translate("url", "\r\n", ""), F.lit("-"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", urn("refers_to")), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
@@ -91,11 +101,26 @@ def record_text() -> Column:
     )
 
 
-def write_archives(captures: DataFrame, path: str, least_bytes: int = 100, records_per_file: int = 4000) -> None:
-    """Writes (id long, url string, at timestamp, payload string) as WARC files under ``path``."""
-    whole = captures.select("id", "url", F.coalesce("at", F.timestamp_seconds(F.lit(0))).alias("at"), F.coalesce("payload", F.lit("")).alias("payload"))
-    records = with_record_types(whole, least_bytes).select(record_text().alias("value"))
-    records.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).text(path)
+#: Bytes of payload that the first class of sizes ends at; each further class goes up to four times as many.
+FIRST_CLASS = 16 << 10
+
+
+def write_archives(captures: DataFrame, path: str, least_bytes: int = 100, file_bytes: int = 64 << 20) -> None:
+    """Writes (id long, url string, at timestamp, payload string) as WARC files under ``path``.
+
+    A file's payloads have ``file_bytes`` at most, or it holds one record: captures are written by class
+    of payload size, as many to a file as fit if all had their class's greatest size.
+    """
+    payload = F.coalesce("payload", F.lit(""))
+    whole = captures.select("id", "url", F.coalesce("at", F.timestamp_seconds(F.lit(0))).alias("at"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    size_class = F.greatest(F.ceil(F.log2(F.greatest(F.col("payload_bytes"), F.lit(1)) / FIRST_CLASS) / 2), F.lit(0)).cast("int")
+    classes = sorted(r[0] for r in whole.select(size_class.alias("c")).distinct().collect()) or [0]
+    sized = whole.withColumn("payload_digest", F.sha2("payload", 256))
+    firsts = repeated_digests(sized, least_bytes)
+    for c in classes:
+        records = with_record_types(sized.where(size_class == c), firsts, least_bytes).select(record_text().alias("value"))
+        per_file = max(1, file_bytes // (FIRST_CLASS * 4**c))
+        records.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", per_file).text(f"{path}/class={c}")
 
 
 def url_key(url: str) -> str:
@@ -203,47 +228,72 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, len(found), 5000):
                     yield _batch(found[at : at + 5000])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInArrow(run, ENTRY)
 
 
-def merge_index(index: DataFrame, ranges: int | None = None) -> DataFrame:
-    """The entries in global order: partitions by range, runs merged within each."""
-    spark = index.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches):
-        runs: dict[str, list[pa.RecordBatch]] = {}
-        for batch in batches:
-            files = batch.column(8).to_pylist()
-            start = 0
-            for i in range(1, len(files) + 1):
-                if i == len(files) or files[i] != files[start]:
-                    runs.setdefault(files[start], []).append(batch.slice(start, i - start))
-                    start = i
-
-        def rows(parts):
-            for part in parts:
-                for at in range(0, part.num_rows, 1024):
-                    yield from zip(*(c.to_pylist() for c in part.slice(at, 1024).columns), strict=True)
-
-        held = []
-        for entry in LoserTree([rows(p) for p in runs.values()], order_of):
-            held.append(entry)
-            if len(held) == 5000:
-                yield _batch(held)
-                held = []
-        if held:
+#: Runs that one loser tree merges; more go through passes.
+FAN_IN = 64
+
+
+def natural_runs(batches) -> list[list[pa.RecordBatch]]:
+    """The batches cut into runs that ascend; a run's parts stay Arrow slices."""
+    runs, last = [], None
+    for batch in batches:
+        keys = [order_of(r) for r in _rows([batch])]
+        start = 0
+        for i, key in enumerate(keys):
+            if last is None or key < last:
+                if i > start:
+                    runs[-1].append(batch.slice(start, i - start))
+                runs.append([])
+                start = i
+            last = key
+        if len(keys) > start:
+            runs[-1].append(batch.slice(start))
+    return runs
+
+
+def _rows(parts):
+    for part in parts:
+        for at in range(0, part.num_rows, 1024):
+            yield from zip(*(c.to_pylist() for c in part.slice(at, 1024).columns), strict=True)
+
+
+def _merged(runs: list[list[pa.RecordBatch]]):
+    """One run of the given ones, as batches."""
+    held = []
+    for entry in LoserTree([_rows(p) for p in runs], order_of):
+        held.append(entry)
+        if len(held) == 5000:
             yield _batch(held)
+            held = []
+    if held:
+        yield _batch(held)
+
 
+def merge_runs(runs: list[list[pa.RecordBatch]], fan_in: int = FAN_IN):
+    """All runs merged, ``fan_in`` at a time in as many passes as it takes."""
+    while len(runs) > fan_in:
+        runs = [list(_merged(runs[i : i + fan_in])) for i in range(0, len(runs), fan_in)]
+    yield from _merged(runs)
+
+
+def merge_index(index: DataFrame, ranges: int | None = None, rows_per_range: int = 100_000) -> DataFrame:
+    """The entries in global order: partitions by range, runs merged within each.
+
+    There are as many ranges as keep ``rows_per_range`` entries in each on average, and no fewer than the session's
+    shuffle partitions.  The shuffle hands over what each
+    task sent in its order, so the archives' runs need no sort: they are found where the order breaks.
+    """
+    ranges = ranges or max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // rows_per_range))
     placed = index.repartitionByRange(ranges, "url_key", "timestamp", "id", "file", "start")
-    # The shuffle mixes what tasks send; this puts each run's entries side by side and in their order again.
-    return placed.sortWithinPartitions("file", "url_key", "timestamp", "id", "start").mapInArrow(run, ENTRY)
+    return placed.mapInArrow(lambda batches: merge_runs(natural_runs(batches)), ENTRY)
 
 
-def captures_index(captures: DataFrame, least_bytes: int = 100, records_per_file: int = 4000) -> DataFrame:
+def captures_index(captures: DataFrame, least_bytes: int = 100, file_bytes: int = 64 << 20) -> DataFrame:
     """Archives of the captures in the shared folder, and their merged index."""
     spark = captures.sparkSession
     path = fresh_path(spark, "warc")
-    write_archives(captures, path, least_bytes, records_per_file)
+    write_archives(captures, path, least_bytes, file_bytes)
     return merge_index(written(read_archives(spark, path), "capture-runs"))
