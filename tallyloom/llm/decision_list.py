@@ -13,7 +13,8 @@ else covers all rows with built-in functions only.
 Defined results: labels that are null are left out; repeated labels count as
 often as they stand there; no labels, or labels of one class only, give an empty
 list, which keeps all rows that the base rules keep; null texts have no words and
-fail the base rules; other columns are ignored.
+fail the base rules; ids may be of any type; other columns pass through, but those
+that have the name of a statistic or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ def _ratio(a: str, b: str) -> Column:
 
 
 
-
 def features() -> dict[str, Column]:
     """What conditions can test, as expressions over the statistics."""
     return {
@@ -149,9 +149,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bad_valu
     picked = picked.orderBy(F.xxhash64("__id"), "__id", "__bad").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     tested = features()
-    rows = with_stats(texts.join(F.broadcast(picked), "__id"), "__text").select("__id", "__bad", *(c.alias(n) for n, c in tested.items()))
-    found = rows.collect()
-    found.sort(key=lambda r: (hash((r["__id"] * 2654435761) & 0xFFFFFFFF), r["__id"], r["__bad"], tuple(r[2:])))
+    order = F.crc32(F.col("__id").cast("string")).alias("__order")
+    rows = with_stats(texts.join(F.broadcast(picked), "__id"), "__text").select(order, F.col("__id").cast("string").alias("__id"), "__bad", *(c.alias(n) for n, c in tested.items()))
+    found = sorted(rows.collect())
     return [({n: r[n] for n in tested}, r["__bad"]) for r in found]
 
 
@@ -159,5 +159,6 @@ def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bad_
     """``docs`` with the statistics, ``base_failed`` and ``kept``; and the learned rules."""
     rules = learn(labelled_sample(docs, labels, label_col, bad_value, max_rows, id_col, text_col))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("base_failed", "kept")))
     out = with_stats(docs, text_col).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules)), rules

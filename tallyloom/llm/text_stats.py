@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import SPACES, text_of
+from tallyloom.llm.common import SPACES, named_again, numbered, text_of
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MARKS = "!?"
-#: Working columns; the prefix keeps them clear of the input's own.
+#: Prefix of working columns.
 _P = "__stats_"
 
 
@@ -27,9 +27,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, SPACES[1:], " " * (len(SPACES) - 1)), " "), lambda w: w != "")
 
 
+STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
+
+
 def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_marks (all long).
 
+    They replace input columns of their names; all others pass through.
     n_repeat_words counts the words in three-word windows found twice or more in
     the text, first ones included: window hashes are sorted with their places,
     places of equal neighbours are kept, and each adds what it covers beyond the
@@ -37,7 +41,7 @@ def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text, words, windows, ranked = (F.col(_P + x) for x in ("text", "words", "windows", "ranked"))
     blank = F.translate(text, SPACES, "")
-    out = df.withColumn(_P + "text", text_of(text_col)).withColumn(_P + "words", words_of(F.col(_P + "text")))
+    out = numbered(df).withColumn(_P + "text", text_of(f"in_{df.columns.index(text_col)}")).withColumn(_P + "words", words_of(F.col(_P + "text")))
     out = out.withColumn(_P + "lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
     indices = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
     out = out.withColumn(_P + "windows", F.transform(indices, lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])))
@@ -64,4 +68,4 @@ def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
             "n_marks": count_chars(text, MARKS),
         }
     )
-    return out.drop(*(c for c in out.columns if c.startswith(_P)))
+    return out.select(*named_again(df.columns, *STATS))

@@ -81,3 +81,14 @@ def test_quality_on_tables(spark):
     none, no_rules = D.quality(docs, labels.limit(0))
     assert no_rules == [] and none.where("kept").count() == 242
     assert D.quality(docs.limit(0), labels)[0].count() == 0
+
+
+def test_ids_of_text_and_columns_of_the_results_names(spark):
+    rows = [(f"d{i}", " ".join(f"w{i}x{k}" for k in range(60)) + " #$%&" * (40 if i % 3 == 0 else 0), 5, "k", True, 0.5, i) for i in range(120)]
+    df = spark.createDataFrame([*rows, (None, None, 5, "k", True, 0.5, -1)], "doc_id string, text string, N_words int, kept string, base_failed boolean, __stats_text double, in_1 int")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 != 0)) for i in range(120)] + [(None, 1), ("d1", None)], "doc_id string, quality int")
+    judged, rules = D.quality(df, labels)
+    assert rules and len(set(map(str.lower, judged.columns))) == len(judged.columns)
+    got = judged.collect()
+    assert len(got) == 121 and all(r.n_words == (0 if r.text is None else len(r.text.split())) for r in got)
+    assert all(r.kept == (r.in_1 % 3 != 0 and r.in_1 >= 0) and r["__stats_text"] == 0.5 for r in got)
