@@ -12,7 +12,8 @@ of ``unit`` bytes with a keyframe at the start of each chunk.
 Defined results: a null payload is read as empty; it and the empty payload are
 stored as one unit of zero bytes.  Equal payloads give equal files.  A malformed
 file gives a row whose ``error`` says what was wrong and whose other facts are
-null; a null file gives the error "null".  Repeated rows are independent.
+null; a null file gives the error "null".  Repeated rows are independent.  Other
+columns pass through, but those that have the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyloom.llm.byte_bpe import slices
+from tallyloom.llm.word_codes import slices
 
 #: Boxes that hold boxes only.
 CONTAINERS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta"])
@@ -223,7 +224,7 @@ def _runs(at: list[int], sizes: list[int]) -> list[tuple[int, int]]:
 
 def store(df: DataFrame, payload_col: str = "payload", media_col: str = "media") -> DataFrame:
     """All columns of ``df`` but the payload, and the payload's container as ``media_col``."""
-    kept = [c for c in df.columns if c != payload_col]
+    kept = [c for c in df.columns if c.lower() not in (payload_col.lower(), media_col.lower())]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(media_col, T.BinaryType(), False)])
 
     def run(batches):
@@ -243,6 +244,8 @@ def probe(df: DataFrame, media_col: str = "media", with_samples: bool = False) -
     extra = [T.StructField("brand", T.StringType()), T.StructField("tracks", T.ArrayType(TRACK)), T.StructField("error", T.StringType())]
     if with_samples:
         extra.append(T.StructField("sample_bytes", T.BinaryType()))
+    new = {f.name.lower() for f in extra}
+    df = df.select(*(c for c in df.columns if c.lower() not in new))
     schema = T.StructType([*df.schema.fields, *extra])
     at = df.columns.index(media_col)
     tracks = pa.list_(

@@ -68,3 +68,11 @@ def test_columns(spark):
     assert [bytes(r.sample_bytes) for r in got] == [M.padded(p or b"") for _, p, _ in rows]
     assert got[1].media == got[2].media and got[0].tracks[0].codec == "raw"
     assert M.probe(M.store(df.limit(0))).count() == 0
+
+
+def test_columns_of_the_results_names_are_replaced(spark):
+    df = spark.createDataFrame([(1, b"abc", 1, 2, 3, 4, 5, 6)], "doc_id long, payload binary, Media int, brand int, tracks int, Error int, sample_bytes int, codec int")
+    got = M.probe(M.store(df), with_samples=True)
+    assert got.columns == ["doc_id", "codec", "media", "brand", "tracks", "error", "sample_bytes"]
+    row = got.first()
+    assert (row.codec, row.brand, row.error, bytes(row.sample_bytes)) == (6, "isom", None, M.padded(b"abc"))
