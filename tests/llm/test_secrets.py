@@ -79,3 +79,37 @@ def test_digest_of_no_spans_and_empty_table(spark):
     assert S.scan(df).count() == 0
     one = S.scan(spark.createDataFrame([(1, "plain words only")], "doc_id long, text string"))
     assert one.select(F.sha2(S.listed(F.col("secret_spans")), 256)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_run_of_a_million_characters_and_many_spans(spark):
+    r = random.Random(6)
+    letters = "".join(r.choice(S.ALPHABET) for _ in range(5000))
+    long_run = "x=" + letters * 200
+    many = " ".join(r.choice(["deadbeef" * 4, "AKIA" + "Q7" * 9, "pässword=abcdefgh", letters[i : i + 40]]) for i in range(3000))
+    words = "ab-" * 200_000
+    rows = [(1, long_run), (2, many), (3, words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = S.scan(df).withColumn("clean", S.redacted(F.col("text"), F.col("secret_spans"), "#"))
+    got = {x.doc_id: x for x in scanned.collect()}
+    [(first, kind, last)] = map(tuple, got[1].secret_spans)
+    reaches = [entropy(long_run[i : i + S.WINDOW]) >= 3.7 - 1e-9 for i in range(5002)]
+    assert kind == 3 and first == reaches.index(True) and got[1].clean == long_run[:first] + "#" + long_run[last:]
+    tail = [i for i in range(len(long_run) - 200, len(long_run) - S.WINDOW + 1) if entropy(long_run[i : i + S.WINDOW]) >= 3.7 - 1e-9]
+    assert last == tail[-1] + S.WINDOW
+    want = all_spans(many)
+    assert [tuple(x) for x in got[2].secret_spans] == [(a, k, b) for a, k, b in want]
+    assert got[3].secret_spans == [] and got[3].clean == words
+    at, clean = 0, ""
+    for a, _, b in want:
+        if a >= at:
+            clean += many[at:a] + "#"
+        at = max(at, b)
+    assert got[2].clean == clean + many[at:]
+
+
+def test_other_columns_stay_and_a_column_of_the_same_name_is_replaced(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh", 5, "y", 7)], "doc_id long, text string, Secret_Spans int, __scan_text string, in_0 int")
+    got = S.scan(df)
+    assert got.columns == ["doc_id", "text", "__scan_text", "in_0", "secret_spans"]
+    row = got.first()
+    assert tuple(row[:4]) == (1, "token=abcdefgh", "y", 7) and [tuple(x) for x in row.secret_spans] == [(0, 0, 14)]
