@@ -6,19 +6,21 @@ tree; every text's score is the log10 probability that the tree's mixture gives
 its bytes, and the code length per byte follows from it.
 
 Blocks and parts.  A task cuts its rows into blocks of bounded text and keeps, of
-each block, the packed texts, the distinct grams with their training counts and
-the distinct words with theirs.  Grams are dealt to parts by their two nearest
-context bytes, so a part holds whole subtrees from depth 2 on; depths 0 and 1
-have 2**16 nodes at most, whatever the corpus, and are the only thing that
-reaches the driver.  A part sums all blocks' counts, weights its subtrees and
-answers each block's grams; a block then scores its texts with its answers.
-What is shuffled grows with the distinct grams of the blocks.
+each block, the packed texts, the distinct grams with their training counts (in
+ascending chunks) and the distinct words with theirs.  Parts are ranges of grams,
+as many as keep the grams that all blocks have in one near ``GRAMS_PER_PART``; a
+hot context is simply cut through.  A part's subtrees are whole but for the few
+contexts at its two ends.  Sums of these edges are passed up level by level as
+small tables and come back to the parts that they belong to.  A part then answers
+each block's grams, and a block scores its texts with its answers (32-bit floats
+on the way).  What is shuffled grows with the distinct grams of the blocks, and
+nothing but the cuts, eight bytes a part, passes the driver.
 
 Words are counted the same way (dealt by hash) for the unigram base score
 log10((c + 1) / (N + V + 1)), summed over tokens.
 
 Defined results: a null text is read as empty, and its only token is the end; a
-null id is never in the training share unless ``training`` says so; repeated
+null id trains if ``training`` says so; repeated
 rows each count and are each scored; other columns are ignored; with no training
 rows every prediction is 1/2 a bit and the base score is that of N = V = 0; an
 empty table gives an empty result.
@@ -39,16 +41,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.word_codes import slices
 from tallyloom.llm.common import LOWER, written
-from tallyloom.llm.ctw_model import Top, grams_of, log_probabilities, part_summary
+from tallyloom.llm.ctw_model import contexts_cut, edge_sums, edges_of, grams_of, log_probabilities, snapped, weighed
+from tallyloom.llm.word_codes import slices
 
 END = b"\n"
 #: Text bytes of a block, and of one packed run of texts in it.
 BLOCK_BYTES, PACK_BYTES = 24 << 20, 1 << 20
+#: Grams of a chunk; grams of all blocks' chunks in a part, on average; bytes of text for each part of the words.
+CHUNK_GRAMS, GRAMS_PER_PART, WORD_PART_BYTES = 1 << 15, 1_500_000, 32 << 20
 _GRAMS, _WORDS, _TEXTS = 0, 1, 2
 
-_PIECE = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("values", T.BinaryType())])
+#: ``lo``: a chunk's least gram.
+_PIECE = T.StructType([*(T.StructField(n, t) for n, t in (("block", T.LongType()), ("kind", T.IntegerType()), ("part", T.IntegerType()), ("lo", T.LongType()), ("keys", T.BinaryType()), ("values", T.BinaryType())))])
+_DEALT = T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(n, t) for n, t in (("block", T.LongType()), ("keys", T.BinaryType()), ("values", T.BinaryType())))])
+_EDGE = "part int, depth int, node long, zeros double, ones double, below double"
 
 
 def _packed(data: bytes) -> bytes:
@@ -71,11 +78,6 @@ def _unpack_numbers(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _parts_of_grams(grams: np.ndarray, depth: int, parts: int) -> np.ndarray:
-    near = (grams >> np.uint64(8 * depth - 8)).astype(np.uint64)
-    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-
-
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     every, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(every, kind="stable")
@@ -87,8 +89,8 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 class _Block:
     """The texts of one block, reduced as they come."""
 
-    def __init__(self, number: int, depth: int, parts: int):
-        self.number, self.depth, self.parts = number, depth, parts
+    def __init__(self, number: int, depth: int, word_parts: int, chunk: int):
+        self.number, self.depth, self.word_parts, self.chunk = number, depth, word_parts, chunk
         self.size, self.held = 0, 0
         self.texts: list[bytes] = []
         self.heads: list[tuple] = []
@@ -141,23 +143,18 @@ class _Block:
         self.pack()
         self.settle()
         grams, counts = self.grams[0], self.counts[0]
-        part = _parts_of_grams(grams, self.depth, self.parts)
-        order = np.argsort(part, kind="stable")
-        grams, counts, part = grams[order], counts[order], part[order]
-        cuts = np.searchsorted(part, np.arange(self.parts + 1, dtype=np.uint64))
-        for p in range(self.parts):
-            a, b = cuts[p], cuts[p + 1]
-            if a < b:
-                yield self.number, _GRAMS, p, _pack_numbers(grams[a:b]), _packed(counts[a:b].astype("<u4").tobytes())
-        dealt: list[list[bytes]] = [[] for _ in range(self.parts)]
+        for i, at in enumerate(range(0, len(grams), self.chunk)):
+            keys = grams[at : at + self.chunk]
+            yield self.number, _GRAMS, i, int(keys[0]), _pack_numbers(keys), _packed(counts[at : at + self.chunk].astype("<u4").tobytes())
+        dealt: list[list[bytes]] = [[] for _ in range(self.word_parts)]
         for word in self.words.keys() | self.seen:
-            dealt[zlib.crc32(word) % self.parts].append(word)
+            dealt[zlib.crc32(word) % self.word_parts].append(word)
         for p, words in enumerate(dealt):
             if words:
                 # \x0b is white space, so no word has it; the end token is a word here.
-                yield self.number, _WORDS, p, _packed(b"\x0b".join(words)), _packed(np.array([self.words.get(w, 0) for w in words], dtype="<i8").tobytes())
+                yield self.number, _WORDS, p, 0, _packed(b"\x0b".join(words)), _packed(np.array([self.words.get(w, 0) for w in words], dtype="<i8").tobytes())
         for i, pack in enumerate(self.packs):
-            yield self.number, _TEXTS, i, pack, None
+            yield self.number, _TEXTS, i, 0, pack, None
 
 
 def _batches(rows, schema: T.StructType, types: list, most: int = 64):
@@ -171,10 +168,10 @@ def _batches(rows, schema: T.StructType, types: list, most: int = 64):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=schema.names)
 
 
-_PIECE_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+_PIECE_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
 
-def pieces(df: DataFrame, training: Column, depth: int, parts: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(df: DataFrame, training: Column, depth: int, word_parts: int, chunk: int, id_col: str, text_col: str) -> DataFrame:
     """Blocks of the table: packed texts, grams and words with their training counts."""
 
     def run(batches):
@@ -183,7 +180,7 @@ def pieces(df: DataFrame, training: Column, depth: int, parts: int, id_col: str,
             for batch in slices(batches, 1):
                 for row_id, text, trains in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if block is None:
-                        block = _Block((context.partitionId() << 32) + n, depth, parts)
+                        block = _Block((context.partitionId() << 32) + n, depth, word_parts, chunk)
                         n += 1
                     block.add(row_id, text, bool(trains))
                     if block.size >= BLOCK_BYTES:
@@ -211,43 +208,102 @@ def _groups(batches, key_columns: int):
         yield key, held
 
 
-def _by_part(table: DataFrame, kind: int) -> DataFrame:
-    return table.where(F.col("kind") == kind).select("part", "block", "keys", "values").repartition("part").sortWithinPartitions("part", "block")
-
+def cuts_of(table: DataFrame, grams_per_part: int, chunk: int) -> list[int]:
+    """Where the parts' ranges are cut: quantiles of the chunks' least grams, moved to the ends of short contexts."""
+    chunks = table.where(F.col("kind") == _GRAMS)
+    parts = -(-chunks.count() * chunk // grams_per_part)
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    return snapped(chunks.agg(F.percentile_approx("lo", shares, min(1_000_000, 20 * parts)).alias("c")).first()["c"])
 
-def _sum_grams(rows) -> tuple[np.ndarray, np.ndarray]:
-    return _merge([_unpack_numbers(r[2]) for r in rows], [np.frombuffer(_unpacked(r[3]), "<u4").astype(np.float64) for r in rows])
 
-
-def top_of(table: DataFrame, depth: int) -> Top:
-    """Depths 0 and 1 over all parts; 2**16 rows at most come to the driver."""
-    schema = "node long, zeros double, ones double, below double"
+def dealt(table: DataFrame, cuts: list[int]) -> DataFrame:
+    """(part, block, keys, values): the chunks of all blocks, cut where the parts are."""
+    shared = table.sparkSession.sparkContext.broadcast(np.array(cuts, dtype=np.uint64))
 
     def run(batches):
-        for _, rows in _groups(batches, 1):
-            grams, counts = _sum_grams(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in part_summary(grams, counts, depth)], names=["node", "zeros", "ones", "below"])
-
-    sums = _by_part(table, _GRAMS).mapInArrow(run, schema).groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below"))
-    rows = sorted(sums.collect())
-    columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-    return Top(np.array(columns[0], dtype=np.int64), *(np.array(c, dtype=np.float64) for c in columns[1:]))
-
-
-def answers(table: DataFrame, depth: int, top: Top) -> tuple[DataFrame, DataFrame]:
-    """For each block's grams their log10 probabilities, for its words their counts, in the order of its keys."""
-    shared = table.sparkSession.sparkContext.broadcast(top)
-
-    def run_grams(batches):
         def rows():
-            for (part,), found in _groups(batches, 1):
-                grams, counts = _sum_grams(found)
-                values = log_probabilities(grams, counts, depth, shared.value)
-                for _, block, keys, _ in found:
-                    own = values[np.searchsorted(grams, _unpack_numbers(keys))]
-                    yield block, _GRAMS, part, keys, _packed(own.astype("<f4").tobytes())
-
-        yield from _batches(rows(), _PIECE, _PIECE_TYPES)
+            for batch in batches:
+                for block, keys, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    grams = _unpack_numbers(keys)
+                    first, last = np.searchsorted(shared.value, grams[[0, -1]], side="right").tolist()
+                    if first == last:
+                        yield first, block, keys, values
+                        continue
+                    counts = np.frombuffer(_unpacked(values), "<u4")
+                    ends = [0, *np.searchsorted(grams, shared.value[first:last], side="left").tolist(), len(grams)]
+                    for part, (a, b) in enumerate(zip(ends, ends[1:]), first):
+                        if a < b:
+                            yield part, block, _pack_numbers(grams[a:b]), _packed(counts[a:b].tobytes())
+
+        yield from _batches(rows(), _DEALT, [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
+
+    return table.where(F.col("kind") == _GRAMS).select("block", "keys", "values").mapInArrow(run, _DEALT)
+
+
+def _sum_grams(keys: list[bytes], values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return _merge([_unpack_numbers(k) for k in keys], [np.frombuffer(_unpacked(v), "<u4").astype(np.float64) for v in values])
+
+
+def edge_nodes(parts: DataFrame, cuts: list[int], depth: int) -> DataFrame:
+    """(part, depth, node, zeros, ones, stop): the whole tree's values of the nodes at each part's ends."""
+    spark = parts.sparkSession
+    nodes = "part int, depth int, node long, zeros double, ones double, stop double"
+    if not cuts:
+        return spark.createDataFrame([], nodes)
+    shared = spark.sparkContext.broadcast(cuts)
+
+    def sums(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        grams, counts = _sum_grams(rows.column("keys").to_pylist(), rows.column("values").to_pylist())
+        found = edge_sums(grams, counts, depth, edges_of(shared.value[max(part - 1, 0) : part + 1], depth))
+        return pa.table([pa.array(np.full(len(found[0]), part, dtype=np.int32)), *map(pa.array, found)], names=["part", "depth", "node", "zeros", "ones", "below"])
+
+    edges = written(parts.groupBy("part").applyInArrow(sums, _EDGE), "ctw-edges")
+    levels = []
+    for d in range(max((d for c in cuts for d in contexts_cut(c, depth)), default=-1), -1, -1):
+
+        def weigh(batches, leaf=d == depth):
+            for batch in batches:
+                stop, weighted = weighed(*(np.asarray(batch.column(i)) for i in (1, 2, 3)), leaf)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(stop), pa.array(weighted)], names=["node", "zeros", "ones", "stop", "weighted"])
+
+        rows = edges.where(F.col("depth") == d).select("node", "zeros", "ones", "below")
+        if levels:
+            # The parent's context lacks the farthest byte, the lowest of the child's.
+            parent = F.shiftleft(F.shiftright("node", 19), 11).bitwiseOR(F.col("node").bitwiseAND(F.lit(0x7FF).cast("long")))
+            rows = rows.unionByName(levels[-1].select(parent.alias("node"), F.lit(0.0).alias("zeros"), F.lit(0.0).alias("ones"), F.col("weighted").alias("below")))
+        whole = rows.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
+        levels.append(written(whole.mapInArrow(weigh, "node long, zeros double, ones double, stop double, weighted double").withColumn("depth", F.lit(d)), f"ctw-level-{d}"))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return edges.select("part", "depth", "node").join(every, ["depth", "node"]).select("part", "depth", "node", "zeros", "ones", "stop")
+
+
+def answers(table: DataFrame, cuts: list[int], depth: int) -> tuple[DataFrame, DataFrame]:
+    """For each block's grams their log10 probabilities, for its words their counts, in the order of its keys."""
+    shared = table.sparkSession.sparkContext.broadcast(cuts)
+    parts = dealt(table, cuts)
+    names = _PIECE.names
+
+    def of_part(rows: pa.Table, nodes: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.Table.from_batches([], pa.schema(list(zip(names, _PIECE_TYPES))))
+        part, blocks, keys = rows.column("part")[0].as_py(), rows.column("block"), rows.column("keys").to_pylist()
+        grams, counts = _sum_grams(keys, rows.column("values").to_pylist())
+        at, known = np.asarray(nodes.column("depth")), {}
+        columns = [np.asarray(nodes.column(c)) for c in ("node", "zeros", "ones", "stop")]
+        for d in range(depth + 1):
+            here = np.flatnonzero(at == d)
+            here = here[np.argsort(columns[0][here])]
+            known[d] = tuple(c[here] for c in columns)
+        logs = log_probabilities(grams, counts, depth, edges_of(shared.value[max(part - 1, 0) : part + 1], depth), known)
+        values = [_packed(logs[np.searchsorted(grams, _unpack_numbers(k))].astype("<f4").tobytes()) for k in keys]
+        n = len(keys)
+        same = [pa.array(np.full(n, x, dtype=t)) for x, t in ((_GRAMS, np.int32), (part, np.int32), (0, np.int64))]
+        return pa.table([blocks, *same, rows.column("keys"), pa.array(values, pa.binary())], names=names)
 
     def run_words(batches):
         def rows():
@@ -259,27 +315,27 @@ def answers(table: DataFrame, depth: int, top: Top) -> tuple[DataFrame, DataFram
                             totals[word] = totals.get(word, 0) + n
                 for _, block, keys, _ in found:
                     own = [totals.get(w, 0) for w in _unpacked(keys).split(b"\x0b")]
-                    yield block, _WORDS, part, keys, _packed(np.array(own, dtype="<i8").tobytes())
+                    yield block, _WORDS, part, 0, keys, _packed(np.array(own, dtype="<i8").tobytes())
                 # N and V of this part, as a row that belongs to no block
-                yield -1, _WORDS, part, None, struct.pack("<qq", sum(totals.values()), len(totals))
+                yield -1, _WORDS, part, 0, None, struct.pack("<qq", sum(totals.values()), len(totals))
 
         yield from _batches(rows(), _PIECE, _PIECE_TYPES)
 
-    return _by_part(table, _GRAMS).mapInArrow(run_grams, _PIECE), _by_part(table, _WORDS).mapInArrow(run_words, _PIECE)
+    of_grams = parts.groupBy("part").cogroup(edge_nodes(parts, cuts, depth).groupBy("part")).applyInArrow(of_part, _PIECE)
+    words = table.where(F.col("kind") == _WORDS).select("part", "block", "keys", "values").repartition("part").sortWithinPartitions("part", "block")
+    return of_grams, words.mapInArrow(run_words, _PIECE)
 
 
-def scores(df: DataFrame, training: Column, depth: int = 6, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(df: DataFrame, training: Column, depth: int = 6, grams_per_part: int = GRAMS_PER_PART, chunk_grams: int = CHUNK_GRAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, trained, n_bytes, n_tokens, n_known, train_tokens, train_types, base_score, score), one row for each input row.
 
-    ``training`` marks the rows to learn from; ``score`` / ``n_bytes`` times
-    -log2(10) is the code length in bits a byte.
+    ``score`` / ``n_bytes`` times -log2(10) is the code length in bits a byte.
     """
-    if not 3 <= depth <= 7:
-        raise ValueError("depth is from 3 to 7: a gram is one 64-bit number, and parts begin at depth 2")
-    spark = df.sparkSession
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = written(pieces(df, training, depth, parts, id_col, text_col), "ctw-pieces")
-    of_grams, of_words = answers(table, depth, top_of(table, depth))
+    if not 1 <= depth <= 6:
+        raise ValueError("depth is from 1 to 6: a gram is one signed 64-bit number")
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    table = written(pieces(df, training, depth, max(8, size // WORD_PART_BYTES), chunk_grams, id_col, text_col), "ctw-pieces")
+    of_grams, of_words = answers(table, cuts_of(table, grams_per_part, chunk_grams), depth)
     of_words = written(of_words, "ctw-words")
     totals = [struct.unpack("<qq", r[0]) for r in of_words.where("block = -1").select("values").collect()]
     train_tokens, train_types = (sum(t[i] for t in totals) for i in (0, 1))
@@ -318,7 +374,7 @@ def scores(df: DataFrame, training: Column, depth: int = 6, parts: int | None =
         def rows():
             block, keys, values, words, grams = None, [], [], {}, None
             for batch in batches:
-                for number, kind, _, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for number, kind, _, _, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if number != block:
                         block, keys, values, words, grams = number, [], [], {}, None
                     if kind == _GRAMS:

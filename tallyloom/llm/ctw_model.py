@@ -5,22 +5,20 @@ bytes before it (and the bits of its own byte so far); its Krichevsky-Trofimov
 estimate counts how often each bit followed there.  A node's weighted
 probability is half its own block estimate and half the product of its
 children's, so after training a node predicts a mixture of its estimate and of
-what the deeper contexts predict, with the posterior weight of each.  Contexts
-that training never met leave the prediction to the deepest one that it did.
+what the deeper contexts predict, with the posterior weight of each.  A context
+that training never met predicts 1/2, and counts with its parent's weight.
 
 A gram is ``depth`` context bytes and the byte that follows, as one number with
 the nearest context byte highest and the coded byte lowest.  Sorted grams hold
-every context of every depth as a run.
+every context of every depth as a run, so a range of grams holds whole subtrees
+but for the contexts that its two ends cut through: its edges.  An edge's sums
+are completed by those of other ranges before anything is predicted with it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Depths that lie above the cut between parts: 0 and 1.
-TOP = 2
-
-
 def grams_of(data: bytes, depth: int, before: int) -> np.ndarray:
     """The gram of every byte of ``data``, which begins after ``depth`` bytes ``before``."""
     padded = np.concatenate((np.full(depth, before, dtype=np.uint8), np.frombuffer(data, dtype=np.uint8)))
@@ -58,110 +56,125 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
 
 
+def contexts_cut(cut: int, depth: int) -> dict[int, int]:
+    """By depth, the context whose grams lie on both sides of a cut (grams from ``cut`` on are on the right side)."""
+    return {d: cut >> 8 * (depth + 1 - d) for d in range(depth + 1) if cut % 256 ** (depth + 1 - d)}
+
+
+def edges_of(ends: list[int], depth: int) -> dict[int, list[int]]:
+    """By depth, the contexts that a range's ends cut through: two at most."""
+    found: dict[int, set] = {d: set() for d in range(depth + 1)}
+    for cut in ends:
+        for d, context in contexts_cut(cut, depth).items():
+            found[d].add(context)
+    return {d: sorted(c) for d, c in found.items()}
+
+
+def snapped(cuts: list[int]) -> list[int]:
+    """The cuts moved down, not as far as the one before, to where they cut through the fewest contexts."""
+    out, before = [], 0
+    for cut in sorted(set(cuts)):
+        if cut <= before:
+            continue
+        moved, size = cut, 256
+        while (shorter := cut // size * size) > before:
+            moved, size = shorter, size * 256
+        out.append(moved)
+        before = cut
+    return out
+
+
 class _Bit:
-    """The nodes of one bit position over sorted grams: per depth, counts and weighted probabilities."""
+    """The nodes of one bit position over sorted grams: per depth, counts and weighted probabilities.
+
+    A node's number is its context, the bit position and the bits so far: context << 11 | position << 8 | bits.
+    """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, bit: int, lowest: int):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, bit: int, edges: dict[int, list[int]]):
         coded = grams & np.uint64(255)
         context = grams >> np.uint64(8)
         prefix = coded >> np.uint64(8 - bit)
-        one = ((coded >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-        self.one = one
+        self.depth = depth
+        self.one = ((coded >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
         # Leaves: (whole context, bits so far).  Grams are sorted, so these keys are too.
         leaf_key = (context << np.uint64(8)) | prefix
         starts = _runs(leaf_key)
         self.at = {depth: np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(grams)]))))}
-        ones = np.add.reduceat(np.where(one, counts, 0), starts)
+        ones = np.add.reduceat(np.where(self.one, counts, 0), starts)
         zeros = np.add.reduceat(counts, starts) - ones
-        self.zeros, self.ones, self.stop, self.weighted = {depth: zeros}, {depth: ones}, {}, {}
-        self.weighted[depth] = block_estimate(zeros, ones)
+        self.zeros, self.ones, self.below, self.stop, self.edge, self.node = {depth: zeros}, {depth: ones}, {depth: np.zeros(len(ones))}, {depth: None}, {}, {}
+        weighted = block_estimate(zeros, ones)
         key = leaf_key[starts]
-        for d in range(depth - 1, lowest - 1, -1):
+        for d in range(depth, -1, -1):
+            of = key >> np.uint64(8)
+            edge = np.zeros(len(key), dtype=bool)
+            for c in edges[d]:
+                edge |= of == np.uint64(c)
+            self.edge[d] = np.flatnonzero(edge)
+            self.node[d] = ((of[edge] << np.uint64(11)) | np.uint64(bit << 8) | (key[edge] & np.uint64(255))).astype(np.int64)
+            if not d:
+                break
             # A shorter context keeps the bits so far; its children are not neighbours, so they are grouped by sorting.
             parent = (key >> np.uint64(16)) << np.uint64(8) | (key & np.uint64(255))
             order = np.argsort(parent, kind="stable")
             sorted_parent = parent[order]
             starts = _runs(sorted_parent)
-            group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(key)]))))
             of_child = np.empty(len(key), dtype=np.int64)
-            of_child[order] = group
+            of_child[order] = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(key)]))))
             n = len(starts)
-            zeros = np.bincount(of_child, self.zeros[d + 1], n)
-            ones = np.bincount(of_child, self.ones[d + 1], n)
-            below = np.bincount(of_child, self.weighted[d + 1], n)
+            zeros, ones = np.bincount(of_child, zeros, n), np.bincount(of_child, ones, n)
+            # An edge's weighted probability is not known yet: its parent, an edge too, gets it with the other ranges' sums.
+            below = np.bincount(of_child, np.where(edge, 0.0, weighted), n)
             own = block_estimate(zeros, ones)
-            self.stop[d] = own - below
-            self.zeros[d], self.ones[d] = zeros, ones
-            self.weighted[d] = np.logaddexp(own, below) + _LOG_HALF
-            self.at[d] = of_child[self.at[d + 1]]
+            weighted = np.logaddexp(own, below) + _LOG_HALF
+            self.zeros[d - 1], self.ones[d - 1], self.below[d - 1], self.stop[d - 1] = zeros, ones, below, own - below
+            self.at[d - 1] = of_child[self.at[d]]
             key = sorted_parent[starts]
-        self.keys = key
-
-    def predict(self, depth: int, lowest: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each gram, the probability of its bit from depths ``lowest`` and more, and whether any was met."""
-        p = met = None
-        for d in range(depth, lowest - 1, -1):
-            zeros, ones = self.zeros[d], self.ones[d]
-            total = zeros + ones
-            own = (np.stack((zeros, ones)) + 0.5) / (total + 1.0)
-            at = self.at[d]
-            here = np.where(self.one, own[1][at], own[0][at])
-            known = (total > 0)[at]
-            if p is None:
-                p, met = here, known
-                continue
-            weight = (1.0 / (1.0 + np.exp(-np.clip(self.stop[d], -500, 500))))[at]
-            p = np.where(met, weight * here + (1.0 - weight) * p, here)
-            met = known
-        return p, met
 
+    def complete(self, known: dict[int, tuple[np.ndarray, ...]]) -> None:
+        """Edges get the values of the whole tree; ``known`` has node (ascending), zeros, ones and stop by depth."""
+        for d, at in self.edge.items():
+            if len(at):
+                node, zeros, ones, stop = known[d]
+                place = np.searchsorted(node, self.node[d])
+                self.zeros[d][at], self.ones[d][at] = zeros[place], ones[place]
+                if d < self.depth:
+                    self.stop[d][at] = stop[place]
+
+    def predict(self) -> np.ndarray:
+        """For each gram, the probability of its bit, all depths mixed."""
+        p = None
+        for d in range(self.depth, -1, -1):
+            own = (np.where(self.one, self.ones[d][self.at[d]], self.zeros[d][self.at[d]]) + 0.5) / ((self.zeros[d] + self.ones[d]) + 1.0)[self.at[d]]
+            if p is None:
+                p = own
+            else:
+                weight = (1.0 / (1.0 + np.exp(-np.clip(self.stop[d], -500, 500))))[self.at[d]]
+                p = weight * own + (1.0 - weight) * p
+        return p
 
-def part_summary(grams: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What the top needs of a part: (node, zeros, ones, weighted) per depth-1 node.
 
-    ``grams`` are sorted; a node's number is its context byte, bit position and
-    bits so far: byte << 11 | position << 8 | bits.
-    """
+def edge_sums(grams: np.ndarray, counts: np.ndarray, depth: int, edges: dict[int, list[int]]) -> tuple[np.ndarray, ...]:
+    """(depth, node, zeros, ones, below) of a range's edge nodes."""
     out = []
     for bit in range(8):
-        b = _Bit(grams, counts, depth, bit, TOP)
-        context = b.keys >> np.uint64(8)
-        node = ((context >> np.uint64(8)) << np.uint64(11) | np.uint64(bit << 8) | (b.keys & np.uint64(255))).astype(np.int64)
-        names, of = np.unique(node, return_inverse=True)
-        out.append([names, *(np.bincount(of, x[TOP], len(names)) for x in (b.zeros, b.ones, b.weighted))])
+        b = _Bit(grams, counts, depth, bit, edges)
+        for d, at in b.edge.items():
+            out.append((np.full(len(at), d, dtype=np.int32), b.node[d], b.zeros[d][at], b.ones[d][at], b.below[d][at]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-class Top:
-    """Depths 0 and 1 of the whole tree, from the summed summaries of all parts (2**16 nodes at most)."""
-
-    def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
-        self.stop = {d: np.zeros(1 << 19) for d in (0, 1)}
-        self.zeros, self.ones = ({d: np.zeros(1 << 19) for d in (0, 1)} for _ in range(2))
-        own = block_estimate(zeros, ones)
-        self.stop[1][node] = own - below
-        self.zeros[1][node], self.ones[1][node] = zeros, ones
-        weighted = np.logaddexp(own, below) + _LOG_HALF
-        root = node & 0x7FF
-        sums = [np.bincount(root, x, 1 << 11) for x in (zeros, ones, weighted)]
-        self.zeros[0][: 1 << 11], self.ones[0][: 1 << 11] = sums[0], sums[1]
-        self.stop[0][: 1 << 11] = block_estimate(sums[0], sums[1]) - sums[2]
+def weighed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, leaf: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(stop, weighted) of complete nodes: log odds of the own estimate, and log of the weighted probability."""
+    own = block_estimate(zeros, ones)
+    return (own * 0, own) if leaf else (own - below, np.logaddexp(own, below) + _LOG_HALF)
 
 
-def log_probabilities(grams: np.ndarray, counts: np.ndarray, depth: int, top: Top) -> np.ndarray:
+def log_probabilities(grams: np.ndarray, counts: np.ndarray, depth: int, edges: dict[int, list[int]], known: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
     """log10 of the probability of each gram's byte after its context, all depths mixed."""
     out = np.zeros(len(grams))
-    nearest = (grams >> np.uint64(8 * depth)).astype(np.int64)
-    coded = (grams & np.uint64(255)).astype(np.int64)
     for bit in range(8):
-        b = _Bit(grams, counts, depth, bit, TOP)
-        p, met = b.predict(depth, TOP)
-        local = bit << 8 | coded >> (8 - bit)
-        for d, node in ((1, nearest << 11 | local), (0, local)):
-            zeros, ones = top.zeros[d][node], top.ones[d][node]
-            here = (np.where(b.one, ones, zeros) + 0.5) / (zeros + ones + 1.0)
-            weight = 1.0 / (1.0 + np.exp(-np.clip(top.stop[d][node], -500, 500)))
-            p = np.where(met, weight * here + (1.0 - weight) * p, here)
-            met = zeros + ones > 0
-        out += np.log10(p)
+        b = _Bit(grams, counts, depth, bit, edges)
+        b.complete(known)
+        out += np.log10(b.predict())
     return out

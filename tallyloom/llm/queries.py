@@ -6,6 +6,8 @@ columns from the operator's outputs.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,9 @@ def _tokenizer(name: str) -> str:
 
 def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     scored = ctw.scores(docs, training=~held_out)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") * -log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyloom.llm import ctw
-from tallyloom.llm.ctw_model import Top, block_estimate, grams_of, log_probabilities, part_summary
+from tallyloom.llm.ctw_model import block_estimate, contexts_cut, edge_sums, edges_of, grams_of, log_probabilities, snapped, weighed
 
 
 def kt(a, b):
@@ -60,19 +60,15 @@ def brute_log10(train, lines, depth):
     for line in lines:
         total = 0.0
         for context, k, bits, bit in steps(line):
-            p = None
+            p = 0.5  # what a context that was never met predicts
             for d in range(depth, -1, -1):
                 node = (context[depth - d :], k, bits)
-                if node not in counts:
-                    continue
-                a = counts[node]
-                here = (a[bit] + 0.5) / (sum(a) + 1)
-                if p is None:
-                    p = here
-                else:
-                    w = 1 / (1 + math.exp(-max(-500, min(500, weigh(node, d)[1]))))
+                if node in counts:
+                    a = counts[node]
+                    here = (a[bit] + 0.5) / (sum(a) + 1)
+                    w = 1.0 if d == depth else 1 / (1 + math.exp(-max(-500, min(500, weigh(node, d)[1]))))
                     p = w * here + (1 - w) * p
-            total += math.log10(0.5 if p is None else p)
+            total += math.log10(p)
         out.append(total)
     return out
 
@@ -82,23 +78,54 @@ def _lines(n, seed):
     return [" ".join(r.choice(["the", "then", "é", "ab", "abba", "x"]) for _ in range(r.randint(0, 12))).encode() + b"\n" for _ in range(n)]
 
 
-def test_array_model_equals_recursive_tree():
+def values_in_parts(grams, counts, depth, cuts):
+    """log10 probabilities of sorted grams, part by part, with the edges' sums passed up level by level."""
+    part = np.searchsorted(np.array(cuts, dtype=np.uint64), grams, side="right")
+    ends = [edges_of(cuts[max(p - 1, 0) : p + 1], depth) for p in range(len(cuts) + 1)]
+    sums = defaultdict(lambda: np.zeros(3))
+    for p in set(part.tolist()):
+        for d, node, *values in zip(*edge_sums(grams[part == p], counts[part == p], depth, ends[p])):
+            sums[int(d), int(node)] += values
+    known = {}
+    for d in range(depth, -1, -1):
+        nodes = np.array(sorted(n for at, n in sums if at == d), dtype=np.int64)
+        zeros, ones, below = np.array([sums[d, int(n)] for n in nodes]).reshape(-1, 3).T
+        stop, weighted = weighed(zeros, ones, below, d == depth)
+        known[d] = (nodes, zeros, ones, stop)
+        for n, w in zip(nodes.tolist(), weighted):
+            if d:
+                sums[d - 1, (n >> 19) << 11 | n & 0x7FF][2] += w
+    out = np.zeros(len(grams))
+    for p in set(part.tolist()):
+        out[part == p] = log_probabilities(grams[part == p], counts[part == p], depth, ends[p], known)
+    return out
+
+
+def test_array_model_equals_recursive_tree_however_it_is_cut():
     depth = 3
-    train, test = _lines(30, 1), _lines(10, 2) + [b"zq\n", b"\n"]
+    train, test = _lines(30, 1), _lines(10, 2) + [b"zq\n", b"\n", b"the zzz\n"]
     every = np.concatenate([grams_of(x, depth, 10) for x in train])
     grams = np.unique(np.concatenate([every, *(grams_of(x, depth, 10) for x in test)]))
     counts = np.zeros(len(grams))
     np.add.at(counts, np.searchsorted(grams, every), 1)
-    values = np.zeros(len(grams))
-    # Two parts by the two nearest bytes, as the operator deals them.
-    part = ctw._parts_of_grams(grams, depth, 2)
-    summaries = [part_summary(grams[part == p], counts[part == p], depth) for p in (0, 1)]
-    names, of = np.unique(np.concatenate([s[0] for s in summaries]), return_inverse=True)
-    top = Top(names, *(np.bincount(of, np.concatenate([s[i] for s in summaries])) for i in (1, 2, 3)))
-    for p in (0, 1):
-        values[part == p] = log_probabilities(grams[part == p], counts[part == p], depth, top)
-    got = [values[np.searchsorted(grams, grams_of(x, depth, 10))].sum() for x in test]
-    assert np.allclose(got, brute_log10(train, test, depth), rtol=1e-6, atol=1e-6)
+    want = brute_log10(train, test, depth)
+    r = random.Random(7)
+    middle = grams[len(grams) // 2] & ~np.uint64(0xFF)  # cuts inside one context's grams too
+    for cuts in ([], [int(grams[9])], sorted(r.sample(grams.tolist(), 6)), [int(middle) + 1, int(middle) + 98, int(middle) + 110], snapped(sorted(r.sample(grams.tolist(), 8)))):
+        values = values_in_parts(grams, counts, depth, cuts)
+        got = [values[np.searchsorted(grams, grams_of(x, depth, 10))].sum() for x in test]
+        assert np.allclose(got, want, rtol=1e-6, atol=1e-6)
+
+
+def test_cuts_move_to_short_contexts_and_stay_apart():
+    r = random.Random(9)
+    for _ in range(50):
+        cuts = sorted(r.randrange(256**7) >> r.choice([0, 0, 20]) for _ in range(20))
+        moved = snapped(cuts)
+        assert moved == sorted(set(moved)) and len(moved) == len({c for c in cuts if c})
+        assert all(a < m <= b for a, m, b in zip([0, *sorted(set(cuts))], moved, sorted(set(cuts)), strict=False)) or 0 in cuts
+    assert snapped([(5 << 48) + 3, (7 << 48) + (1 << 40) + 9]) == [5 << 48, 7 << 48]
+    assert contexts_cut(7 << 48, 6) == {0: 0} and contexts_cut((7 << 48) + (2 << 40), 6) == {0: 0, 1: 7}
 
 
 def test_probabilities_of_all_bytes_sum_to_one():
@@ -111,10 +138,7 @@ def test_probabilities_of_all_bytes_sum_to_one():
         grams = np.unique(np.concatenate([every, asked]))
         counts = np.zeros(len(grams))
         np.add.at(counts, np.searchsorted(grams, every), 1)
-        s = part_summary(grams, counts, depth)
-        names, of = np.unique(s[0], return_inverse=True)
-        top = Top(names, *(np.bincount(of, x) for x in s[1:]))
-        p = 10 ** log_probabilities(grams, counts, depth, top)[np.searchsorted(grams, asked)]
+        p = 10 ** values_in_parts(grams, counts, depth, [])[np.searchsorted(grams, asked)]
         assert abs(p.sum() - 1) < 1e-9
 
 
@@ -127,6 +151,9 @@ def test_scores_of_a_table(spark):
     trains = F.col("doc_id") % 5 != 0
     got = ctw.scores(df, trains, depth=4).collect()
     assert len(got) == len(rows)
+    cut = ctw.scores(df, trains, depth=4, grams_per_part=300, chunk_grams=64).collect()
+    by_row = lambda x: (-1 if x.doc_id is None else x.doc_id, round(x.score, 3), x.n_bytes, x.n_known)
+    assert sorted(map(by_row, cut)) == sorted(map(by_row, got))
 
     def tokens(t):
         return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + ["\n"]
