@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -283,10 +285,10 @@ def _(t):
 @query("s8_run_log", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 30")
 def _(t):
     events = jobs.events_stream(t.spark, t.folder).select("user_id", "event_id", "ts")
-    return state.logged_with_retention(events, "user_id", ["ts", "event_id"], 30, shared_folder(t.spark)).select("user_id", "event_id")
+    return state.logged_with_retention(events, "user_id", ["ts", "event_id"], 30, f"{shared_folder(t.spark)}/log-{uuid.uuid4().hex}").select("user_id", "event_id")
 
 
 @query("s4_last_messages", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
 def _(t):
     events = jobs.events_stream(t.spark, t.folder).select("user_id", "event_id", "ts")
-    return state.logged_with_retention(events, "user_id", ["ts", "event_id"], 5, shared_folder(t.spark)).select("user_id", "event_id")
+    return state.logged_with_retention(events, "user_id", ["ts", "event_id"], 5, f"{shared_folder(t.spark)}/log-{uuid.uuid4().hex}").select("user_id", "event_id")

@@ -395,7 +395,12 @@ def _(t):
     return x.groupBy("c_nationkey").agg(F.round(line["slope"], 3).alias("slope"), F.round(line["fit"], 6).alias("fit"))
 
 
-@query("e10_longest_rising")
+@query(
+    "e10_longest_rising",
+    """WITH RECURSIVE o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_totalprice AS v FROM orders),
+       r AS (SELECT o_custkey, i, v, 1 AS n FROM o UNION SELECT o.o_custkey, o.i, o.v, r.n + 1 FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i > r.i AND o.v > r.v)
+       SELECT o_custkey, CAST(max(n) AS BIGINT) AS rising FROM r GROUP BY 1""",
+)
 def _(t):
     return windows.longest_rising(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", ["o_orderkey"], "o_totalprice")
 
@@ -405,12 +410,12 @@ def _(t):
     """WITH x AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey FROM orders), y AS (SELECT k, i FROM x WHERE o_orderkey % 7 <> 3), z AS (SELECT k, i, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS d FROM y),
        g AS (SELECT k, count(*) AS n, count(*) FILTER (d = 1) AS runs, min(i) AS lo, max(i) AS hi FROM z GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (d = 1) >= 0.6 * (count(*) - 1)),
        m AS (SELECT k, unnest(generate_series(lo, hi)) AS v FROM g), a AS (SELECT m.k, m.v FROM m ANTI JOIN y ON y.k = m.k AND y.i = m.v)
-       SELECT k, count(*) AS missing, min(v) AS first_missing FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v) AS r FROM a) WHERE r <= 20 GROUP BY 1""",
+       SELECT k, count(*) AS missing, min(v) AS first_missing FROM a GROUP BY 1""",
 )
 def _(t):
     numbered = t.orders.select(F.col("o_custkey").alias("k"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("i"), "o_orderkey").where("o_orderkey % 7 <> 3")
     found = windows.serial_gaps(numbered, "k", "i")
-    return found.select("k", F.size("missing").cast("long").alias("missing"), F.col("missing")[0].alias("first_missing"))
+    return found.groupBy("k").agg(F.sum(F.col("last_missing") - F.col("first_missing") + 1).alias("missing"), F.min("first_missing").alias("first_missing"))
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,11 +79,12 @@ def scoped_rules(df: DataFrame, rules: DataFrame, scope: str, rule_scope: str) -
     return named.unionByName(wide)
 
 
-def mutual_best(scores: DataFrame, left: str, right: str, score: str, max_rounds: int = 50) -> DataFrame:
+def mutual_best(scores: DataFrame, left: str, right: str, score: str, max_rounds: int = 12) -> DataFrame:
     """One-to-one pairs, highest score first, each side used once (ties by ids).
 
-    Rounds take all pairs that are best for both sides; what they use is dropped.
-    Each round is written to the checkpoint folder if one is set.
+    Rounds take all pairs that are best for both sides; what they use is dropped.  Each round is written to the checkpoint
+    folder.  What ``max_rounds`` leave (chains of falling scores, which settle one pair a round) is gone through once in
+    the order of scores by a task that holds nothing but the ids that are used.
     """
     out, left_over = None, scores
     for _ in range(max_rounds):
@@ -92,7 +96,22 @@ def mutual_best(scores: DataFrame, left: str, right: str, score: str, max_rounds
             return out if out is not None else best
         out = best if out is None else out.unionByName(best)
         left_over = left_over.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti").checkpoint()
-    raise RuntimeError(f"pairs did not settle in {max_rounds} rounds")
+    names = left_over.columns
+    a, b = names.index(left), names.index(right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used_left, used_right = set(), set()
+        for batch in batches:
+            taken = []
+            for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist()):
+                taken.append(x not in used_left and y not in used_right)
+                if taken[-1]:
+                    used_left.add(x)
+                    used_right.add(y)
+            yield batch.filter(pa.array(taken, pa.bool_()))
+
+    in_order = left_over.orderBy(F.col(score).desc(), left, right).coalesce(1)
+    return out.unionByName(in_order.mapInArrow(run, left_over.schema))
 
 
 def latest_record(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:

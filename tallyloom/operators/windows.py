@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def among_peers(df: DataFrame, peers: list[str], score: str) -> DataFrame:
@@ -62,32 +66,39 @@ def islands(df: DataFrame, key: str, start: str, end: str, tie: str) -> DataFram
     return numbered.groupBy(key, "island").agg(F.min(start).alias("from_date"), F.max(end).alias("to_date"), F.count("*").alias("n"))
 
 
-def serial_gaps(df: DataFrame, key: str, serial: str, share: float = 0.6, least: int = 3, most: int = 20) -> DataFrame:
-    """Missing numbers of serials that mostly run on: (key, missing array), ``most`` numbers a key."""
+def serial_gaps(df: DataFrame, key: str, serial: str, share: float = 0.6, least: int = 3) -> DataFrame:
+    """Gaps of serials that mostly run on: (key, first_missing, last_missing), one row a gap, however wide it is."""
     w = Window.partitionBy(key).orderBy(serial)
-    steps = df.withColumn("__s", (F.col(serial) - F.lag(serial).over(w) == 1).cast("int"))
-    per = steps.groupBy(key).agg(F.count("*").alias("n"), F.sum("__s").alias("runs"), F.min(serial).alias("lo"), F.max(serial).alias("hi"), F.collect_set(serial).alias("held"))
-    per = per.where((F.col("n") >= least) & (F.col("runs") / (F.col("n") - 1) >= share))
-    missing = F.array_except(F.sequence(F.col("lo"), F.col("hi")), F.col("held"))
-    return per.select(key, F.slice(F.array_sort(missing), 1, most).alias("missing")).where(F.size("missing") > 0)
+    steps = df.select(key, F.col(serial).alias("__s"), (F.col(serial) - F.lag(serial).over(w)).alias("__d"))
+    runs = steps.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("__d") == 1).alias("runs")).where((F.col("n") >= least) & (F.col("runs") / (F.col("n") - 1) >= share))
+    gaps = steps.where("__d > 1").select(key, (F.col("__s") - F.col("__d") + 1).alias("first_missing"), (F.col("__s") - 1).alias("last_missing"))
+    return gaps.join(runs.select(key), key, "left_semi")
 
 
 def longest_rising(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Per key the length of the longest strictly rising subsequence of its ordered values.
+    """Per key the length of the longest strictly rising subsequence of its ordered values; nulls are left out.
 
-    Groups are single documents or members, small by nature; each is one pandas
-    frame in a task.
+    A key's rows stream through a task in their order; only the least last value for each length is held.
     """
-    from bisect import bisect_left
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        tails: list = []
-        for v in frame.sort_values(order)[value]:
-            at = bisect_left(tails, v)
-            tails[at : at + 1] = [v]
-        return pd.DataFrame({key: [frame[key].iloc[0]], "rising": [len(tails)]})
-
-    return df.groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, rising long")
+    schema = T.StructType([df.schema[key], T.StructField("rising", T.LongType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, tails = None, None
+        for frame in frames:
+            done = []
+            for k, v in zip(frame[key].tolist(), frame[value].tolist()):
+                if tails is None or k != at:
+                    if tails is not None:
+                        done.append((at, len(tails)))
+                    at, tails = k, []
+                place = bisect_left(tails, v)
+                tails[place : place + 1] = [v]
+            yield pd.DataFrame(done, columns=[key, "rising"])
+        if tails is not None:
+            yield pd.DataFrame([(at, len(tails))], columns=[key, "rising"])
+
+    rows = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, *order, value)
+    return rows.repartition(key).sortWithinPartitions(key, *order).select(key, value).mapInPandas(run, schema)
 
 
 def ordinal_id(df: DataFrame, parent: str, order: list[Column], name: str = "item_id") -> DataFrame:

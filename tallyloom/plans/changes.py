@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.plans.verify import reasons
 
@@ -23,18 +27,28 @@ def applied(df: DataFrame, changes: DataFrame, key: str, columns: list[str]) ->
 def decided(requests: DataFrame, key: str, order: list[str], amount: str, balance: str) -> DataFrame:
     """Grants requests in order while the key's balance lasts; a refusal uses nothing.
 
-    An ordered fold over each key's requests, which a member has few of.
+    A key's requests stream through a task in their order, which holds what is left of the balance only.  The balance is
+    that of the key's first request; a null amount is refused, a null key has no balance to draw on and is left out.
     """
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(amount).cast("double").alias("__a"))))
-    grouped = requests.groupBy(key).agg(listed.alias("__q"), F.max(balance).cast("double").alias("__b"))
-    start = F.struct(F.col("__b").alias("left"), F.array().cast("array<boolean>").alias("said"))
-    fold = F.aggregate(
-        "__q",
-        start,
-        lambda s, r: F.struct(F.when(r["__a"] <= s["left"], s["left"] - r["__a"]).otherwise(s["left"]).alias("left"), F.concat(s["said"], F.array(r["__a"] <= s["left"])).alias("said")),
-    )
-    done = grouped.withColumn("__f", fold).select(key, F.col("__f.left").alias("balance_left"), F.explode(F.arrays_zip(F.col("__q").alias("q"), F.col("__f.said").alias("granted"))).alias("__x"))
-    return done.select(key, *(F.col("__x.q")[c].alias(c) for c in order), F.col("__x.q")["__a"].alias(amount), F.col("__x.granted").alias("granted"), "balance_left")
+    schema = T.StructType([requests.schema[key], *(requests.schema[c] for c in order), T.StructField(amount, T.DoubleType()), T.StructField("granted", T.BooleanType()), T.StructField("__left", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left = None, 0.0
+        for batch in batches:
+            granted, lefts = [], []
+            for k, a, b in zip(*(batch.column(i).to_pylist() for i in (0, -2, -1)), strict=True):
+                if k != at:
+                    at, left = k, b or 0.0
+                granted.append(a is not None and a <= left)
+                if granted[-1]:
+                    left -= a
+                lefts.append(left)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(granted, pa.bool_()), pa.array(lefts, pa.float64())], names=schema.names)
+
+    rows = requests.where(F.col(key).isNotNull()).select(key, *order, F.col(amount).cast("double"), F.col(balance).cast("double").alias("__balance"))
+    done = rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    # What is left never rises, so the least is the last.
+    return done.withColumn("balance_left", F.min("__left").over(Window.partitionBy(key))).drop("__left")
 
 
 def weighted_pick(df: DataFrame, key: str, choices: list[tuple[str, int]], name: str) -> DataFrame:

@@ -57,18 +57,16 @@ def repair_row(qty: Column, rate: Column, amount: Column) -> Column:
         both = F.array(F.struct(plain.alias("v"), F.lit(0).alias("n")), F.struct(F.when(plain.isNull(), repaired(c)).alias("v"), F.lit(1).alias("n")))
         return F.filter(both, lambda r: r["v"].isNotNull())
 
-    triples = F.flatten(
-        F.transform(
-            readings(qty),
-            lambda q: F.flatten(
-                F.transform(readings(rate), lambda r: F.transform(readings(amount), lambda a: F.struct((q["n"] + r["n"] + a["n"]).alias("n"), q["v"].alias("qty"), r["v"].alias("rate"), a["v"].alias("amount"))))
-            ),
-        )
-    )
-    right = F.array_distinct(F.filter(triples, lambda t: ~row_mismatch(t["qty"], t["rate"], t["amount"])))
-    best = F.array_min(F.transform(right, lambda t: t["n"]))
-    fewest = F.filter(right, lambda t: t["n"] == best)
-    return F.when(F.size(fewest) == 1, fewest[0])
+    def triples(x: Column) -> Column:
+        three = lambda q, r, a: F.struct((q["n"] + r["n"] + a["n"]).alias("n"), q["v"].alias("qty"), r["v"].alias("rate"), a["v"].alias("amount"))
+        return F.flatten(F.transform(x["q"], lambda q: F.flatten(F.transform(x["r"], lambda r: F.transform(x["a"], lambda a: three(q, r, a))))))
+
+    # Each array is named once by a one-element array around it, else every use would compute it again.
+    read = F.array(F.struct(readings(qty).alias("q"), readings(rate).alias("r"), readings(amount).alias("a")))
+    right = F.transform(read, lambda x: F.array_distinct(F.filter(triples(x), lambda t: ~row_mismatch(t["qty"], t["rate"], t["amount"]))))
+    found = F.transform(right, lambda ts: F.struct(ts.alias("ts"), F.array_min(F.transform(ts, lambda t: t["n"])).alias("best")))
+    fewest = F.transform(found, lambda f: F.filter(f["ts"], lambda t: t["n"] == f["best"]))
+    return F.transform(fewest, lambda ts: F.when(F.size(ts) == 1, ts[0]))[0]
 
 
 def cell_scores(said: DataFrame, gold: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -91,11 +89,15 @@ def calibration(pairs: DataFrame, confidence: str, wrong: str) -> DataFrame:
 def lowest_gate(pairs: DataFrame, confidence: str, wrong: str, target: float, least: int) -> DataFrame:
     """The lowest confidence from which at least ``least`` rows have an error rate within the target.
 
-    Rows are first summed by confidence, so the running sums are over its distinct values.
+    Rows are summed by confidence and those sums by thousandths of it, so that running sums over distinct
+    confidences are taken within a thousandth, on top of what lies above it.
     """
-    sums = pairs.groupBy(confidence).agg(F.count("*").alias("n"), F.count_if(F.col(wrong)).alias("e"))
-    w = Window.orderBy(F.col(confidence).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = sums.select(confidence, F.sum("n").over(w).alias("n"), F.sum("e").over(w).alias("e"))
+    sums = pairs.groupBy(confidence).agg(F.count("*").alias("n"), F.count_if(F.col(wrong)).alias("e")).withColumn("__part", F.floor(F.least(F.greatest(F.col(confidence), F.lit(0)), F.lit(1)) * 1000))
+    above = Window.orderBy(F.col("__part").desc()).rowsBetween(Window.unboundedPreceding, -1)  # 1001 rows at most
+    parts = sums.groupBy("__part").agg(F.sum("n").alias("__n"), F.sum("e").alias("__e"))
+    parts = parts.select("__part", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__n"), F.coalesce(F.sum("__e").over(above), F.lit(0)).alias("__e"))
+    w = Window.partitionBy("__part").orderBy(F.col(confidence).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = sums.join(F.broadcast(parts), "__part").select(confidence, (F.sum("n").over(w) + F.col("__n")).alias("n"), (F.sum("e").over(w) + F.col("__e")).alias("e"))
     return run.where((F.col("n") >= least) & (F.col("e") / F.col("n") <= target)).agg(F.min(confidence).alias("gate"))
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-
 def escalations(events: DataFrame, raised: str, answer: str, hours: int, late: str) -> DataFrame:
     """(event_id, user_id) of raised events that no answer of the same user followed in time.
 
@@ -55,22 +54,41 @@ def escalations(events: DataFrame, raised: str, answer: str, hours: int, late: s
     return used.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long", "ids array<long>, at array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Parts that a log's keys are dealt to; a batch rewrites those that it has keys of.
+LOG_PARTS = 64
+
+
 def logged_with_retention(stream: DataFrame, key: str, order: list[str], keep: int, target: str) -> DataFrame:
-    """Appends each micro-batch to a log and keeps the last ``keep`` rows a key; the log that is left.
+    """Appends each micro-batch to the log in folder ``target`` and keeps the last ``keep`` rows a key; the log that is left.
 
-    Each batch writes a new version of the kept log, so a batch that is run again
-    after a failure replaces its own version only.
+    A batch writes new versions of the parts that it has keys of and a list of all parts' versions.  It reads the list of
+    the batch before it, so a batch that is run again replaces its own versions only, and a query that is started
+    again on the same folder goes on.  A stream without rows gives an empty table.
     """
-    spark, path = stream.sparkSession, f"{target.rstrip('/')}/log-{uuid.uuid4().hex}"
-    versions: list[str] = []
+    spark, path = stream.sparkSession, target.rstrip("/")
+
+    def versions(number: int) -> dict[int, int]:
+        return {r["part"]: r["version"] for r in spark.read.schema("part int, version long").parquet(f"{path}/versions/{number}").collect()}
+
+    def log_of(known: dict[int, int], schema) -> DataFrame:
+        places = [f"{path}/v{v}/__part={p}" for p, v in sorted(known.items())]
+        return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
 
     def write(batch: DataFrame, number: int) -> None:
-        known = batch if not versions else spark.read.schema(batch.schema).parquet(versions[-1]).unionByName(batch)
+        known = versions(number - 1) if number else {}
+        part = F.pmod(F.xxhash64(key), F.lit(LOG_PARTS)).cast("int")
+        touched = [r[0] for r in batch.select(part).distinct().collect()]
+        rows = log_of({p: v for p, v in known.items() if p in touched}, batch.schema).unionByName(batch)
         last = F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order)))
-        here = f"{path}/v{number}"
-        known.withColumn("__n", last).where(F.col("__n") <= keep).drop("__n").write.mode("overwrite").parquet(here)
-        versions.append(here)
+        rows.withColumn("__n", last).where(F.col("__n") <= keep).drop("__n").withColumn("__part", part).write.mode("overwrite").partitionBy("__part").parquet(f"{path}/v{number}")
+        now = known | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(now.items()), "part int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/{number}")
+        spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("overwrite").parquet(f"{path}/last")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(versions[-1])
+    try:
+        number = spark.read.schema("number long").parquet(f"{path}/last").first()["number"]
+    except AnalysisException:  # no batch has been written yet
+        return spark.createDataFrame([], stream.schema)
+    return log_of(versions(number), stream.schema)

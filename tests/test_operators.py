@@ -12,6 +12,7 @@ from tallyloom.functions.numbers import band, half_up
 from tallyloom.operators import joins, windows
 from tallyloom.plans import changes, schedule, verify
 from tallyloom.sources.shared import with_checkpoints
+from tallyloom.streaming import state
 
 import __spark_entry__  # noqa: F401
 
@@ -139,3 +140,51 @@ def test_nested_json_tables(spark, tmp_path):
     got = sorted(tuple(r) for r in load_cells(spark, str(tmp_path)).collect() if r.raw is not None)
     assert got == [("a.json", "t-0", 2, 0, 0, "item"), ("a.json", "t-0", 2, 0, 1, "amount"), ("a.json", "t-0", 2, 1, 0, "x")]
     assert load_cells(spark, str(tmp_path)).count() == 4
+
+
+def test_one_to_one_pairs_of_a_chain_of_falling_scores(spark):
+    with_checkpoints(spark)
+    n = 400
+    pairs = [(i, i, 10.0 * n - 2 * i) for i in range(n)] + [(i + 1, i, 10.0 * n - 2 * i - 1) for i in range(n - 1)]
+    got = {tuple(x) for x in joins.mutual_best(spark.createDataFrame(pairs, "a long, b long, s double"), "a", "b", "s", max_rounds=2).collect()}
+    used_a, used_b, want = set(), set(), set()
+    for a, b, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            want.add((a, b, s))
+    assert got == want
+
+
+def test_serial_gaps_of_any_width(spark):
+    rows = [("a", v) for v in (1, 2, 3, 5, 6, 7, 8, 10**12)] + [("b", v) for v in (1, 5, 9)] + [("c", 1)]
+    got = {tuple(x) for x in windows.serial_gaps(spark.createDataFrame(rows, "k string, v long"), "k", "v").collect()}
+    assert got == {("a", 4, 4), ("a", 9, 10**12 - 1)}
+
+
+def test_gate_over_continuous_confidences(spark):
+    r = random.Random(2)
+    rows = [(c, r.random() > c) for c in [r.random() for _ in range(3000)] + [0.0, 1.0, 1.0]]
+    gate = verify.lowest_gate(spark.createDataFrame(rows, "c double, wrong boolean"), "c", "wrong", 0.2, 50).first()["gate"]
+    rows.sort(key=lambda x: -x[0])
+    n = e = 0
+    want = None
+    for i, (c, wrong) in enumerate(rows):
+        n, e = n + 1, e + wrong
+        if (i + 1 == len(rows) or rows[i + 1][0] != c) and n >= 50 and e / n <= 0.2:
+            want = c
+    assert gate == want
+
+
+def test_a_log_goes_on_in_its_folder_and_may_be_empty(spark, tmp_path):
+    schema = "user_id long, event_id long, ts long"
+    source, target = tmp_path / "in", f"file://{tmp_path}/log"
+    source.mkdir()
+    stream = lambda: spark.readStream.schema(schema).parquet(str(source))
+    assert state.logged_with_retention(stream(), "user_id", ["ts", "event_id"], 3, target).count() == 0
+    for part in range(3):
+        rows = [(u, 10 * part + u, part) for u in range(8) if part < 2 or u < 2]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(source))
+        left = state.logged_with_retention(stream(), "user_id", ["ts", "event_id"], 2, target).collect()
+        assert len(left) == [8, 16, 16][part]
+    assert {x.event_id for x in left if x.user_id == 1} == {11, 21} and {x.event_id for x in left if x.user_id == 5} == {5, 15}
