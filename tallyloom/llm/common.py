@@ -46,6 +46,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(*tables: DataFrame) -> None:
+    """Deletes ``written`` tables that nothing reads any more: what was made of them is itself written."""
+    for table in tables:
+        spark = table.sparkSession
+        base = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if base in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of two numbers that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if its rows are counted and few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_of(column: str = "text"):
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.word_codes import slices
-from tallyloom.llm.common import written
+from tallyloom.llm.common import released, small, written
 from tallyloom.llm.components import components
 from tallyloom.llm.simhash import fingerprint, grouped, shard_links, shingle_hashes
+from tallyloom.llm.word_codes import slices
 
 WORDS = 5
 #: Sets that one step of contraction compares a new one with, and its minimum hashes.
@@ -91,10 +91,11 @@ def text_sets(df: DataFrame, whole: bool, id_col: str = "doc_id", text_col: str
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
-    """(sid, n, key, fp, hashes): one row for each distinct set, with its least fingerprint."""
-    found = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.first("hashes").alias("hashes"))
-    plain = written(found.drop("d1", "d2"), "sets")
-    return written(plain.withColumn("sid", F.monotonically_increasing_id()), "numbered-sets")
+    """(sid, n, key, at, fp, hashes): one row for each distinct set, with its least fingerprint and the id and hash of one text."""
+    one = F.min(F.struct(F.col(rows.columns[0]).alias("at"), "key")).alias("one")
+    found = rows.where("n > 0").groupBy("n", "d1", "d2").agg(one, F.min("fp").alias("fp"), F.first("hashes").alias("hashes"))
+    # Numbered as it is written: of a task's attempts one is kept, so numbers are what they are in the table.
+    return written(found.select(F.monotonically_increasing_id().alias("sid"), "n", "one.key", "one.at", "fp", "hashes"), "sets")
 
 
 def _runs(batches, of: int):
@@ -118,7 +119,7 @@ def _runs(batches, of: int):
 
 
 def with_partners(sets: DataFrame) -> DataFrame:
-    """(key): a text of each set of which enough leading hashes stand in another set."""
+    """(key, at): a text of each set of which enough leading hashes stand in another set."""
     postings = sets.select(F.explode("hashes").alias("h"), "sid")
 
     def run(batches):
@@ -140,7 +141,7 @@ def with_partners(sets: DataFrame) -> DataFrame:
     shared = postings.repartition("h").sortWithinPartitions("h").mapInArrow(run, "sid long").groupBy("sid").agg(F.count("*").alias("shared"))
     # l of the least partner's size, ceil(4n/5)
     needed = F.expr("(((4 * n + 4) div 5) + 9) div 10")
-    return written(sets.select("sid", "n", "key").join(shared, "sid").where(F.col("shared") >= needed).select("key"), "partners")
+    return written(sets.select("sid", "n", "key", "at").join(shared, "sid").where(F.col("shared") >= needed).select("key", "at"), "partners")
 
 
 def contracted(sets: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def contracted(sets: DataFrame) -> DataFrame:
 
 def open_pairs(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     """(a, b) pairs of sets in different clusters that share a leading shingle, rare ones first."""
-    held = written(sets.select(F.explode("hashes").alias("h"), "sid", "n"), "shingles")
+    held = sets.select(F.explode("hashes").alias("h"), "sid", "n")
     often = written(held.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-shingles")
     w = Window.partitionBy("sid")
     ranked = held.join(often, "h").withColumn("single", F.col("n") - F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("sets", "h")))
@@ -216,9 +217,13 @@ def set_links(df: DataFrame, rows: DataFrame, text_col: str = "text") -> DataFra
     same = rows.where("n > 0").select("n", "d1", "d2", "fp").distinct()
     least = same.groupBy("n", "d1", "d2").agg(F.min("fp").alias("least"), F.count("*").alias("several")).where("several > 1")
     of_copies = same.join(least.drop("several"), ["n", "d1", "d2"]).select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    keys = with_partners(distinct_sets(rows))
-    again = df.withColumn("key", F.xxhash64(text_col)).join(keys.distinct(), "key", "left_semi")
-    sets = distinct_sets(text_sets(again.select(F.col("key").alias("id"), text_col), True, "id", text_col))
+    leading = distinct_sets(rows)
+    partners = with_partners(leading)
+    released(leading)
+    # One text of each set: by its hash and the row's id, which may be null.
+    texts = df.select(F.col(rows.columns[0]).alias("id"), F.col(text_col).alias("text"))
+    again = texts.join(small(partners), F.col("id").eqNullSafe(F.col("at")) & (F.xxhash64("text") == F.col("key")), "left_semi")
+    sets = distinct_sets(text_sets(again, True, "id", "text"))
     first = contracted(sets)
     clusters = written(components(first).select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "clusters")
     pairs = written(open_pairs(sets, clusters), "open-pairs")
