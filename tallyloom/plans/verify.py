@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import is_amount, parse_number
+
 #: Letters that scanners take for digits.
 GLYPHS = [("O", "0"), ("o", "0"), ("l", "1"), ("I", "1"), ("S", "5"), ("B", "8"), ("Z", "2")]
 
@@ -69,6 +71,48 @@ def repair_row(qty: Column, rate: Column, amount: Column) -> Column:
     return F.transform(fewest, lambda ts: F.when(F.size(ts) == 1, ts[0]))[0]
 
 
+#: Characters that are read for digits, each with its digit.
+LOOK_ALIKES = {"O": "0", "o": "0", "D": "0", "Q": "0", "l": "1", "I": "1", "|": "1", "i": "1", "Z": "2", "z": "2", "S": "5", "s": "5", "B": "8", "g": "9", "b": "6", "T": "7", "A": "4", "G": "6"}
+
+
+def cell_readings(cell: Column, most: int = 2) -> Column:
+    """array of (value, changes): the cell as it is read, and with one or more of its look-alikes (``most`` at most) as digits."""
+    pairs = F.create_map(*[F.lit(x) for pair in LOOK_ALIKES.items() for x in pair])
+    chars = F.split(cell, "")
+    odd = F.filter(F.transform(chars, lambda c, i: F.when(pairs[c].isNotNull(), i)), lambda i: i.isNotNull())
+    one = F.transform(odd, lambda i: F.array(i))
+    sets = F.when(F.size(odd) > most, F.array().cast("array<array<int>>")).when(F.size(odd) == 2, F.concat(one, F.array(odd))).otherwise(one)
+    as_digits = lambda at: F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(at, i), pairs[c]).otherwise(c)), "")
+    variants = F.transform(sets, lambda at: F.array(F.struct(as_digits(at).alias("s"), F.size(at).alias("changes"))))
+    read = F.transform(F.flatten(variants), lambda v: F.struct(F.when(is_amount(v["s"]), parse_number(v["s"])).alias("value"), v["changes"].alias("changes")))
+    plain = F.array(F.struct(parse_number(cell).alias("value"), F.lit(0).alias("changes")))
+    return F.filter(F.concat(plain, read), lambda r: r["value"].isNotNull())
+
+
+def repair_look_alikes(qty: Column, rate: Column, amount: Column) -> Column:
+    """struct(qty, rate, amount) that makes a wrong row's arithmetic right with the fewest look-alikes read as digits.
+
+    Null where the row is right as it stands, a cell has no number, nothing helps, or different values do with equally few.
+    """
+    read = F.array(F.struct(cell_readings(qty).alias("q"), cell_readings(rate).alias("r"), cell_readings(amount).alias("a"), parse_number(qty).alias("q0"), parse_number(rate).alias("r0"), parse_number(amount).alias("a0")))
+    three = lambda q, r, a: F.struct((q["changes"] + r["changes"] + a["changes"]).alias("changes"), F.struct(q["value"].alias("qty"), r["value"].alias("rate"), a["value"].alias("amount")).alias("row"))
+    every = lambda x: F.flatten(F.transform(x["q"], lambda q: F.flatten(F.transform(x["r"], lambda r: F.transform(x["a"], lambda a: three(q, r, a))))))
+    wrong = lambda x: x["q0"].isNotNull() & x["r0"].isNotNull() & x["a0"].isNotNull() & row_mismatch(x["q0"], x["r0"], x["a0"])
+    right = F.transform(read, lambda x: F.when(wrong(x), F.filter(every(x), lambda t: (t["changes"] > 0) & ~row_mismatch(t["row"]["qty"], t["row"]["rate"], t["row"]["amount"]))))
+    named = F.transform(right, lambda ts: F.struct(ts.alias("ts"), F.array_min(F.transform(ts, lambda t: t["changes"])).alias("best")))
+    fewest = F.transform(named, lambda n: F.array_distinct(F.transform(F.filter(n["ts"], lambda t: t["changes"] == n["best"]), lambda t: t["row"])))
+    return F.transform(fewest, lambda rows: F.when(F.size(rows) == 1, rows[0]))[0]
+
+
+def piecewise(df: DataFrame, value: str, points: list[tuple[float, float]], name: str) -> DataFrame:
+    """``df`` with the value mapped through the points' straight segments, clamped at both ends."""
+    first, last = points[0], points[-1]
+    out = F.when(F.col(value) <= first[0], F.lit(first[1]))
+    for (x0, y0), (x1, y1) in zip(points, points[1:]):
+        out = out.when(F.col(value) <= x1, y0 + (F.col(value) - x0) * ((y1 - y0) / (x1 - x0)))
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), out.otherwise(F.lit(last[1]))))
+
+
 def cell_scores(said: DataFrame, gold: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per doc (the first key): precision, recall and F1 of cells at the right place."""
     doc = keys[0]
