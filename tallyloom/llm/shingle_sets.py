@@ -10,8 +10,9 @@ The search is complete and every link is checked on the whole sets.
    hashes are compared with a few that came before; what is found so saves work
    in the next step and is never relied on to be complete.
 3. Shingles are ordered by the number of sets that have them, then by value.
-   Similar sets share one among their first n - ceil(4n/5) + 1, so each pair that
-   shares one, may agree in size and isn't joined yet is compared.
+   Similar sets share one among their first n - ceil(4n/5) + 1, and at the first one
+   that they share enough are left on both sides.  Each pair that shares such a one,
+   may agree in size and isn't joined yet is compared.
 
 A shingle that many sets share is dealt by bands of set sizes, and sets that step
 2 has joined are not paired again; nothing is left out.
@@ -36,7 +37,7 @@ from tallyloom.llm.word_codes import slices
 
 WORDS = 5
 #: Sets that one step of contraction compares a new one with, and its minimum hashes.
-KEPT, KEYS = 16, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+KEPT, KEYS = 64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Sizes of similar sets differ by a factor of 1.25 at most, so by one band at most.
 BAND = 1.26
 
@@ -163,13 +164,11 @@ def contracted(sets: DataFrame) -> DataFrame:
             for key, sid, hashes in zip(zip(which, least), sids, _arrays(batch.column(3))):
                 if key != at:
                     at, kept = key, []
-                for other, held in kept:
-                    if similar(hashes, held):
-                        links.append((sid, other))
-                        break
-                else:
-                    if len(kept) < KEPT:
-                        kept.append((sid, hashes.copy()))
+                # All that are similar, so that what they stand for is joined too.
+                near = [other for other, held in kept if similar(hashes, held)]
+                links += [(sid, other) for other in near]
+                if not near and len(kept) < KEPT:
+                    kept.append((sid, hashes.copy()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     dealt = sets.select("sid", "hashes").mapInArrow(keyed, schema).repartition("which", "least").sortWithinPartitions("which", "least")
@@ -182,17 +181,21 @@ def open_pairs(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     often = written(held.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-shingles")
     w = Window.partitionBy("sid")
     ranked = held.join(often, "h").withColumn("single", F.col("n") - F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("sets", "h")))
-    leading = ranked.where("single + place <= n - ((4 * n + 4) div 5) + 1").select("h", "sid", "n")
-    leading = leading.join(clusters, "sid", "left").select("h", F.floor(F.log("n") / float(np.log(BAND))).alias("band"), "n", "sid", F.coalesce("cluster", "sid").alias("cluster"))
-    dealt = leading.select("h", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "n", "sid", "cluster")
+    left = F.col("n") - F.col("single") - F.col("place") + 1  # from this shingle on
+    leading = ranked.where("single + place <= n - ((4 * n + 4) div 5) + 1").select("h", "sid", "n", left.alias("left"))
+    leading = leading.join(clusters, "sid", "left").select("h", F.floor(F.log("n") / float(np.log(BAND))).alias("band"), "n", "sid", F.coalesce("cluster", "sid").alias("cluster"), "left")
+    dealt = leading.select("h", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "n", "sid", "cluster", "left")
 
     def run(batches):
-        for _, _, n, sid, cluster in _runs(batches, 2):
+        for _, _, n, sid, cluster, left in _runs(batches, 2):
             if (cluster == cluster[0]).all():
                 continue
             ends = np.searchsorted(n, 5 * n // 4, side="right")
             for i in range(len(n) - 1):
-                others = sid[i + 1 : ends[i]][cluster[i + 1 : ends[i]] != cluster[i]]
+                after = slice(i + 1, ends[i])
+                # Similar sets share 4/9 of both sizes or more, all of it from their first shared shingle on.
+                may = (cluster[after] != cluster[i]) & (9 * np.minimum(left[after], left[i]) >= 4 * (n[after] + n[i]))
+                others = sid[after][may]
                 if len(others):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(others, sid[i])), pa.array(np.maximum(others, sid[i]))], names=["a", "b"])
 
