@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.word_codes import slices
+from tallyloom.llm.word_codes import give_back, slices
 from tallyloom.llm.common import text_of, written
 from tallyloom.llm.suffix_array import _codes, permuted_prefixes, suffix_array
 
@@ -346,6 +346,7 @@ def arrays(fetched: DataFrame, width: int, shard_segments: int) -> DataFrame:
                 last = r[:2]
         if held:
             yield from settle(held)
+        give_back()
 
     return fetched.repartition("gram", "shard").sortWithinPartitions("gram", "shard").mapInArrow(run, _FOUND)
 

@@ -10,6 +10,7 @@ Nothing is kept from batch to batch, so memory is bounded by the batch.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -84,6 +85,15 @@ class WordCodes:
         return out + [b"".join([code[p] for p in found]) for found in of_first]
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system: workers live on from task to task, and their stages' peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes in one string or binary column."""
     for batch in batches:
@@ -92,3 +102,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20)
         step = max(1, int(batch.num_rows * limit / max(limit, batch.column(column).nbytes)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    give_back()
