@@ -392,4 +392,7 @@ def scores(df: DataFrame, training: Column, depth: int = 6, grams_per_part: int
         yield from _batches(rows(), schema, types, 4096)
 
     whole = of_grams.unionByName(of_words.where("block >= 0")).unionByName(table.where(F.col("kind") == _TEXTS))
-    return whole.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(run, schema)
+    # As many partitions as there are blocks where these are more than the session's: a task then holds about one.
+    blocks = size // BLOCK_BYTES
+    by_block = whole.repartition(blocks, "block") if blocks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else whole.repartition("block")
+    return by_block.sortWithinPartitions("block", "kind", "part").mapInArrow(run, schema)
