@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     local session, as in tests) is a temporary folder made and recorded.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(CHECKPOINT_KEY, found)
