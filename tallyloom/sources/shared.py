@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """What ``spark.checkpoint.dir`` names; a temporary folder only where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
