@@ -233,7 +233,9 @@ def set_links(df: DataFrame, rows: DataFrame, text_col: str = "text") -> DataFra
     links = first.unionByName(checked(pairs, sets))
     fps = sets.select("sid", "fp")
     named = links.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    return written(of_copies.unionByName(named).where("a <> b"), "set-links")
+    out = written(of_copies.unionByName(named).where("a <> b"), "set-links")
+    released(sets, first, clusters, pairs)
+    return out
 
 
 def near_duplicates(df: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
