@@ -11,7 +11,7 @@ from math import log2
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, ctw, decision_list, iso_media, ordinal, packing, secrets, simhash, suffix_dedup, warc
+from tallyloom.llm import byte_bpe, ctw, decision_list, fill_middle, iso_media, ordinal, packing, secrets, simhash, suffix_dedup, turn_repair, warc, word_bpe
 from tallyloom.llm.common import load, text_of
 
 
@@ -128,6 +128,36 @@ def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer("word_bpe_49k.json")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    both = word_bpe.decode(word_bpe.encode(docs, path), path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(turn_repair.damaged(load(spark, sf_dir, "conversations")))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_middle.transform(docs, seed="7", rate=100, spm_rate=50, unit="line")
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_ctw": op1_ctw,
     "op2_packing": op2_packing,
@@ -139,6 +169,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_iso_media": op9_iso_media,
     "op10_entropy_secrets": op10_entropy_secrets,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -153,4 +186,26 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> f THEN f END AS refers_to
         FROM first""",
+    "op13_fill_middle": """
+        WITH lines AS (
+            SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\\n]*\\n|[^\\n]+') AS u,
+                   sha256('7:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h
+            FROM documents
+        ), drawn AS (
+            SELECT *, CAST(len(u) AS BIGINT) AS n,
+                   CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+                        WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM lines
+        ), cut AS (
+            SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+                   array_to_string(u[greatest(c1, c2) + 1:], '') AS s
+            FROM drawn
+        )
+        SELECT doc_id, n, form,
+               CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM cut""",
 }
