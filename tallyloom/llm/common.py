@@ -45,27 +45,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
 def released(*tables: DataFrame) -> None:
     """Deletes ``written`` tables that nothing reads any more: what was made of them is itself written."""
     for table in tables:
         spark = table.sparkSession
-        base = shared_dir(spark).split(":", 1)[-1].lstrip("/")
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if base in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of two numbers that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, a written table of narrow rows, marked for broadcast if its rows are counted and few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, a written table, marked for broadcast if its values, summed over all rows, are few bytes."""
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 if t in ("string", "binary") else F.lit(16) for c, t in df.dtypes]
+    total = df.agg(F.sum(sum(sizes[1:], sizes[0])).alias("bytes")).first()["bytes"]
+    flat = not any(t.startswith(("array", "map", "struct")) for _, t in df.dtypes)
+    return F.broadcast(df) if flat and (total or 0) <= BROADCAST_BYTES else df
 
 
 def text_of(column: str = "text"):

@@ -62,7 +62,10 @@ def _joined_in_tasks(edges: DataFrame) -> DataFrame:
         for at in range(0, len(nodes), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65536], t) for x, t in zip((nodes, tops), batch.schema.types)], names=["u", "v"])
 
-    return edges.coalesce(max(1, edges.count() // TASK_EDGES)).mapInArrow(run, edges.schema)
+    tasks = -(-edges.count() // TASK_EDGES)
+    # A task that reads a written table gets a split of it, which may be far more edges.
+    dealt = edges.coalesce(max(1, tasks)) if tasks < edges.rdd.getNumPartitions() else edges.repartition(tasks)
+    return dealt.mapInArrow(run, edges.schema)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -6,16 +6,19 @@ The search is complete and every link is checked on the whole sets.
    + l(n) in order of value, l(n) = ceil(n/10).  Two similar sets of at least
    ceil(4n/5) shingles each have l of the smaller one or more in common there, so a
    set of which fewer leading hashes stand in another set has no partner.
-2. The other sets are read again in full.  Sets that meet on one of four minimum
-   hashes are compared with a few that came before; what is found so saves work
-   in the next step and is never relied on to be complete.
+2. The other sets are read again in full.  Among the sets that meet on one of six
+   minimum hashes all similar pairs are found, by what each set has and lacks
+   against the shingles that most of them have; the links that are kept connect
+   what the pairs do, so there are fewer of them than sets.
 3. Shingles are ordered by the number of sets that have them, then by value.
    Similar sets share one among their first n - ceil(4n/5) + 1, and at the first one
    that they share enough are left on both sides.  Each pair that shares such a one,
-   may agree in size and isn't joined yet is compared.
+   may agree in size, met on no minimum hash and isn't joined yet is compared.
 
-A shingle that many sets share is dealt by bands of set sizes, and sets that step
-2 has joined are not paired again; nothing is left out.
+Near copies of one text meet in step 2 almost all, so step 3 makes few pairs of a
+large group of them.  What meets on a minimum hash or on a shingle (there by bands
+of set sizes) is dealt to tasks in blocks of bounded size, so that each two sets
+meet in one task; nothing is left out.
 
 Defined results: a text of one to four words is one shingle; null and word-less
 texts have no set and no link here; a set's texts link to each other.
@@ -26,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +39,10 @@ from tallyloom.llm.simhash import fingerprint, grouped, shard_links, shingle_has
 from tallyloom.llm.word_codes import slices
 
 WORDS = 5
-#: Sets that one step of contraction compares a new one with, and its minimum hashes.
-KEPT, KEYS = 64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Odd factors that give the six minimum hashes: multiples of one by odd numbers, modulo 2**64.
+KEYS = tuple(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(6))
+#: Shingles, and sets, of a group that one block holds; a task compares two blocks.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 20, 4096
 #: Sizes of similar sets differ by a factor of 1.25 at most, so by one band at most.
 BAND = 1.26
 
@@ -145,49 +150,121 @@ def with_partners(sets: DataFrame) -> DataFrame:
     return written(sets.select("sid", "n", "key", "at").join(shared, "sid").where(F.col("shared") >= needed).select("key", "at"), "partners")
 
 
-def contracted(sets: DataFrame) -> DataFrame:
-    """(a, b) links of sets that meet on a minimum hash: true ones, not all."""
-    schema = "which long, least long, sid long, hashes array<long>"
+def minimum_hashes(sets: DataFrame) -> DataFrame:
+    """(sid, n, keys): the least product of a hash and each factor."""
 
-    def keyed(batches):
-        for batch in slices(batches, 1):
-            arrays = _arrays(batch.column(1))
-            for which, factor in enumerate(KEYS):
-                least = [int((x.view(np.uint64) * np.uint64(factor)).min().view(np.int64)) for x in arrays]
-                yield pa.RecordBatch.from_arrays([pa.array([which] * len(least), pa.int64()), pa.array(least, pa.int64()), batch.column(0), _lists(arrays)], names=["which", "least", "sid", "hashes"])
+    def run(batches):
+        for batch in slices(batches, 2):
+            rows = [[int((x.view(np.uint64) * np.uint64(f)).min().view(np.int64)) for f in KEYS] for x in _arrays(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], names=["sid", "n", "keys"])
+
+    return sets.select("sid", F.col("n").cast("long").alias("n"), "hashes").mapInArrow(run, "sid long, n long, keys array<long>")
+
+
+def pair_blocks(blocks: Column, sid: Column) -> Column:
+    """The pairs of blocks that a row goes to, so that each two rows of its group meet in one or more."""
+    own = F.pmod(F.xxhash64(sid), blocks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != own)
+    return F.when(blocks <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda j: F.least(own, j) * blocks + F.greatest(own, j)))
+
+
+def spanning(arrays: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of similar ones among arrays of distinct hashes that connect all that are connected.
+
+    With C the hashes that most arrays have, two arrays differ by what each one
+    differs from C less what they share of that.  Differences are few among near
+    copies, so lists of who differs where take the place of whole comparisons.
+    """
+    m = len(arrays)
+    if m == 2:
+        return [(0, 1)] if similar(*arrays) else []
+    n = np.array([len(a) for a in arrays])
+    owner = np.repeat(np.arange(m), n)
+    known, code, often = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    usual = 2 * often > m
+    alone = np.bincount(owner[often[code] == 1], minlength=m)
+    has = np.zeros((m, int(usual.sum())), dtype=bool)
+    has[owner[usual[code]], (np.cumsum(usual) - 1)[code[usual[code]]]] = True
+    lacks_of, lacks = np.nonzero(~has)
+    extra = ~usual[code] & (often[code] > 1)
+    of = np.concatenate((lacks_of, owner[extra]))
+    what = np.concatenate((np.flatnonzero(usual)[lacks], code[extra]))
+    differs = np.bincount(of, minlength=m) + alone
+    # Similar: n + n' >= 9 * (hashes that only one of them has).  Arrays that share no difference are so if both are near C.
+    over = 9 * differs - n
+    centre = int(over.argmin())
+    near = over + over[centre] <= 0
+    near[centre] = True
+    root = np.where(near, centre, np.arange(m))
+    links = [(int(x), centre) for x in np.flatnonzero(near) if x != centre]
+    # Of the others, those with too many hashes of their own have no partner of any size.
+    open_ = ~near & (45 * (n - alone) >= 4 * (5 * n + np.maximum(5 * n.min(), 4 * n)))
+    by_what, by_who = np.argsort(what, kind="stable"), np.argsort(of, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(np.bincount(what, minlength=len(known)))))
+    whose, rows = of[by_what], np.concatenate(([0], np.cumsum(np.bincount(of, minlength=m))))
+    for x in np.flatnonzero(open_).tolist():
+        mine = what[by_who[rows[x] : rows[x + 1]]]
+        if not len(mine):
+            continue
+        others, shared = np.unique(np.concatenate([whose[ends[c] : ends[c + 1]] for c in mine]), return_counts=True)
+        good = others[(n[x] + n[others] >= 9 * (differs[x] + differs[others] - 2 * shared)) & (root[others] != root[x])]
+        roots, first = np.unique(root[good], return_index=True)
+        for r, y in zip(roots.tolist(), good[first].tolist()):
+            links.append((x, y))
+            root[root == r] = root[x]
+    return links
+
+
+def contracted(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b) links that connect all similar sets that meet on a minimum hash."""
+    met = keys.select("sid", "n", F.posexplode("keys").alias("which", "least"))
+    sizes = met.groupBy("which", "least").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS))
+    groups = met.join(written(sizes.select("which", "least", blocks.alias("blocks")), "met-sizes"), ["which", "least"])
+    of_set = groups.groupBy("sid").agg(F.collect_list(F.struct("which", "least", "blocks")).alias("groups"))  # six at most
+    dealt = sets.select("sid", "hashes").join(of_set, "sid").select("sid", "hashes", F.explode("groups").alias("g"))
+    dealt = dealt.select("g.which", "g.least", F.explode(pair_blocks(F.col("g.blocks"), F.col("sid"))).alias("pair"), "sid", "hashes")
 
     def run(batches):
-        at, kept = None, []
+        at, sids, held = None, [], []
         for batch in batches:
             links = []
-            which, least, sids = (batch.column(i).to_pylist() for i in range(3))
-            for key, sid, hashes in zip(zip(which, least), sids, _arrays(batch.column(3))):
-                if key != at:
-                    at, kept = key, []
-                # All that are similar, so that what they stand for is joined too.
-                near = [other for other, held in kept if similar(hashes, held)]
-                links += [(sid, other) for other in near]
-                if not near and len(kept) < KEPT:
-                    kept.append((sid, hashes.copy()))
+            columns = (batch.column(i).to_pylist() for i in range(4))
+            for which, least, pair, sid, hashes in zip(*columns, _arrays(batch.column(4))):
+                if (which, least, pair) != at:
+                    links += [(sids[i], sids[j]) for i, j in spanning(held)] if len(held) > 1 else []
+                    at, sids, held = (which, least, pair), [], []
+                sids.append(sid)
+                held.append(hashes.copy())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        if len(held) > 1:
+            links = [(sids[i], sids[j]) for i, j in spanning(held)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    dealt = sets.select("sid", "hashes").mapInArrow(keyed, schema).repartition("which", "least").sortWithinPartitions("which", "least")
-    return written(dealt.mapInArrow(run, "a long, b long"), "contracted")
+    order = ("which", "least", "pair")
+    return written(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long"), "contracted")
 
 
-def open_pairs(sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b) pairs of sets in different clusters that share a leading shingle, rare ones first."""
+def open_pairs(sets: DataFrame, clusters: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b) pairs of sets in different clusters that share a leading shingle, rare ones first, and no minimum hash."""
     held = sets.select(F.explode("hashes").alias("h"), "sid", "n")
     often = written(held.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-shingles")
     w = Window.partitionBy("sid")
     ranked = held.join(often, "h").withColumn("single", F.col("n") - F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("sets", "h")))
     left = F.col("n") - F.col("single") - F.col("place") + 1  # from this shingle on
     leading = ranked.where("single + place <= n - ((4 * n + 4) div 5) + 1").select("h", "sid", "n", left.alias("left"))
-    leading = leading.join(clusters, "sid", "left").select("h", F.floor(F.log("n") / float(np.log(BAND))).alias("band"), "n", "sid", F.coalesce("cluster", "sid").alias("cluster"), "left")
-    dealt = leading.select("h", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "n", "sid", "cluster", "left")
+    of_key = [F.col("keys")[i].alias(f"k{i}") for i in range(len(KEYS))]
+    leading = leading.join(keys.select("sid", *of_key), "sid").join(clusters, "sid", "left")
+    columns = ["n", "sid", F.coalesce("cluster", "sid").alias("cluster"), "left", *(f"k{i}" for i in range(len(KEYS)))]
+    band = F.floor(F.log("n") / float(np.log(BAND)))
+    leading = written(leading.select("h", F.explode(F.array(band, band + 1)).alias("band"), *columns), "leading")
+    runs = leading.groupBy("h", "band").agg(F.count("*").alias("sets"), F.min("cluster").alias("c1"), F.max("cluster").alias("c2")).where("sets > 1 and c1 <> c2")
+    runs = written(runs.select("h", "band", F.ceil(F.col("sets") / BLOCK_SETS).alias("blocks")), "runs")
+    dealt = leading.join(runs, ["h", "band"])
+    dealt = dealt.select("h", "band", F.explode(pair_blocks(F.col("blocks"), F.col("sid"))).alias("pair"), *leading.columns[2:])
 
     def run(batches):
-        for _, _, n, sid, cluster, left in _runs(batches, 2):
+        for _, _, _, n, sid, cluster, left, *of_keys in _runs(batches, 3):
             if (cluster == cluster[0]).all():
                 continue
             ends = np.searchsorted(n, 5 * n // 4, side="right")
@@ -195,11 +272,14 @@ def open_pairs(sets: DataFrame, clusters: DataFrame) -> DataFrame:
                 after = slice(i + 1, ends[i])
                 # Similar sets share 4/9 of both sizes or more, all of it from their first shared shingle on.
                 may = (cluster[after] != cluster[i]) & (9 * np.minimum(left[after], left[i]) >= 4 * (n[after] + n[i]))
+                for k in of_keys:
+                    may &= k[after] != k[i]
                 others = sid[after][may]
                 if len(others):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(others, sid[i])), pa.array(np.maximum(others, sid[i]))], names=["a", "b"])
 
-    return dealt.repartition("h", "band").sortWithinPartitions("h", "band", "n").mapInArrow(run, "a long, b long").distinct()
+    order = ("h", "band", "pair")
+    return dealt.repartition(*order).sortWithinPartitions(*order, "n").mapInArrow(run, "a long, b long").distinct()
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,14 +307,15 @@ def set_links(df: DataFrame, rows: DataFrame, text_col: str = "text") -> DataFra
     texts = df.select(F.col(rows.columns[0]).alias("id"), F.col(text_col).alias("text"))
     again = texts.join(small(partners), F.col("id").eqNullSafe(F.col("at")) & (F.xxhash64("text") == F.col("key")), "left_semi")
     sets = distinct_sets(text_sets(again, True, "id", "text"))
-    first = contracted(sets)
+    keys = written(minimum_hashes(sets), "set-keys")
+    first = contracted(sets, keys)
     clusters = written(components(first).select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "clusters")
-    pairs = written(open_pairs(sets, clusters), "open-pairs")
+    pairs = written(open_pairs(sets, clusters, keys), "open-pairs")
     links = first.unionByName(checked(pairs, sets))
     fps = sets.select("sid", "fp")
     named = links.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     out = written(of_copies.unionByName(named).where("a <> b"), "set-links")
-    released(sets, first, clusters, pairs)
+    released(sets, keys, first, clusters, pairs)
     return out
 
 

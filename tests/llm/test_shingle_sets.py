@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as C
 from tallyloom.llm import shingle_sets
 from tallyloom.llm.simhash import near_duplicates
@@ -68,13 +70,80 @@ def test_groups_equal_brute_force(spark):
 
 
 def test_search_is_complete_without_contraction(spark, monkeypatch):
-    monkeypatch.setattr(shingle_sets, "KEPT", 0)
+    monkeypatch.setattr(shingle_sets, "KEYS", ())
     texts = near_copies(4)[-160:]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute(texts, {x.doc_id: x.component_id for x in near_duplicates(df).collect()})
     assert {x.doc_id: x.component_id for x in shingle_sets.near_duplicates(df).collect()} == want
 
 
+def variants(n, seed, most=13):
+    """Texts of 300 words that differ from one text, which isn't among them, in 1 to ``most`` words."""
+    r = random.Random(seed)
+    body, out = [f"w{r.randrange(5000)}" for _ in range(300)], []
+    for _ in range(n):
+        changed = list(body)
+        for at in r.sample(range(300), r.randint(1, most)):
+            changed[at] = f"x{r.randrange(10**9)}"
+        out.append(" ".join(changed))
+    return out
+
+
+def connected(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_spanning_links_are_true_few_and_connect_all():
+    r = random.Random(12)
+    for _ in range(300):
+        base, arrays = r.sample(range(60), r.randint(1, 40)), []
+        for _ in range(r.randint(2, 40)):
+            own = set(r.sample(base, max(1, len(base) - r.randint(0, 6)))) | set(r.sample(range(100), r.randint(0, 4)))
+            arrays.append(np.array(sorted(own)))
+        arrays = [np.array(a) for a in {tuple(a.tolist()) for a in arrays}]
+        if len(arrays) < 2:
+            continue
+        links = shingle_sets.spanning(arrays)
+        assert len(links) < len(arrays) and all(shingle_sets.similar(arrays[a], arrays[b]) for a, b in links)
+        pairs = [(i, j) for i in range(len(arrays)) for j in range(i) if shingle_sets.similar(arrays[i], arrays[j])]
+        assert connected(len(arrays), links) == connected(len(arrays), pairs)
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    made, kept = {}, shingle_sets.written
+
+    def counted(df, label):
+        out = kept(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(shingle_sets, "written", counted)
+    for n in (200, 400):
+        df = spark.createDataFrame(list(enumerate(variants(n, 1))), "doc_id long, text string")
+        shingle_sets.near_duplicates(df)
+        assert made["contracted"] <= 6 * n and made["open-pairs"] <= n // 10
+
+
+def test_blocks_of_a_large_group_lose_nothing(spark, monkeypatch):
+    texts = variants(150, 2) + near_copies(5)[:60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(texts, {x.doc_id: x.component_id for x in near_duplicates(df).collect()})
+    monkeypatch.setattr(shingle_sets, "BLOCK_SETS", 40)
+    assert {x.doc_id: x.component_id for x in shingle_sets.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(shingle_sets, "KEYS", shingle_sets.KEYS[:1])
+    assert {x.doc_id: x.component_id for x in shingle_sets.near_duplicates(df).collect()} == want
+
+
 def test_stage_drops_near_copies(spark, tmp_path):
     r = random.Random(9)
     body = [f"w{r.randrange(5000)}" for _ in range(100)]
