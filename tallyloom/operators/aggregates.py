@@ -55,3 +55,32 @@ def last_periods(df: DataFrame, period: str, keep: int) -> DataFrame:
 def scope_totals(df: DataFrame, outer: str, inner: str, *aggregates: Column) -> DataFrame:
     """Totals by (outer, inner), by outer, and overall, with the level: 0, 1, 3."""
     return df.rollup(outer, inner).agg(F.grouping_id().cast("long").alias("level"), *aggregates)
+
+
+#: Rain of a day in millimetres up to which each band goes; bands that call for staff; the share of a staff that stays.
+RAIN = [(2.4, "No Rain"), (15.5, "Light Rain"), (64.4, "Moderate Rain"), (115.5, "Heavy Rain")]
+HEAVIEST, TRIGGERS, FLOOR = "Very Heavy Rain", ("Moderate Rain", "Heavy Rain", "Very Heavy Rain"), 0.8
+
+
+def redeployment(posts: DataFrame, daily: DataFrame, high: Column, low: Column, least_posts: int = 10, most_vacant: float = 5.0) -> DataFrame:
+    """Short-staffed orgs of the ``high`` load with their thinnest zone and what the pool of the ``low`` load's staff gives them.
+
+    ``posts`` are (org, zone, posts, filled), ``daily`` the rain (day, mm).  Orgs with few posts are not judged.  The pool,
+    one row, is what the low-load orgs have above four fifths of their staff; it goes to the orgs in the order of their
+    vacancy rates until it is used up.  The window runs over one row an org.
+    """
+    zones = posts.groupBy("org").agg(F.min(F.struct("filled", "zone")).alias("z"), F.sum("posts").alias("sanctioned"), F.sum("filled").alias("headcount"), F.sum(F.greatest(F.col("posts") - F.col("filled"), F.lit(0))).alias("vacancies"))
+    rate = F.floor(F.col("vacancies") / F.col("sanctioned") * 1000 + 0.5) / 10
+    short = zones.where(high & (F.col("sanctioned") >= least_posts)).withColumn("rate", rate).where(F.col("rate") > most_vacant)
+    spare = F.greatest(F.col("headcount") - F.floor(F.col("headcount") * FLOOR + 0.5), F.lit(0))
+    pool = zones.where(low).agg(F.coalesce(F.sum(spare), F.lit(0)).alias("pool"))
+    last = daily.agg(F.max("day").alias("last"))
+    most = daily.crossJoin(F.broadcast(last)).where("day > date_sub(last, 7)").agg(F.max("mm").alias("most"))
+    band = F.when(F.col("most") <= RAIN[0][0], RAIN[0][1])
+    for edge, name in RAIN[1:]:
+        band = band.when(F.col("most") <= edge, name)
+    turn = Window.orderBy(F.col("rate").desc(), "org").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("vacancies").over(turn), F.lit(0))
+    found = short.withColumn("before", before).crossJoin(F.broadcast(pool)).crossJoin(F.broadcast(most)).withColumn("band", band.otherwise(HEAVIEST))
+    given = F.greatest(F.least(F.col("vacancies"), F.col("pool") - F.col("before")), F.lit(0))
+    return found.select("org", "sanctioned", "headcount", "vacancies", "rate", F.col("z.zone").alias("zone"), F.col("z.filled").alias("zone_headcount"), "pool", given.alias("allocated"), "band", F.col("band").isin(*TRIGGERS).alias("alert"))

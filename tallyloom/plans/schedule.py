@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,25 @@ def chosen_baseline(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = df.agg(*(F.count(c).alias(c) for c in columns))
     ranked = F.array(*(F.struct(F.col(c).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(columns)))
     return counts.select(F.array_max(ranked)["c"].alias("baseline"), F.array_max(ranked)["n"].alias("filled"))
+
+
+def ordered_outline(tasks: DataFrame) -> DataFrame:
+    """Leaves (package, wbs, name, pos, start, finish) with their numbers, summary nodes, and an id in the order of the outline.
+
+    A leaf's path gets .0001 and so on within its path and name.  A path has one summary, of the name that comes first in
+    it, over the leaves of that name; each shorter path down to two parts has one over all summaries below it, named by
+    its last part.  Ids run from 1 within a package, summaries before their leaves.
+    """
+    leaf = F.row_number().over(Window.partitionBy("package", "wbs", "name").orderBy("pos"))
+    leaves = tasks.select("package", F.format_string("%s.%04d", "wbs", leaf).alias("wbs"), "name", F.lit(False).alias("is_summary"), "start", "finish", "pos")
+    named = tasks.where((F.trim("name") != "") & F.col("name").isNotNull())
+    groups = named.groupBy("package", "wbs", F.trim("name").alias("name")).agg(F.min("pos").alias("__first"), F.min("start").alias("start"), F.max("finish").alias("finish"))
+    first = groups.withColumn("__n", F.row_number().over(Window.partitionBy("package", "wbs").orderBy("__first"))).where("__n = 1").drop("__n", "__first")
+    parts = F.split("wbs", r"\.")
+    above = first.withColumn("__p", parts).where(F.size("__p") > 2).select("package", F.explode(F.transform(F.sequence(F.lit(2), F.size("__p") - 1), lambda i: F.array_join(F.slice("__p", 1, i), "."))).alias("wbs"), "start", "finish")
+    higher = above.groupBy("package", "wbs").agg(F.min("start").alias("start"), F.max("finish").alias("finish")).join(first, ["package", "wbs"], "left_anti")
+    higher = higher.withColumn("name", F.element_at(parts, -1))
+    columns = ["package", "wbs", "name", "start", "finish"]
+    sums = first.select(columns).unionByName(higher.select(columns)).withColumns({"is_summary": F.lit(True), "pos": F.lit(-1).cast("long")})
+    order = Window.partitionBy("package").orderBy("wbs", F.col("is_summary").desc(), "pos")
+    return leaves.withColumn("pos", F.col("pos").cast("long")).unionByName(sums.select(leaves.columns)).withColumn("id", F.row_number().over(order))
