@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import written
+from tallyloom.llm.common import released, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -17,7 +17,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One half-round over edges (u, v) with u > v: neighbours are hung on the least one.
+    """One half-round over a written table of edges (u, v) with u > v, which is deleted: neighbours are hung on the least one.
 
     The least neighbour is written before it is joined back, so both sides of the
     join are plain tables and Spark may split a hub's partition.
@@ -30,7 +30,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         hung = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         hung = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return written(hung.where("u <> v").distinct(), "star")
+    out = written(hung.where("u <> v").distinct(), "star")
+    released(least, edges)
+    return out
 
 
 #: Edges that a task joins on average before the stars.

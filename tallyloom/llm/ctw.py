@@ -66,6 +66,19 @@ def _unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _packed_ids(ids: tuple) -> bytes:
+    """Row ids, numbers or texts (null: nothing), as their UTF-8 lengths and then their bytes."""
+    said = [b"" if i is None else str(i).encode() for i in ids]
+    return np.array([len(x) for x in said], dtype="<u4").tobytes() + b"".join(said)
+
+
+def _unpacked_ids(raw: bytes, n: int, at: int) -> tuple[list[str], int]:
+    """``n`` ids as texts, and where what follows them begins."""
+    ends = at + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, at).astype(np.int64))
+    starts = [at + 4 * n, *ends[:-1].tolist()]
+    return [raw[a:b].decode() for a, b in zip(starts, ends.tolist())], int(ends[-1]) if n else at
+
+
 def _pack_numbers(a: np.ndarray) -> bytes:
     """Ascending numbers as packed differences."""
     return _packed(np.diff(a, prepend=a.dtype.type(0)).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) if len(a) else b""
@@ -110,7 +123,7 @@ class _Block:
         else:
             self.seen.update(words)
             self.seen.add(END)
-        self.heads.append((-1 if row_id is None else row_id, row_id is None, trains, len(line)))
+        self.heads.append((row_id, row_id is None, trains, len(line)))
         self.held += len(line)
         self.size += len(line)
         if self.held >= PACK_BYTES:
@@ -120,8 +133,9 @@ class _Block:
         """Texts since the last call: packed for scoring, their grams counted."""
         if not self.raw:
             return
-        ids, nulls, trains, sizes = (np.array(x) for x in zip(*self.heads, strict=True))
-        head = struct.pack("<I", len(ids)) + ids.astype("<i8").tobytes() + nulls.astype("u1").tobytes() + trains.astype("u1").tobytes() + sizes.astype("<u4").tobytes()
+        ids, *others = zip(*self.heads, strict=True)
+        nulls, trains, sizes = map(np.array, others)
+        head = struct.pack("<I", len(ids)) + _packed_ids(ids) + nulls.astype("u1").tobytes() + trains.astype("u1").tobytes() + sizes.astype("<u4").tobytes()
         self.packs.append(_packed(head + b"".join(line for line, _ in self.raw)))
         for wanted in (True, False):
             lines = [line for line, t in self.raw if t == wanted]
@@ -191,7 +205,7 @@ def pieces(df: DataFrame, training: Column, depth: int, word_parts: int, chunk:
 
         yield from _batches(rows(), _PIECE, _PIECE_TYPES)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("trains")).mapInArrow(run, _PIECE)
+    return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("trains")).mapInArrow(run, _PIECE)
 
 
 def _groups(batches, key_columns: int):
@@ -317,7 +331,7 @@ def answers(table: DataFrame, cuts: list[int], depth: int) -> tuple[DataFrame, D
                     own = [totals.get(w, 0) for w in _unpacked(keys).split(b"\x0b")]
                     yield block, _WORDS, part, 0, keys, _packed(np.array(own, dtype="<i8").tobytes())
                 # N and V of this part, as a row that belongs to no block
-                yield -1, _WORDS, part, 0, None, struct.pack("<qq", sum(totals.values()), len(totals))
+                yield -1, _WORDS, part, 0, None, struct.pack(">qq", sum(totals.values()), len(totals))
 
         yield from _batches(rows(), _PIECE, _PIECE_TYPES)
 
@@ -337,28 +351,28 @@ def scores(df: DataFrame, training: Column, depth: int = 6, grams_per_part: int
     table = written(pieces(df, training, depth, max(8, size // WORD_PART_BYTES), chunk_grams, id_col, text_col), "ctw-pieces")
     of_grams, of_words = answers(table, cuts_of(table, grams_per_part, chunk_grams), depth)
     of_words = written(of_words, "ctw-words")
-    totals = [struct.unpack("<qq", r[0]) for r in of_words.where("block = -1").select("values").collect()]
-    train_tokens, train_types = (sum(t[i] for t in totals) for i in (0, 1))
+    numbers = [F.conv(F.hex(F.substring("values", at, 8)), 16, 10).cast("long") for at in (1, 9)]
+    train_tokens, train_types = (n or 0 for n in of_words.where("block = -1").select(F.sum(numbers[0]), F.sum(numbers[1])).first())
     schema = T.StructType(
         [
-            T.StructField(id_col, T.LongType()),
+            T.StructField(id_col, T.StringType()),
             T.StructField("trained", T.BooleanType()),
             *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens", "n_known", "train_tokens", "train_types")),
             T.StructField("base_score", T.DoubleType()),
             T.StructField("score", T.DoubleType()),
         ]
     )
-    types = [pa.int64(), pa.bool_(), *[pa.int64()] * 5, pa.float64(), pa.float64()]
+    types = [pa.string(), pa.bool_(), *[pa.int64()] * 5, pa.float64(), pa.float64()]
     floor = float(train_tokens + train_types + 1)
 
     def score_pack(pack: bytes, grams: np.ndarray, values: np.ndarray, words: dict):
         raw = _unpacked(pack)
         (n,) = struct.unpack_from("<I", raw)
-        ids = np.frombuffer(raw, "<i8", n, 4).tolist()
-        nulls = np.frombuffer(raw, "u1", n, 4 + 8 * n).tolist()
-        trains = np.frombuffer(raw, "u1", n, 4 + 9 * n).tolist()
-        sizes = np.frombuffer(raw, "<u4", n, 4 + 10 * n).astype(np.int64)
-        body = raw[4 + 14 * n :]
+        ids, at = _unpacked_ids(raw, n, 4)
+        nulls = np.frombuffer(raw, "u1", n, at).tolist()
+        trains = np.frombuffer(raw, "u1", n, at + n).tolist()
+        sizes = np.frombuffer(raw, "<u4", n, at + 2 * n).astype(np.int64)
+        body = raw[at + 6 * n :]
         ends = np.cumsum(sizes)
         found = np.concatenate([grams_of(body[a:b], depth, END[0]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)])
         # In order, so that the search walks the grams once instead of jumping about in them.
@@ -395,4 +409,6 @@ def scores(df: DataFrame, training: Column, depth: int = 6, grams_per_part: int
     # As many partitions as there are blocks where these are more than the session's: a task then holds about one.
     blocks = size // BLOCK_BYTES
     by_block = whole.repartition(blocks, "block") if blocks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else whole.repartition("block")
-    return by_block.sortWithinPartitions("block", "kind", "part").mapInArrow(run, schema)
+    scored = by_block.sortWithinPartitions("block", "kind", "part").mapInArrow(run, schema)
+    # Ids travel as texts and come back in their own type.
+    return scored.withColumn(id_col, F.col(id_col).cast(df.schema[id_col].dataType))

@@ -151,7 +151,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bad_valu
     tested = features()
     order = F.crc32(F.col("__id").cast("string")).alias("__order")
     rows = with_stats(texts.join(F.broadcast(picked), "__id"), "__text").select(order, F.col("__id").cast("string").alias("__id"), "__bad", *(c.alias(n) for n, c in tested.items()))
-    found = sorted(rows.collect())
+    # A labelled id may stand on any number of rows: the bound holds for what the labels meet.
+    found = sorted(rows.orderBy(*rows.columns).limit(max_rows).collect())
     return [({n: r[n] for n in tested}, r["__bad"]) for r in found]
 
 

@@ -152,13 +152,16 @@ def train(
     texts = texts.select("text", "toxic").distinct()
 
     def run(batches):
-        for batch in slices(batches, 2):
-            found = [sorted(features(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["fold", "toxic", "found"])
+        for batch in slices(batches, 3):
+            found = [sorted(features(t)) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string()))], names=["fold", "toxic", "place", "found"])
 
     fold = F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int")
-    # At most max_rows rows, read again below.
-    held = written(texts.select(fold.alias("fold"), "toxic", "text").mapInArrow(run, "fold int, toxic boolean, found array<string>"), "labelled-features")
+    held = written(texts.select(fold.alias("fold"), "toxic", F.xxhash64("text", "toxic").alias("place"), "text").mapInArrow(run, "fold int, toxic boolean, place long, found array<string>"), "labelled-features")
+    # A labelled id may stand on any number of texts: of more than max_rows those stay whose hashes are least.
+    if held.count() > max_rows:
+        last = held.select("place").orderBy("place").limit(max_rows).agg(F.max("place")).first()[0]
+        held = written(held.where(F.col("place") <= last).limit(max_rows), "labelled-sample")
     sizes = {(r["toxic"], r["fold"]): r["n"] for r in held.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
     if len({toxic for toxic, _ in sizes}) < 2:
         return Model({}, [])

@@ -20,6 +20,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.word_codes import BATCH_BYTES, WordCodes, slices
@@ -107,6 +109,11 @@ class Ids:
         import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        step = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") is not None or any(step.get(k, v) != v for k, v in BYTE_LEVEL.items()) or step.get("type") != "ByteLevel":
+            raise ValueError("the tokenizer file has a normalizer or pre-token step that packing doesn't build")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
@@ -148,8 +155,11 @@ class _Rows:
         return pa.RecordBatch.from_arrays([pa.concat_arrays(self.ids), *(pa.array(x, k) for x, k in zip(self.lists, kinds))], names=names)
 
 
-#: Partitions are joined until one has so many documents on average, else each would leave a window open for a few.
-LEAST_DOCS = 512
+#: Partitions are joined until one has so many documents or bytes on average, else each would leave a window open for a few.
+LEAST_DOCS, LEAST_BYTES = 512, 1 << 20
+
+#: Fixed value: the pre-token step of the file kind that is read here, as the file writes it.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 def pack(
@@ -228,4 +238,5 @@ def pack(
             yield placed(held, sequence)
 
     docs = df.select(id_col, text_col)
-    return docs.coalesce(max(1, docs.count() // LEAST_DOCS)).mapInArrow(run, schema)
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    return docs.coalesce(max(1, n // LEAST_DOCS, size // LEAST_BYTES)).mapInArrow(run, schema)

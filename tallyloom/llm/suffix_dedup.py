@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.word_codes import give_back, slices
-from tallyloom.llm.common import text_of, written
+from tallyloom.llm.common import released, text_of, written
 from tallyloom.llm.suffix_array import _codes, permuted_prefixes, suffix_array
 
 #: Bytes of a gram that a window can elect.
@@ -366,7 +366,9 @@ def repeated_ranges(docs: DataFrame, width: int, shard_segments: int) -> DataFra
     ranges = parts[0].select(columns)
     for p in parts[1:]:
         ranges = ranges.unionByName(p.select(columns))
-    return ranges
+    out = written(ranges, "ranges")
+    released(found, met, shards)
+    return out
 
 
 def cut(data: bytes, ranges: list[tuple[int, int]], whole_characters: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
@@ -405,14 +407,20 @@ def dedup(df: DataFrame, width: int = 100, shard_segments: int = 4096, id_col: s
     """
     others = [F.col(c) for c in df.columns if c not in (id_col, text_col)]
     carried = F.struct(*others) if others else F.lit(None).cast("int")
-    whole = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("doc"), text_of(text_col).alias("text"), carried.alias("carried"))
-    whole = whole.select("doc", F.xxhash64("text").alias("row"), F.encode("text", "UTF-8").alias("text"), "carried")
+    whole = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), carried.alias("carried"))
+    if isinstance(df.schema[id_col].dataType, T.IntegralType):
+        whole = whole.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(_LOWEST)))
+    else:
+        # Other ids go by their number in order: sorted over all partitions, and numbered as they are written.
+        ids = written(whole.select("id").distinct().orderBy(F.col("id").asc_nulls_first()).select("id", F.monotonically_increasing_id().alias("doc")), "ids")
+        whole = whole.join(ids, whole["id"].eqNullSafe(ids["id"])).select(whole["id"], "text", "carried", "doc")
+    whole = whole.select("doc", F.xxhash64("text").alias("row"), F.encode("text", "UTF-8").alias("text"), "id", "carried")
     docs = whole.select("doc", "row", "text")
     ranges = repeated_ranges(docs, width, shard_segments)
     lists = ranges.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
     schema = T.StructType(
         [
-            T.StructField(id_col, T.LongType()),
+            T.StructField(id_col, df.schema[id_col].dataType),
             T.StructField("n_bytes", T.LongType()),
             T.StructField("kept", T.BinaryType()),
             T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -424,9 +432,8 @@ def dedup(df: DataFrame, width: int = 100, shard_segments: int = 4096, id_col: s
     def run(batches):
         for batch in slices(batches, 1, 8 << 20):
             done = [cut(data, [(r["start"], r["n"]) for r in found or ()], whole_characters) for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            ids = [None if d == _LOWEST else d for d in batch.column(0).to_pylist()]
             sizes = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
             spans = [[{"start": a, "end": b} for a, b in s] for _, s in done]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), sizes, pa.array([k for k, _ in done], pa.binary()), pa.array(spans, spans_type), batch.column(3)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([k for k, _ in done], pa.binary()), pa.array(spans, spans_type), batch.column(3)], names=schema.names)
 
-    return whole.join(lists, ["doc", "row"], "left").select("doc", "text", "ranges", "carried").mapInArrow(run, schema)
+    return whole.join(lists, ["doc", "row"], "left").select("id", "text", "ranges", "carried").mapInArrow(run, schema)
