@@ -212,14 +212,6 @@ def _(t):
     return found.select("doc", F.col("section").cast("long").alias("section"), F.col("gap").cast("double").alias("gap"), "flagged")
 
 
-@query("v12_digit_repair", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS qty FROM lineitem")
-def _(t):
-    qty = F.col("l_quantity").cast("int").cast("string")
-    amount = (F.col("l_quantity").cast("int") * 1000).cast("string")
-    fixed = verify.repair_row(qty, F.lit("1OOO"), F.replace(amount, F.lit("0"), F.lit("O")))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", fixed["qty"].alias("qty"))
-
-
 @query("v15_stitch", "SELECT o_custkey, count(*) FILTER (NOT coalesce(o_orderkey - p = 1 AND s = q AND NOT (q = 'P'), false)) AS tables FROM (SELECT o_custkey, o_orderkey, o_orderstatus AS s, lag(o_orderkey) OVER w AS p, lag(o_orderstatus) OVER w AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) GROUP BY 1")
 def _(t):
     fragments = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus", (F.col("o_orderstatus") == "P").alias("ended"))

@@ -13,6 +13,7 @@ from tallyloom.functions import labels
 from tallyloom.functions.text import VERHOEFF_D, VERHOEFF_P
 from tallyloom.operators import windows
 from tallyloom.plans import bills, verify
+from tallyloom.sources.shared import with_checkpoints
 
 _ITEMS = """WITH items AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CAST(l_quantity AS INTEGER) AS qty FROM lineitem),
@@ -38,11 +39,15 @@ def _kept(t):
 
 
 def _rows(t):
+    return _stated(_kept(t), _items(t))
+
+
+def _stated(kept, items):
     """(doc, pos, label, amount): the kept lines, a sub-total after the second of three or more, and a total; one bill in seven states none."""
-    lines = _kept(t).select("doc", (F.col("i") * 10).cast("long").alias("pos"), F.lit("supply of item").alias("label"), "amount")
-    stated = _items(t).where("doc % 7 <> 0").groupBy("doc").agg(F.max("n").alias("n"), F.sum(F.when(F.col("i") <= 2, F.col("amount"))).alias("sub"), F.sum("amount").alias("total"))
+    lines = kept.select("doc", (F.col("i") * 10).cast("long").alias("pos"), F.lit("supply of item").alias("label"), "amount")
+    stated = items.where("doc % 7 <> 0").groupBy("doc").agg(F.max("n").alias("n"), F.sum(F.when(F.col("i") <= 2, F.col("amount"))).alias("sub"), F.sum("amount").alias("total"))
     # Bills of which no line is left are no tables.
-    stated = stated.join(_kept(t).select("doc").distinct(), "doc", "left_semi")
+    stated = stated.join(kept.select("doc").distinct(), "doc", "left_semi")
     sums = stated.select("doc", F.explode(F.array(F.struct(F.lit(25).cast("long").alias("pos"), F.lit("Sub-Total (A)").alias("label"), F.when(F.col("n") >= 3, F.col("sub")).alias("amount")), F.struct(F.lit(10**9).alias("pos"), F.lit("Grand Total").alias("label"), F.col("total").alias("amount")))).alias("x")).select("doc", "x.*")
     return lines.unionByName(sums.where("amount IS NOT NULL").withColumn("amount", F.col("amount").cast("decimal(18,2)")))
 
@@ -59,10 +64,13 @@ def _(t):
        SELECT doc, CASE WHEN flags > 0 AND doc % 2 = 0 AND doc % 3 = 0 THEN 0 ELSE flags END AS flags, CASE WHEN flags > 0 AND doc % 2 = 0 AND doc % 3 = 0 THEN 'value' ELSE 'amount' END AS by FROM f""",
 )
 def _(t):
-    # A second column, "value", ties out in every third bill; its header names it in every second.
-    rows = _rows(t)
+    return _rescued(_rows(t), _kept(t))
+
+
+def _rescued(rows, kept):
+    """(doc, flags, by): a second column, "value", ties out in every third bill; its header names it in every second."""
     label = F.col("label")
-    whole = _kept(t).groupBy("doc").agg(F.sum(F.when(F.col("i") <= 2, F.col("amount"))).alias("a"), F.sum("amount").alias("all"), F.coalesce(F.sum(F.when(F.col("i") > 2, F.col("amount"))), F.lit(0)).alias("b"))
+    whole = kept.groupBy("doc").agg(F.sum(F.when(F.col("i") <= 2, F.col("amount"))).alias("a"), F.sum("amount").alias("all"), F.coalesce(F.sum(F.when(F.col("i") > 2, F.col("amount"))), F.lit(0)).alias("b"))
     other = rows.join(whole, "doc")
     right = F.when(label == "Sub-Total (A)", F.coalesce("a", F.col("amount"))).when(label == "Grand Total", F.when(F.max(F.when(label == "Sub-Total (A)", 1)).over(Window.partitionBy("doc")) == 1, F.coalesce("a", F.max(F.when(label == "Sub-Total (A)", F.col("amount"))).over(Window.partitionBy("doc"))) + F.col("b")).otherwise(F.col("all")))
     other = other.select("doc", "pos", "label", F.when(F.col("doc") % 3 == 0, F.coalesce(right, F.col("amount"))).otherwise(F.col("amount")).cast("decimal(18,2)").alias("amount"), F.lit("value").alias("column"))
@@ -88,20 +96,21 @@ def _(t):
     "v10_union_of_flags",
     _ITEMS
     + _GAPS
-    + """, every AS (SELECT doc, 'tie_out' AS kind FROM tied WHERE flagged UNION ALL SELECT doc, 'serial_gap' FROM gaps UNION ALL SELECT doc, 'row_arith' FROM kept WHERE misread AND doc % 7 <> 0 AND abs(amount) > greatest(1, 0.005 * abs(amount)) * qty
-         UNION ALL SELECT doc, 'merged_cell' FROM kept WHERE merged AND qty <> amount UNION ALL SELECT doc, 'not_verified' FROM kept WHERE doc % 7 = 0 GROUP BY doc HAVING count(*) >= 2 AND max(amount) >= 1000)
-       SELECT doc, kind, count(*) AS n FROM every GROUP BY 1, 2""",
+    + """, ties AS (SELECT doc, count(*) FILTER (flagged) AS flags FROM tied GROUP BY 1), every AS (SELECT doc, 'tie_out' AS kind, flags AS n FROM ties WHERE flags > 0 AND NOT (doc % 2 = 0 AND doc % 3 = 0) UNION ALL SELECT doc, 'serial_gap', count(*) FROM gaps GROUP BY 1
+         UNION ALL SELECT doc, 'row_arith', count(*) FROM kept WHERE misread AND doc % 7 <> 0 AND abs(amount) > greatest(1, 0.005 * abs(amount)) * qty GROUP BY 1
+         UNION ALL SELECT doc, 'merged_cell', count(*) FROM kept WHERE merged AND (doc + i) % 34 <> 0 AND qty <> amount GROUP BY 1 UNION ALL SELECT doc, 'not_verified', 1 FROM kept WHERE doc % 7 = 0 GROUP BY doc HAVING count(*) >= 2 AND max(amount) >= 1000)
+       SELECT doc, kind, n FROM every""",
 )
 def _(t):
-    kept, found = _kept(t), bills.anchors(_rows(t), ["doc"])
+    # The lines are numbered once and kept: all flags read them.
+    with_checkpoints(t.spark)
+    kept = _kept(t).checkpoint()
+    ties = _rescued(_stated(kept, _items(t)), kept).select("doc", F.col("flags").alias("tie_out"))
     qty = F.col("qty") + F.col("misread").cast("int")
     # Bills without totals have no quantities to test rows by either.
-    arith = kept.where("doc % 7 <> 0").where(verify.row_mismatch(qty.cast("double"), F.col("amount").cast("double") / F.col("qty"), F.col("amount").cast("double")))
-    cell = F.when(F.col("merged"), F.concat_ws(" ", F.col("qty").cast("string"), F.col("amount").cast("string"))).otherwise(F.col("amount").cast("string"))
-    numbers = F.array_distinct(F.transform(F.split(cell, " "), lambda x: F.round(x.cast("double"), 4)))
-    merged = kept.where(F.size(numbers) >= 2)
-    bare = kept.join(found, "doc", "left_anti").groupBy("doc").agg(F.count("*").alias("n"), F.max("amount").alias("most")).where("n >= 2 AND most >= 1000")
-    return bills.union_of_flags("doc", tie_out=found.where("flagged"), serial_gap=_gaps(t), row_arith=arith, merged_cell=merged, not_verified=bare)
+    arith = (F.col("doc") % 7 != 0) & verify.row_mismatch(qty.cast("double"), F.col("amount").cast("double") / F.col("qty"), F.col("amount").cast("double"))
+    cell = F.when(F.col("merged"), F.concat_ws(" ", F.when((F.col("doc") + F.col("i")) % 34 == 0, "part of lot"), F.col("qty").cast("string"), F.col("amount").cast("string"))).otherwise(F.col("amount").cast("string"))
+    return bills.flag_counts(kept, "doc", "i", arith, verify.merged_numbers(cell), F.col("amount"), ties)
 
 
 _SAID = """WITH gold AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS i, CAST(l_quantity AS INTEGER) AS v FROM lineitem),
@@ -169,11 +178,8 @@ _LABELS = "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'Grand Total' WHEN 1
 
 @query(
     "n3_bilingual_labels",
-    rf"""WITH l AS ({_LABELS}) SELECT p_partkey, label,
-       (regexp_matches(label, '(?i)^\s*(grand\s+total|sub[-\s]?total|total|say)\b') AND len(regexp_extract_all(regexp_replace(label, '(?i)\b(grand\s+total|sub[-\s]?total|total|say)\b', '', 'g'), '[A-Za-z]+')) <= 3)
-         OR (regexp_matches(label, 'कुल|योग|जोड़|महायोग') AND len(regexp_extract_all(label, '\S+')) <= 4) AS is_total,
-       NOT regexp_matches(label, '(?i)^\s*(grand\s+total|total|say)\b') AND regexp_matches(label, '(?i)\bsub[-\s]?total\b|\bamount\b[^()]*\(\s*\d|\bcarried\s+(?:over|forward)|\bbrought\s+forward') AS is_subtotal,
-       regexp_matches(label, '(?i)\btotal\b|\bgrand\b|\bsay\b|\bamount\b|\bsub[-\s]?total\b|कुल|योग|जोड़|महायोग') AS names_a_total FROM l""",
+    # What each kind of label is, from how it was made.
+    f"WITH l AS ({_LABELS}) SELECT p_partkey, label, p_partkey % 9 IN (0, 1, 3, 5) AS is_total, p_partkey % 9 IN (1, 4, 6) AS is_subtotal, p_partkey % 9 IN (0, 1, 2, 3, 4, 5, 7) AS names_a_total FROM l",
 )
 def _(t):
     size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 9

@@ -28,7 +28,9 @@ def _(t):
     amount = (q * r).cast("string")
     # Zeros of one row in four are written as letters; a cell with more than two of them is left alone.
     said = F.when(k == 1, F.translate(amount, "0", "O")).otherwise(amount)
-    x = t.lineitem.select(*_LINE.split(", "), verify.repair_look_alikes(q.cast("string"), r.cast("string"), said).alias("x"))
+    # Readings are made of rows whose arithmetic fails only.
+    rows = t.lineitem.select(*_LINE.split(", "), q.cast("string").alias("q"), r.cast("string").alias("r"), said.alias("a")).where(verify.misread(F.col("q"), F.col("r"), F.col("a")))
+    x = rows.select(*_LINE.split(", "), verify.repair_look_alikes(F.col("q"), F.col("r"), F.col("a")).alias("x"))
     return x.where("x IS NOT NULL").select(*_LINE.split(", "), "x.qty", "x.amount")
 
 
@@ -88,17 +90,15 @@ def _(t):
 
 @query(
     "n14_token_votes",
-    r"""WITH a AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM conversations WHERE turn <= 3),
-       p AS (SELECT x.conv_id, CASE WHEN len(x.w) + len(y.w) > len(list_intersect(x.w, y.w)) THEN CAST(len(list_intersect(x.w, y.w)) AS DOUBLE) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) ELSE 0 END AS s FROM a x JOIN a y ON x.conv_id = y.conv_id AND x.turn < y.turn)
-       SELECT conv_id, count(*) AS pairs, round(avg(s), 9) AS agreement, avg(s) >= 0.6 AS primary_stands FROM p GROUP BY 1""",
+    r"""WITH w AS (SELECT DISTINCT conv_id, turn % 3 AS engine, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM conversations), x AS (SELECT * FROM w WHERE w <> ''), n AS (SELECT conv_id, turn % 3 AS engine FROM conversations GROUP BY 1, 2),
+       k AS (SELECT n.conv_id, n.engine, count(w) AS n FROM n LEFT JOIN x ON x.conv_id = n.conv_id AND x.engine = n.engine GROUP BY 1, 2),
+       p AS (SELECT a.conv_id, CAST(coalesce((SELECT count(*) FROM x u JOIN x v ON u.conv_id = v.conv_id AND u.w = v.w WHERE u.conv_id = a.conv_id AND u.engine = a.engine AND v.engine = b.engine), 0) AS DOUBLE) AS both, a.n + b.n AS n FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.engine < b.engine)
+       SELECT conv_id, count(*) AS pairs, round(avg(CASE WHEN n > both THEN both / (n - both) ELSE 0 END), 9) AS agreement, avg(CASE WHEN n > both THEN both / (n - both) ELSE 0 END) >= 0.6 AS primary_stands FROM p GROUP BY 1""".replace("both", "met"),
 )
 def _(t):
-    # The first turns of a conversation stand for the engines that read one page: four at most.
-    a = t.conversations.where("turn <= 3").select("conv_id", F.col("turn").alias("x"), text.tokens(F.col("text")).alias("w"))
-    b = a.select("conv_id", F.col("x").alias("y"), F.col("w").alias("v"))
-    pairs = a.join(b, "conv_id").where("x < y")
-    mean = F.avg(text.jaccard(F.col("w"), F.col("v")))
-    return pairs.groupBy("conv_id").agg(F.count("*").alias("pairs"), F.round(mean, 9).alias("agreement"), (mean >= 0.6).alias("primary_stands"))
+    # Every third turn of a conversation stands for what one of three engines read of a page.
+    engine = (F.col("turn") % 3).alias("engine")
+    return text.engine_votes(t.conversations.select("conv_id", engine, "text"), "conv_id", "engine", "text")
 
 
 @query(

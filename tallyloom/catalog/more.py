@@ -30,17 +30,6 @@ def _(t):
     return t.customer.select("c_custkey", F.when(F.col("c_acctbal") > 0, F.pmod(F.abs(hashed), F.lit(100)) < 85).alias("present"))
 
 
-@query(
-    "c15_unambiguous_links",
-    "WITH m AS (SELECT conv_id, turn, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM conversations), p AS (SELECT min(p_partkey) AS k, lower(string_split(p_name, ' ')[1]) AS w FROM part GROUP BY 2), x AS (SELECT conv_id, turn, k FROM m JOIN p ON m.w = p.w) SELECT conv_id, turn, k FROM x QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1",
-)
-def _(t):
-    words = t.conversations.select("conv_id", "turn", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    names = t.part.groupBy(F.lower(F.split("p_name", " ")[0]).alias("w")).agg(F.min("p_partkey").alias("k"))
-    matches = words.join(names, "w").withColumn("message", F.struct("conv_id", "turn"))
-    return joins.unambiguous(matches, "message").select("conv_id", "turn", "k")
-
-
 @query(
     "c15_single_candidates",
     "WITH m AS (SELECT conv_id, turn, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM conversations), p AS (SELECT lower(string_split(p_name, ' ')[1]) AS w, p_partkey FROM part) SELECT conv_id, turn, min(p_partkey) AS k FROM m JOIN p ON m.w = p.w GROUP BY 1, 2 HAVING count(*) = 1",
@@ -126,11 +115,6 @@ def _(t):
     return t.part.select("p_partkey", text.is_amount(cell).alias("is_amount"))
 
 
-@query("n6_verhoeff")
-def _(t):
-    return t.customer.select("c_custkey", text.verhoeff_ok(F.col("c_custkey").cast("string")).alias("ok"))
-
-
 @query("n8_document_class", "SELECT page_id, CASE WHEN contains(url, '/en/') THEN 'english' WHEN contains(url, '/de/') THEN 'german' WHEN contains(url, '?') THEN 'query' ELSE 'other' END AS class FROM pages")
 def _(t):
     u = F.lower("url")
@@ -207,11 +191,6 @@ def _(t):
     return _composite(t).select("c_custkey", F.size(why).alias("blockers"))
 
 
-@query("w15_promotion_ranking", _COMPOSITE + " SELECT c_custkey, score FROM s ORDER BY score DESC, c_custkey LIMIT 50")
-def _(t):
-    return _composite(t).select("c_custkey", "score").orderBy(F.col("score").desc(), "c_custkey").limit(50)
-
-
 @query(
     "w15_promotion_due",
     """WITH o AS (SELECT o_custkey, CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) / count(*) * 5 AS rating, floor((DATE '2001-08-01' - CAST(min(o_orderdate) AS DATE)) / 365.25) AS years, count(*) FILTER (o_orderstatus = 'P') > 0 AS pending FROM orders GROUP BY 1)

@@ -568,16 +568,6 @@ def _(t):
     return t.customer.select("c_custkey", tax.alias("tax"))
 
 
-@query("n22_hard_triggers", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'attack|fire|injur|the') THEN 'Critical' ELSE 'Normal' END AS severity FROM conversations")
-def _(t):
-    return t.conversations.select("conv_id", "turn", F.when(F.lower("text").rlike("attack|fire|injur|the"), "Critical").otherwise("Normal").alias("severity"))
-
-
-@query("n26_formula_guard", "SELECT doc_id, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@') THEN '''' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS shown FROM documents")
-def _(t):
-    return t.documents.select("doc_id", text.guard_formula(F.substring("text", 1, 20)).alias("shown"))
-
-
 @query("n26_whole_cells", "SELECT doc_id, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@') THEN '''' || text ELSE text END AS shown FROM documents")
 def _(t):
     return t.documents.select("doc_id", text.guard_formula(F.col("text")).alias("shown"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEVANAGARI = "०१२३४५६७८९"
@@ -116,3 +116,19 @@ def verhoeff_ok(digits: Column) -> Column:
     places = F.reverse(F.split(plain, ""))
     places = F.transform(F.filter(places, lambda c: c != ""), lambda c, i: F.get(p, (i % 8) * 10 + c.cast("int")))
     return (F.length(plain) > 0) & (F.aggregate(places, F.lit(0), lambda s, x: F.get(d, s * 10 + x)) == 0)
+
+
+def engine_votes(readings: DataFrame, page: str, engine: str, text: str, least: float = 0.6) -> DataFrame:
+    """(page, pairs, agreement, primary_stands): mean agreement of the word sets that a few engines read of a page.
+
+    Words are counted by pairs of engines that both have them, so no pair of readings is compared word by word.
+    """
+    words = readings.select(page, engine, F.explode(tokens(F.col(text))).alias("__w")).distinct()
+    engines = readings.select(page, engine).distinct().join(words.groupBy(page, engine).agg(F.count("*").alias("__n")), [page, engine], "left").fillna(0, ["__n"])
+    shared = words.join(words.select(page, "__w", F.col(engine).alias("__other")), [page, "__w"]).where(F.col(engine) < F.col("__other"))
+    shared = shared.groupBy(page, engine, "__other").agg(F.count("*").alias("__met"))
+    pairs = engines.join(engines.select(page, F.col(engine).alias("__other"), F.col("__n").alias("__m")), page).where(F.col(engine) < F.col("__other"))
+    pairs = pairs.join(shared, [page, engine, "__other"], "left").fillna(0, ["__met"])
+    union = F.col("__n") + F.col("__m") - F.col("__met")
+    mean = F.avg(F.when(union > 0, F.col("__met") / union).otherwise(0.0))
+    return pairs.groupBy(page).agg(F.count("*").alias("pairs"), F.round(mean, 9).alias("agreement"), (mean >= least).alias("primary_stands"))

@@ -62,6 +62,30 @@ def union_of_flags(doc: str, **found: DataFrame) -> DataFrame:
     return out
 
 
+def flag_counts(lines: DataFrame, doc: str, serial: str, arith: Column, merged: Column, amount: Column, ties: DataFrame, share: float = 0.6, least: int = 3) -> DataFrame:
+    """(doc, kind, n) of all kinds of flags, by one grouping of the lines and the bills' tie-outs.
+
+    ``ties`` are (doc, tie_out) of bills that state sums, after the rescue by another column.  Bills that state none, and
+    have two lines or more and one of 1000, are not verified.  Serials have gaps only where most of them run on.
+    """
+    w = Window.partitionBy(doc).orderBy(serial)
+    steps = lines.withColumns({"__step": F.col(serial) - F.lag(serial).over(w), "__arith": arith, "__merged": merged, "__amount": amount})
+    per = steps.groupBy(doc).agg(
+        F.count("*").alias("n"), F.max("__amount").alias("most"), F.count_if("__arith").alias("row_arith"), F.count_if("__merged").alias("merged_cell"), F.count_if(F.col("__step") == 1).alias("runs"), F.count_if(F.col("__step") > 1).alias("gaps")
+    )
+    both = per.join(ties, doc, "left")
+    runs_on = (F.col("n") >= least) & (F.col("runs") >= share * (F.col("n") - 1))
+    kinds = {
+        "tie_out": F.coalesce("tie_out", F.lit(0)),
+        "serial_gap": F.when(runs_on, F.col("gaps")).otherwise(0),
+        "row_arith": F.col("row_arith"),
+        "merged_cell": F.col("merged_cell"),
+        "not_verified": (F.col("tie_out").isNull() & (F.col("n") >= 2) & (F.col("most") >= 1000)).cast("long"),
+    }
+    flags = F.array(*(F.struct(F.lit(k).alias("kind"), n.cast("long").alias("n")) for k, n in kinds.items()))
+    return both.select(doc, F.explode(flags).alias("f")).select(doc, "f.kind", "f.n").where("n > 0")
+
+
 def content_f1(said: DataFrame, gold: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per key: said, gold and matched values (as bags), precision, recall and F1."""
     a = said.groupBy(*keys, value).agg(F.count("*").alias("a"))

@@ -81,7 +81,9 @@ def cell_readings(cell: Column, most: int = 2) -> Column:
     chars = F.split(cell, "")
     odd = F.filter(F.transform(chars, lambda c, i: F.when(pairs[c].isNotNull(), i)), lambda i: i.isNotNull())
     one = F.transform(odd, lambda i: F.array(i))
-    sets = F.when(F.size(odd) > most, F.array().cast("array<array<int>>")).when(F.size(odd) == 2, F.concat(one, F.array(odd))).otherwise(one)
+    # Every subset of the places, from the empty one up; a cell has ``most`` of them at most.
+    grown = F.aggregate(odd, F.array(F.array().cast("array<int>")), lambda sets, i: F.concat(sets, F.transform(sets, lambda s: F.concat(s, F.array(i)))))
+    sets = F.when(F.size(odd) > most, F.array().cast("array<array<int>>")).otherwise(F.filter(grown, lambda s: F.size(s) > 0)) if most > 2 else F.when(F.size(odd) > most, F.array().cast("array<array<int>>")).when(F.size(odd) == 2, F.concat(one, F.array(odd))).otherwise(one)
     as_digits = lambda at: F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(at, i), pairs[c]).otherwise(c)), "")
     variants = F.transform(sets, lambda at: F.array(F.struct(as_digits(at).alias("s"), F.size(at).alias("changes"))))
     read = F.transform(F.flatten(variants), lambda v: F.struct(F.when(is_amount(v["s"]), parse_number(v["s"])).alias("value"), v["changes"].alias("changes")))
@@ -89,6 +91,19 @@ def cell_readings(cell: Column, most: int = 2) -> Column:
     return F.filter(F.concat(plain, read), lambda r: r["value"].isNotNull())
 
 
+def merged_numbers(cell: Column, share: float = 0.6) -> Column:
+    """True for a cell that holds two different numbers or more, which are three fifths of its words at least."""
+    words = F.filter(F.split(cell, r"\s+"), lambda w: w != "")
+    numbers = F.filter(words, lambda w: is_amount(w))
+    return (F.size(F.array_distinct(F.transform(numbers, lambda w: F.round(parse_number(w), 4)))) >= 2) & (F.size(numbers) >= share * F.size(words))
+
+
+def misread(qty: Column, rate: Column, amount: Column) -> Column:
+    """True for cells that all hold numbers and whose arithmetic fails."""
+    q, r, a = parse_number(qty), parse_number(rate), parse_number(amount)
+    return F.coalesce(row_mismatch(q, r, a), F.lit(False))
+
+
 def repair_look_alikes(qty: Column, rate: Column, amount: Column) -> Column:
     """struct(qty, rate, amount) that makes a wrong row's arithmetic right with the fewest look-alikes read as digits.
 
