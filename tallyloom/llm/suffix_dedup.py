@@ -45,7 +45,9 @@ from tallyloom.llm.suffix_array import _codes, permuted_prefixes, suffix_array
 #: Bytes of a gram that a window can elect.
 GRAM = 32
 #: Text bytes that one suffix array holds, about.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
+#: Segments of a task that are compared with each other at a time.
+TASK_SEGMENTS = 500_000
 _LOWEST = -(1 << 63)
 _PLACE_BITS = 24
 
@@ -173,7 +175,7 @@ def anchors(docs: DataFrame, width: int) -> DataFrame:
                 segment = np.fromiter((digest(view[a:b]) for a, b in zip(place.tolist(), (place + n + width - 1).tolist(), strict=True)), dtype=np.uint64, count=len(t))
                 held.append((_signed(gram), _signed(segment), docs_[texts][t], rows[texts][t], place - bounds[t] + base, n))
                 count += len(t)
-            if count > 1_000_000:
+            if count > TASK_SEGMENTS:
                 yield from settle(held)
                 held, count = [], 0
         if held:
@@ -244,6 +246,7 @@ def meet(dealt: DataFrame, width: int, shard_segments: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (gram, segment, doc, row)] + [pa.array(x[out].astype(np.int32)) for x in (start, n)] + [pa.array((index[several] // shard_segments).astype(np.int32))], names=_MET.names)
             last = at[-1]
             tail = (gram[last], segment[last], doc[last], row[last], start[last], n[last], bool(passed if len(at) == 1 and tail is not None and not several[-1] else several[-1]), int(index[-1]))
+        give_back()
 
     return dealt.mapInArrow(run, _MET)
 
