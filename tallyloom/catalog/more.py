@@ -13,7 +13,7 @@ from tallyloom.functions.numbers import total
 from tallyloom.operators import aggregates, joins, windows
 from tallyloom.plans import changes, verify
 from tallyloom.sources.shared import shared_folder
-from tallyloom.streaming import jobs
+from tallyloom.streaming import jobs, state
 
 
 @query("a7_review_queue", "SELECT doc_id, CAST(n_chars AS DOUBLE) / (n_chars + 1000) AS confidence FROM documents WHERE n_chars < 1000")
@@ -319,7 +319,22 @@ def _(t):
     return jobs.drained(jobs.windowed_volume(jobs.events_stream(t.spark, t.folder), "7 days", "1 day", "1 day"), shared_folder(t.spark))
 
 
-@query("s5_stream_repeats")
+@query(
+    "s3_recent_extremes",
+    """WITH d AS (SELECT date_trunc('day', ts) AS day, sum(CAST(value AS DECIMAL(18,2))) AS total FROM events GROUP BY 1), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events),
+       c AS (SELECT * FROM d WHERE day + INTERVAL 1 DAY <= (SELECT mark FROM m)), w AS (SELECT unnest(generate_series(day, day + INTERVAL 6 DAY, INTERVAL 1 DAY)) + INTERVAL 1 DAY AS "end", total FROM c)
+       SELECT CAST("end" AS TIMESTAMP) AS "end", count(*) AS days, CAST(sum(total) AS DOUBLE) AS total, CAST(max(total) AS DOUBLE) AS most FROM w WHERE "end" <= (SELECT mark FROM m) GROUP BY 1""",
+)
+def _(t):
+    return jobs.drained(jobs.recent_extremes(jobs.events_stream(t.spark, t.folder), "value", "1 day"), shared_folder(t.spark))
+
+
+@query(
+    "s5_stream_repeats",
+    """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events),
+       r AS (SELECT user_id, event_type, n, event_id AS head, ts AS begun FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_type, e.n, CASE WHEN e.ts > r.begun + INTERVAL 7 DAY THEN e.event_id ELSE r.head END, CASE WHEN e.ts > r.begun + INTERVAL 7 DAY THEN e.ts ELSE r.begun END
+         FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n = r.n + 1), last AS (SELECT user_id, event_type, max(ts) AS seen FROM e GROUP BY 1, 2)
+       SELECT user_id, event_type, head AS event_id, count(*) - 1 AS repeats FROM r JOIN last USING (user_id, event_type), m WHERE begun + INTERVAL 7 DAY < greatest(mark, seen) GROUP BY 1, 2, 3""",
+)
 def _(t):
-    events = jobs.events_stream(t.spark, t.folder)
-    return jobs.drained(jobs.without_repeats(events, ["user_id", "event_type"], "7 days").select("event_id"), shared_folder(t.spark))
+    return jobs.drained(state.first_of_repeats(jobs.events_stream(t.spark, t.folder), ["user_id", "event_type"], 7 * 24, "1 day"), shared_folder(t.spark))

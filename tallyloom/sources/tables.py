@@ -22,8 +22,3 @@ class Catalog:
 def append_new(df: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Target rows, and those of ``df`` whose keys the target doesn't have."""
     return target.unionByName(df.join(target.select(*keys), keys, "left_anti"))
-
-
-def jdbc_table(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
-    """A relational table behind the same interface."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()

@@ -37,6 +37,20 @@ def without_repeats(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def recent_extremes(events: DataFrame, value: str, late: str, days: int = 7) -> DataFrame:
+    """(end, days, total, most) of closed windows of ``days`` that slide by one: the days' totals summed, and the largest.
+
+    Two event-time windows, one upon the other: a day's total leaves its state once the watermark has closed the day, and
+    a window's once it has closed the window.
+    """
+    day = F.window("ts", "1 day")
+    daily = events.withWatermark("ts", late).groupBy(day).agg(F.sum(F.col(value).cast("decimal(18,2)")).alias("total"))
+    span = F.window(F.window_time("window"), f"{days} days", "1 day")
+    return daily.groupBy(span).agg(F.count("*").alias("days"), F.sum("total").cast("double").alias("total"), F.max("total").cast("double").alias("most")).select(
+        F.col("window.end").cast("timestamp_ntz").alias("end"), "days", "total", "most"
+    )
+
+
 def drained(stream: DataFrame, target: str) -> DataFrame:
     """Runs a stream over all input there is, into a table of its own under ``target``; the rows it wrote."""
     spark, path = stream.sparkSession, f"{target.rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -54,6 +54,44 @@ def escalations(events: DataFrame, raised: str, answer: str, hours: int, late: s
     return used.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long", "ids array<long>, at array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def first_of_repeats(events: DataFrame, keys: list[str], hours: int, late: str) -> DataFrame:
+    """(keys, event_id, repeats): events that none of the same keys came before within the time, and how many after them did.
+
+    A run's first event opens it; what follows within ``hours`` of it repeats it.  State per key: the open run, which goes
+    out, and leaves the state, when a later event or the watermark shows that its time is up.  Events of one batch are
+    taken in the order of their times; what comes later than the watermark is dropped.
+    """
+    limit = hours * 3_600_000
+    schema = ", ".join([*(f"{c.name} {c.dataType.simpleString()}" for c in (events.schema[k] for k in keys)), "event_id long", "repeats long"])
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get) if state.exists else None
+        out = []
+
+        def pass_to(now: int) -> None:
+            nonlocal held
+            if held and held[1] + limit < now:
+                out.append((*key, held[0], held[2]))
+                held = None
+
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])
+            for event_id, ms in zip(rows["event_id"].tolist(), rows["ms"].tolist()):
+                pass_to(ms)
+                held = [held[0], held[1], held[2] + 1] if held else [event_id, ms, 0]
+        pass_to(state.getCurrentWatermarkMs())
+        if held:
+            state.update(tuple(held))
+            state.setTimeoutTimestamp(max(held[1] + limit + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[*keys, "event_id", "repeats"])
+
+    used = events.withWatermark("ts", late).select(*keys, "event_id", "ts", F.unix_millis("ts").alias("ms"))
+    return used.groupBy(*keys).applyInPandasWithState(step, schema, "event_id long, ms long, repeats long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 #: Parts that a log's keys are dealt to; a batch rewrites those that it has keys of.
 LOG_PARTS = 64
 
