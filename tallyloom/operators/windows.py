@@ -105,3 +105,24 @@ def ordinal_id(df: DataFrame, parent: str, order: list[Column], name: str = "ite
     """parent.0001, parent.0002, ... in the order given."""
     n = F.row_number().over(Window.partitionBy(parent).orderBy(*order))
     return df.withColumn(name, F.format_string("%s.%04d", F.col(parent).cast("string"), n))
+
+
+#: Months and fit that a trend needs, holidays of a usual month and what each further one takes, the alarming rise in percent.
+MONTHS, FIT, USUAL_HOLIDAYS, EACH_HOLIDAY, RISE = 4, 0.3, 2, 0.03, 15
+
+
+def demand_alerts(volume: DataFrame, holidays: DataFrame) -> DataFrame:
+    """(org, zone, current, projected, change, alert): next month's volume by trend, less what its holidays take.
+
+    ``volume`` are (org, zone, m, n), ``holidays`` the next month's days, each once or more.
+    """
+    order = Window.partitionBy("org", "zone").orderBy("m")
+    steps = volume.withColumn("i", F.row_number().over(order) - 1)
+    line = trend(F.col("i"), F.col("n"))
+    fits = steps.groupBy("org", "zone").agg(F.count("*").alias("months"), F.max_by("n", "i").alias("current"), line["slope"].alias("slope"), line["intercept"].alias("base"), line["fit"].alias("fit")).where(F.col("months") >= MONTHS)
+    factor = F.floor((1 - F.greatest(F.lit(0), F.countDistinct("day") - USUAL_HOLIDAYS) * EACH_HOLIDAY) * 10 + 0.5) / 10
+    both = fits.crossJoin(F.broadcast(holidays.agg(factor.alias("factor"))))  # one row
+    ahead = F.round((F.col("base") + F.col("slope") * F.col("months")) * F.col("factor"), 6)
+    rows = both.withColumn("projected", F.greatest(F.floor(ahead + 0.5), F.lit(0)))
+    change = F.floor(F.round((F.col("projected") - F.col("current")) / F.col("current") * 1000, 6) + 0.5) / 10
+    return rows.withColumn("change", change).select("org", "zone", "current", "projected", "change", ((F.col("fit") >= FIT) & (F.col("change") > RISE)).alias("alert"))
