@@ -170,3 +170,17 @@ def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     anchors = ranges.join(cells.select("doc", F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("raw").alias("anchor")), ["doc", "r0", "c0"])
     covered = anchors.select("doc", F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1", "anchor").select("doc", "row", F.explode(F.sequence("c0", "c1")).alias("col"), "anchor")
     return cells.join(covered, ["doc", "row", "col"], "left").select("doc", "row", "col", F.coalesce("raw", "anchor").alias("raw"))
+
+
+def completeness(signals: DataFrame, gate: float, strict: Column) -> DataFrame:
+    """``signals`` (orphans, gaps, dropped, errored, confidence, failed) with status, reasons and outcome.
+
+    Any signal sends a document to review; where ``strict`` holds it is withheld then, else committed with its flags.
+    """
+    counted = [("orphans", "unplaced rows"), ("gaps", "tables fail the tie-out"), ("dropped", "pages not read"), ("errored", "pages with errors")]
+    said = lambda c, what: (F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {what}")))
+    pairs = [*(said(c, what) for c, what in counted), (F.col("confidence") < gate, F.lit("mean confidence below the gate")), said("failed", "checks fail")]
+    why = F.array_compact(F.array(*(F.when(c, what) for c, what in pairs)))
+    clean = F.size(why) == 0
+    outcome = F.when(clean, "commit").when(strict, "withhold").otherwise("commit with flags")
+    return signals.withColumns({"status": F.when(clean, "AUTO_ACCEPT").otherwise("NEEDS_REVIEW"), "reasons": F.array_join(why, "; "), "outcome": outcome})
