@@ -22,7 +22,11 @@ def _(t):
     return t.documents.where("n_chars < 1000").select("doc_id", c.alias("confidence")).orderBy("confidence", "doc_id")
 
 
-@query("b11_presence_hash")
+@query(
+    "b11_presence_hash",
+    """SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN abs(h) % 100 < 85 END AS present FROM (SELECT c_custkey, c_acctbal,
+         list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(c_custkey || '|2001-08-01', ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (((h * 31 + c + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648) AS h FROM customer)""",
+)
 def _(t):
     key = F.concat_ws("|", F.col("c_custkey").cast("string"), F.lit("2001-08-01"))
     wrap = lambda x: F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)
@@ -128,7 +132,11 @@ def _(t):
     return words.select("doc_id", ((F.size("w") >= 8) & (numeric >= 0.3 * F.size("w"))).alias("table_like"))
 
 
-@query("n11_plain_text")
+@query(
+    "n11_plain_text",
+    r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[\x00-\x20]+', ' ', 'g')) AS plain FROM pages""",
+)
 def _(t):
     return t.pages.select("page_id", text.plain_text(F.col("html")).alias("plain"))
 
