@@ -84,3 +84,23 @@ def redeployment(posts: DataFrame, daily: DataFrame, high: Column, low: Column,
     found = short.withColumn("before", before).crossJoin(F.broadcast(pool)).crossJoin(F.broadcast(most)).withColumn("band", band.otherwise(HEAVIEST))
     given = F.greatest(F.least(F.col("vacancies"), F.col("pool") - F.col("before")), F.lit(0))
     return found.select("org", "sanctioned", "headcount", "vacancies", "rate", F.col("z.zone").alias("zone"), F.col("z.filled").alias("zone_headcount"), "pool", given.alias("allocated"), "band", F.col("band").isin(*TRIGGERS).alias("alert"))
+
+
+#: Risk of a case by its type (50 for others) and what its status adds.
+CASE_TYPES = {
+    "Land Acquisition": 70, "Public Interest Litigation": 65, "Encroachment & Demolition": 60, "Labour Dispute": 55,
+    "Contractor Dispute": 50, "Property Tax Dispute": 45, "Service Matter": 40, "RTI Appeal": 20,
+}
+CASE_STATUS = {"Disposed - Unfavorable": 15, "Disposed - Favorable": -35, "Stayed": -10}
+CASE_LONG, CASE_LONG_DAYS, CASE_OPEN = 10, 365, ("Pending", "Hearing Scheduled")
+
+
+def case_risk(cases: DataFrame) -> DataFrame:
+    """``cases`` (type, status, days) with score (5 to 95), class, and the chance to win."""
+    by = lambda c, known, other: F.coalesce(F.create_map(*(F.lit(x) for pair in known.items() for x in pair))[c], F.lit(other))
+    status = F.col("status")
+    waits = F.when(status.isin(*CASE_OPEN) & (F.col("days") > CASE_LONG_DAYS), CASE_LONG).otherwise(0)
+    score = F.greatest(F.lit(5), F.least(F.lit(95), by(F.col("type"), CASE_TYPES, 50) + waits + by(status, CASE_STATUS, 0)))
+    scored = cases.withColumn("score", score)
+    win = F.when(status == "Disposed - Favorable", 100).when(status == "Disposed - Unfavorable", 0).otherwise(F.greatest(F.lit(5), F.least(F.lit(95), 100 - F.col("score"))))
+    return scored.withColumns({"win": win, "class": F.when(F.col("score") >= 65, "High").when(F.col("score") >= 35, "Medium").otherwise("Low")})

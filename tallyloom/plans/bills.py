@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import labels
+from tallyloom.functions.text import is_amount
 from tallyloom.plans.verify import rounding_tolerance
 
 
@@ -133,3 +134,32 @@ def breadcrumbs(lines: DataFrame, doc: str, order: str, level: str, text: str, l
             ended = ended | F.coalesce(F.col(f"__h{shallower}.at") > F.col(f"__h{k}.at"), F.lit(False))
         crumbs.append(F.when(~ended, F.col(f"__h{k}.text")))
     return held.withColumn("trail", F.array_join(F.array_compact(F.array(*crumbs)), " > ")).drop(*(f"__h{k}" for k in range(1, levels + 1)))
+
+
+#: What names a contract's price, in English and in Devanagari; the rows that are looked at; the least price and amount.
+PRICE = r"(?i)contract\s+price|project\s+cost|contract\s+sum|अनुबंध\s*मूल्य|अनुबंध\s*राशि|परियोजना\s*लागत|ठेका\s*मूल्य"
+PRICE_ROWS, LEAST_PRICE, LEAST_AMOUNT = 40, 10_000, 1000
+
+
+def contract_ties(cells: DataFrame, doc: str) -> DataFrame:
+    """(doc, price, totals, passed, how) of workbooks' cells (doc, row, col, raw) against the price that they state.
+
+    The price is the first large number right of the first label that names it.  Totals are rows that a total's name and
+    a share of 1 mark, by their largest amount; one of them is the price, or all of them add up to it.  Where there is no
+    price or no total nothing is tested, and ``passed`` is null.
+    """
+    value = F.when(is_amount(F.col("raw")), F.regexp_replace("raw", "[,₹ ]", "").try_cast("decimal(18,2)"))
+    rows = cells.withColumn("__v", value)
+    labelled = rows.where(F.col("row") < PRICE_ROWS).where(F.col("raw").rlike(PRICE)).select(doc, "row", F.col("col").alias("__at"))
+    priced = rows.where(F.col("__v") > LEAST_PRICE).join(labelled, [doc, "row"]).where(F.col("col") > F.col("__at"))
+    price = priced.groupBy(doc).agg(F.min_by("__v", F.struct("row", "__at", "col")).alias("price"))
+    per = rows.groupBy(doc, "row").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "raw"))), lambda c: c["raw"]), " ").alias("text"), F.count_if(F.abs(F.col("__v") - 1) < 1e-6).alias("ones"), F.max(F.when(F.col("__v") >= LEAST_AMOUNT, F.col("__v"))).alias("amount")
+    )
+    marked = per.where(labels.names_a_total(F.col("text")) & (F.col("ones") > 0) & F.col("amount").isNotNull()).select(doc, "amount")
+    every = cells.select(doc).distinct().join(price, doc, "left").join(marked, doc, "left")
+    both = every.groupBy(doc, "price").agg(F.count("amount").alias("totals"), F.coalesce(F.max(F.abs(F.col("amount") - F.col("price")) <= 1), F.lit(False)).alias("one"), F.sum("amount").alias("sum"))
+    adds = F.abs(F.col("sum") - F.col("price")) <= rounding_tolerance(F.col("totals"))
+    idle = F.col("price").isNull() | (F.col("totals") == 0)
+    how = F.when(idle, "not tested").when(F.col("one"), "one total").when(adds, "sum of sub-totals").otherwise("does not tie out")
+    return both.select(doc, F.col("price").cast("double").alias("price"), "totals", F.when(~idle, F.col("one") | adds).alias("passed"), how.alias("how"))

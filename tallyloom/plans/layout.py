@@ -72,3 +72,12 @@ def heading_audit(headings: DataFrame, doc: str, pos: str, number: str, level: s
         (F.col(level) > F.lag(level).over(w) + 1).alias("skips"),
     )
     return marked.groupBy(doc).agg(F.count("*").alias("headings"), F.count_if("wrong").alias("wrong_level"), F.count_if("only").alias("number_only"), F.count_if("order").alias("out_of_order"), F.count_if("skips").alias("skipped"))
+
+
+def repeated_figures(figures: DataFrame, doc: str, page: str, grid: float = 8.0) -> DataFrame:
+    """``figures`` (image or null, x0, y0, x1, y1) with ``decorative``: the same image, or a drawing of like place and size, on two pages or more."""
+    box = [F.bround(c / grid).cast("long") for c in (F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))]
+    drawn = F.when(F.col("image").isNull(), F.concat_ws(" ", *(b.cast("string") for b in box)))
+    marked = figures.withColumn("__sig", F.coalesce(F.concat(F.lit("image "), F.col("image").cast("string")), drawn))
+    pages = marked.groupBy(doc, "__sig").agg(F.countDistinct(page).alias("__pages"))
+    return marked.join(pages, [doc, "__sig"]).withColumn("decorative", F.col("__pages") >= 2).drop("__sig", "__pages")
