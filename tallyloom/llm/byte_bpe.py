@@ -7,7 +7,9 @@ two-level bitmap over the ranks marks the buckets in use, so the lowest pending
 rank is found by two find-first-set steps however long the list is.  A bucket is
 taken whole and walked from left to right; an entry whose pair has changed
 meanwhile is stale and is skipped when it is met.  Work is O(n log n) for n bytes
-at worst (the log sorts buckets), where the usual rescan is O(n^2), and what a
+(the log sorts buckets) where every merge ranks above those that make its parts, as
+in trained files; ranks in another order give the same ids, but a bucket is cut and
+sorted again for each lower rank that comes up.  The usual rescan is O(n^2).  What a
 rank's bucket costs to find is shared by all pre-tokens of the list.
 
 Defined results: a null text is read as empty; an empty text has no ids and

@@ -20,8 +20,8 @@ Words are counted the same way (dealt by hash) for the unigram base score
 log10((c + 1) / (N + V + 1)), summed over tokens.
 
 Defined results: a null text is read as empty, and its only token is the end; a
-null id trains if ``training`` says so; repeated
-rows each count and are each scored; other columns are ignored; with no training
+null id trains if ``training`` says so; ids may be of any type that is told by its
+text; repeated rows each count and are each scored; other columns are ignored; with no training
 rows every prediction is 1/2 a bit and the base score is that of N = V = 0; an
 empty table gives an empty result.
 """

@@ -6,8 +6,9 @@ the other third, and stays if its precision there is high enough; the rows that
 it covers are put aside and the next rule is grown.  The list is emitted as one
 ordered Spark conditional expression.
 
-Learning reads a bounded sample: at most ``max_rows`` labelled rows, those with
-the least hash of their id, whose statistics come to the driver.  Everything
+Learning reads a bounded sample: at most ``max_rows`` labels, those with the
+least hash of their id, and of the rows that these ids have as many at most, whose
+statistics come to the driver.  Everything
 else covers all rows with built-in functions only.
 
 Defined results: labels that are null are left out; repeated labels count as

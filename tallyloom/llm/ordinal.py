@@ -12,8 +12,9 @@ one, features chosen anew, and its evidence orders the toxic texts of the fold
 left out; the lower half is grade 1, the upper half grade 2.  The cut from which
 a text counts as toxic is the one that is right most often out of fold.
 
-Learning reads a bounded sample: at most ``max_rows`` labelled rows, those with
-the least hash of their id (exact copies once), and of the features that
+Learning reads a bounded sample: at most ``max_rows`` labels, those with the least
+hash of their id, of the texts that these ids have (exact copies once) as many at
+most, and of the features that
 ``min_rows`` of them hold and whose shares in the classes differ by ``min_z``
 standard errors the ``max_features`` that tell the classes apart best.  Scoring
 reads every whole text.

@@ -23,7 +23,8 @@ input as it is, and matches never cross rows.
 5. Each row's covered ranges are merged and cut.
 
 Defined results: a null text is read as empty; texts shorter than the width keep
-all bytes; null ids come before all others; rows with the same id count as the
+all bytes; null ids come before all others; ids that aren't whole numbers go by
+their place in sorted order; rows with the same id count as the
 same document (equal places in them don't repeat each other); other columns are
 ignored; an empty table gives an empty result.
 """
