@@ -8,7 +8,7 @@ from tallyloom.catalog.bills import _items
 from tallyloom.catalog.registry import query
 from tallyloom.catalog.relational import AS_OF, as_of, day
 from tallyloom.operators import aggregates
-from tallyloom.plans import bills, layout
+from tallyloom.plans import bills, layout, schedule
 
 _BOOK = """WITH items AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS i, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem),
        s AS (SELECT doc, sum(amount) AS total, coalesce(sum(amount) FILTER (i <= 2), 0) AS a, coalesce(sum(amount) FILTER (i > 2), 0) AS b FROM items GROUP BY 1)"""
@@ -93,3 +93,67 @@ def _(t):
         F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("page"), "l_linenumber", "l_partkey", F.when(n == 1, p % 40).alias("image"), ((p % 7) * 8 + p % 3).cast("double").alias("x0"), (n * 8.0).alias("y0"), ((p % 7) * 8 + p % 3 + (p % 5 + 1) * 8).cast("double").alias("x1"), (n * 8.0 + (p % 3 + 1) * 8).alias("y1")
     )
     return layout.repeated_figures(figures, "doc", "page").select("doc", "page", "l_linenumber", "l_partkey", "decorative")
+
+
+@query(
+    "n28_kinds_and_caps",
+    """WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 1900 + 20 AS w, (l_suppkey * 7) % 900 * CASE WHEN l_linenumber = 7 THEN 400 ELSE 1 END AS h FROM lineitem)
+       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN greatest(w, h) <= 160 THEN 'icon/logo' WHEN greatest(w, h) >= 6 * greatest(1, least(w, h)) THEN 'banner/rule' ELSE 'photo/figure' END AS kind, w > 0 AND h > 0 AND w * h <= 300 * 1000000 AS safe FROM d""",
+)
+def _(t):
+    w, h = F.col("l_partkey") % 1900 + 20, (F.col("l_suppkey") * 7) % 900 * F.when(F.col("l_linenumber") == 7, 400).otherwise(1)
+    return layout.image_kinds(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", w.alias("w"), h.alias("h"))).drop("w", "h")
+
+
+@query(
+    "g11_years_covered",
+    f"""WITH a AS (SELECT o_custkey AS member, year(l_shipdate) AS y, count(*) AS absent FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY 1, 2),
+       q AS (SELECT o_custkey AS member, year(o_orderdate) AS y, sum(o_orderkey % 5 + 1) AS days FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2)
+       SELECT a.member, a.y, absent, CAST(coalesce(days, 0) AS BIGINT) AS approved, CAST(least(100, floor(CAST(coalesce(days, 0) AS DOUBLE) / absent * 100 + 0.5)) AS BIGINT) AS covered FROM a LEFT JOIN q ON q.member = a.member AND q.y = a.y""",
+)
+def _(t):
+    # Lines that came back are days of absence, finished orders approved leave of some days.
+    absent = t.lineitem.where("l_returnflag = 'R'").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("member"), F.year("l_shipdate").alias("y")).agg(F.count("*").alias("absent"))
+    leave = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("member"), F.year("o_orderdate").alias("y")).agg(F.sum(F.col("o_orderkey") % 5 + 1).alias("approved"))
+    both = absent.join(leave, ["member", "y"], "left").fillna(0, ["approved"])
+    return both.withColumn("covered", F.least(F.lit(100), F.floor(F.col("approved") / F.col("absent") * 100 + 0.5)))
+
+
+@query(
+    "k3_chosen_baseline",
+    """WITH b AS (SELECT count(*) FILTER (o_orderstatus = 'F') >= count(*) FILTER (o_orderstatus = 'O') AS first FROM orders)
+       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_shipdate AS DATE) - CASE WHEN CASE WHEN first THEN o_orderstatus = 'F' ELSE o_orderstatus = 'O' END THEN CAST(o_orderdate AS DATE) END AS INTEGER) AS variance, CASE WHEN l_suppkey % 4 = 0 THEN l_returnflag = 'R' ELSE l_linenumber - 3 <= 0 END AS critical
+       FROM lineitem JOIN orders ON o_orderkey = l_orderkey, b""",
+)
+def _(t):
+    d, s = day("o_orderdate"), F.col("o_orderstatus")
+    tasks = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day("l_shipdate").alias("start"), F.when(s == "F", d).alias("b0"), F.when(s == "O", d).alias("b1"), F.when(F.col("l_suppkey") % 4 > 0, F.col("l_linenumber") - 3).alias("total_float"), (F.col("l_returnflag") == "R").alias("native_critical")
+    )
+    plans = t.orders.select(F.when(s == "F", d).alias("b0"), F.when(s == "O", d).alias("b1"))
+    return schedule.against_baseline(tasks, schedule.chosen_baseline(plans, ["b0", "b1"]), ["b0", "b1"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "variance", "critical")
+
+
+_SPENT = """WITH r AS (SELECT c_nationkey AS org, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, 150000 AS allocated, CASE WHEN o_orderkey % 10 > 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS spent FROM orders JOIN customer ON c_custkey = o_custkey),
+       v AS (SELECT org, m, (CAST(sum(spent) AS DOUBLE) - sum(allocated)) / sum(allocated) * 100 AS pct FROM r WHERE spent IS NOT NULL GROUP BY 1, 2), x AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY org) AS months FROM v),
+       p AS (SELECT org, max(months) AS months, arg_max(pct, i) AS now, CASE WHEN var_pop(pct) = 0 THEN 0 ELSE regr_slope(pct, i) END AS slope, avg(pct) AS mp, avg(i) AS mi, CASE WHEN var_pop(pct) = 0 THEN 0 ELSE regr_r2(pct, i) END AS fit FROM x WHERE months >= 6 GROUP BY 1),
+       q AS (SELECT org, months, floor(round(now * 10, 6) + 0.5) / 10 AS now, floor(round((mp - slope * mi + slope * months) * 10, 6) + 0.5) / 10 AS ahead, fit FROM p)"""
+
+
+@query("x5_overrun_projections", _SPENT + " SELECT org, months, now, ahead, ahead > 10 AS alert FROM q")
+def _(t):
+    return aggregates.overruns(_spending(t)).select("org", "months", "now", "ahead", "alert")
+
+
+@query(
+    "x5_overrun_confidence",
+    _SPENT
+    + """ SELECT count(*) FILTER (ahead > 10) AS alerts, (SELECT count(*) FILTER (spent IS NULL) FROM r) AS missing, CAST(greatest(5, least(97, floor(round(coalesce(avg(fit) FILTER (ahead > 10), 0) * 85 - 100 * (SELECT CAST(count(*) FILTER (spent IS NULL) AS DOUBLE) / count(*) FROM r) - greatest(0, (10 - least(count(*), 10)) / 10.0::DOUBLE) * 10, 6) + 0.5))) AS BIGINT) AS confidence FROM q""",
+)
+def _(t):
+    return aggregates.overrun_confidence(_spending(t))
+
+
+def _spending(t):
+    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return joined.select(F.col("c_nationkey").alias("org"), F.trunc(day("o_orderdate"), "month").alias("m"), F.lit(150000).alias("allocated"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_totalprice").cast("decimal(18,2)")).alias("spent"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import ratio
+from tallyloom.operators import windows
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -104,3 +105,29 @@ def case_risk(cases: DataFrame) -> DataFrame:
     scored = cases.withColumn("score", score)
     win = F.when(status == "Disposed - Favorable", 100).when(status == "Disposed - Unfavorable", 0).otherwise(F.greatest(F.lit(5), F.least(F.lit(95), 100 - F.col("score"))))
     return scored.withColumns({"win": win, "class": F.when(F.col("score") >= 65, "High").when(F.col("score") >= 35, "Medium").otherwise("Low")})
+
+
+#: Months that a budget's trend needs, the alarming overrun in percent, what fit is worth, and orgs that make a sound base.
+BUDGET_MONTHS, OVERRUN, FIT_WORTH, SOUND_BASE, THIN_PENALTY = 6, 10, 85, 10, 10
+
+
+def overruns(spending: DataFrame) -> DataFrame:
+    """(org, months, now, ahead, fit, alert): the variance of spending in percent, its last value and the next by trend.
+
+    ``spending`` are rows (org, m, allocated, spent); rows without a sum spent count nowhere.
+    """
+    known = spending.where("spent IS NOT NULL").groupBy("org", "m").agg(F.sum("spent").cast("double").alias("s"), F.sum("allocated").alias("a"))
+    pct = known.select("org", "m", ((F.col("s") - F.col("a")) / F.col("a") * 100).alias("pct")).withColumn("i", F.row_number().over(Window.partitionBy("org").orderBy("m")) - 1)
+    line, tenth = windows.trend(F.col("i"), F.col("pct")), lambda x: F.floor(F.round(x * 10, 6) + 0.5) / 10
+    per = pct.groupBy("org").agg(F.count("*").alias("months"), F.max_by("pct", "i").alias("now"), line["slope"].alias("slope"), line["intercept"].alias("base"), line["fit"].alias("fit")).where(F.col("months") >= BUDGET_MONTHS)
+    ahead = tenth(F.col("base") + F.col("slope") * F.col("months"))
+    return per.select("org", "months", tenth(F.col("now")).alias("now"), ahead.alias("ahead"), "fit").withColumn("alert", F.col("ahead") > OVERRUN)
+
+
+def overrun_confidence(spending: DataFrame) -> DataFrame:
+    """(alerts, missing, confidence), one row: the alerts' mean fit, less the share of rows without a sum and a penalty for few orgs."""
+    rows = spending.agg(F.count("*").alias("rows"), F.count_if(F.col("spent").isNull()).alias("missing"))
+    found = overruns(spending).agg(F.count("*").alias("orgs"), F.count_if("alert").alias("alerts"), F.coalesce(F.avg(F.when(F.col("alert"), F.col("fit"))), F.lit(0.0)).alias("fit"))
+    thin = F.greatest(F.lit(0.0), (SOUND_BASE - F.least(F.col("orgs"), F.lit(SOUND_BASE))) / SOUND_BASE) * THIN_PENALTY
+    score = F.floor(F.round(F.col("fit") * FIT_WORTH - 100 * F.col("missing") / F.col("rows") - thin, 6) + 0.5)
+    return found.crossJoin(F.broadcast(rows)).select("alerts", "missing", F.greatest(F.lit(5), F.least(F.lit(97), score)).cast("long").alias("confidence"))

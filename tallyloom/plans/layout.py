@@ -81,3 +81,15 @@ def repeated_figures(figures: DataFrame, doc: str, page: str, grid: float = 8.0)
     marked = figures.withColumn("__sig", F.coalesce(F.concat(F.lit("image "), F.col("image").cast("string")), drawn))
     pages = marked.groupBy(doc, "__sig").agg(F.countDistinct(page).alias("__pages"))
     return marked.join(pages, [doc, "__sig"]).withColumn("decorative", F.col("__pages") >= 2).drop("__sig", "__pages")
+
+
+#: The longest side of an icon, the least ratio of a banner's sides, and the pixels up to which an image may be decoded.
+ICON, BANNER, MOST_PIXELS = 160, 6, 300_000_000
+
+
+def image_kinds(images: DataFrame) -> DataFrame:
+    """``images`` (w, h) with ``kind`` and ``safe``: unknown or senseless sizes are never safe to decode."""
+    long, short = F.greatest("w", "h"), F.greatest(F.lit(1), F.least("w", "h"))
+    kind = F.when(long <= ICON, "icon/logo").when(long >= BANNER * short, "banner/rule").otherwise("photo/figure")
+    fits = (F.col("w") > 0) & (F.col("h") > 0) & (F.col("w").cast("long") * F.col("h") <= MOST_PIXELS)
+    return images.withColumns({"kind": kind, "safe": F.coalesce(fits, F.lit(False))})

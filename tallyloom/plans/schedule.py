@@ -61,3 +61,16 @@ def ordered_outline(tasks: DataFrame) -> DataFrame:
     sums = first.select(columns).unionByName(higher.select(columns)).withColumns({"is_summary": F.lit(True), "pos": F.lit(-1).cast("long")})
     order = Window.partitionBy("package").orderBy("wbs", F.col("is_summary").desc(), "pos")
     return leaves.withColumn("pos", F.col("pos").cast("long")).unionByName(sums.select(leaves.columns)).withColumn("id", F.row_number().over(order))
+
+
+def against_baseline(tasks: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """``tasks`` (start, the baselines, total_float, native_critical) with ``variance`` in days against the chosen baseline, and ``critical``.
+
+    ``chosen`` is the one row of ``chosen_baseline``.  Float decides what is critical; where it is unknown the task's own flag does.
+    """
+    both = tasks.crossJoin(F.broadcast(chosen.select("baseline")))
+    base = None
+    for c in columns:
+        base = F.when(F.col("baseline") == c, F.col(c)) if base is None else base.when(F.col("baseline") == c, F.col(c))
+    critical = F.when(F.col("total_float").isNull(), F.col("native_critical")).otherwise(F.col("total_float") <= 0)
+    return both.withColumns({"variance": F.datediff("start", base), "critical": critical})
