@@ -132,3 +132,34 @@ def _(t):
     # A text that denies its own alert gives way to the standing advice.
     against = F.col("alert") & F.col("said").rlike("(?i)no action (is |will be )?(needed|required|necessary)")
     return rows.select("conv_id", "turn", "alert", against.alias("contradicts"), F.when(against, "Review the findings.").otherwise(F.col("said")).alias("shown"))
+
+
+@query(
+    "v11_tabular_grids",
+    r"""WITH l AS (SELECT doc_id AS doc, line, n - 1 AS row FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
+       c AS (SELECT doc, row, unnest(string_split(line, ', ')) AS raw, generate_subscripts(string_split(line, ', '), 1) - 1 AS col FROM l),
+       x AS (SELECT *, trim(raw) <> '' AS f, len(regexp_extract_all(raw, '[^\s]+')) AS w, regexp_full_match(regexp_replace(raw, '(?i)₹|rs\.?|inr|[,%\s()]', '', 'g'), '-?[0-9]+(\.[0-9]+)?') AS a FROM c),
+       r AS (SELECT doc, row, count(*) AS cells, count(*) FILTER (f) AS filled, sum(w) AS words, max(col) AS last FROM x GROUP BY 1, 2 HAVING count(*) FILTER (f) > 0),
+       p AS (SELECT doc, count(*) AS rows, sum(filled) AS filled, max(last) + 1 AS cols, count(*) FILTER (filled >= 2) AS several, CAST(sum(words) AS DOUBLE) / sum(cells) AS mean FROM r GROUP BY 1),
+       n AS (SELECT doc, count(*) AS numeric FROM (SELECT doc, col FROM x WHERE a GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1)
+       SELECT d.doc, coalesce(rows, 0) AS rows, coalesce(filled, 0) > 1 AS emit, coalesce(rows, 0) >= 3 AND cols >= 2 AND (coalesce(numeric, 0) >= 2 OR (several >= greatest(2, 0.5 * rows) AND mean < 15)) AS tabular FROM (SELECT DISTINCT doc FROM c) d LEFT JOIN p USING (doc) LEFT JOIN n USING (doc)""",
+)
+def _(t):
+    # Lines are rows, and what stands between commas their cells.
+    rows = t.documents.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("row", "line"))
+    return columns.tabular(rows.select("doc", "row", F.posexplode(F.split("line", ", ")).alias("col", "raw")))
+
+
+@query(
+    "v25_uncertain_tables_whole",
+    _CELLS
+    + f""", u AS (SELECT DISTINCT doc, CASE WHEN doc % 4 = 0 AND doc % 12 = 0 THEN 'scanned_low_conf' WHEN doc % 4 = 0 THEN 'scanned_table' WHEN doc % 5 = 0 THEN 'tieout_flags' END AS reason FROM items),
+       r AS (SELECT *, CASE WHEN numbers >= 3 AND {_MONEY} THEN 2 WHEN numbers >= 3 AND wins > 0 THEN 1 ELSE 0 END AS tier, max(numbers) OVER (PARTITION BY doc) AS most FROM prof),
+       m AS (SELECT doc, col AS money FROM r WHERE most >= 3 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY tier DESC, CASE WHEN tier = 2 THEN col END DESC, CASE WHEN tier = 1 THEN wins END DESC, numbers DESC, col) = 1),
+       k AS (SELECT doc, min(col) FILTER ({_meant(*columns.ROLES['qty'])}) AS qty, min(col) FILTER ({_meant(*columns.ROLES['rate'])}) AS rate, max(col) FILTER ({_meant(*columns.ROLES['amount'])}) AS amount FROM prof GROUP BY 1)
+       SELECT doc, reason, money, qty, rate, amount FROM u LEFT JOIN m USING (doc) LEFT JOIN k USING (doc) WHERE reason IS NOT NULL""",
+)
+def _(t):
+    k = F.col("doc")
+    tables = t.lineitem.select(F.col("l_orderkey").alias("doc")).distinct().select("doc", F.when(k % 4 == 0, "scanned_ensemble").otherwise("native").alias("route"), (k % 3 == 0).alias("low"), (k % 5 == 0).cast("int").alias("flags"))
+    return columns.uncertain(tables, columns.profiles(_cells(t)))

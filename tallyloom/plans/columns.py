@@ -64,3 +64,32 @@ def roles(found: DataFrame, doc: str = "doc", least: int = 2) -> DataFrame:
         out.append((F.max if role == "amount" else F.min)(F.when(meant, F.col("col"))).alias(role))
     wide = found.groupBy(doc).agg(*out, (F.max("col") + 1).alias("__n"))
     return wide.select(doc, *(F.when(F.col("__n") >= 3, F.col(r)).alias(r) for r in ROLES))
+
+
+def tabular(cells: DataFrame, doc: str = "doc", most_words: int = 15) -> DataFrame:
+    """(doc, rows, emit, tabular): whether a grid has more than one filled cell, and whether it is a table and no prose.
+
+    A table has three filled rows and two columns or more, and either two columns with two amounts each, or half of its
+    rows (two at least) with two filled cells and cells of fewer than ``most_words`` words on average.
+    """
+    filled = F.trim(F.coalesce("raw", F.lit(""))) != ""
+    words = F.size(F.filter(F.split(F.coalesce("raw", F.lit("")), r"\s+"), lambda w: w != ""))
+    rows = cells.groupBy(doc, "row").agg(F.count("*").alias("cells"), F.count_if(filled).alias("filled"), F.sum(words).alias("words"), F.max("col").alias("last")).where("filled > 0")
+    per = rows.groupBy(doc).agg(F.count("*").alias("rows"), F.sum("filled").alias("filled"), (F.max("last") + 1).alias("cols"), F.count_if(F.col("filled") >= 2).alias("several"), (F.sum("words") / F.sum("cells")).alias("mean"))
+    numeric = cells.where(is_amount(F.col("raw"))).groupBy(doc, "col").agg(F.count("*").alias("n")).where("n >= 2").groupBy(doc).agg(F.count("*").alias("numeric"))
+    both = cells.select(doc).distinct().join(per, doc, "left").join(numeric, doc, "left").fillna(0, ["rows", "filled", "cols", "several", "numeric"])
+    dense = (F.col("several") >= F.greatest(F.lit(2.0), 0.5 * F.col("rows"))) & (F.col("mean") < most_words)
+    table = (F.col("rows") >= 3) & (F.col("cols") >= 2) & ((F.col("numeric") >= 2) | F.coalesce(dense, F.lit(False)))
+    return both.select(doc, "rows", (F.col("filled") > 1).alias("emit"), table.alias("tabular"))
+
+
+def uncertain(tables: DataFrame, found: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, reason, money, qty, rate, amount) of the ``tables`` (route, low, flags) that a trusted sheet may replace.
+
+    Every table of a scanned page, and any other that carries flags; ``found`` are the ``profiles`` of their cells.
+    """
+    scanned = F.col("route").startswith("scanned")
+    reason = F.when(scanned & F.col("low"), "scanned_low_conf").when(scanned, "scanned_table").when(F.col("flags") > 0, "tieout_flags")
+    marked = tables.select(doc, reason.alias("reason")).where("reason IS NOT NULL")
+    money = amount_column(found, doc).select(doc, F.col("col").alias("money"))
+    return marked.join(money, doc, "left").join(roles(found, doc), doc, "left").select(doc, "reason", "money", *ROLES)
