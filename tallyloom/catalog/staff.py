@@ -36,9 +36,8 @@ def _(t):
     # The supplied lines have no request number: one is made in the order of their columns, by ranges.
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
     per = Window.partitionBy("l_orderkey").orderBy(*order[1:])
-    before = Window.orderBy("l_orderkey").rowsBetween(Window.unboundedPreceding, -1)
     counts = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    starts = counts.select("l_orderkey", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = windows.sums_before(counts, "l_orderkey", "n").select("l_orderkey", F.col("before").alias("start"))
     lines = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("place", F.row_number().over(per)).join(starts, "l_orderkey")
     lines = lines.select("l_orderkey", "member", (F.col("l_linenumber") % 3).alias("kind"), day("l_shipdate").alias("s"), F.date_add(day("l_shipdate"), (F.col("l_quantity").cast("int") % 9 - 1)).alias("e"), (F.col("start") + F.col("place")).alias("request"))
     members = t.customer.select(F.col("c_custkey").alias("member"), F.col("c_nationkey").alias("org"), F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment", (F.col("c_custkey") % 2).cast("string")).alias("grp"))

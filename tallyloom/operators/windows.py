@@ -126,3 +126,17 @@ def demand_alerts(volume: DataFrame, holidays: DataFrame) -> DataFrame:
     rows = both.withColumn("projected", F.greatest(F.floor(ahead + 0.5), F.lit(0)))
     change = F.floor(F.round((F.col("projected") - F.col("current")) / F.col("current") * 1000, 6) + 0.5) / 10
     return rows.withColumn("change", change).select("org", "zone", "current", "projected", "change", ((F.col("fit") >= FIT) & (F.col("change") > RISE)).alias("alert"))
+
+
+def sums_before(df: DataFrame, key: str, value: str, width: int = 1 << 16) -> DataFrame:
+    """``df`` with ``before``, the sum of ``value`` over all rows of lesser whole keys; each key stands in one row.
+
+    Ranges of ``width`` keys are summed apart, so one task sees a row a range, not a row a key.
+    """
+    dealt = df.withColumn("__range", F.floor(F.col(key) / width))
+    lesser = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    ranges = ranges.select("__range", F.coalesce(F.sum("__sum").over(lesser), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("__within", F.coalesce(F.sum(value).over(within), F.lit(0))).join(ranges, "__range")
+    return summed.withColumn("before", F.col("__start") + F.col("__within")).drop("__range", "__start", "__within")
