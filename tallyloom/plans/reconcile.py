@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tallyloom.functions.text import parse_number
 from tallyloom.plans.verify import LOOK_ALIKES
+from tallyloom.sources.shared import dealt, kept_together
 
 #: Weights of a row's columns, and the scores of a number that agrees in value, nearly, or by look-alikes.
 WEIGHTS = {"amount": 0.6, "rate": 0.25, "qty": 0.15}
@@ -71,8 +72,10 @@ def _bucket(v: Column) -> Column:
 def _meeting(trusted: DataFrame, noisy: DataFrame, keys: list[str], role: str) -> DataFrame:
     """Trusted kinds with noisy ones that may match in one column; a pair can come twice."""
     b, p = _bucket(F.col(role).cast("double")), _bucket(parse_number(F.col(f"{role}_raw")))
-    own = F.array(F.concat(F.lit("v"), b.cast("string")), F.concat(F.lit("d"), digits_of(F.col(role))))
-    read = F.array(*(F.concat(F.lit("v"), (p + k).cast("string")) for k in (-1, 0, 1)), F.concat(F.lit("d"), look_alike_digits(F.col(f"{role}_raw"))))
+    # Hashes: what meets by a collision is told apart by its score.
+    value, digits = (lambda x: F.xxhash64(F.lit("v"), x)), (lambda x: F.xxhash64(F.lit("d"), x))
+    own = F.array(value(b), digits(digits_of(F.col(role))))
+    read = F.array(*(F.when(p.isNotNull(), value(p + k)) for k in (-1, 0, 1)), F.when(look_alike_digits(F.col(f"{role}_raw")).isNotNull(), digits(look_alike_digits(F.col(f"{role}_raw")))))
     left = trusted.where(F.col(role).isNotNull()).withColumn("__key", F.explode(own))
     right = noisy.withColumn("__key", F.explode(F.array_compact(read)))
     return left.join(right, [*keys, "__key"]).drop("__key")
@@ -160,8 +163,17 @@ def aligned(trusted: DataFrame, noisy: DataFrame, keys: list[str]) -> DataFrame:
     Between anchors places are shared out in proportion.  Where anchors are too few the counts must agree within
     ``SLACK`` and rows are taken in order (``count_order``), else the keys fail and j and page are null.
     """
-    pairs = scored_pairs(trusted, noisy, keys).checkpoint()
-    anchors = rising_rows(mutual_anchors(trusted, pairs, keys), keys, "i", "j").checkpoint()
+    spark = trusted.sparkSession
+    trusted, noisy = dealt(trusted, keys), dealt(noisy, keys)
+    with kept_together(spark):
+        pairs = dealt(scored_pairs(trusted, noisy, keys), keys)
+        anchors = dealt(rising_rows(mutual_anchors(trusted, pairs, keys), keys, "i", "j"), keys)
+        best = dealt(best_scores(trusted, noisy, keys, pairs), keys)
+        return dealt(_placed(trusted, noisy, keys, anchors, best), keys)
+
+
+def _placed(trusted: DataFrame, noisy: DataFrame, keys: list[str], anchors: DataFrame, best: DataFrame) -> DataFrame:
+    """``aligned`` from the anchors and each row's best score."""
     n_t = trusted.groupBy(*keys).agg(F.count("*").alias("n_t"))
     n_n = noisy.groupBy(*keys).agg(F.count("*").alias("n_n"))
     n_a = anchors.groupBy(*keys).agg(F.count("*").alias("n_anchors"))
@@ -186,7 +198,7 @@ def aligned(trusted: DataFrame, noisy: DataFrame, keys: list[str]) -> DataFrame:
     place = F.least(F.greatest(place, F.lit(0.0)), (F.col("n_n") - 1).cast("double")).cast("long")
     held = held.withColumn("j", F.when(F.col("method") != "failed", place)).withColumn("anchored", F.col("anchored") & (F.col("method") == "anchor"))
     pages = noisy.select(*keys, F.col("j").cast("long").alias("j"), "page")
-    best = best_scores(trusted, noisy, keys, pairs).select(*keys, F.col("i").cast("long").alias("i"), "best")
+    best = best.select(*keys, F.col("i").cast("long").alias("i"), "best")
     return held.join(pages, [*keys, "j"], "left").join(best, [*keys, "i"]).select(*keys, "i", "j", "page", "anchored", "best", "method")
 
 

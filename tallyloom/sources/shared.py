@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +26,24 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return spark
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows as a table in the warehouse, bucketed by ``keys``: lineage ends, and what groups by them needs no shuffle."""
+    spark = df.sparkSession
+    name = f"dealt_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, *keys).write.bucketBy(parts, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+@contextmanager
+def kept_together(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, joins on more columns than their inputs are dealt by don't deal them anew; only for what is written meanwhile."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
