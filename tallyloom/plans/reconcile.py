@@ -9,7 +9,7 @@ amount, rate or quantity (in value, or in look-alike digits) meet, so no two tab
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -45,20 +45,43 @@ def look_alike_digits(raw: Column) -> Column:
 
 def number_match(value: Column, raw: Column, most: int = 2) -> Column:
     """1 within 1 of the value, 0.9 within 1 %, 0.7 if ``most`` or fewer look-alikes give its digits, else 0; null without a value."""
-    v, p = value.cast("double"), parse_number(raw)
+    return _matched(value.cast("double"), digits_of(value), parse_number(raw), _alike(raw, most))
+
+
+def _alike(raw: Column, most: int = 2) -> Column:
+    """``look_alike_digits`` where so many letters or fewer had to be read as digits, else null."""
+    return F.when(F.length(F.regexp_replace(_letters(raw), "[0-9]", "")) <= most, look_alike_digits(raw))
+
+
+def _matched(v: Column, own: Column, p: Column, alike: Column) -> Column:
+    """``number_match`` from what each side's cell was parsed to."""
     off = F.abs(v - p)
-    changed = F.length(F.regexp_replace(_letters(raw), "[0-9]", ""))
-    alike = (look_alike_digits(raw) == digits_of(value)) & (changed <= most)
-    score = F.when(off <= 1.0, SAME).when(off <= 0.01 * F.greatest(F.abs(v), F.abs(p), F.lit(1.0)), NEAR).when(alike, ALIKE).otherwise(0.0)
-    return F.when(value.isNotNull(), score)
+    score = F.when(off <= 1.0, SAME).when(off <= 0.01 * F.greatest(F.abs(v), F.abs(p), F.lit(1.0)), NEAR).when(alike == own, ALIKE).otherwise(0.0)
+    return F.when(v.isNotNull(), score)
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the numbers and digits of the roles that they have: a cell is parsed once, not once a pair."""
+    for role in WEIGHTS:
+        value, raw = F.col(role), F.col(f"{role}_raw")
+        if role in rows.columns:
+            rows = rows.withColumns({f"__v_{role}": value.cast("double"), f"__own_{role}": digits_of(value)})
+        if f"{role}_raw" in rows.columns:
+            rows = rows.withColumns({f"__p_{role}": parse_number(raw), f"__alike_{role}": _alike(raw)})
+    return rows
+
+
+def _pair_match(role: str) -> Column:
+    """The match of ``_parsed`` rows that met."""
+    return _matched(*(F.col(f"__{c}_{role}") for c in ("v", "own", "p", "alike")))
 
 
-def row_score(roles: tuple[str, ...] = tuple(WEIGHTS)) -> Column:
+def row_score(roles: tuple[str, ...] = tuple(WEIGHTS), match: Callable[[str], Column] = lambda role: number_match(F.col(role), F.col(f"{role}_raw"))) -> Column:
     """The matches of ``roles`` weighted over all columns that the trusted row has; other roles count as 0."""
     gained, possible = F.lit(0.0), F.lit(0.0)
     for role, weight in WEIGHTS.items():
         if role in roles:
-            gained = gained + weight * F.coalesce(number_match(F.col(role), F.col(f"{role}_raw")), F.lit(0.0))
+            gained = gained + weight * F.coalesce(match(role), F.lit(0.0))
         possible = possible + F.when(F.col(role).isNotNull(), weight).otherwise(0.0)
     return F.when(possible > 0, F.round(gained / possible, 6)).otherwise(0.0).cast(SCORE)
 
@@ -70,12 +93,12 @@ def _bucket(v: Column) -> Column:
 
 
 def _meeting(trusted: DataFrame, noisy: DataFrame, keys: list[str], role: str) -> DataFrame:
-    """Trusted kinds with noisy ones that may match in one column; a pair can come twice."""
-    b, p = _bucket(F.col(role).cast("double")), _bucket(parse_number(F.col(f"{role}_raw")))
+    """``_parsed`` trusted kinds with noisy ones that may match in one column; a pair can come twice."""
+    b, p = _bucket(F.col(f"__v_{role}")), _bucket(F.col(f"__p_{role}"))
     # Hashes: what meets by a collision is told apart by its score.
     value, digits = (lambda x: F.xxhash64(F.lit("v"), x)), (lambda x: F.xxhash64(F.lit("d"), x))
-    own = F.array(value(b), digits(digits_of(F.col(role))))
-    read = F.array(*(F.when(p.isNotNull(), value(p + k)) for k in (-1, 0, 1)), F.when(look_alike_digits(F.col(f"{role}_raw")).isNotNull(), digits(look_alike_digits(F.col(f"{role}_raw")))))
+    own = F.array(value(b), digits(F.col(f"__own_{role}")))
+    read = F.array(*(F.when(p.isNotNull(), value(p + k)) for k in (-1, 0, 1)), F.when(F.col(f"__alike_{role}").isNotNull(), digits(F.col(f"__alike_{role}"))))
     left = trusted.where(F.col(role).isNotNull()).withColumn("__key", F.explode(own))
     right = noisy.withColumn("__key", F.explode(F.array_compact(read)))
     return left.join(right, [*keys, "__key"]).drop("__key")
@@ -93,16 +116,16 @@ def scored_pairs(trusted: DataFrame, noisy: DataFrame, keys: list[str]) -> DataF
     """(keys, i, j, score) of kinds of rows whose amounts match."""
     t = _kinds(trusted, keys, list(WEIGHTS), "i").where("i = kind").select(*keys, "i", *WEIGHTS)
     n = _kinds(noisy, keys, RAW, "j").where("j = kind").select(*keys, "j", *RAW)
-    met = _meeting(t, n, keys, "amount").dropDuplicates([*keys, "i", "j"])
-    return met.where(number_match(F.col("amount"), F.col("amount_raw")) > 0).select(*keys, "i", "j", row_score().alias("score"))
+    met = _meeting(_parsed(t), _parsed(n), keys, "amount").where(_pair_match("amount") > 0)
+    return met.select(*keys, "i", "j", row_score(match=_pair_match).alias("score")).dropDuplicates([*keys, "i", "j"])
 
 
 def best_scores(trusted: DataFrame, noisy: DataFrame, keys: list[str], pairs: DataFrame) -> DataFrame:
     """(keys, i, best) of every trusted row: its best score against any noisy row."""
     every = _kinds(trusted, keys, list(WEIGHTS), "i")
-    t = every.where("i = kind").select(*keys, "i", *WEIGHTS)
-    by_rate = _meeting(t, noisy.select(*keys, "rate_raw", "qty_raw").distinct(), keys, "rate").select(*keys, "i", row_score(("rate", "qty")).alias("score"))
-    by_qty = _meeting(t, noisy.select(*keys, "qty_raw").distinct(), keys, "qty").select(*keys, "i", row_score(("qty",)).alias("score"))
+    t = _parsed(every.where("i = kind").select(*keys, "i", *WEIGHTS))
+    by_rate = _meeting(t, _parsed(noisy.select(*keys, "rate_raw", "qty_raw").distinct()), keys, "rate").select(*keys, "i", row_score(("rate", "qty"), _pair_match).alias("score"))
+    by_qty = _meeting(t, _parsed(noisy.select(*keys, "qty_raw").distinct()), keys, "qty").select(*keys, "i", row_score(("qty",), _pair_match).alias("score"))
     found = pairs.select(*keys, "i", "score").unionByName(by_rate).unionByName(by_qty)
     best = found.groupBy(*keys, F.col("i").alias("kind")).agg(F.max("score").alias("best"))
     return every.select(*keys, "i", "kind").join(best, [*keys, "kind"], "left").select(*keys, "i", F.coalesce("best", F.lit(0).cast(SCORE)).alias("best"))
@@ -278,7 +301,7 @@ def candidate_links(trusted: DataFrame, noisy: DataFrame, file: str, sheet: str,
     """
     t = trusted.select(file, sheet, "amount").distinct()
     n = noisy.select(file, table, "amount_raw").distinct()
-    met = _meeting(t, n, [file], "amount").where(number_match(F.col("amount"), F.col("amount_raw")) > 0)
+    met = _meeting(_parsed(t), _parsed(n), [file], "amount").where(_pair_match("amount") > 0)
     return met.select(file, sheet, table).distinct()
 
 
