@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 DEVANAGARI = "०१२३४५६७८९"
 
 
+#: Cells without a digit hold no number, and plain ones are their number: only the others need the steps below.
+DIGIT, PLAIN = f"[0-9{DEVANAGARI}]", r"^-?[0-9]+(\.[0-9]+)?\z"
+
+
 def parse_number(raw: Column) -> Column:
     """The number in a cell: native digits, currency, commas, percent; (x) is negative; else null."""
     s = F.trim(F.translate(raw, DEVANAGARI, "0123456789"))
-    negative = s.rlike(r"^\(.*\)$")
     plain = F.regexp_replace(s, r"(?i)₹|rs\.?|inr|[,%\s()]", "")
     value = F.regexp_extract(plain, r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
-    return F.when(negative & value.isNotNull(), -F.abs(value)).otherwise(value)
+    dressed = F.when(s.rlike(r"^\(.*\)$"), -F.abs(value)).otherwise(value)
+    return F.when(raw.rlike(PLAIN), raw.try_cast("double")).when(raw.rlike(DIGIT), dressed)
 
 
 def is_amount(raw: Column) -> Column:
     s = F.regexp_replace(F.translate(raw, DEVANAGARI, "0123456789"), r"(?i)₹|rs\.?|inr|[,%\s()]", "")
-    return F.coalesce(s.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.lit(False))
+    return F.when(raw.rlike(PLAIN), True).when(raw.rlike(DIGIT), s.rlike(r"^-?[0-9]+(\.[0-9]+)?$")).otherwise(False)
 
 
 def is_total_label(label: Column) -> Column:

@@ -5,8 +5,12 @@ Cells are rows (doc, row, col, raw); the first three rows give a column's header
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions.text import is_amount, parse_number
 
@@ -27,43 +31,107 @@ def _has(header: Column, parts: list[str]) -> Column:
     return found
 
 
-def profiles(cells: DataFrame, doc: str = "doc") -> DataFrame:
-    """(doc, col, header, numbers, amounts, wins): cells with a number, cells that are amounts, and rows whose largest number the column has (the first of equals)."""
-    value = parse_number(F.col("raw"))
-    rows = cells.withColumn("__v", value)
-    winner = F.max(F.when(F.col("__v").isNotNull(), F.struct("__v", -F.col("col")))).over(Window.partitionBy(doc, "row"))
-    rows = rows.withColumn("__won", F.coalesce(winner["col2"] == -F.col("col"), F.lit(False)))
-    said = F.when(F.col("row") < HEADER_ROWS, F.struct("row", F.lower("raw").alias("text")))
-    return rows.groupBy(doc, "col").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["text"]), " ").alias("header"),
-        F.count("__v").alias("numbers"),
-        F.count_if(is_amount(F.col("raw"))).alias("amounts"),
-        F.count_if("__won").alias("wins"),
-    )
+class _Columns:
+    """One table's columns, told cell by cell in the order of rows and columns."""
+
+    def __init__(self):
+        self.said, self.counts = {}, {}
+        self.row, self.col, self.same = None, None, 0
+        self.best, self.winner, self.cells = None, None, 0
+
+    def add(self, row, col, number, amount: bool, text) -> None:
+        if row != self.row:
+            self._end_row()
+            self.row, self.col = row, None
+        self.same = self.same + 1 if col == self.col else 1
+        self.col = col
+        if col not in self.counts:
+            self.said[col], self.counts[col] = [], [0, 0, 0]
+        if text is not None:
+            self.said[col].append((row, text))
+        counts = self.counts[col]
+        counts[1] += amount
+        if self.best is not None and col == self.winner:
+            self.cells += 1
+        if number is not None:
+            counts[0] += 1
+            if self.best is None or number > self.best or (number == self.best and self.winner is None):
+                if self.best is None or col != self.winner:
+                    self.cells = self.same
+                self.best, self.winner = number, col
+
+    def _end_row(self) -> None:
+        if self.best is not None and self.winner is not None:
+            self.counts[self.winner][2] += self.cells
+        self.best, self.winner, self.cells = None, None, 0
+
+    def rows(self) -> list[tuple]:
+        self._end_row()
+        return [(col, " ".join(text for _, text in sorted(self.said[col])), *counts) for col, counts in self.counts.items()]
 
 
-def amount_column(found: DataFrame, doc: str = "doc", least: int = 3) -> DataFrame:
-    """(doc, col, by) from ``profiles``: the rightmost column whose header names money, else the one that most often has a row's largest number, else the one with most numbers."""
+def profiles(cells: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, col, header, numbers, amounts, wins): cells with a number, cells that are amounts, and rows whose largest number the column has (the first of equals).
+
+    Cells are dealt by their table once and stream through a task in order; what is held is a table's columns.
+    """
+    raw = F.col("raw")
+    told = cells.select(doc, "row", "col", parse_number(raw).alias("__number"), is_amount(raw).alias("__amount"), F.when(F.col("row") < HEADER_ROWS, F.lower(raw)).alias("__text"))
+    schema = T.StructType([cells.schema[doc], cells.schema["col"], T.StructField("header", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("numbers", "amounts", "wins"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table, types = None, None, None
+
+        def told_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=schema.names)
+
+        for batch in batches:
+            types = [batch.schema.types[0], batch.schema.types[2], pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            done = []
+            for key, *cell in zip(*(c.to_pylist() for c in batch.columns)):
+                if table is None or key != now:
+                    if table is not None:
+                        done.extend((now, *r) for r in table.rows())
+                    now, table = key, _Columns()
+                table.add(*cell)
+            yield told_of(done)
+        if table is not None:
+            yield told_of([(now, *r) for r in table.rows()])
+
+    return told.repartition(doc).sortWithinPartitions(doc, "row", "col").mapInArrow(run, schema)
+
+
+def _money(least: int) -> tuple[Column, Column]:
+    """The best column as (col, r) over a table's profiles, and the most numbers of any."""
     able = F.col("numbers") >= least
-    most = F.max("numbers").over(Window.partitionBy(doc))
     named = able & _has(F.col("header"), MONEY)
     rank = F.when(named, F.struct(F.lit(2).alias("a"), F.col("col").cast("long").alias("b"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("d"))).when(
         able & (F.col("wins") > 0), F.struct(F.lit(1).alias("a"), F.col("wins").alias("b"), F.col("numbers").alias("c"), (-F.col("col")).cast("long").alias("d"))
     ).otherwise(F.struct(F.lit(0).alias("a"), F.col("numbers").alias("b"), F.lit(0).cast("long").alias("c"), (-F.col("col")).cast("long").alias("d")))
-    best = found.withColumn("__most", most).where(F.col("__most") >= least).groupBy(doc).agg(F.max_by(F.struct("col", rank.alias("r")), rank).alias("x"))
+    return F.max_by(F.struct("col", rank.alias("r")), rank), F.max("numbers")
+
+
+def amount_column(found: DataFrame, doc: str = "doc", least: int = 3) -> DataFrame:
+    """(doc, col, by) from ``profiles``: the rightmost column whose header names money, else the one that most often has a row's largest number, else the one with most numbers."""
+    best, most = _money(least)
+    chosen = found.groupBy(doc).agg(best.alias("x"), most.alias("__most")).where(F.col("__most") >= least)
     by = F.when(F.col("x.r.a") == 2, "header").when(F.col("x.r.a") == 1, "largest").otherwise("most numbers")
-    return best.select(doc, F.col("x.col").alias("col"), by.alias("by"))
+    return chosen.select(doc, F.col("x.col").alias("col"), by.alias("by"))
 
 
-def roles(found: DataFrame, doc: str = "doc", least: int = 2) -> DataFrame:
-    """(doc, qty, rate, amount) from ``profiles``: the first column of each role by its header (of amounts the last), null if none."""
+def _roles(least: int) -> list[Column]:
+    """The column of each role over a table's profiles, null if none or in tables of fewer than three columns."""
     words = F.split("header", r"[^\p{L}\p{M}\p{N}_]+")
     out = []
     for role, (english, native) in ROLES.items():
         meant = (F.col("amounts") >= least) & (F.arrays_overlap(words, F.array(*map(F.lit, english))) | _has(F.col("header"), native))
-        out.append((F.max if role == "amount" else F.min)(F.when(meant, F.col("col"))).alias(role))
-    wide = found.groupBy(doc).agg(*out, (F.max("col") + 1).alias("__n"))
-    return wide.select(doc, *(F.when(F.col("__n") >= 3, F.col(r)).alias(r) for r in ROLES))
+        out.append(F.when(F.max("col") >= 2, (F.max if role == "amount" else F.min)(F.when(meant, F.col("col")))).alias(role))
+    return out
+
+
+def roles(found: DataFrame, doc: str = "doc", least: int = 2) -> DataFrame:
+    """(doc, qty, rate, amount) from ``profiles``: the first column of each role by its header (of amounts the last), null if none."""
+    return found.groupBy(doc).agg(*_roles(least))
 
 
 def tabular(cells: DataFrame, doc: str = "doc", most_words: int = 15) -> DataFrame:
@@ -91,5 +159,7 @@ def uncertain(tables: DataFrame, found: DataFrame, doc: str = "doc") -> DataFram
     scanned = F.col("route").startswith("scanned")
     reason = F.when(scanned & F.col("low"), "scanned_low_conf").when(scanned, "scanned_table").when(F.col("flags") > 0, "tieout_flags")
     marked = tables.select(doc, reason.alias("reason")).where("reason IS NOT NULL")
-    money = amount_column(found, doc).select(doc, F.col("col").alias("money"))
-    return marked.join(money, doc, "left").join(roles(found, doc), doc, "left").select(doc, "reason", "money", *ROLES)
+    # One grouping of the profiles gives both the money column and the roles.
+    best, most = _money(3)
+    told = found.groupBy(doc).agg(F.when(most >= 3, best["col"]).alias("money"), *_roles(2))
+    return marked.join(told, doc, "left").select(doc, "reason", "money", *ROLES)

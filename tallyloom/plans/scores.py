@@ -5,7 +5,7 @@ Cells are rows (doc, row, col, raw) of what was read and of the gold table; empt
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,11 +24,23 @@ def plain_text(raw: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", " ")))
 
 
-def cells_equal(a: Column, b: Column) -> Column:
-    """Numbers within the tolerance (of 1 at least), or equal plain texts."""
-    x, y = parse_number(a), parse_number(b)
-    near = F.abs(x - y) <= TOLERANCE * F.greatest(F.abs(x), F.abs(y), F.lit(1.0))
-    return F.when(x.isNotNull() & y.isNotNull(), near).otherwise(plain_text(a) == plain_text(b))
+class _Pairs:
+    """One-to-one pairs of two sides' values that come in one order: a value takes the least open one that it can reach."""
+
+    def __init__(self, absolute: float, relative: float):
+        self.absolute, self.relative = absolute, relative
+        self.open, self.counts, self.matched = (deque(), deque()), [0, 0], 0
+
+    def take(self, v: float, side: int) -> None:
+        self.counts[side] += 1
+        others = self.open[1 - side]
+        while others and v - others[0] > max(self.absolute, self.relative * max(abs(v), abs(others[0]), 1.0)):
+            others.popleft()
+        if others:
+            others.popleft()
+            self.matched += 1
+        else:
+            self.open[side].append(v)
 
 
 def paired_within(a: DataFrame, b: DataFrame, keys: list[str], value: str, absolute: float = 0.0, relative: float = 0.0) -> DataFrame:
@@ -42,27 +54,19 @@ def paired_within(a: DataFrame, b: DataFrame, keys: list[str], value: str, absol
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, open_, counts = None, (deque(), deque()), [0, 0, 0]
+        now, pairs = None, None
         for batch in batches:
             done = []
             columns = [c.to_pylist() for c in batch.columns]
             for *key, v, side in zip(*columns):
                 if key != now:
                     if now is not None:
-                        done.append((*now, *counts))
-                    now, open_, counts = key, (deque(), deque()), [0, 0, 0]
-                counts[side] += 1
-                others = open_[1 - side]
-                while others and v - others[0] > max(absolute, relative * max(abs(v), abs(others[0]), 1.0)):
-                    others.popleft()
-                if others:
-                    others.popleft()
-                    counts[2] += 1
-                else:
-                    open_[side].append(v)
+                        done.append((*now, *pairs.counts, pairs.matched))
+                    now, pairs = key, _Pairs(absolute, relative)
+                pairs.take(v, side)
             yield _rows(done, batch.schema.types[:width], schema.names)
         if now is not None:
-            yield _rows([(*now, *counts)], batch.schema.types[:width], schema.names)
+            yield _rows([(*now, *pairs.counts, pairs.matched)], batch.schema.types[:width], schema.names)
 
     def sided(df: DataFrame, side: int) -> DataFrame:
         return df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), F.lit(side).alias("__side"))
@@ -72,30 +76,114 @@ def paired_within(a: DataFrame, b: DataFrame, keys: list[str], value: str, absol
 
 
 def _rows(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    types = [*kinds, pa.int64(), pa.int64(), pa.int64()]
+    types = [*kinds, *[pa.int64()] * (len(names) - len(kinds))]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def content_matches(said: DataFrame, gold: DataFrame, doc: str) -> DataFrame:
-    """(doc, matched): cells matched as bags, numbers within the tolerance, other texts as they are."""
-    texts = lambda df, n: df.where(parse_number(F.col("raw")).isNull()).groupBy(doc, plain_text(F.col("raw")).alias("__t")).agg(F.count("*").alias(n))
-    by_text = texts(said, "__a").join(texts(gold, "__b"), [doc, "__t"]).groupBy(doc).agg(F.sum(F.least("__a", "__b")).alias("matched"))
-    numbers = lambda df: df.select(doc, parse_number(F.col("raw")).alias("v"))
-    by_value = paired_within(numbers(said), numbers(gold), [doc], "v", relative=TOLERANCE).select(doc, "matched")
-    return by_text.unionByName(by_value).groupBy(doc).agg(F.sum("matched").alias("matched"))
+class _Table:
+    """One table's cells, told in the order of their places, said before gold: counts of values, places and lines.
 
+    Side 0 is what was read, 1 the gold table.  A cell's value and token are kept until its table ends.
+    """
+
+    def __init__(self):
+        self.cells, self.heads, self.last_row, self.last_col = [0, 0], [0, 0], [-1, -1], [-1, -1]
+        self.hits, self.head_hits, self.places = 0, 0, 0
+        self.row, self.place, self.waiting = None, None, deque()
+        self.texts, self.rows, self.numbers = (Counter(), Counter()), (Counter(), Counter()), []
+        # Tokens of the row and of each column: rounded numbers, and texts.
+        self.line, self.columns = ([], [], [], []), defaultdict(lambda: ([], [], [], []))
+
+    def add(self, row, col, side: int, number, rounded, text) -> None:
+        self.last_row[side], self.last_col[side] = max(self.last_row[side], row), max(self.last_col[side], col)
+        if text == "":
+            return
+        if row != self.row:
+            self._end_row()
+            self.row = row
+        if (row, col) != self.place:
+            self.place = (row, col)
+            self.waiting.clear()
+        self.cells[side] += 1
+        self.heads[side] += row == 0
+        if side == 0:
+            self.waiting.append((number, text))
+            self.places += 1
+        elif self.waiting:
+            x, said = self.waiting.popleft()
+            if said == text if x is None or number is None else abs(x - number) <= TOLERANCE * max(abs(x), abs(number), 1.0):
+                self.hits += 1
+                self.head_hits += row == 0
+        else:
+            self.places += 1
+        if number is None:
+            self.texts[side][text] += 1
+            kind, token = side + 2, text
+        else:
+            self.numbers.append((number, side))
+            kind, token = side, rounded
+        self.line[kind].append(token)
+        self.columns[col][kind].append(token)
+
+    def _end_row(self) -> None:
+        _note(self.line, self.rows)
+        for tokens in self.line:
+            tokens.clear()
+
+    def counts(self) -> tuple:
+        """In the order of ``COUNTS``."""
+        self._end_row()
+        cols = (Counter(), Counter())
+        for tokens in self.columns.values():
+            _note(tokens, cols)
+        pairs = _Pairs(0.0, TOLERANCE)
+        for v, side in sorted(self.numbers):
+            pairs.take(v, side)
+        matched = pairs.matched + sum((self.texts[0] & self.texts[1]).values())
+        lines = [n for of in (self.rows, cols) for n in (of[1].total(), (of[0] & of[1]).total())]
+        return (*self.cells, self.hits, self.places, *self.heads, self.head_hits, matched, *lines, *(n + 1 for n in (*self.last_row, *self.last_col)))
+
+
+COUNTS = ("n_said", "n_gold", "hits", "places", "head_said", "head_gold", "head_hits", "matched", "row_lines", "row_hits", "col_lines", "col_hits", "rows_said", "rows_gold", "cols_said", "cols_gold")
+
+
+def _note(tokens: tuple, into: tuple[Counter, Counter]) -> None:
+    """Counts a line of each side by its values in any order."""
+    for side in (0, 1):
+        if tokens[side] or tokens[side + 2]:
+            into[side][tuple(sorted(tokens[side])), tuple(sorted(tokens[side + 2]))] += 1
+
+
+def table_counts(said: DataFrame, gold: DataFrame, doc: str) -> DataFrame:
+    """(doc, ``COUNTS``): cells, hits by place, and matches of values as bags and of rows and columns in any order of their values.
+
+    Both sides' cells are dealt by their table once and stream through a task in the order of their places; one table is
+    held at a time.
+    """
+    schema = T.StructType([gold.schema[doc], *(T.StructField(n, T.LongType()) for n in COUNTS)])
 
-def line_matches(said: DataFrame, gold: DataFrame, doc: str, line: str) -> DataFrame:
-    """(doc, lines, hits): gold rows (or columns) of which the read table has one with the same values in any order."""
-    number = parse_number(F.col("raw"))
-    token = F.when(number.isNotNull(), F.concat(F.lit("n"), F.round(number, 2).cast("string"))).otherwise(F.concat(F.lit("t"), plain_text(F.col("raw"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table, kinds = None, None, None
+        for batch in batches:
+            kinds = batch.schema.types[:1]
+            done = []
+            for key, *cell in zip(*(c.to_pylist() for c in batch.columns)):
+                if table is None or key != now:
+                    if table is not None:
+                        done.append((now, *table.counts()))
+                    now, table = key, _Table()
+                table.add(*cell)
+            yield _rows(done, kinds, schema.names)
+        if table is not None:
+            yield _rows([(now, *table.counts())], kinds, schema.names)
 
-    def digests(df: DataFrame, name: str) -> DataFrame:
-        lines = df.groupBy(doc, line).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(token))), 256).alias("__line"))
-        return lines.groupBy(doc, "__line").agg(F.count("*").alias(name))
+    def sided(df: DataFrame, side: int) -> DataFrame:
+        parsed = df.select(doc, F.col("row").cast("long"), F.col("col").cast("long"), F.lit(side).alias("__side"), parse_number(F.col("raw")).alias("__number"), "raw")
+        text = F.when(F.col("__number").isNull(), plain_text(F.col("raw")))
+        return parsed.select(doc, "row", "col", "__side", "__number", F.round("__number", 2).alias("__rounded"), text.alias("__text"))
 
-    both = digests(gold, "__g").join(digests(said, "__s"), [doc, "__line"], "left")
-    return both.groupBy(doc).agg(F.sum("__g").alias("lines"), F.sum(F.least(F.col("__g"), F.coalesce("__s", F.lit(0)))).alias("hits"))
+    both = sided(said, 0).unionByName(sided(gold, 1))
+    return both.repartition(doc).sortWithinPartitions(doc, "row", "col", "__side").mapInArrow(run, schema)
 
 
 def _f1(p: Column, r: Column) -> Column:
@@ -104,20 +192,7 @@ def _f1(p: Column, r: Column) -> Column:
 
 def table_scores(said: DataFrame, gold: DataFrame, doc: str = "doc") -> DataFrame:
     """One row a doc of the gold tables: all components of the score."""
-    held = lambda df: df.where(plain_text(F.col("raw")) != "")
-    shape = lambda df, n: df.groupBy(doc).agg((F.max("row") + 1).alias(f"rows_{n}"), (F.max("col") + 1).alias(f"cols_{n}"))
-    # One row a place: the cells that either table has there.
-    both = held(said).select(doc, "row", "col", F.col("raw").alias("__s")).join(held(gold).select(doc, "row", "col", F.col("raw").alias("__g")), [doc, "row", "col"], "full_outer")
-    hit = F.coalesce(cells_equal(F.col("__s"), F.col("__g")) & F.col("__s").isNotNull() & F.col("__g").isNotNull(), F.lit(False))
-    first = F.col("row") == 0
-    place = both.withColumn("__hit", hit).groupBy(doc).agg(
-        F.count("__s").alias("n_said"), F.count("__g").alias("n_gold"), F.count_if("__hit").alias("hits"), F.count("*").alias("places"),
-        F.count_if(first & F.col("__s").isNotNull()).alias("head_said"), F.count_if(first & F.col("__g").isNotNull()).alias("head_gold"), F.count_if(first & F.col("__hit")).alias("head_hits"),
-    )
-    rows = line_matches(held(said), held(gold), doc, "row").select(doc, (F.col("hits") / F.col("lines")).alias("row_accuracy"))
-    cols = line_matches(held(said), held(gold), doc, "col").select(doc, (F.col("hits") / F.col("lines")).alias("col_accuracy"))
-    parts = place.where("n_gold > 0").join(content_matches(held(said), held(gold), doc), doc, "left").join(rows, doc, "left").join(cols, doc, "left")
-    parts = parts.join(shape(gold, "gold"), doc, "left").join(shape(said, "said"), doc, "left").fillna(0, ["matched", "rows_said", "cols_said"])
+    parts = table_counts(said, gold, doc).where("n_gold > 0").withColumns({f"{line}_accuracy": F.col(f"{line}_hits") / F.col(f"{line}_lines") for line in ("row", "col")})
 
     def share(n: str, of: str) -> Column:
         return F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0)
