@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.catalog.registry import query
 from tallyloom.functions.numbers import clamp
-from tallyloom.operators import windows
+from tallyloom.operators import joins, windows
 from tallyloom.plans import changes
 
 #: The year that metrics are taken in.
@@ -226,7 +226,7 @@ def _(t):
     # The members that a report names, each fiftieth here; all others only take part in windows.
     asked = t.customer.where("c_custkey % 50 = 0").select("c_custkey", "c_nationkey", "c_mktsegment")
     peers = t.customer.select(F.col("c_custkey").alias("peer"), "c_nationkey", "c_mktsegment")
-    return asked.join(peers, ["c_nationkey", "c_mktsegment"]).where("c_custkey <> peer").select("c_custkey", "peer")
+    return joins.met_in_parts(asked, peers, ["c_nationkey", "c_mktsegment"], "peer").where("c_custkey <> peer").select("c_custkey", "peer")
 
 
 @query(

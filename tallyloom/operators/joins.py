@@ -34,6 +34,19 @@ def overlapping(a: DataFrame, b: DataFrame, on: list[str], start: str, end: str,
     return met.where(F.col("bucket") == first(F.greatest("a_start", "b_start"))).drop("bucket")
 
 
+def met_in_parts(few: DataFrame, many: DataFrame, on: list[str], row_id: str, parts: int = 16) -> DataFrame:
+    """Pairs of ``few`` and ``many`` rows that agree on ``on``, where few keys have very many rows.
+
+    The rows of ``many`` are dealt into parts of each key by ``row_id``, those of ``few`` meet each part, so a key's pairs
+    are made by many tasks.
+    """
+    part = F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int")
+    shuffles = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = many.withColumn("__part", part).repartition(shuffles, *on, "__part")
+    each = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return each.join(dealt, [*on, "__part"]).drop("__part")
+
+
 def near_repeats(df: DataFrame, keys: list[str], at: str, days: int, row_id: str) -> DataFrame:
     """Rows with another row of equal keys within so many days: a sorted row's nearest neighbours decide."""
     w = Window.partitionBy(*keys).orderBy(at, row_id)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.text import is_amount, parse_number
+from tallyloom.plans.scores import lists_of
 
 #: Parts of a header that name money, and the words and native terms that name each role.
 MONEY = ["amount", "total", "price", "value", "rate", "cost", "राशि", "रकम", "कुल", "योग", "धनराशि", "मूल्य", "दर"]
@@ -88,7 +89,7 @@ def profiles(cells: DataFrame, doc: str = "doc") -> DataFrame:
         for batch in batches:
             types = [batch.schema.types[0], batch.schema.types[2], pa.string(), pa.int64(), pa.int64(), pa.int64()]
             done = []
-            for key, *cell in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, *cell in zip(*lists_of(batch)):
                 if table is None or key != now:
                     if table is not None:
                         done.extend((now, *r) for r in table.rows())

@@ -57,8 +57,7 @@ def paired_within(a: DataFrame, b: DataFrame, keys: list[str], value: str, absol
         now, pairs = None, None
         for batch in batches:
             done = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for *key, v, side in zip(*columns):
+            for *key, v, side in zip(*lists_of(batch)):
                 if key != now:
                     if now is not None:
                         done.append((*now, *pairs.counts, pairs.matched))
@@ -75,6 +74,24 @@ def paired_within(a: DataFrame, b: DataFrame, keys: list[str], value: str, absol
     return both.repartition(*keys).sortWithinPartitions(*keys, "__v", "__side").mapInArrow(run, schema)
 
 
+def lists_of(batch: pa.RecordBatch) -> list[list]:
+    """The columns as Python values; whole columns of numbers, truth values and texts go through NumPy, which is faster."""
+    out = []
+    for c in batch.columns:
+        if pa.types.is_string(c.type):
+            out.append(c.to_numpy(zero_copy_only=False).tolist())
+        elif pa.types.is_integer(c.type) or pa.types.is_floating(c.type) or pa.types.is_boolean(c.type):
+            held = c.fill_null(False if pa.types.is_boolean(c.type) else 0) if c.null_count else c
+            values = held.to_numpy(zero_copy_only=False)
+            if c.null_count:
+                values = values.astype(object)
+                values[c.is_null().to_numpy(zero_copy_only=False)] = None
+            out.append(values.tolist())
+        else:
+            out.append(c.to_pylist())
+    return out
+
+
 def _rows(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     types = [*kinds, *[pa.int64()] * (len(names) - len(kinds))]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
@@ -167,7 +184,7 @@ def table_counts(said: DataFrame, gold: DataFrame, doc: str) -> DataFrame:
         for batch in batches:
             kinds = batch.schema.types[:1]
             done = []
-            for key, *cell in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, *cell in zip(*lists_of(batch)):
                 if table is None or key != now:
                     if table is not None:
                         done.append((now, *table.counts()))

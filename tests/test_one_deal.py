@@ -6,6 +6,7 @@ from io import StringIO
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
+from tallyloom.operators import joins
 from tallyloom.plans import columns, scores
 
 
@@ -47,3 +48,10 @@ def test_plain_cells_are_parsed_as_dressed_ones(spark):
     numbers = [12.0, -3.5, 12.0, 12.0, 1.0, None, -4.0, 12.5, None, None, None, 1.0, -2.0, 7.0, 8.0, 1200.0, float("inf")]
     amounts = [True, True, True, True, False, False, True, True, False, False, False, False, False, True, True, True, True]
     assert got == list(zip(numbers, amounts))
+
+
+def test_pairs_of_one_large_key_are_made_in_many_parts(spark):
+    few, many = spark.createDataFrame([(1, "a"), (2, "b")], "k long, g string"), spark.range(1000).select(F.col("id").alias("peer"), F.lit("a").alias("g"))
+    met = joins.met_in_parts(few, many, ["g"], "peer", parts=8)
+    assert sorted(r.peer for r in met.collect()) == list(range(1000))
+    assert met.select(F.spark_partition_id()).distinct().count() > 1
