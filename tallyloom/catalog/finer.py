@@ -47,12 +47,11 @@ def _(t):
        r AS (SELECT id AS node, id AS seen FROM b UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node // 1000 AS page, count(*) AS boxes, count(DISTINCT root) AS groups FROM (SELECT node, min(seen) AS root FROM r GROUP BY 1) GROUP BY 1""",
 )
 def _(t):
-    with_checkpoints(t.spark)
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     x, y = F.col("l_quantity") * 10, F.col("l_linenumber") * 40
     boxes = t.lineitem.select(F.col("l_orderkey").alias("page"), (F.col("l_orderkey") * 1000 + n).alias("id"), x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 30).alias("y1"))
-    groups = graphs.connected(boxes, graphs.near_boxes(boxes, "page", "id", 12, 42), "id", "a", "b")
-    return groups.groupBy(F.floor(F.col("id") / 1000).alias("page")).agg(F.count("*").alias("boxes"), F.countDistinct("root").alias("groups"))
+    groups = graphs.box_groups(boxes, "page", "id", 12)
+    return groups.groupBy("page").agg(F.count("*").alias("boxes"), F.countDistinct("root").alias("groups"))
 
 
 @query(

@@ -1,20 +1,29 @@
 """Steps that deal their rows by one key do it once."""
 
+import random
 from contextlib import redirect_stdout
 from io import StringIO
 
 from pyspark.sql import functions as F
 
+from tallyloom.catalog import registry
 from tallyloom.functions import text
-from tallyloom.operators import joins
-from tallyloom.plans import columns, scores
+from tallyloom.operators import graphs, joins
+from tallyloom.plans import bills, columns, scores
+from tallyloom.sources.shared import with_checkpoints
 
+import __spark_entry__  # noqa: F401  (registers the queries)
 
-def deals(df):
+
+def plan(df):
     out = StringIO()
     with redirect_stdout(out):
         df.explain()
-    return out.getvalue().count("Exchange ")
+    return out.getvalue()
+
+
+def deals(df):
+    return plan(df).count("Exchange ")
 
 
 def cells(spark, rows):
@@ -54,4 +63,27 @@ def test_pairs_of_one_large_key_are_made_in_many_parts(spark):
     few, many = spark.createDataFrame([(1, "a"), (2, "b")], "k long, g string"), spark.range(1000).select(F.col("id").alias("peer"), F.lit("a").alias("g"))
     met = joins.met_in_parts(few, many, ["g"], "peer", parts=8)
     assert sorted(r.peer for r in met.collect()) == list(range(1000))
-    assert met.select(F.spark_partition_id()).distinct().count() > 1
+    assert "__part" in plan(met).split("Exchange hashpartitioning(")[1].split(")")[0]
+
+
+def test_box_groups_are_those_of_all_near_pairs(spark):
+    r = random.Random(3)
+    rows = [(p, p * 1000 + i, float(r.randint(0, 200)), float(r.randint(0, 200))) for p in range(8) for i in range(r.randint(1, 40))]
+    boxes = spark.createDataFrame(rows, "page long, id long, x0 double, y0 double").withColumns({"x1": F.col("x0") + 9, "y1": F.col("y0") + 7})
+    found = graphs.box_groups(boxes, "page", "id", 5)
+    assert deals(found) == 1
+    with_checkpoints(spark)
+    want = graphs.connected(boxes, graphs.near_boxes(boxes, "page", "id", 5, 12), "id", "a", "b")
+    assert sorted((x.id, x.root) for x in found.collect()) == sorted((x.id, x.root) for x in want.collect())
+
+
+def test_contract_ties_deal_once(spark):
+    rows = [(1, 0, 0, "Contract Price"), (1, 0, 1, "project cost"), (1, 0, 2, "20,000"), (1, 0, 3, "30,000"), (1, 5, 0, "Grand Total"), (1, 5, 1, "1.0"), (1, 5, 2, "20000.50"), (2, 0, 0, None)]
+    found = bills.contract_ties(cells(spark, rows), "doc")
+    assert deals(found) == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 20000.0, 1, True, "one total"), (2, None, 0, None, "not tested")]
+
+
+def test_row_scores_take_one_pass_over_the_lines(spark):
+    # Orders with lines are joined once; before, lines were joined with themselves after.
+    assert deals(registry.QUERIES["v27_row_scores"](spark, "/root/testdata/sf0.001")) <= 4
