@@ -7,7 +7,7 @@ from io import StringIO
 from pyspark.sql import functions as F
 
 from tallyloom.catalog import registry
-from tallyloom.functions import text
+from tallyloom.functions import labels, text
 from tallyloom.operators import graphs, joins
 from tallyloom.plans import bills, columns, scores
 from tallyloom.sources.shared import with_checkpoints
@@ -87,3 +87,11 @@ def test_contract_ties_deal_once(spark):
 def test_row_scores_take_one_pass_over_the_lines(spark):
     # Orders with lines are joined once; before, lines were joined with themselves after.
     assert deals(registry.QUERIES["v27_row_scores"](spark, "/root/testdata/sf0.001")) <= 4
+
+
+def test_labels_that_state_a_sum_are_never_passed_over(spark):
+    stated = ["Grand Total", "SUB - TOTAL (A)", "sub total", "Carried over", "Brought  Forward", "Amount (3) in Rs", "say Rs", "महायोग", "कुल 4"]
+    df = spark.createDataFrame([(s,) for s in [*stated, "supply of item", "", None]], "label string")
+    got = df.select("label", labels.may_state(F.col("label")).alias("may"), (labels.is_total(F.col("label")) | labels.is_subtotal(F.col("label"))).alias("does")).collect()
+    assert [r.label for r in got if r.does] == stated
+    assert [r.label for r in got if r.may] == stated
