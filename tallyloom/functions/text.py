@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,35 @@ def is_amount(raw: Column) -> Column:
     return F.when(raw.rlike(PLAIN), True).when(raw.rlike(DIGIT), s.rlike(r"^-?[0-9]+(\.[0-9]+)?$")).otherwise(False)
 
 
+#: Line ends of Java's patterns beyond those that \\s takes; digits beyond which a plain number may be too large or too small.
+_ENDS, _LONG = "\u0085\u2028\u2029", 300
+_DRESS = re.compile(r"₹|rs\.?|inr|[,%\s()]", re.IGNORECASE | re.ASCII)
+_BRACKETS, _NUMBER = re.compile(rf"\([^\n\r{_ENDS}]*\)(\r\n|[\n\r{_ENDS}])?\Z"), re.compile(r"-?[0-9]+(?:\.[0-9]+)?")
+_AMOUNT = re.compile(rf"-?[0-9]+(\.[0-9]+)?[{_ENDS}]?\Z")
+
+
+def _dressed(raw: str) -> tuple[float | None, bool]:
+    digits = raw.translate(str.maketrans(DEVANAGARI, "0123456789"))
+    plain, found = _DRESS.sub("", digits.strip(" ")), None
+    if number := _NUMBER.search(plain):
+        found = float(number[0])
+        if _BRACKETS.match(digits.strip(" ")):
+            found = -abs(found)
+    return found, _AMOUNT.match(_DRESS.sub("", digits)) is not None
+
+
+def read_cells(raws: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """``parse_number`` and ``is_amount`` of a task's whole batch of cells."""
+    plain = pc.fill_null(pc.match_substring_regex(raws, PLAIN), False)
+    short = pc.fill_null(pc.less(pc.binary_length(raws), _LONG), False)
+    number = pc.if_else(pc.and_(plain, short), raws, pa.scalar(None, pa.string())).cast(pa.float64())
+    odd = pc.and_(pc.fill_null(pc.match_substring_regex(raws, DIGIT), False), pc.invert(pc.and_(plain, short)))
+    if not pc.any(odd).as_py():
+        return number, plain
+    read = [_dressed(s) for s in raws.filter(odd).to_pylist()]
+    return pc.replace_with_mask(number, odd, pa.array([n for n, _ in read], pa.float64())), pc.replace_with_mask(plain, odd, pa.array([a for _, a in read], pa.bool_()))
+
+
 def is_total_label(label: Column) -> Column:
     """A short label (six words at most) that names a total, but no sub-total."""
     short = F.size(F.split(F.trim(label), r"\s+")) <= 6

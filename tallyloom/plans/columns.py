@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.functions.text import is_amount, parse_number
-from tallyloom.plans.scores import lists_of
+from tallyloom.functions.text import is_amount, read_cells
 
 #: Parts of a header that name money, and the words and native terms that name each role.
 MONEY = ["amount", "total", "price", "value", "rate", "cost", "राशि", "रकम", "कुल", "योग", "धनराशि", "मूल्य", "दर"]
@@ -32,74 +33,150 @@ def _has(header: Column, parts: list[str]) -> Column:
     return found
 
 
-class _Columns:
-    """One table's columns, told cell by cell in the order of rows and columns."""
-
-    def __init__(self):
-        self.said, self.counts = {}, {}
-        self.row, self.col, self.same = None, None, 0
-        self.best, self.winner, self.cells = None, None, 0
-
-    def add(self, row, col, number, amount: bool, text) -> None:
-        if row != self.row:
-            self._end_row()
-            self.row, self.col = row, None
-        self.same = self.same + 1 if col == self.col else 1
-        self.col = col
-        if col not in self.counts:
-            self.said[col], self.counts[col] = [], [0, 0, 0]
-        if text is not None:
-            self.said[col].append((row, text))
-        counts = self.counts[col]
-        counts[1] += amount
-        if self.best is not None and col == self.winner:
-            self.cells += 1
-        if number is not None:
-            counts[0] += 1
-            if self.best is None or number > self.best or (number == self.best and self.winner is None):
-                if self.best is None or col != self.winner:
-                    self.cells = self.same
-                self.best, self.winner = number, col
-
-    def _end_row(self) -> None:
-        if self.best is not None and self.winner is not None:
-            self.counts[self.winner][2] += self.cells
-        self.best, self.winner, self.cells = None, None, 0
-
-    def rows(self) -> list[tuple]:
-        self._end_row()
-        return [(col, " ".join(text for _, text in sorted(self.said[col])), *counts) for col, counts in self.counts.items()]
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """True where one of the keys differs from the row before; the first row does."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
+def _keys_of(column: pa.Array) -> list[np.ndarray]:
+    """A column of numbers as keys of a sort, with one more that sets nulls apart if there are any."""
+    if not column.null_count:
+        return [column.to_numpy(zero_copy_only=False)]
+    return [column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)]
+
+
+def _lower(texts: pa.Array) -> pa.Array:
+    """Lower case; texts beyond ASCII by their whole mapping."""
+    wide = pc.fill_null(pc.not_equal(pc.binary_length(texts), pc.utf8_length(texts)), False)
+    lower = pc.ascii_lower(texts)
+    return pc.replace_with_mask(lower, wide, pa.array([s.lower() for s in texts.filter(wide).to_pylist()], pa.string())) if pc.any(wide).as_py() else lower
+
+
+def _profiled(rows: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """The doc, col, header, number of header texts, and (numbers, amounts, wins) of each column of whole rows."""
+    doc, row, cols, raws = (c.combine_chunks() for c in rows.columns)
+    each = pc.list_parent_indices(cols)
+    doc, row, col, raw = doc.take(each), row.take(each), cols.flatten(), raws.flatten()
+    number, amount = read_cells(raw)
+    text = _lower(pc.if_else(pc.less(row, HEADER_ROWS), raw, pa.scalar(None, pa.string())))
+    docs = doc.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    at = np.lexsort([*_keys_of(col), *_keys_of(row), docs])
+    docs, col, text = docs[at], col.take(at), text.take(at)
+    rows, cols = [k[at] for k in _keys_of(row)], _keys_of(col)
+    has, amounts = number.is_valid().to_numpy(zero_copy_only=False)[at], amount.to_numpy(zero_copy_only=False)[at]
+    # Cells of one place (mostly one), and lines.
+    place, line = np.cumsum(_changes(docs, *rows, *cols)) - 1, np.cumsum(_changes(docs, *rows)) - 1
+    sizes = np.bincount(place)
+    # The first place of a line's largest number.
+    told = np.flatnonzero(has)
+    values = number.fill_null(0.0).to_numpy(zero_copy_only=False)[at][told]
+    first = _changes(line[told])
+    best = np.maximum.reduceat(values, np.flatnonzero(first))[np.cumsum(first) - 1] if len(told) else values
+    largest = told[(values == best) & (cols[1][told] if len(cols) > 1 else True)]
+    winners = largest[_changes(line[largest])]
+    # Columns; cells of one column stay in the order of their rows.
+    by_col = np.lexsort([*cols, docs])
+    opens = _changes(docs[by_col], *(k[by_col] for k in cols))
+    starts = np.flatnonzero(opens)
+    column = np.empty(len(at), np.int64)
+    column[by_col] = np.cumsum(opens) - 1
+    wins = np.zeros(len(starts), np.int64)
+    np.add.at(wins, column[winners], sizes[place[winners]])
+    counts = np.stack([np.add.reduceat(x[by_col].astype(np.int64), starts) for x in (has, amounts)] + [wins], axis=1)
+    heads = by_col[text.is_valid().to_numpy(zero_copy_only=False)[by_col]]
+    texts, n_texts = text.take(heads), np.bincount(column[heads], minlength=len(starts))
+    if (sizes > 1).any():
+        # Texts of one place stand in their own order.
+        places, said = place[heads].tolist(), texts.to_pylist()
+        ranks = {p: i for i, p in enumerate(dict.fromkeys(places))}
+        texts = pa.array([s for _, s in sorted(zip((ranks[p] for p in places), said))], pa.string())
+    header = pc.binary_join(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n_texts)]).astype(np.int32), texts), " ")
+    return doc.take(at).take(by_col[starts]), col.take(by_col[starts]), header, n_texts, counts
+
+
+class _Open:
+    """The columns of the table that the rows so far end in; its next rows may follow."""
+
+    def __init__(self, doc):
+        self.doc, self.columns = doc, {}
+
+    def add(self, col, header: str, n_texts: int, counts: np.ndarray) -> None:
+        texts, before = self.columns.setdefault(col, ([], np.zeros(3, np.int64)))
+        if n_texts:
+            texts.append(header)
+        before += counts
+
+    def rows(self, types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+        counts = [c for _, c in self.columns.values()]
+        columns = [[self.doc] * len(counts), list(self.columns), [" ".join(texts) for texts, _ in self.columns.values()], *([int(c[i]) for c in counts] for i in range(3))]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names=names)
 
 
 def profiles(cells: DataFrame, doc: str = "doc") -> DataFrame:
     """(doc, col, header, numbers, amounts, wins): cells with a number, cells that are amounts, and rows whose largest number the column has (the first of equals).
 
-    Cells are dealt by their table once and stream through a task in order; what is held is a table's columns.
+    Cells are dealt by their table once.
     """
-    raw = F.col("raw")
-    told = cells.select(doc, "row", "col", parse_number(raw).alias("__number"), is_amount(raw).alias("__amount"), F.when(F.col("row") < HEADER_ROWS, F.lower(raw)).alias("__text"))
-    schema = T.StructType([cells.schema[doc], cells.schema["col"], T.StructField("header", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("numbers", "amounts", "wins"))])
+    ordered = cells.select(doc, "row", "col", "raw").repartition(doc).sortWithinPartitions(doc, "row")
+    return profiles_of_rows(ordered.select(doc, "row", F.array("col").alias("cols"), F.array("raw").alias("raws")), doc)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, table, types = None, None, None
 
-        def told_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=schema.names)
+def profiles_of_rows(rows: DataFrame, doc: str = "doc") -> DataFrame:
+    """``profiles`` of rows (doc, row, cols, raws: arrays of one length) that come dealt: a table's in one partition, one after another.
 
-        for batch in batches:
-            types = [batch.schema.types[0], batch.schema.types[2], pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            done = []
-            for key, *cell in zip(*lists_of(batch)):
-                if table is None or key != now:
+    They stream through a task; what is held is a batch, a row and a table's columns.
+    """
+    col = rows.schema["cols"].dataType.elementType
+    schema = T.StructType([rows.schema[doc], T.StructField("col", col), T.StructField("header", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("numbers", "amounts", "wins"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, waiting, table = None, [], None
+
+        def told_of(whole: pa.Table) -> Iterator[pa.RecordBatch]:
+            # All tables but the last are whole; the first may have begun before.
+            nonlocal table
+            docs, cols, headers, n_texts, counts = _profiled(whole)
+            if not len(docs):
+                return
+            begins = np.flatnonzero(_changes(docs.dictionary_encode(null_encoding="encode").indices.to_numpy())).tolist()
+            ends = [*begins[1:], len(docs)]
+            for i in dict.fromkeys((0, len(begins) - 1)):
+                key = docs[begins[i]].as_py()
+                if i and len(begins) > 2:
+                    inner = slice(begins[1], begins[-1])
+                    yield pa.RecordBatch.from_arrays([docs[inner], cols[inner], headers[inner], *(pa.array(n) for n in counts[inner].T)], names=schema.names)
+                if table is None or key != table.doc:
                     if table is not None:
-                        done.extend((now, *r) for r in table.rows())
-                    now, table = key, _Columns()
-                table.add(*cell)
-            yield told_of(done)
+                        yield table.rows(types, schema.names)
+                    table = _Open(key)
+                for j in range(begins[i], ends[i]):
+                    table.add(cols[j].as_py(), headers[j].as_py(), int(n_texts[j]), counts[j])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = [batch.schema.types[0], batch.schema.types[2].value_type, pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            # The last row's cells may go on in the next batch.
+            rows = _changes(batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(), *_keys_of(batch.column(1)))
+            last = int(np.flatnonzero(rows)[-1])
+            same = last == 0 and waiting and all(batch.column(i)[0] == waiting[-1].column(i)[-1] for i in (0, 1))
+            if not same:
+                if waiting and last == 0:
+                    yield from told_of(pa.Table.from_batches(waiting))
+                    waiting = []
+                elif last:
+                    yield from told_of(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
+                    waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield from told_of(pa.Table.from_batches(waiting))
         if table is not None:
-            yield told_of([(now, *r) for r in table.rows()])
+            yield table.rows(types, schema.names)
 
-    return told.repartition(doc).sortWithinPartitions(doc, "row", "col").mapInArrow(run, schema)
+    return rows.select(doc, "row", "cols", "raws").mapInArrow(run, schema)
 
 
 def _money(least: int) -> tuple[Column, Column]:

@@ -4,6 +4,7 @@ import random
 from contextlib import redirect_stdout
 from io import StringIO
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyloom.catalog import registry
@@ -95,3 +96,30 @@ def test_labels_that_state_a_sum_are_never_passed_over(spark):
     got = df.select("label", labels.may_state(F.col("label")).alias("may"), (labels.is_total(F.col("label")) | labels.is_subtotal(F.col("label"))).alias("does")).collect()
     assert [r.label for r in got if r.does] == stated
     assert [r.label for r in got if r.may] == stated
+
+
+def test_batches_of_cells_are_read_as_single_ones(spark):
+    raws = ["12", "-3.5", "12\n", "12 ", "1e5", "NaN", "(4)", "(4)\r\n", " (4) ", "\t(4)", "( 4)", "4\u0085", "१२.५", "abc", "", None, "1.", "--2", "007", "Rs. 1,200", "rS5", "INR 3%", "₹ ८", "(5) of 6", "3-4", " 7", "9" * 400, "-" + "9" * 400, "0." + "0" * 400 + "1", "(" + "9" * 400 + ")"]
+    df = spark.createDataFrame([(r,) for r in raws], "raw string")
+    want = [tuple(r) for r in df.select(text.parse_number(F.col("raw")), text.is_amount(F.col("raw"))).collect()]
+    numbers, amounts = text.read_cells(pa.array(raws, pa.string()))
+    assert list(zip(numbers.to_pylist(), amounts.to_pylist())) == want
+
+
+def test_column_profiles_are_whole_over_any_batches(spark):
+    r = random.Random(5)
+    raws = ["Qty", "राशि", "ÀB", "(5)", "7", "7", "9", "₹ ८", "-3", None, "", "12.5", "1,200"]
+    rows = [(r.choice([1, 2, 3, None, 5]), r.choice([-1, 0, 0, 1, 2, 3, 4, None]), r.choice([0, 1, 2, 3, None]), r.choice(raws)) for _ in range(150)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    whole = sorted(map(repr, columns.profiles(cells(spark, rows)).collect()))
+    spark.conf.set(name, "3")
+    try:
+        assert sorted(map(repr, columns.profiles(cells(spark, rows)).collect())) == whole
+    finally:
+        spark.conf.unset(name)
+
+
+def test_columns_of_bills_deal_lines_once_and_profiles_once(spark):
+    # Before, the header's rows were dealt by themselves and cells once more.
+    for name in ("v2_money_column", "v3_bilingual_roles"):
+        assert deals(registry.QUERIES[name](spark, "/root/testdata/sf0.001")) <= 2
