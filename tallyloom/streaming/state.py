@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -54,42 +55,52 @@ def escalations(events: DataFrame, raised: str, answer: str, hours: int, late: s
     return used.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long", "ids array<long>, at array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Groups that keys share; a call of the stateful step serves one of them, not one key.
+KEY_GROUPS = 2048
+
+
 def first_of_repeats(events: DataFrame, keys: list[str], hours: int, late: str) -> DataFrame:
     """(keys, event_id, repeats): events that none of the same keys came before within the time, and how many after them did.
 
-    A run's first event opens it; what follows within ``hours`` of it repeats it.  State per key: the open run, which goes
-    out, and leaves the state, when a later event or the watermark shows that its time is up.  Events of one batch are
-    taken in the order of their times; what comes later than the watermark is dropped.
+    A run's first event opens it; what follows within ``hours`` of it repeats it.  State per group of keys: their open runs.
+    A run goes out, and leaves the state, when a later event or the watermark shows that its time is up.  Events of one
+    batch are taken in the order of their times; what comes later than the watermark is dropped.
     """
     limit = hours * 3_600_000
-    schema = ", ".join([*(f"{c.name} {c.dataType.simpleString()}" for c in (events.schema[k] for k in keys)), "event_id long", "repeats long"])
+    # Keys travel as one text, so nulls and large whole numbers stay what they are.
+    types = T.StructType([events.schema[k] for k in keys])
+    kept = "key array<string>, event_id array<long>, ms array<long>, repeats array<long>"
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else None
+        held = {k: run for k, *run in zip(*state.get)} if state.exists else {}
         out = []
-
-        def pass_to(now: int) -> None:
-            nonlocal held
-            if held and held[1] + limit < now:
-                out.append((*key, held[0], held[2]))
-                held = None
-
         if not state.hasTimedOut:
             rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])
-            for event_id, ms in zip(rows["event_id"].tolist(), rows["ms"].tolist()):
-                pass_to(ms)
-                held = [held[0], held[1], held[2] + 1] if held else [event_id, ms, 0]
-        pass_to(state.getCurrentWatermarkMs())
+            for k, event_id, ms in zip(rows["key"].tolist(), rows["event_id"].tolist(), rows["ms"].tolist()):
+                run = held.get(k)
+                if run and run[1] + limit < ms:
+                    out.append((k, run[0], run[2]))
+                    run = None
+                if run:
+                    run[2] += 1
+                else:
+                    held[k] = [event_id, ms, 0]
+        now = state.getCurrentWatermarkMs()
+        for k in [k for k, run in held.items() if run[1] + limit < now]:
+            run = held.pop(k)
+            out.append((k, run[0], run[2]))
         if held:
-            state.update(tuple(held))
-            state.setTimeoutTimestamp(max(held[1] + limit + 1, state.getCurrentWatermarkMs() + 1))
+            state.update(tuple(map(list, zip(*((k, *run) for k, run in held.items())))))
+            state.setTimeoutTimestamp(max(min(run[1] for run in held.values()) + limit + 1, now + 1))
         elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame(out, columns=[*keys, "event_id", "repeats"])
+            yield pd.DataFrame(out, columns=["key", "event_id", "repeats"])
 
-    used = events.withWatermark("ts", late).select(*keys, "event_id", "ts", F.unix_millis("ts").alias("ms"))
-    return used.groupBy(*keys).applyInPandasWithState(step, schema, "event_id long, ms long, repeats long", "append", GroupStateTimeout.EventTimeTimeout)
+    group = F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS))
+    used = events.withWatermark("ts", late).select(group.alias("group"), F.to_json(F.struct(*keys)).alias("key"), "event_id", "ts", F.unix_millis("ts").alias("ms"))
+    found = used.groupBy("group").applyInPandasWithState(step, "key string, event_id long, repeats long", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.from_json("key", types).alias("key"), "event_id", "repeats").select("key.*", "event_id", "repeats")
 
 
 #: Parts that a log's keys are dealt to; a batch rewrites those that it has keys of.

@@ -90,3 +90,14 @@ def test_streams_go_on_after_a_restart(spark, tmp_path, name):
     after = run(f"{tmp_path}/a", f"{tmp_path}/out-a")
     whole = run(f"{tmp_path}/b", f"{tmp_path}/out-b")
     assert before and set(before) < set(after) and after == whole
+
+
+def test_keys_of_repeats_share_groups_and_may_be_null(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "KEY_GROUPS", 2)
+    big = 2**53 + 1
+    rows = [(i, START + dt.timedelta(days=d), user, kind) for i, (d, user, kind) in enumerate([(0, None, "a"), (1, None, "a"), (0, big, "a"), (5, big, "a"), (0, big + 1, None), (1, 7, "b"), (30, 7, "b"), (60, 8, "b")])]
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    found = state.first_of_repeats(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["user_id", "event_type"], 48, "1 day")
+    got = {tuple(r) for r in jobs.drained(found, str(tmp_path)).collect()}
+    assert got == {(None, "a", 0, 1), (big, "a", 2, 0), (big, "a", 3, 0), (big + 1, None, 4, 0), (7, "b", 5, 0), (7, "b", 6, 0)}
