@@ -13,7 +13,7 @@ from tallyloom.functions import labels
 from tallyloom.functions.text import VERHOEFF_D, VERHOEFF_P
 from tallyloom.operators import windows
 from tallyloom.plans import bills, verify
-from tallyloom.sources.shared import with_checkpoints
+from tallyloom.sources.shared import in_parts, with_checkpoints
 
 _ITEMS = """WITH items AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CAST(l_quantity AS INTEGER) AS qty FROM lineitem),
@@ -28,7 +28,7 @@ _ITEMS = """WITH items AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITIO
 def _items(t):
     w = Window.partitionBy("l_orderkey")
     order = w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    return t.lineitem.select(
+    return in_parts(t.lineitem, "l_orderkey").select(
         F.col("l_orderkey").alias("doc"), F.row_number().over(order).alias("i"), F.count("*").over(w).alias("n"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.col("l_quantity").cast("int").alias("qty")
     )
 
@@ -121,8 +121,9 @@ def _gold(t):
     return _items(t).select("doc", F.col("i"), F.col("qty").alias("v"))
 
 
-def _said(t):
-    return _gold(t).select("doc", F.when(F.col("doc") % 5 == 0, F.col("i") + 1).otherwise(F.col("i")).alias("i"), F.when((F.col("doc") + F.col("i")) % 7 == 0, F.col("v") + 100).otherwise(F.col("v")).alias("v"))
+def _misplaced():
+    """Place and value of a line as they were read."""
+    return F.when(F.col("doc") % 5 == 0, F.col("i") + 1).otherwise(F.col("i")), F.when((F.col("doc") + F.col("i")) % 7 == 0, F.col("v") + 100).otherwise(F.col("v"))
 
 
 @query(
@@ -135,8 +136,11 @@ def _said(t):
          round(2.0 * CAST(m AS DOUBLE) / (said + gold) - 2.0 * CAST(hits AS DOUBLE) / (said + gold), 9) AS misplacement FROM c JOIN p USING (doc)""",
 )
 def _(t):
-    content = bills.content_f1(_said(t), _gold(t), ["doc"], "v")
-    place = verify.cell_scores(_said(t), _gold(t), ["doc", "i"], "v").select("doc", F.col("f1").alias("positional_f1"))
+    # A line gives what was said and its gold, so both sides are dealt by one step.
+    side = lambda i, v, a: F.struct(i.alias("i"), v.alias("v"), F.lit(a).alias("__a"), F.lit(1 - a).alias("__b"))
+    sides = _gold(t).select("doc", F.explode(F.array(side(*_misplaced(), 1), side(F.col("i"), F.col("v"), 0))).alias("s")).select("doc", "s.*")
+    content = bills.content_scores(sides, ["doc"], "v")
+    place = verify.place_scores(sides, ["doc", "i"], "v").select("doc", F.col("f1").alias("positional_f1"))
     both = content.join(place, "doc")
     return both.select("doc", "precision", "recall", F.col("f1").alias("content_f1"), "positional_f1", F.round(F.col("f1") - F.col("positional_f1"), 9).alias("misplacement"))
 

@@ -12,7 +12,7 @@ from tallyloom.functions import text
 from tallyloom.functions.numbers import total
 from tallyloom.operators import aggregates, joins, windows
 from tallyloom.plans import changes, verify
-from tallyloom.sources.shared import shared_folder
+from tallyloom.sources.shared import in_parts, shared_folder
 from tallyloom.streaming import jobs, state
 
 
@@ -71,7 +71,7 @@ def _(t):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     band = F.sum(F.when(F.col("l_quantity") > 40, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     order = Window.partitionBy("l_orderkey").orderBy("band", F.col("l_quantity") % 2, "l_linenumber", "l_partkey", "l_suppkey")
-    return t.lineitem.withColumn("band", band).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.row_number().over(order).cast("long").alias("n"))
+    return in_parts(t.lineitem, "l_orderkey").withColumn("band", band).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.row_number().over(order).cast("long").alias("n"))
 
 
 @query("f6_alerts", "(SELECT 'late' AS kind, o_custkey AS id, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 2 ORDER BY n DESC, id LIMIT 5) UNION ALL (SELECT 'overloaded', o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 2 HAVING count(*) >= 8 ORDER BY n DESC, o_custkey LIMIT 3)")

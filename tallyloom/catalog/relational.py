@@ -9,6 +9,7 @@ from tallyloom.catalog.registry import query
 from tallyloom.functions import dates, text
 from tallyloom.functions.numbers import band, money, ratio, total
 from tallyloom.operators import aggregates, filters, joins, windows
+from tallyloom.sources.shared import in_parts
 from tallyloom.sources.tables import TABLES, append_new
 
 AS_OF = "DATE '2001-08-01'"
@@ -158,7 +159,7 @@ _SPANS = """SELECT o_custkey, l_orderkey * 10 + l_linenumber AS span_id, CAST(l_
 
 
 def _spans(t):
-    joined = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = in_parts(t.lineitem, "l_orderkey").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select("o_custkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_id"), day("l_shipdate").alias("s"), F.date_add(day("l_shipdate"), F.col("l_linenumber")).alias("e"), "l_partkey", "l_suppkey")
 
 
@@ -431,7 +432,8 @@ def _(t):
     f"WITH x AS ({_SPANS}), y AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e, span_id, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x) SELECT o_custkey, count(*) FILTER (reach IS NULL OR s > reach) AS islands FROM y GROUP BY 1",
 )
 def _(t):
-    return windows.islands(_spans(t), "o_custkey", "s", "e", "span_id").groupBy("o_custkey").agg(F.count("*").alias("islands"))
+    spans = in_parts(_spans(t), "o_custkey", rows=t.lineitem.count())
+    return windows.islands(spans, "o_custkey", "s", "e", "span_id").groupBy("o_custkey").agg(F.count("*").alias("islands"))
 
 
 @query(

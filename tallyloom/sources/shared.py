@@ -37,6 +37,20 @@ def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     return spark.table(name)
 
 
+#: Rows of a part, beyond which a table is dealt into more parts than the session's shuffles have.
+PART_ROWS = 1 << 18
+
+
+def in_parts(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """The rows dealt by ``keys`` into parts of about ``PART_ROWS``, so that what a task holds doesn't grow with the table.
+
+    Where the session's own number of partitions gives no larger parts, the rows are left as they are.  ``rows`` saves
+    counting what is no plain table.
+    """
+    parts = -(-(df.count() if rows is None else rows) // PART_ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 @contextmanager
 def kept_together(spark: SparkSession) -> Iterator[None]:
     """While it lasts, joins on more columns than their inputs are dealt by don't deal them anew; only for what is written meanwhile."""

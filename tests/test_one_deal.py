@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tallyloom.catalog import registry
 from tallyloom.functions import labels, text
 from tallyloom.operators import graphs, joins
-from tallyloom.plans import bills, columns, scores
-from tallyloom.sources.shared import with_checkpoints
+from tallyloom.plans import bills, columns, scores, verify
+from tallyloom.sources import shared
+from tallyloom.sources.shared import in_parts, with_checkpoints
 
 import __spark_entry__  # noqa: F401  (registers the queries)
 
@@ -123,3 +124,27 @@ def test_columns_of_bills_deal_lines_once_and_profiles_once(spark):
     # Before, the header's rows were dealt by themselves and cells once more.
     for name in ("v2_money_column", "v3_bilingual_roles"):
         assert deals(registry.QUERIES[name](spark, "/root/testdata/sf0.001")) <= 2
+
+
+def test_large_tables_are_dealt_into_more_parts_than_the_session_has(spark, monkeypatch):
+    assert in_parts(spark.range(100), "id").rdd.getNumPartitions() == spark.range(100).rdd.getNumPartitions()
+    monkeypatch.setattr(shared, "PART_ROWS", 500)
+    assert in_parts(spark.range(6001), "id").rdd.getNumPartitions() == 13
+    for name in ("e14_reading_order", "e13_interval_islands", "v22_content_scores"):
+        df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "REPARTITION_BY_NUM" in plan(df), name
+
+
+def test_content_scores_deal_lines_once(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PART_ROWS", 500)
+    # One for each score, where the second is the first's read again, and a small side's broadcast.
+    assert deals(registry.QUERIES["v22_content_scores"](spark, "/root/testdata/sf0.001")) <= 3
+
+
+def test_scores_count_nulls_and_repeated_places(spark):
+    said = spark.createDataFrame([(1, 1, 5), (1, 1, 5), (1, 2, None), (1, 3, 7), (1, None, 9)], "doc long, i long, v long")
+    gold = spark.createDataFrame([(1, 1, 5), (1, 1, 6), (1, 2, None), (1, 3, 8), (1, None, 9)], "doc long, i long, v long")
+    (place,) = verify.cell_scores(said, gold, ["doc", "i"], "v").collect()
+    assert (place.hits, place.said, place.gold) == (2, 6, 6)
+    (content,) = bills.content_f1(said, gold, ["doc"], "v").collect()
+    assert (content.matched, content.said, content.gold) == (2, 5, 5)
