@@ -7,6 +7,7 @@ from io import StringIO
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tallyloom.catalog import bills as catalog_bills
 from tallyloom.catalog import registry
 from tallyloom.functions import labels, text
 from tallyloom.operators import graphs, joins
@@ -148,3 +149,8 @@ def test_scores_count_nulls_and_repeated_places(spark):
     assert (place.hits, place.said, place.gold) == (2, 6, 6)
     (content,) = bills.content_f1(said, gold, ["doc"], "v").collect()
     assert (content.matched, content.said, content.gold) == (2, 5, 5)
+
+
+def test_texts_of_a_small_table_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(catalog_bills, "TEXTS", 20)
+    assert "REPARTITION_BY_NUM" in plan(registry.QUERIES["n5_fields_and_checks"](spark, "/root/testdata/sf0.001"))
