@@ -26,11 +26,11 @@ _ITEMS = """WITH items AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITIO
 
 
 def _items(t):
-    w = Window.partitionBy("l_orderkey")
+    # Lines get their bill's name before they are dealt, so that what follows knows they are dealt by it.
+    w = Window.partitionBy("doc")
     order = w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    return in_parts(t.lineitem, "l_orderkey").select(
-        F.col("l_orderkey").alias("doc"), F.row_number().over(order).alias("i"), F.count("*").over(w).alias("n"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.col("l_quantity").cast("int").alias("qty")
-    )
+    lines = in_parts(t.lineitem.select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"), "doc")
+    return lines.select("doc", F.row_number().over(order).alias("i"), F.count("*").over(w).alias("n"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.col("l_quantity").cast("int").alias("qty"))
 
 
 def _kept(t):
@@ -38,18 +38,33 @@ def _kept(t):
     return _items(t).where(place % 11 != 0).withColumns({"misread": place % 13 == 0, "merged": place % 17 == 0})
 
 
-def _rows(t):
-    return _stated(_kept(t), _items(t))
+#: Fixed value: the labels of what a bill states.
+_SUB, _GRAND = "Sub-Total (A)", "Grand Total"
 
 
-def _stated(kept, items):
-    """(doc, pos, label, amount): the kept lines, a sub-total after the second of three or more, and a total; one bill in seven states none."""
-    lines = kept.select("doc", (F.col("i") * 10).cast("long").alias("pos"), F.lit("supply of item").alias("label"), "amount")
-    stated = items.where("doc % 7 <> 0").groupBy("doc").agg(F.max("n").alias("n"), F.sum(F.when(F.col("i") <= 2, F.col("amount"))).alias("sub"), F.sum("amount").alias("total"))
-    # Bills of which no line is left are no tables.
-    stated = stated.join(kept.select("doc").distinct(), "doc", "left_semi")
-    sums = stated.select("doc", F.explode(F.array(F.struct(F.lit(25).cast("long").alias("pos"), F.lit("Sub-Total (A)").alias("label"), F.when(F.col("n") >= 3, F.col("sub")).alias("amount")), F.struct(F.lit(10**9).alias("pos"), F.lit("Grand Total").alias("label"), F.col("total").alias("amount")))).alias("x")).select("doc", "x.*")
-    return lines.unionByName(sums.where("amount IS NOT NULL").withColumn("amount", F.col("amount").cast("decimal(18,2)")))
+def _rows(t):
+    """(doc, pos, label, amount, value): the kept lines, a sub-total after the second of three or more, and a total; one bill in seven states none.
+
+    A second column, "value", ties out in every third bill.  A bill's lines are numbered and added up where they were
+    dealt once; its second and last line bring the sums along.  Bills of which no line is left are no tables.
+    """
+    bill = Window.partitionBy("doc")
+    amount, early = F.col("amount"), F.col("i") <= 2
+    kept = F.coalesce((F.col("doc") + F.col("i")) % 11 != 0, F.lit(False))
+    lines = _items(t).select("doc", "i", "n", "amount", kept.alias("kept"))
+    of = lambda c: F.sum(F.when(c, amount)).over(bill)
+    sums = {"sub": of(early), "total": F.sum("amount").over(bill), "a": of(F.col("kept") & early), "b": F.coalesce(of(F.col("kept") & ~early), F.lit(0)), "all": of(F.col("kept")), "some": F.max("kept").over(bill)}
+    added = lines.withColumns(sums)
+    states = (F.col("doc") % 7 != 0) & F.col("some")
+    has_sub = states & (F.col("n") >= 3) & F.col("sub").isNotNull()
+    money = lambda c: c.cast("decimal(18,2)")
+    told = lambda right, c: money(F.when(F.col("doc") % 3 == 0, F.coalesce(right, c)).otherwise(c)).alias("value")
+    row = lambda pos, label, c, value: F.struct(pos.cast("long").alias("pos"), F.lit(label).alias("label"), money(c).alias("amount"), value)
+    line = F.when(F.col("kept"), row(F.col("i") * 10, "supply of item", amount, amount.alias("value")))
+    sub = F.when(has_sub & (F.col("i") == 2), row(F.lit(25), _SUB, F.col("sub"), told(F.col("a"), F.col("sub"))))
+    right = F.when(has_sub, F.coalesce("a", "sub") + F.col("b")).otherwise(F.col("all"))
+    total = F.when(states & (F.col("i") == F.col("n")) & F.col("total").isNotNull(), row(F.lit(10**9), _GRAND, F.col("total"), told(right, F.col("total"))))
+    return added.select("doc", F.explode(F.array(line, sub, total)).alias("x")).where("x IS NOT NULL").select("doc", "x.*")
 
 
 @query("v5_section_totals", _ITEMS + " SELECT doc, kind, CAST(stated AS DOUBLE) AS stated, CAST(base AS DOUBLE) AS base, n, flagged FROM tied")
@@ -64,19 +79,12 @@ def _(t):
        SELECT doc, CASE WHEN flags > 0 AND doc % 2 = 0 AND doc % 3 = 0 THEN 0 ELSE flags END AS flags, CASE WHEN flags > 0 AND doc % 2 = 0 AND doc % 3 = 0 THEN 'value' ELSE 'amount' END AS by FROM f""",
 )
 def _(t):
-    return _rescued(_rows(t), _kept(t))
+    return _rescued(t)
 
 
-def _rescued(rows, kept):
-    """(doc, flags, by): a second column, "value", ties out in every third bill; its header names it in every second."""
-    label = F.col("label")
-    whole = kept.groupBy("doc").agg(F.sum(F.when(F.col("i") <= 2, F.col("amount"))).alias("a"), F.sum("amount").alias("all"), F.coalesce(F.sum(F.when(F.col("i") > 2, F.col("amount"))), F.lit(0)).alias("b"))
-    other = rows.join(whole, "doc")
-    right = F.when(label == "Sub-Total (A)", F.coalesce("a", F.col("amount"))).when(label == "Grand Total", F.when(F.max(F.when(label == "Sub-Total (A)", 1)).over(Window.partitionBy("doc")) == 1, F.coalesce("a", F.max(F.when(label == "Sub-Total (A)", F.col("amount"))).over(Window.partitionBy("doc"))) + F.col("b")).otherwise(F.col("all")))
-    other = other.select("doc", "pos", "label", F.when(F.col("doc") % 3 == 0, F.coalesce(right, F.col("amount"))).otherwise(F.col("amount")).cast("decimal(18,2)").alias("amount"), F.lit("value").alias("column"))
-    found = bills.anchors(rows.withColumn("column", F.lit("amount")).unionByName(other), ["doc", "column"])
-    header = rows.select("doc").distinct().withColumn("column", F.lit("value")).where("doc % 2 = 0")
-    return bills.rescued(found, "doc", "column", "amount", header)
+def _rescued(t):
+    """(doc, flags, by): the header of a bill's second column, "value", names it in every second one."""
+    return bills.rescued(bills.column_anchors(_rows(t), ["doc"], ["amount", "value"]), "doc", "column", "amount", {"value": F.col("doc") % 2 == 0})
 
 
 _GAPS = """, d AS (SELECT doc, i, i - lag(i) OVER (PARTITION BY doc ORDER BY i) AS d FROM kept), gs AS (SELECT doc, count(*) AS c, count(*) FILTER (d = 1) AS runs FROM d GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (d = 1) >= 0.6 * (count(*) - 1)),
@@ -102,10 +110,8 @@ def _(t):
        SELECT doc, kind, n FROM every""",
 )
 def _(t):
-    # The lines are numbered once and kept: all flags read them.
-    with_checkpoints(t.spark)
-    kept = _kept(t).checkpoint()
-    ties = _rescued(_stated(kept, _items(t)), kept).select("doc", F.col("flags").alias("tie_out"))
+    kept = _kept(t)
+    ties = _rescued(t).select("doc", F.col("flags").alias("tie_out"))
     qty = F.col("qty") + F.col("misread").cast("int")
     # Bills without totals have no quantities to test rows by either.
     arith = (F.col("doc") % 7 != 0) & verify.row_mismatch(qty.cast("double"), F.col("amount").cast("double") / F.col("qty"), F.col("amount").cast("double"))

@@ -154,3 +154,11 @@ def test_scores_count_nulls_and_repeated_places(spark):
 def test_texts_of_a_small_table_are_dealt_by_number(spark, monkeypatch):
     monkeypatch.setattr(catalog_bills, "TEXTS", 20)
     assert "REPARTITION_BY_NUM" in plan(registry.QUERIES["n5_fields_and_checks"](spark, "/root/testdata/sf0.001"))
+
+
+def test_rescue_deals_lines_once_and_sorts_no_groups(spark):
+    # Before, lines were numbered for each use, joined with their sums, and groups that kept a kind's name were sorted.
+    for name in ("v5_section_totals", "v6_column_rescue"):
+        df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert deals(df) == 1
+        assert "SortAggregate" not in plan(df) and "Join" not in plan(df)
