@@ -98,7 +98,9 @@ def merged_numbers(cell: Column, share: float = 0.6) -> Column:
     """True for a cell that holds two different numbers or more, which are three fifths of its words at least."""
     words = F.filter(F.split(cell, r"\s+"), lambda w: w != "")
     numbers = F.filter(words, lambda w: is_amount(w))
-    return (F.size(F.array_distinct(F.transform(numbers, lambda w: F.round(parse_number(w), 4)))) >= 2) & (F.size(numbers) >= share * F.size(words))
+    merged = (F.size(F.array_distinct(F.transform(numbers, lambda w: F.round(parse_number(w), 4)))) >= 2) & (F.size(numbers) >= share * F.size(words))
+    # Most cells are one word: only longer ones are taken apart.
+    return F.when(cell.rlike(r"\S\s+\S"), merged).when(cell.isNotNull(), F.lit(False))
 
 
 def misread(qty: Column, rate: Column, amount: Column) -> Column:

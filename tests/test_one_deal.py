@@ -162,3 +162,17 @@ def test_rescue_deals_lines_once_and_sorts_no_groups(spark):
         df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert deals(df) == 1
         assert "SortAggregate" not in plan(df) and "Join" not in plan(df)
+
+
+def test_flags_of_bills_read_one_deal_of_the_lines(spark):
+    # Before, the lines were written as a checkpoint, which was dealt again for the sums of each bill.
+    df = registry.QUERIES["v10_union_of_flags"](spark, "/root/testdata/sf0.001")
+    assert "ExistingRDD" not in plan(df)
+    assert deals(df) <= 3  # one for the lines' flags, the same for the sums, and a small side's broadcast
+
+
+def test_merged_cells_of_any_spacing(spark):
+    cases = [("4 5", True), ("4\t\n5", True), (" 45 ", False), ("4 4", False), ("4 of 5 lots here", False), ("", False), (" ", False), ("12.5", False), (None, None)]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "cell string")
+    assert [r[0] for r in df.select(verify.merged_numbers(F.col("cell"))).collect()] == [m for _, m in cases]
+    assert "RLIKE" in plan(df.select(verify.merged_numbers(F.col("cell"))))  # plain cells are passed over
