@@ -176,3 +176,30 @@ def test_merged_cells_of_any_spacing(spark):
     df = spark.createDataFrame([(c,) for c, _ in cases], "cell string")
     assert [r[0] for r in df.select(verify.merged_numbers(F.col("cell"))).collect()] == [m for _, m in cases]
     assert "RLIKE" in plan(df.select(verify.merged_numbers(F.col("cell"))))  # plain cells are passed over
+
+
+def test_misordered_tables_are_those_of_all_pairs(spark):
+    r = random.Random(7)
+    side = lambda docs: [(r.choice(docs), r.choice([1, 2, 3, None]), r.choice([5, 6, 7, 8, None])) for _ in range(60)]
+    said, gold = side([1, 2, 3, 4, None]), side([1, 2, 3, 5, None])
+
+    def f1(doc, j, g):
+        a, b = ([v for d, t, v in rows if (d, t) == (doc, n)] for rows, n in ((said, j), (gold, g)))
+        met = sum(min(a.count(v), b.count(v)) for v in set(a) if v is not None) if None not in (doc, j, g) else 0
+        return 2 * met / (len(a) + len(b))
+
+    want = {}
+    for doc in {d for d, *_ in said}:
+        tables = {t for d, t, _ in said if d == doc}
+        best = [max(f1(doc, j, g) for g in (1, 2, 3)) for j in tables]
+        by_order, best = sum(f1(doc, j, j) for j in tables) / len(tables), sum(best) / len(tables)
+        want[doc] = (round(by_order, 9), round(best, 9), len(tables) >= 2 and best - by_order > 0.2)
+    schema = "doc long, t long, v long"
+    found = bills.misordered(spark.createDataFrame(said, schema), spark.createDataFrame(gold, schema), "doc", "t", "v")
+    assert deals(found) == 1  # before, each side was dealt by table, by value and by pair
+    assert {x.doc: (round(x.by_order, 9), round(x.best, 9), x.warned) for x in found.collect()} == want
+
+
+def test_misorder_warning_deals_lines_by_order_and_by_customer(spark):
+    # Orders, a small side's broadcast, and the lines by customer.
+    assert deals(registry.QUERIES["v23_misorder_warning"](spark, "/root/testdata/sf0.001")) <= 3
