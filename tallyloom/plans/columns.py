@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.text import is_amount, read_cells
+from tallyloom.sources.shared import put_together
 
 #: Parts of a header that name money, and the words and native terms that name each role.
 MONEY = ["amount", "total", "price", "value", "rate", "cost", "राशि", "रकम", "कुल", "योग", "धनराशि", "मूल्य", "दर"]
@@ -120,7 +121,7 @@ def profiles(cells: DataFrame, doc: str = "doc") -> DataFrame:
 
     Cells are dealt by their table once.
     """
-    ordered = cells.select(doc, "row", "col", "raw").repartition(doc).sortWithinPartitions(doc, "row")
+    ordered = put_together(cells.select(doc, "row", "col", "raw"), doc).sortWithinPartitions(doc, "row")
     return profiles_of_rows(ordered.select(doc, "row", F.array("col").alias("cols"), F.array("raw").alias("raws")), doc)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.text import parse_number
+from tallyloom.sources.shared import put_together
 
 #: Fixed value: the relative difference up to which two numbers are equal.
 TOLERANCE = 0.005
@@ -71,7 +72,7 @@ def paired_within(a: DataFrame, b: DataFrame, keys: list[str], value: str, absol
         return df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), F.lit(side).alias("__side"))
 
     both = sided(a, 0).unionByName(sided(b, 1))
-    return both.repartition(*keys).sortWithinPartitions(*keys, "__v", "__side").mapInArrow(run, schema)
+    return put_together(both, *keys).sortWithinPartitions(*keys, "__v", "__side").mapInArrow(run, schema)
 
 
 def lists_of(batch: pa.RecordBatch) -> list[list]:
@@ -200,7 +201,7 @@ def table_counts(said: DataFrame, gold: DataFrame, doc: str) -> DataFrame:
         return parsed.select(doc, "row", "col", "__side", "__number", F.round("__number", 2).alias("__rounded"), text.alias("__text"))
 
     both = sided(said, 0).unionByName(sided(gold, 1))
-    return both.repartition(doc).sortWithinPartitions(doc, "row", "col", "__side").mapInArrow(run, schema)
+    return put_together(both, doc).sortWithinPartitions(doc, "row", "col", "__side").mapInArrow(run, schema)
 
 
 def _f1(p: Column, r: Column) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +52,15 @@ def in_parts(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+def put_together(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys``, each key's in one partition, for a step that reads whole partitions.
+
+    Dealt by a hash of their own: Spark leaves out a ``repartition`` by columns that the sides of a union are dealt by
+    already, and merges the partitions of each side by themselves afterwards, so a key's rows would come apart.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 @contextmanager
 def kept_together(spark: SparkSession) -> Iterator[None]:
     """While it lasts, joins on more columns than their inputs are dealt by don't deal them anew; only for what is written meanwhile."""

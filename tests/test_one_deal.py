@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 from io import StringIO
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.catalog import bills as catalog_bills
@@ -203,3 +204,19 @@ def test_misordered_tables_are_those_of_all_pairs(spark):
 def test_misorder_warning_deals_lines_by_order_and_by_customer(spark):
     # Orders, a small side's broadcast, and the lines by customer.
     assert deals(registry.QUERIES["v23_misorder_warning"](spark, "/root/testdata/sf0.001")) <= 3
+
+
+def test_sides_that_are_dealt_by_their_doc_meet_in_one_task(spark):
+    """Both sides are unions of rows that are dealt by doc, of sizes that Spark merges into other partitions each."""
+    held = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    rows = spark.range(400 * 50).select((F.col("id") % 400).alias("doc"), "id")
+    body = rows.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("id")).alias("row"))
+    heads = rows.select("doc").distinct().select("doc", F.lit(0).alias("row"))
+    gold = body.unionByName(heads).select("doc", F.col("row").cast("long").alias("row"), F.lit(0).cast("long").alias("col"), F.col("row").cast("string").alias("raw"))
+    cells, pairs = scores.table_counts(gold, gold, "doc").collect(), scores.paired_within(gold, gold, ["doc"], "row").collect()
+    for k in held:
+        spark.conf.unset(k)
+    assert len(cells) == 400 and {(r.n_said, r.n_gold, r.hits, r.matched) for r in cells} == {(51, 51, 51, 51)}
+    assert len(pairs) == 400 and {(r.n_a, r.n_b, r.matched) for r in pairs} == {(51, 51, 51)}
