@@ -2,14 +2,15 @@
 
 Trusted rows are (keys, i, amount, rate, qty) with numbers, noisy ones (keys, j, page, amount_raw, rate_raw, qty_raw)
 with what a scanner read; i and j count from 0 in reading order within the keys (a document, or a file's sheet and
-table).  Rows of equal content are compared once, under the least place of their kind, and only rows that share an
-amount, rate or quantity (in value, or in look-alike digits) meet, so no two tables are multiplied out.
+table).  ``aligned`` puts both sides together by their keys once and scores them in the task that holds a key
+(``plans.alignment``).  The steps by joins compare rows of equal content once, under the least place of their kind, and
+only rows that share an amount, rate or quantity (in value, or in look-alike digits) meet.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,20 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.text import parse_number
+from tallyloom.plans import alignment
+from tallyloom.plans.alignment import ALIKE, ANCHOR_REPEATS, ANCHOR_SCORE, GATE, NEAR, SAME, SLACK, WEIGHTS, longest_rising
 from tallyloom.plans.verify import LOOK_ALIKES
-from tallyloom.sources.shared import dealt, kept_together
+from tallyloom.sources.shared import put_together
 
-#: Weights of a row's columns, and the scores of a number that agrees in value, nearly, or by look-alikes.
-WEIGHTS = {"amount": 0.6, "rate": 0.25, "qty": 0.15}
-SAME, NEAR, ALIKE = 1.0, 0.9, 0.7
-#: An anchor's least score and most repeats, anchors needed, their share of the rows, slack in counts, the gate.
-ANCHOR_SCORE, ANCHOR_REPEATS, ANCHORS, DENSITY, SLACK, GATE = 0.85, 3, 2, 0.1, 2, 0.70
 SCORE = "decimal(9,6)"
 
 
 def digits_of(value: Column) -> Column:
     """The significant digits of a number of two decimals: 3000.00 gives 3000, 12.50 gives 125."""
-    return F.regexp_replace(F.regexp_replace(value.cast("decimal(18,2)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), "[^0-9]", "")
+    return F.translate(F.rtrim(F.rtrim(value.cast("decimal(18,2)").cast("string"), F.lit("0")), F.lit(".")), "-.", "")
 
 
 def _letters(raw: Column) -> Column:
@@ -149,80 +147,65 @@ def rising_rows(df: DataFrame, keys: list[str], order: str, value: str) -> DataF
     out = T.StructType([df.schema[c] for c in (*keys, order, value)])
     width = len(keys)
 
-    def chain(rows: list[tuple]) -> list[tuple]:
-        tails, at, before = [], [], []  # least last value and its row for each length; the row before each row
-        for n, row in enumerate(rows):
-            place = bisect_left(tails, row[-1])
-            before.append(at[place - 1] if place else -1)
-            tails[place : place + 1] = [row[-1]]
-            at[place : place + 1] = [n]
-        kept, n = [], at[-1]
-        while n >= 0:
-            kept.append(rows[n])
-            n = before[n]
-        return kept
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             done = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and row[:width] != held[0][:width]:
-                    done += chain(held)
+                    done += longest_rising(held)
                     held = []
                 held.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(batch.schema)], names=batch.schema.names)
         if held:
-            done = chain(held)
+            done = longest_rising(held)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(batch.schema)], names=batch.schema.names)
 
     rows = df.where(F.col(value).isNotNull()).select(*keys, order, value)
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, out)
+    return put_together(rows, *keys).sortWithinPartitions(*keys, order).mapInArrow(run, out)
 
 
-def aligned(trusted: DataFrame, noisy: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, j, page, anchored, best, method): the noisy row that each trusted row stands for.
+def aligned(trusted: DataFrame, noisy: DataFrame, keys: list[str], linked: tuple[str, str] | None = None) -> DataFrame:
+    """(keys, i, j, page, anchored, best, method, n_trusted, n_noisy, on_page): the noisy row that each trusted row stands for.
 
     Between anchors places are shared out in proportion.  Where anchors are too few the counts must agree within
-    ``SLACK`` and rows are taken in order (``count_order``), else the keys fail and j and page are null.
+    ``SLACK`` and rows are taken in order (``count_order``), else the keys fail and j and page are null.  ``on_page``
+    counts the noisy rows of the page.  With ``linked``, columns of one type that name parts of the trusted and of the noisy
+    rows, each part is aligned with each one of its keys that it shares a row with whose amount matches; both names follow
+    the keys, and places are numbered within the part.
     """
-    spark = trusted.sparkSession
-    trusted, noisy = dealt(trusted, keys), dealt(noisy, keys)
-    with kept_together(spark):
-        pairs = dealt(scored_pairs(trusted, noisy, keys), keys)
-        anchors = dealt(rising_rows(mutual_anchors(trusted, pairs, keys), keys, "i", "j"), keys)
-        best = dealt(best_scores(trusted, noisy, keys, pairs), keys)
-        return dealt(_placed(trusted, noisy, keys, anchors, best), keys)
-
-
-def _placed(trusted: DataFrame, noisy: DataFrame, keys: list[str], anchors: DataFrame, best: DataFrame) -> DataFrame:
-    """``aligned`` from the anchors and each row's best score."""
-    n_t = trusted.groupBy(*keys).agg(F.count("*").alias("n_t"))
-    n_n = noisy.groupBy(*keys).agg(F.count("*").alias("n_n"))
-    n_a = anchors.groupBy(*keys).agg(F.count("*").alias("n_anchors"))
-    counts = n_t.join(n_n, keys, "left").join(n_a, keys, "left").fillna(0, ["n_n", "n_anchors"])
-    enough = (F.col("n_anchors") >= ANCHORS) & (F.col("n_anchors") / F.col("n_t") >= DENSITY)
-    by_count = (F.abs(F.col("n_t") - F.col("n_n")) <= SLACK) & (F.col("n_n") > 0)
-    counts = counts.withColumn("method", F.when(enough, "anchor").when(by_count, "count_order").otherwise("failed"))
-    # Each anchor with the next one; a row before the first row begins the chain.
-    begin = counts.where("method = 'anchor'").select(*keys, F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
-    w = Window.partitionBy(*keys).orderBy("i")
-    marks = begin.unionByName(anchors.select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")))
-    marks = marks.withColumn("mark", F.struct(F.col("i").alias("i"), F.col("j").alias("j"), F.lead("i").over(w).alias("next_i"), F.lead("j").over(w).alias("next_j"))).select(*keys, "i", "mark")
-    rows = trusted.select(*keys, F.col("i").cast("long").alias("i"), F.lit(True).alias("row"))
-    walked = rows.unionByName(marks.where("i < 0").select(*keys, "i", F.lit(False).alias("row"))).join(marks, [*keys, "i"], "left")
-    walked = walked.withColumn("anchored", F.col("mark").isNotNull()).withColumn("mark", F.last("mark", ignorenulls=True).over(w)).where("row")
-    held = walked.join(counts, keys)
-    last_i, last_j = F.coalesce("mark.next_i", "n_t"), F.coalesce("mark.next_j", "n_n")
-    share = (F.col("i") - F.col("mark.i")) / (last_i - F.col("mark.i")).cast("double")
-    between = F.bround(F.col("mark.j") + share * (last_j - F.col("mark.j")))
-    in_order = F.bround(F.col("i") * (F.col("n_n") - 1) / F.greatest(F.col("n_t") - 1, F.lit(1)).cast("double"))
-    place = F.when(F.col("method") == "anchor", between).when(F.col("method") == "count_order", in_order)
-    place = F.least(F.greatest(place, F.lit(0.0)), (F.col("n_n") - 1).cast("double")).cast("long")
-    held = held.withColumn("j", F.when(F.col("method") != "failed", place)).withColumn("anchored", F.col("anchored") & (F.col("method") == "anchor"))
-    pages = noisy.select(*keys, F.col("j").cast("long").alias("j"), "page")
-    best = best.select(*keys, F.col("i").cast("long").alias("i"), "best")
-    return held.join(pages, [*keys, "j"], "left").join(best, [*keys, "i"]).select(*keys, "i", "j", "page", "anchored", "best", "method")
+    kinds = {"i": T.LongType(), "j": T.LongType(), "page": T.LongType(), "anchored": T.BooleanType(), "best": T.LongType(), "method": T.StringType(), "n_trusted": T.LongType(), "n_noisy": T.LongType(), "on_page": T.LongType()}
+    return _told(trusted, noisy, keys, linked, kinds, False)
+
+
+def aligned_runs(trusted: DataFrame, noisy: DataFrame, keys: list[str], linked: tuple[str, str] | None = None) -> DataFrame:
+    """``segments`` of ``aligned`` rows, with n_trusted and n_noisy: the rows stay in the task that aligns them."""
+    kinds = {n: T.LongType() for n in ("segment", "page", "first_i", "n", "__a", "best", "method", "n_trusted", "n_noisy", "__on_page")} | {"method": T.StringType()}
+    runs = _told(trusted, noisy, keys, linked, kinds, True).withColumn("__best", F.col("best").cast("double"))
+    return _weighed(runs, [*keys, *(linked or ())], "n_trusted", "n_noisy")
+
+
+def _told(trusted: DataFrame, noisy: DataFrame, keys: list[str], linked: tuple[str, str] | None, kinds: dict[str, T.DataType], runs: bool) -> DataFrame:
+    """What ``alignment.steps`` tells: both sides are put together by their keys once, and a task holds whole keys."""
+    parts = linked or (None, None)
+
+    def sided(df: DataFrame, side: int, place: str, page: Column, cells: list[Column]) -> DataFrame:
+        part = F.col(parts[side]) if linked else F.lit(0)
+        named = [c.alias(f"__c{k}") for k, c in enumerate(cells)]
+        return df.dropna(subset=keys).select(*keys, F.lit(side).alias("__side"), part.alias("__part"), F.col(place).cast("long").alias("__place"), page.cast("long").alias("__page"), *named)
+
+    value = lambda role: [F.col(role).cast("double"), (F.abs(F.col(role).cast("decimal(18,2)")) * 100).cast("long"), F.lit(None).cast("string")]
+    told = sided(trusted, 0, "i", F.lit(0), [c for role in WEIGHTS for c in value(role)])
+    read = sided(noisy, 1, "j", F.coalesce("page", F.lit(0)), [c for role in WEIGHTS for c in (F.lit(None).cast("double"), F.lit(None).cast("long"), F.col(f"{role}_raw"))])
+    named = [*(trusted.schema[k] for k in keys), *(T.StructField(p, df.schema[p].dataType) for p, df in zip(parts, (trusted, noisy)) if p)]
+    schema = T.StructType([*named, *(T.StructField(n, k) for n, k in kinds.items())])
+    width, names = len(keys), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return alignment.steps(batches, width, linked is not None, runs, names)
+
+    both = put_together(told.unionByName(read), *keys).sortWithinPartitions(*keys, "__side", "__part", "__place")
+    return both.mapInArrow(run, schema).withColumn("best", (F.col("best") * F.lit(Decimal("0.000001"))).cast("decimal(18,6)" if runs else SCORE))
 
 
 def _thousandths(x: Column) -> Column:
@@ -240,11 +223,15 @@ def segments(rows: DataFrame, noisy: DataFrame, keys: list[str]) -> DataFrame:
     runs = rows.where("method <> 'failed'").withColumn("__new", moved.cast("int")).withColumn("segment", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     found = runs.groupBy(*keys, "segment", "page", "method").agg(F.min("i").alias("first_i"), F.count("*").alias("n"), F.count_if("anchored").alias("__a"), F.sum("best").cast("double").alias("__best"))
     on_page = noisy.groupBy(*keys, "page").agg(F.count("*").alias("__on_page"))
+    return _weighed(found.join(on_page, [*keys, "page"]), keys)
+
+
+def _weighed(runs: DataFrame, keys: list[str], *kept: str) -> DataFrame:
     n = F.col("n").cast("double")
     cover = F.greatest(1 - F.abs(F.col("n") - F.col("__on_page")) / n, F.lit(0.0))
     weight = 0.5 * (F.col("__a") / n) + 0.3 * cover + 0.2 * (F.col("__best") / n)
     weight = F.when(F.col("method") == "count_order", F.least(weight, F.lit(GATE - 0.01))).otherwise(weight)
-    return found.join(on_page, [*keys, "page"]).select(*keys, "segment", "page", "first_i", "n", "method", _thousandths(weight).alias("confidence"))
+    return runs.select(*keys, "segment", "page", "first_i", "n", "method", _thousandths(weight).alias("confidence"), *kept)
 
 
 def overall(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -259,28 +246,37 @@ CAPTION = r"(?i)\b(table|schedule|annexure|annex|appendix|exhibit|form|bill)\b[\
 HEADER, SECTION, CAPTION_SAME, CAPTION_OTHER = 0.12, 0.08, 0.10, -0.25
 
 
+def _bound(values: list[Column], use: Callable[..., Column]) -> Column:
+    """``use`` of the values, each computed once however often it is named."""
+    one = F.array(F.struct(*(c.alias(f"x{k}") for k, c in enumerate(values))))
+    return F.get(F.transform(one, lambda x: use(*(x[f"x{k}"] for k in range(len(values))))), F.lit(0))
+
+
 def shared_words(a: Column, b: Column) -> Column:
     """The share of the smaller text's words that the other one has; null if one has no word."""
 
     def words(c: Column) -> Column:
-        return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: x != ""))
+        return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\S+"), F.lit(0)))
 
-    x, y = words(a), words(b)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y)))
+    return _bound([words(a), words(b)], lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))))
 
 
 def caption_signal(a: Column, b: Column) -> Column:
     """Whether two texts number a table of one kind alike (+) or differently (-); 0 where either names none or kinds differ."""
-    kind_a, kind_b, id_a, id_b = (F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), CAPTION, g)) for g in (1, 2) for c in (a, b))
-    return F.when((kind_a == "") | (kind_a != kind_b), 0.0).when(id_a == id_b, CAPTION_SAME).otherwise(CAPTION_OTHER)
+    part = lambda c, g: F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), CAPTION, g))
+    signal = lambda x, y: F.when((x == "") | (x != y), 0.0).when(part(a, 2) == part(b, 2), CAPTION_SAME).otherwise(CAPTION_OTHER)
+    return _bound([part(a, 1), part(b, 1)], signal)
 
 
 def in_context(confidence: Column, header: tuple[Column, Column], section: tuple[Column, Column]) -> Column:
     """The confidence raised or lowered by headers, sections and captions that agree or don't; a contradicting caption isn't outweighed."""
-    by_header, by_section, caption = shared_words(*header), shared_words(*section), caption_signal(*section)
-    moved = F.coalesce(HEADER * (by_header - 0.5) * 2, F.lit(0.0)) + F.coalesce(SECTION * (by_section - 0.5) * 2, F.lit(0.0)) + caption
-    moved = F.when(caption < 0, F.least(moved, caption)).otherwise(moved)
-    return _thousandths(F.least(F.greatest(confidence + moved, F.lit(0.0)), F.lit(1.0)))
+
+    def moved(by_header: Column, by_section: Column, caption: Column) -> Column:
+        by = F.coalesce(HEADER * (by_header - 0.5) * 2, F.lit(0.0)) + F.coalesce(SECTION * (by_section - 0.5) * 2, F.lit(0.0)) + caption
+        return F.when(caption < 0, F.least(by, caption)).otherwise(by)
+
+    by = _bound([shared_words(*header), shared_words(*section), caption_signal(*section)], moved)
+    return _thousandths(F.least(F.greatest(confidence + by, F.lit(0.0)), F.lit(1.0)))
 
 
 def trust_reasons(flags: Column, uncalculated: Column, n_trusted: Column, n_noisy: Column) -> Column:
@@ -294,39 +290,29 @@ def trust_reasons(flags: Column, uncalculated: Column, n_trusted: Column, n_nois
     )
 
 
-def candidate_links(trusted: DataFrame, noisy: DataFrame, file: str, sheet: str, table: str) -> DataFrame:
-    """(file, sheet, table) of those that share a row whose amount matches.
-
-    ``i`` and ``j`` number the rows within the sheet and within the table.
-    """
-    t = trusted.select(file, sheet, "amount").distinct()
-    n = noisy.select(file, table, "amount_raw").distinct()
-    met = _meeting(_parsed(t), _parsed(n), [file], "amount").where(_pair_match("amount") > 0)
-    return met.select(file, sheet, table).distinct()
-
-
 def best_first(scores: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
     """One-to-one pairs of each group, the highest positive score first, each side used once (ties by ids).
 
     A group's rows stream through a task in that order; it holds the ids that the group has used.
     """
     names = scores.columns
-    at = [names.index(c) for c in (group, left, right)]
+    at = [names.index(c) for c in (group, left, right, score)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, used_left, used_right, first = None, set(), set(), True
         for batch in batches:
             taken = []
-            for g, a, b in zip(*(batch.column(i).to_pylist() for i in at)):
+            for g, a, b, s in zip(*(batch.column(i).to_pylist() for i in at)):
                 if first or g != now:
                     now, used_left, used_right, first = g, set(), set(), False
-                taken.append(a not in used_left and b not in used_right)
+                taken.append(s is not None and s > 0 and a not in used_left and b not in used_right)
                 if taken[-1]:
                     used_left.add(a)
                     used_right.add(b)
             yield batch.filter(pa.array(taken, pa.bool_()))
 
-    dealt = scores.where(F.col(score) > 0).repartition(group).sortWithinPartitions(group, F.col(score).desc(), left, right)
+    # Scores are tested here: Spark would move a filter below what makes them, and make them twice.
+    dealt = put_together(scores, group).sortWithinPartitions(group, F.col(score).desc(), left, right)
     return dealt.mapInArrow(run, scores.schema)
 
 
