@@ -31,7 +31,13 @@ METHODS = np.array(["failed", "count_order", "anchor"], object)
 CHUNK, SLICE, LARGE = 1 << 16, 1 << 16, 1 << 16
 #: Digits that an amount can have, and letters that may be read as digits.
 DIGITS, MISREAD = 18, 2
-_READ_AS, _TENS = str.maketrans(LOOK_ALIKES), 10 ** np.arange(DIGITS + 1)
+_TENS = 10 ** np.arange(DIGITS + 1)
+#: What a byte is read as: a digit's value, 10 for another letter, 11 for what isn't kept; and whether it is a letter.
+_READ = np.full(256, 11, np.uint8)
+_READ[[ord(c) for c in "0123456789"]] = range(10)
+_READ[[b for b in range(128) if chr(b).isalpha()]] = 10
+_READ[[ord(c) for c in LOOK_ALIKES]] = [int(d) for d in LOOK_ALIKES.values()]
+_LETTER = (_READ < 11) & ~np.isin(np.arange(256), [ord(c) for c in "0123456789"])
 
 
 def _millionths() -> np.ndarray:
@@ -56,24 +62,23 @@ def own_digits(hundredths: np.ndarray) -> np.ndarray:
     return _TENS[np.maximum(np.searchsorted(_TENS, whole, "right"), 1) + 2 - dropped] + hundredths // _TENS[dropped]
 
 
-def _misread(raw: str) -> str | None:
-    """A cell's digits where ``MISREAD`` or fewer look-alikes are read as some, else null."""
-    kept = [c for c in raw if c.isascii() and (c.isalnum() or c == "|")]
-    digits = "".join(kept).translate(_READ_AS)
-    return digits if sum(not c.isdigit() for c in kept) <= MISREAD and digits.isdigit() and len(digits) <= DIGITS else None
-
-
 def read_digits(raws: pa.Array) -> np.ndarray:
-    """The digits of a task's whole batch of cells behind a 1; 0 for cells that have none, or more than an amount."""
-    plain = pc.fill_null(pc.match_substring_regex(raws, r"^[0-9.]*[0-9][0-9.]*\z"), False)
-    digits = pc.replace_substring(pc.if_else(plain, raws, pa.scalar(None, pa.string())), ".", "")
-    digits = pc.if_else(pc.less_equal(pc.binary_length(digits), DIGITS), digits, pa.scalar(None, pa.string()))
-    odd = pc.and_(pc.invert(plain), pc.fill_null(pc.greater(pc.binary_length(raws), 0), False))
-    if pc.any(odd).as_py():
-        told = raws.filter(odd).dictionary_encode()
-        found = pa.array([_misread(s) for s in told.dictionary.to_pylist()], pa.string())
-        digits = pc.replace_with_mask(digits, odd, found.take(told.indices))
-    return pc.binary_join_element_wise("1", digits, "").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    """The digits of a task's whole batch of cells behind a 1; 0 for cells that have none, or more than an amount.
+
+    Letters are read as digits where they are ``MISREAD`` or fewer and all look like some.
+    """
+    raws = pa.concat_arrays([raws.fill_null("")])
+    ends = np.frombuffer(raws.buffers()[1], np.int32)[raws.offset : raws.offset + len(raws) + 1]
+    data = np.frombuffer(raws.buffers()[2] or b"", np.uint8)[: ends[-1]]
+    read = _READ[data]
+    begins, letters, strange = (np.append(0, np.cumsum(x))[ends] for x in (read < 11, _LETTER[data], read == 10))
+    sizes, digits = np.diff(begins), read[read < 11].astype(np.int64)
+    fine = (sizes > 0) & (sizes <= DIGITS) & (np.diff(letters) <= MISREAD) & (np.diff(strange) == 0)
+    out = fine.astype(np.int64)
+    for k in range(int(sizes[fine].max(initial=0))):
+        more = np.flatnonzero(fine & (sizes > k))
+        out[more] = out[more] * 10 + digits[begins[more] + k]
+    return out
 
 
 def longest_rising(rows: list[tuple]) -> list[tuple]:
@@ -127,8 +132,12 @@ class _Chunk:
         for r in range(len(WEIGHTS)):
             value, hundredths, raw = (table.column(width + 4 + 3 * r + k).combine_chunks() for k in range(3))
             self.numbers.append(pc.if_else(told, value, read_cells(raw)[0]).to_numpy(zero_copy_only=False))
-            own = np.where(hundredths.is_valid(), own_digits(hundredths.fill_null(0).to_numpy()), 0)
+            # No digits of the one side are none of the other.
+            own = np.where(hundredths.is_valid(), own_digits(hundredths.fill_null(0).to_numpy()), -1)
             self.digits.append(np.where(told, own, read_digits(raw)))
+        # 1 % of a number, or of 1: the larger side's is how far the other may be off.
+        self.reach = [0.01 * np.maximum(np.abs(x), 1.0) for x in self.numbers]
+        self.empty = [bool((np.isnan(x) & told.to_numpy(zero_copy_only=False)).any()) for x in self.numbers]
         opens = changes(codes)
         self.start = np.flatnonzero(opens)
         self.size, self.run = np.diff(self.start, append=len(opens)), np.cumsum(opens) - 1
@@ -143,11 +152,14 @@ class _Chunk:
         self.whole = (t, sizes[sides == 0], held[:, 0], held[:, 1])
 
     def levels(self, role: int, t: np.ndarray, n: np.ndarray) -> np.ndarray:
-        v, p = self.numbers[role][t], self.numbers[role][n]
-        off, own = np.abs(v - p), self.digits[role][t]
-        near = off <= 0.01 * np.maximum(np.maximum(np.abs(v), np.abs(p)), 1.0)
-        out = ((own == self.digits[role][n]) & (own != 0)).astype(np.int8)
-        out[near], out[off <= 1.0], out[np.isnan(v)] = 2, 3, UNASKED
+        v, own, reach = self.numbers[role][t], self.digits[role][t], self.reach[role]
+        off = np.abs(v - self.numbers[role][n])
+        near = off <= np.maximum(reach[t], reach[n])
+        out = (own == self.digits[role][n]).view(np.int8)
+        for level, met in ((2, near), (3, off <= 1.0)):
+            out = np.maximum(out, met.view(np.int8) * np.int8(level))
+        if self.empty[role]:
+            out[np.isnan(v)] = UNASKED
         return out
 
     def near(self, role: int, t: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -157,7 +169,7 @@ class _Chunk:
         slack = 1.0 + 0.0102 * np.abs(v)
         for order, found, low, high in ((by_number, p, v - slack, v + slack), (by_digits, alike, own, own)):
             lo, hi = np.searchsorted(found[order], low, "left"), np.searchsorted(found[order], high, "right")
-            sizes = np.where((own == 0) | np.isnan(v), 0, hi - lo)
+            sizes = np.where(np.isnan(v), 0, hi - lo)
             for s in _slices(sizes):
                 at, of = _ranges(lo[s], sizes[s])
                 yield t[s][of], n[order[at]]
@@ -170,7 +182,7 @@ class _Chunk:
 
     def score(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         amount, rate, qty = (self.levels(r, t, n) for r in range(3))
-        return amount, SCORES[(amount.astype(np.int64) * 5 + rate) * 5 + qty]
+        return amount, SCORES[amount * np.int8(25) + rate * np.int8(5) + qty]
 
     def links(self) -> tuple[np.ndarray, ...]:
         """The trusted and noisy parts of a key that share a row whose amount matches, each as start and size of its rows."""
@@ -188,9 +200,9 @@ class _Chunk:
         small = np.flatnonzero((pairs > 0) & (pairs <= LARGE))
         for s in _slices(pairs[small]):
             g = small[s]
-            place, of = _ranges(np.zeros(len(g), np.int64), pairs[g])
-            row, column = np.divmod(place, nl[g][of])
-            yield g[of], ts[g][of] + row, ns[g][of] + column
+            t, of_t = _ranges(ts[g], tl[g])
+            n, of = _ranges(ns[g][of_t], nl[g][of_t])
+            yield g[of_t][of], t[of], n
         for g in np.flatnonzero(pairs > LARGE).tolist():
             t, _ = self.kinds(np.arange(ts[g], ts[g] + tl[g]), range(3) if len(roles) > 1 else roles)
             for r in roles:

@@ -75,3 +75,14 @@ def test_large_tables_meet_as_small_ones(monkeypatch, linked):
     monkeypatch.setattr(alignment, "SLICE", 5)
     monkeypatch.setattr(alignment, "CHUNK", 10)
     assert len(want) > 40 and told() == want
+
+
+def test_digits_of_cells_are_those_of_the_columns(spark):
+    raws = ["3O00.00", "l2,5B", "3OOO", "apple", "", None, "1234567890123456789", "123456789012345678", "0.05", "५0", "|7", "₹ 1,00", "-1.50", ".", "O", "b7", "é9"]
+    df = spark.createDataFrame([(r, i) for i, r in enumerate(raws)], "raw string, i int")
+    want = [r[0] for r in df.orderBy("i").select(reconcile._alike(F.col("raw"))).collect()]
+    got = alignment.read_digits(pa.array(["skipped", *raws], pa.string()).slice(1)).tolist()
+    assert got == [0 if w is None or len(w) > 18 else int("1" + w) for w in want]
+    values = ["3000.00", "12.50", "0.05", "0.00", "-7.10", "1000000.01", "9999999999999999.99"]
+    own = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(reconcile.digits_of(F.col("v").cast("decimal(18,2)"))).collect()]
+    assert alignment.own_digits(pa.array([abs(int(v.replace(".", ""))) for v in values]).to_numpy()).tolist() == [int("1" + o) for o in own]
